@@ -89,7 +89,7 @@ class KeyedState:
 def _keyed(rows: DataFrame, entries: DataFrame, heavy: DataFrame, light: DataFrame) -> DataFrame:
     """Rows with their digest's entry. `heavy` has at most 1 / HEAVY rows."""
     few = rows.join(F.broadcast(heavy), "digest")
-    many = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(light, "digest")
+    many = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(light.hint("merge"), "digest")  # the same plan at every size
     return few.unionByName(many)
 
 

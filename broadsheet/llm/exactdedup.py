@@ -49,6 +49,7 @@ class KeyedState:
             "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space set aside for each
             "spark.sql.streaming.metricsEnabled": "false",
             "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
             "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),

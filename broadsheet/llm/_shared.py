@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -25,3 +26,34 @@ def settled(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder, so that every later read sees the same ones."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def join_skewed(rows: DataFrame, entries: DataFrame, keys: list[str], size: str, total: int, share: float = 1e-3) -> DataFrame:
+    """Rows with the entry of their keys; `entries` has one row a key, with the number of `rows` that have it.
+
+    Keys with more than `share` of all rows, at most 1 / share of them, are joined by broadcast and never shuffled.
+    """
+    most = max(1, int(total * share))
+    heavy, light = entries.where(F.col(size) > most), entries.where(F.col(size) <= most)
+    few = rows.join(F.broadcast(heavy), keys)
+    many = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("merge"), keys)
+    return few.unionByName(many)
+
+
+def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(node, root) of every node of the undirected `edges` (a, b: long): the smallest node it is connected to.
+
+    Each round every node takes the least label around it, then the label of that label, so paths halve. Each round is written to the shared folder.
+    """
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    for _ in range(most_rounds):
+        around = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("root").alias("near"))
+        nearest = labels.join(around.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "near").alias("next"), "root")
+        nearest = settled(nearest)
+        hop = nearest.select(F.col("node").alias("next"), F.col("next").alias("jump"))
+        moved = settled(nearest.join(hop, "next").select("node", F.least("next", "jump").alias("root"), "root").toDF("node", "root", "before"))
+        labels = moved.select("node", "root")
+        if moved.where("root <> before").isEmpty():
+            return labels
+    raise RuntimeError("components did not settle")

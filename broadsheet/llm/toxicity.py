@@ -21,14 +21,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._shared import settled
 
 BITS = 20
 LENGTHS = (3, 4, 5, 6)
 #: Labelled rows of each class that the model is fitted to, at most.
-SAMPLE = 4000
+SAMPLE = 10_000
 #: Smallest number of fitted texts of either class with a feature.
 LEAST = 4
 THRESHOLD = 0.7
+#: Runs of features whose counts are added up apart.
+PARTS = 64
 #: Strength of the squared penalty, steps and mass of the smoothing.
 PENALTY, STEPS, SMOOTHING = 1e-4, 3000, 0.5
 #: Weights below this share of the largest are dropped.
@@ -99,22 +102,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
-    """`texts`: the distinct features of each text."""
-    size, n = 1 << bits, len(y)
+def ratios(with_1: np.ndarray, with_0: np.ndarray, n_1: int, n_0: int) -> np.ndarray:
+    """Log-count ratios of features by the numbers of texts of each class that have them; 0 where they say nothing beyond noise."""
+    p, q = with_1 + SMOOTHING, with_0 + SMOOTHING
+    ratio = np.log(p / (n_1 + 2 * SMOOTHING)) - np.log(q / (n_0 + 2 * SMOOTHING))
+    ratio[(np.maximum(with_1, with_0) < LEAST) | (np.abs(ratio) < 3 * np.sqrt(1 / p + 1 / q))] = 0
+    return ratio
+
+
+def fit(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> Model:
+    """`texts`: the distinct features of each text; `ratio`: all features' log-count ratios."""
+    size, n = len(ratio), len(y)
     prior = float(np.clip(y.mean(), 0.01, 0.69)) if n else 0.01
     if not n or y.min() == y.max():
         return Model(np.zeros(size), float(np.log(prior / (1 - prior))))
-    row = np.repeat(np.arange(n), [len(t) for t in texts])
-    column = np.concatenate(texts)
-    with_1 = np.bincount(column[y[row] == 1], minlength=size)
-    with_0 = np.bincount(column[y[row] == 0], minlength=size)
-    p, q = with_1 + SMOOTHING, with_0 + SMOOTHING
-    ratio = np.log(p / (np.count_nonzero(y == 1) + 2 * SMOOTHING)) - np.log(q / (np.count_nonzero(y == 0) + 2 * SMOOTHING))
-    ratio[np.maximum(with_1, with_0) < LEAST] = 0
-    # Features that hardly differ between the classes say nothing beyond noise.
-    spread = np.sqrt(1 / p + 1 / q)
-    ratio[np.abs(ratio) < 3 * spread] = 0
+    row, column = np.repeat(np.arange(n), [len(t) for t in texts]), np.concatenate(texts)
     used = np.flatnonzero(ratio)
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
@@ -141,14 +143,48 @@ def fit(texts: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
     return Model(weights, b)
 
 
+def class_counts(rows: DataFrame, text: str) -> DataFrame:
+    """Texts of each class with each feature: (part, counts of class 1, of class 0), in `PARTS` runs of features."""
+    size = 1 << BITS
+
+    def run(batches):
+        counts = np.zeros((2, size), np.int32)
+        for part, raw, offsets in X.slices(batches, text):
+            doc, feature = distinct_features(raw, offsets)
+            y = part.column("y").to_numpy()[doc]
+            for k in (0, 1):
+                counts[k] += np.bincount(feature[y == k], minlength=size).astype(np.int32)
+        if counts.any():
+            cut = counts.reshape(2, PARTS, -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(PARTS), pa.int32()), *[pa.array([cut[k, i].tobytes() for i in range(PARTS)], pa.binary()) for k in (1, 0)]], ["part", "with_1", "with_0"]
+            )
+
+    def add(table: pa.Table) -> pa.Table:
+        total = [sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column(c).to_pylist()) for c in ("with_1", "with_0")]
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "with_1": [total[0].tobytes()], "with_0": [total[1].tobytes()]})
+
+    schema = "part int, with_1 binary, with_0 binary"
+    return rows.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema)
+
+
 def train(documents: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "toxic", size: int = SAMPLE) -> Model:
-    """Fits a model to a sample of the labelled documents. To the driver come at most 2 * `size` rows of at most 2 ** BITS features."""
-    chosen = sample_rows(labels.select(id_column, label), id_column, label, size)
+    """Fits a model to a sample of at most 2 * `size` labelled documents.
+
+    To the driver come 2 ** BITS counts of either class, and of each text of the sample those features that differ between the classes.
+    """
+    chosen = settled(sample_rows(labels.select(id_column, label), id_column, label, size))
+    number = {r[0]: r[1] for r in chosen.groupBy("y").count().collect()}
     rows = documents.select(id_column, text).join(F.broadcast(chosen), id_column)
+    parts = {r[0]: (np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int64)) for r in class_counts(rows, text).collect()}
+    empty = np.zeros((1 << BITS) // PARTS, np.int64)
+    with_1, with_0 = (np.concatenate([parts.get(i, (empty, empty))[k] for i in range(PARTS)]) for k in (0, 1))
+    ratio = ratios(with_1, with_0, number.get(1, 0), number.get(0, 0))
+    wanted = ratio != 0
 
     def run(batches):
         for part, raw, offsets in X.slices(batches, text):
-            doc, feature = distinct_features(raw, offsets)
+            doc, feature = distinct_features(raw, offsets, wanted)
             first = np.searchsorted(doc, np.arange(part.num_rows + 1))
             values = feature.astype("<u4")
             blobs = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -156,7 +192,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", id_column
 
     got = rows.mapInArrow(run, "y int, features binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))  # the same model whatever order rows arrive in
-    return fit([np.frombuffer(r[1], "<u4").astype(np.int64) for r in got], np.array([r[0] for r in got], np.int64))
+    return fit([np.frombuffer(r[1], "<u4").astype(np.int64) for r in got], np.array([r[0] for r in got], np.int64), ratio)
 
 
 def score_toxicity(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

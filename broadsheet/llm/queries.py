@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdedup, jaccard, packing, quality, tokencount, toxicity, warc
+from . import bpe, chat, exactdedup, jaccard, packing, pitmanyor, quality, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +60,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pitmanyor.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_bpe, op4_quality, op5_warc, op7_toxicity, op8_chat, op9_exact_dedup, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_bpe, op4_quality, op5_warc, op6_language_model, op7_toxicity, op8_chat, op9_exact_dedup, op10_jaccard)}
 
 _DIGEST = "sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g'))"
 

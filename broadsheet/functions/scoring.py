@@ -1,0 +1,218 @@
+"""Scores, gates and classifications of articles, as native expressions."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import strip, words
+from .urls import SKIP_DOMAINS, contains_any
+
+# Patterns and word lists.
+SPAM = (
+    r"\b(?:click here|кликни здесь|жми сюда)\b", r"\b(?:buy now|купи сейчас|заказать сейчас)\b", r"\$\$\$+", r"!!!{3,}", r"\b(?:free|бесплатно)\s+(?:download|скачать)\b",
+    r"\b(?:limited time|ограниченное время)\b", r"\b(?:act now|действуй сейчас)\b",
+)
+NAVIGATION = (
+    r"^\s*(?:home|главная|news|новости|about|о нас|contact|контакты)\s*$", r"^\s*(?:menu|меню|navigation|навигация)\s*", r"^\s*(?:cookie|куки)\s+(?:policy|политика)",
+    r"^\s*(?:privacy|конфиденциальность)\s+(?:policy|политика)", r"^\s*(?:terms|условия)\s+(?:of service|использования)", r"^\s*(?:404|error|ошибка)\s*",
+)
+METADATA = (
+    r"\d+\s+min\s+read", r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+\d{2}", r"^\s*\w{3}\s+\d{2}\s+.*\d+\s+min\s+read\s*$", r"\bsubscribe\s+(now|here|today)\b|\bподписаться\b",
+    r"\bshare\s+(this|on|now)\b|\bpoделиться\b",
+)
+PERSONAL = (
+    r"я\s+программист", r"мой\s+опыт", r"моя\s+компания", r"предлагаю\s+услуги", r"обращайтесь\s+по\s+телефону", r"консультаци[ия]\s+по\s+телефону", r"специализируюсь", r"оказываю\s+услуги", r"свяжитесь\s+со\s+мной",
+)
+NAV_WORDS = (
+    "menu", "navigation", "footer", "sidebar", "advertisement", "cookie", "subscribe", "newsletter", "copyright", "all rights reserved", "terms of service", "privacy policy", "follow us", "social media",
+)
+ERROR_TEXT = (
+    "404 not found", "page not found", "access denied", "error 404", "error 500", "internal server error", "page not available", "content not found", "please enable javascript", "javascript is required",
+)
+BOT_WALL = (
+    "включить javascript и файлы cookie", "проверки безопасности", "является ли пользователь ботом", "just a moment", "checking if the site connection is secure", "enable javascript and cookies", "attention required",
+    "checking your browser before accessing", "before you continue to google", "согласие на использование файлов cookie", "consent to the use of cookies", "we use cookies and data to",
+    "uses cookies to deliver its services", "cookies help us deliver our services", "javascript is not available", "javascript не доступен", "требуется включить javascript",
+)
+CONTENT_KINDS = {
+    "changelog": (r"\b(version|v\d+|\d+\.\d+)", r"\b(released?|updated?|fixed?|added?|improved?)", r"\b(feature|bug|improvement|enhancement)"),
+    "news": (r"\b(breaking|urgent|announced?|launched?)", r"\b(today|yesterday|this week|latest)", r"\b(update|news|press|release)"),
+    "blog": (r"\b(posted|published|written|authored)", r"\b(tutorial|guide|how.?to|tips)", r"\b(learn|understand|master)"),
+}
+SUGGESTIONS = (
+    ("Tech", ("tech", "software", "innovation", "digital", "ai", "computer", "programming")),
+    ("Business", ("business", "economy", "finance", "market", "trade", "investment", "company")),
+    ("Politics", ("politics", "government", "election", "policy", "law", "legal", "parliament")),
+    ("International", ("international", "world", "global", "foreign", "europe", "russia", "china")),
+    ("Serbia", ("serbia", "belgrade", "serbian", "вучич", "белград", "сербия")),
+    ("Science", ("science", "research", "study", "health", "medicine", "environment", "education")),
+)
+
+
+def any_pattern(text: Column, patterns: tuple[str, ...], flags: str = "(?iuU)") -> Column:
+    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
+
+
+def _text(title: Column, content: Column) -> Column:
+    return F.lower(F.concat(F.coalesce(title, F.lit("None")), F.lit(" "), F.coalesce(content, F.lit("None"))))
+
+
+def is_navigation(title: Column, content: Column) -> Column:
+    return any_pattern(_text(title, content), NAVIGATION)
+
+
+def is_spam(title: Column, content: Column) -> Column:
+    return any_pattern(_text(title, content), SPAM)
+
+
+def is_target_language(content: Column) -> Column:
+    """Few letters, or mostly Latin, or at least three tenths Cyrillic."""
+    cyrillic, latin = F.regexp_count(content, F.lit("[а-яёА-ЯЁ]")), F.regexp_count(content, F.lit("[a-zA-Z]"))
+    both = cyrillic + latin
+    share = cyrillic.cast("double") / F.when(both > 0, both)
+    return (both < 50) | (share >= 0.3) | (share <= 0.1)
+
+
+def is_metadata(content: Column) -> Column:
+    low, parts = strip(F.lower(content)), words(content)
+    repetitive = (F.length(strip(content)) < 100) & (F.size(parts) > 5) & (F.size(F.array_distinct(F.transform(parts, F.lower))) < 0.6 * F.size(parts))
+    return any_pattern(low, METADATA) | repetitive
+
+
+def quality_score(title: Column, content: Column, source_type: Column) -> Column:
+    """0 to 1. The paragraph mark is the four characters \\n\\n as they are written."""
+    sentences, n = F.regexp_count(content, F.lit(r"[.!?]+")), F.size(words(content))
+    paragraphs = F.size(F.filter(F.split(content, r"\\n\\n"), lambda p: strip(p) != ""))
+    text = _text(title, content)
+    score = (
+        F.lit(0.5) + F.when(F.length(strip(title)) > 20, 0.1).otherwise(0.0)
+        + F.when(sentences.between(3, 50), 0.15).when(sentences > 50, 0.05).otherwise(0.0)
+        + F.when(paragraphs >= 2, 0.1).otherwise(0.0) + F.when(n.between(50, 2000), 0.1).when(n > 2000, 0.05).otherwise(0.0)
+        + F.when(source_type == "rss", 0.05).when(source_type == "telegram", 0.02).when(source_type == "extraction", 0.1).otherwise(0.0)
+        - F.when(content.rlike("[A-Z]{10,}"), 0.1).otherwise(0.0) - F.when(F.regexp_count(content, F.lit("!{2,}")) > 3, 0.1).otherwise(0.0)
+    )
+    for pattern in PERSONAL:
+        score -= F.when(text.rlike("(?iuU)" + pattern), 0.3).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def needs_extraction(title: Column, content: Column, url: Column) -> Column:
+    """Short content of an extractable page, shorter than its title leads to expect."""
+    extractable = url.rlike("^https?://") & ~contains_any(F.lower(url), SKIP_DOMAINS)
+    chars, n = F.length(strip(content)), F.size(words(content))
+    return extractable & (chars < 300) & (n < 50) & (((F.size(words(title)) >= 5) & (chars < 200)) | (chars < 150))
+
+
+def filter_reason(title: Column, content: Column, url: Column, source_type: Column, duplicate: Column | None = None, allow_extraction: bool = True) -> Column:
+    """Why an article is not processed, by the first gate that it fails; 'passed' otherwise."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    t, c = blank(title), blank(content)
+    extractable = F.coalesce(F.lit(allow_extraction) & url.rlike("^https?://") & ~contains_any(F.lower(url), SKIP_DOMAINS), F.lit(False))
+    least = F.when(source_type == "extraction", 0.35).otherwise(0.4)
+    return (
+        F.when(~F.length(strip(c)).between(50, 50_000), "too short")
+        .when(F.length(c) > 50_000, "too long")
+        .when(F.length(strip(t)) < 10, "title too short")
+        .when(is_navigation(t, c), "navigation")
+        .when(~is_target_language(c), "language")
+        .when(is_spam(t, c), "spam")
+        .when(is_metadata(c) & ~extractable, "metadata")
+        .when(duplicate if duplicate is not None else F.lit(False), "duplicate")
+        .when(extractable & needs_extraction(t, c, url), "needs extraction")
+        .when(is_metadata(c) & extractable, "metadata, needs extraction")
+        .when(quality_score(t, c, source_type) < least, "low quality")
+        .otherwise("passed")
+    )
+
+
+def most_frequent(items: Column) -> Column:
+    """How often the most frequent item of an array occurs: the longest run of the sorted array."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(items), start, step)["best"]
+
+
+def is_good_content(content: Column, full_article: bool = False, least: int = 200) -> Column:
+    """Length, density, sentences, variety, furniture, repetition and error pages."""
+    least = max(100, least // 2) if full_article else least
+    low, parts = F.lower(strip(content)), words(content)
+    n, chars = F.size(parts), F.length(content)
+    lowered = F.transform(parts, F.lower)
+    sentences = F.filter(F.transform(F.split(content, r"\."), strip), lambda s: F.length(s) > 10)
+    mean = F.aggregate(sentences, F.lit(0), lambda a, s: a + F.length(s)).cast("double") / F.greatest(F.size(sentences), F.lit(1))
+    density = n.cast("double") / F.greatest(chars, F.lit(1))
+    variety = F.size(F.array_distinct(F.filter(lowered, lambda w: F.length(w) > 3))).cast("double") / F.greatest(n, F.lit(1))
+    furniture = F.size(F.filter(lowered, lambda w: contains_any(w, NAV_WORDS)))
+    common = most_frequent(F.filter(lowered, lambda w: F.length(w) > 4))
+    good = (
+        (F.length(strip(content)) >= least) & density.between(0.05, 0.5) & (F.size(sentences) >= (1 if full_article else 2)) & (mean >= 15) & (n >= 10) & (variety >= 0.3)
+        & (furniture <= n * (0.15 if full_article else 0.1)) & (common <= n * 0.15) & ~contains_any(low, ERROR_TEXT)
+    )
+    return F.coalesce(good, F.lit(False))
+
+
+def assess_content(text: Column) -> Column:
+    """0 to 1 from length, sentences, punctuation, variety and furniture."""
+    chars = F.length(text)
+    sentences = F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.length(strip(s)) > 10))
+    marks = F.regexp_count(text, F.lit("[.!?,:;]")).cast("double") / F.greatest(chars, F.lit(1))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)
+    variety = F.size(F.array_distinct(tokens)).cast("double") / F.greatest(F.size(tokens), F.lit(1))
+    low = F.lower(text)
+    furniture = sum((F.contains(low, F.lit(w)).cast("int") for w in ("click here", "read more", "subscribe", "follow us", "menu", "navigation", "sidebar", "footer", "header")), F.lit(0))
+    score = (
+        F.when(chars.between(200, 3000), 0.3).when(chars.between(100, 5000), 0.2).otherwise(0.1) + F.when(sentences >= 3, 0.2).when(sentences >= 1, 0.1).otherwise(0.0)
+        + F.when(marks.between(0.02, 0.15), 0.2).when(marks.between(0.01, 0.25), 0.1).otherwise(0.0) + F.when(F.size(tokens) == 0, 0.0).when(variety >= 0.4, 0.2).when(variety >= 0.2, 0.1).otherwise(0.0)
+        + F.when(furniture == 0, 0.1).when(furniture <= 2, 0.05).otherwise(0.0)
+    )
+    return F.when(text.isNull() | (chars < 50), 0.0).otherwise(F.least(F.lit(1.0), score))
+
+
+def is_bot_wall(content: Column) -> Column:
+    return (F.length(strip(content)) < 500) & contains_any(F.lower(content), BOT_WALL)
+
+
+def content_kind(title: Column, content: Column) -> Column:
+    """The first kind of which at least two patterns match, else 'general'."""
+    text = _text(title, content)
+    out = F.when(F.lit(False), "")
+    for kind, patterns in CONTENT_KINDS.items():
+        out = out.when(sum((text.rlike("(?iuU)" + p).cast("int") for p in patterns), F.lit(0)) >= 2, kind)
+    return out.otherwise("general")
+
+
+def suggested_category(label: Column) -> Column:
+    """By the first family of keywords of which the label has one as a substring."""
+    low = F.lower(label)
+    out = F.when(label.isNull() | (label == ""), "Other")
+    for category, keywords in SUGGESTIONS:
+        out = out.when(contains_any(low, keywords), category)
+    return out.otherwise("Other")
+
+
+def parsed_categories(raw: Column, valid: tuple[str, ...]) -> Column:
+    """Valid categories in a composite label, split at the first kind of separator that it has; ['Other'] if none.
+
+    'OR' anywhere, even inside a word, is a separator.
+    """
+    label = F.trim(F.replace(F.replace(F.trim(raw), F.lit("(choose ONE category only)"), F.lit("")), F.lit("OR"), F.lit("|")))
+    letters = lambda x: F.regexp_replace(x, r"[^\p{L}]", "")
+    found = F.array(letters(label))
+    for mark in reversed(("|", "/", ",", " and ", " & ")):
+        parts = F.transform(F.split(label, r"\|" if mark == "|" else mark), letters)
+        found = F.when(F.contains(label, F.lit(mark)), parts).otherwise(found)
+    kept = F.filter(found, lambda x: x.isin(*valid))
+    whole = letters(label)
+    return F.when(F.size(kept) > 0, kept).when(whole.isin(*valid), F.array(whole)).otherwise(F.array(F.lit("Other")))
+
+
+def keyword_score(text: Column, keywords: tuple[str, ...]) -> Column:
+    """Words of the keywords that the text has as substrings."""
+    return reduce(lambda a, k: a + F.when(F.contains(text, F.lit(k)), len(k.split())).otherwise(0), dict.fromkeys(keywords), F.lit(0))

@@ -37,7 +37,7 @@ PENALTY, STEPS, SMOOTHING = 1e-4, 3000, 0.5
 #: The fit ends when fifty steps lower the loss by less than this share.
 SETTLED = 0.01
 #: Smallest absolute log-count ratio of a feature that counts.
-LEAST_RATIO = 0.7
+LEAST_RATIO = 1.0
 #: Weights below this share of the largest are dropped.
 FAINT = 1e-3
 
@@ -114,11 +114,27 @@ def ratios(with_1: np.ndarray, with_0: np.ndarray, n_1: int, n_0: int) -> np.nda
     return ratio
 
 
+class _Sums:
+    """Sums of entries by group, from their order by group."""
+
+    def __init__(self, group: np.ndarray, n: int):
+        self.order = None if (group[1:] >= group[:-1]).all() else np.argsort(group, kind="stable")
+        ordered = group if self.order is None else group[self.order]
+        self.there, self.start = np.unique(ordered, return_index=True)
+        self.n = n
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(values):
+            out[self.there] = np.add.reduceat(values if self.order is None else values[self.order], self.start)
+        return out
+
+
 def fit(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> Model:
     """`texts`: the distinct features of each text; `ratio`: all features' log-count ratios."""
     size, n = len(ratio), len(y)
     prior = float(np.clip(y.mean(), 0.01, 0.69)) if n else 0.01
-    if not n or y.min() == y.max():
+    if not n or y.min() == y.max() or not ratio.any():
         return Model(np.zeros(size), float(np.log(prior / (1 - prior))))
     row, column = np.repeat(np.arange(n), [len(t) for t in texts]), np.concatenate(texts)
     used = np.flatnonzero(ratio)
@@ -127,20 +143,21 @@ def fit(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> Model:
     take = place[column] >= 0
     row, at = row[take], place[column[take]]
     x = ratio[used][at]
-    # Logistic regression by accelerated gradient steps; each class weighs the same.
+    # Logistic regression by accelerated gradient steps; each class weighs the same. Sums run over entries sorted by text and by feature.
     balance = np.where(y == 1, 0.5 / np.count_nonzero(y == 1), 0.5 / np.count_nonzero(y == 0))
-    largest = np.bincount(row, x * x, n).max(initial=1e-9)
+    by_text, by_feature = _Sums(row, n), _Sums(at, len(used))
+    largest = max(by_text(x * x).max(initial=0), 1e-9)
     rate = 4 / largest
     w, b, v, vb, before = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0, np.inf
     for step in range(STEPS):
-        margin = np.bincount(row, x * v[at], n) + vb
+        margin = by_text(x * v[at]) + vb
         if step % 50 == 49:
             loss = float((balance * np.logaddexp(0, np.where(y == 1, -margin, margin))).sum())
             if loss > before * (1 - SETTLED):
                 break
             before = loss
         error = balance * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
-        new = v - rate * (np.bincount(at, x * error[row], len(used)) + PENALTY * v / max(largest, 1))
+        new = v - rate * (by_feature(x * error[row]) + PENALTY * v / max(largest, 1))
         new_b = vb - rate * float(error.sum()) * largest / 40
         move = step / (step + 3)
         v, vb = new + move * (new - w), new_b + move * (new_b - b)

@@ -56,10 +56,10 @@ plan("o144_exact_copies", "SELECT id, row_number() OVER (PARTITION BY md5(lower(
 )
 plan(
     "o144_window_copies",
-    """WITH RECURSIVE h AS (SELECT id, published_at AS at, md5(lower(regexp_replace(content, '^\\s+|\\s+$', '', 'g'))) AS hash FROM articles),
-       s AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY at, id) AS n FROM h),
-       f AS (SELECT id, at, hash, n, at AS last, false AS duplicate FROM s WHERE n = 1
-             UNION ALL SELECT s.id, s.at, s.hash, s.n, CASE WHEN s.at < f.last + INTERVAL 24 HOUR THEN f.last ELSE s.at END, s.at < f.last + INTERVAL 24 HOUR FROM f JOIN s ON f.hash = s.hash AND s.n = f.n + 1)
+    """WITH RECURSIVE h AS (SELECT id, published_at AS t, md5(lower(regexp_replace(content, '^\\s+|\\s+$', '', 'g'))) AS hash FROM articles),
+       s AS (SELECT id, t, hash, row_number() OVER (PARTITION BY hash ORDER BY t, id) AS n FROM h),
+       f AS (SELECT id, t, hash, n, t AS kept_at, false AS duplicate FROM s WHERE n = 1
+             UNION ALL SELECT s.id, s.t, s.hash, s.n, CASE WHEN s.t < f.kept_at + INTERVAL 24 HOUR THEN f.kept_at ELSE s.t END, s.t < f.kept_at + INTERVAL 24 HOUR FROM f JOIN s ON f.hash = s.hash AND s.n = f.n + 1)
        SELECT id, duplicate FROM f""",
 )(lambda d: Q.window_duplicates(d.articles.select("id", F.col("published_at").alias("at"), F.md5(F.lower(X.strip(F.col("content")))).alias("hash"))))
 plan("o141_greedy_batch", None)(

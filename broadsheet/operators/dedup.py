@@ -6,15 +6,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadsheet.shared import components, join_skewed, settled
 
-def number_copies(df: DataFrame, key: Column, order: list[str], ids: list[str]) -> DataFrame:
-    """Rows with `copy`: 1 for the first row of its key in order, 2 for the next and so on.
 
-    Only keys, order and ids go through the window; wide rows meet their number by id.
+def mark_copies(df: DataFrame, key: Column, order: list[str], ids: list[str]) -> DataFrame:
+    """Rows with `is_copy`: an earlier row in order has their key. Nulls are a key of their own.
+
+    The first row of each key is found by an aggregation, and frequent keys meet their rows by broadcast; only keys, order and ids move.
     """
-    narrow = df.select(*dict.fromkeys([*ids, *order]), key.alias("__key"))
-    numbered = narrow.withColumn("copy", F.row_number().over(Window.partitionBy("__key").orderBy(*order)))
-    return df.join(numbered.select(*ids, "copy"), ids)
+    narrow = df.select(*dict.fromkeys([*ids, *order]), F.coalesce(key, F.lit("")).alias("__key"))
+    place = F.struct(*dict.fromkeys([*order, *ids]))
+    first = narrow.groupBy("__key").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    marked = join_skewed(narrow, first, ["__key"], "__n", narrow.count()).select(*ids, (place != F.col("__first")).alias("is_copy"))
+    return df.join(marked, ids)
 
 
 def new_items(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
@@ -72,17 +76,23 @@ def map_labels(labels: DataFrame, mapping: DataFrame, rules: DataFrame, valid: l
     return found.select(label, category.alias("category"), source.otherwise("fallback").alias("mapping_source"))
 
 
-def greedy_by_source(rows: DataFrame, block: int = 200_000) -> DataFrame:
+def greedy_by_source(rows: DataFrame) -> DataFrame:
     """The rows that a greedy pass keeps: in order of `seq` within each source a row goes if any of its URLs or its title in lower case was
     kept before; rows that go mark nothing. `rows`: source_id, seq, id, title, urls (array).
 
-    Only rows that share a URL or title with another can be affected, so rows that share none are kept
-    without being gathered, and what is folded in order are the connected groups of the rest.
+    Rows that share no URL or title with another are kept as they are. Of rows with the same shared URLs and titles only the first can
+    be kept, whatever happens before it; so frequent titles shrink to a few rows. What is left is folded in order, each connected group of
+    rows by itself.
     """
-    keys = rows.select("source_id", "seq", "id", F.explode(F.array_distinct(F.concat(F.transform("urls", lambda u: F.concat(F.lit("u:"), u)), F.array(F.concat(F.lit("t:"), F.lower(F.trim("title"))))))).alias("key"))
-    keys = keys.where("key <> 't:'")
-    shared = keys.groupBy("source_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    clashing = keys.join(shared, ["source_id", "key"]).groupBy("source_id", "id").agg(F.min("seq").alias("seq"), F.collect_list("key").alias("keys"))
+    name = lambda mark, c: F.concat(F.lit(mark), F.col("source_id").cast("string"), F.lit(":"), c)
+    each = F.concat(F.transform("urls", lambda u: name("u", u)), F.when(F.trim("title") != "", F.array(name("t", F.lower(F.trim("title"))))).otherwise(F.array().cast("array<string>")))
+    keys = rows.select("seq", "id", F.explode(F.array_distinct(each)).alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1").drop("n")
+    clashing = settled(keys.join(shared, "key").groupBy("id", "seq").agg(F.sort_array(F.collect_list("key")).alias("keys")))
+    first = settled(clashing.groupBy("keys").agg(F.min(F.struct("seq", "id")).alias("f")).select("f.*", "keys"))
+    parts = first.select("id", F.explode("keys").alias("key"))
+    heads = parts.groupBy("key").agg(F.min("id").alias("b"))
+    group = components(parts.join(heads, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()).withColumnRenamed("node", "id")
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         seen: set[str] = set()
@@ -93,17 +103,20 @@ def greedy_by_source(rows: DataFrame, block: int = 200_000) -> DataFrame:
                 kept.append(row.id)
         return pd.DataFrame({"id": kept})
 
-    some = clashing.groupBy("source_id").applyInPandas(fold, "id long")
+    grouped = first.join(group, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    some = grouped.groupBy("root").applyInPandas(fold, "id long")
     return rows.join(clashing.select("id"), "id", "left_anti").select("id").unionByName(some)
 
 
 def window_duplicates(rows: DataFrame, hours: int = 24) -> DataFrame:
-    """Rows with `duplicate`: the same hash was kept less than `hours` before. `rows`: id, hash, at. A hash's instants are folded in order as an array."""
-    start = F.struct(F.lit(None).cast("timestamp_ntz").alias("last"), F.array().cast("array<struct<id:bigint,duplicate:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        again = F.coalesce(x["at"] < acc["last"] + F.expr(f"make_dt_interval(0, {int(hours)}, 0, 0)"), F.lit(False))
-        return F.struct(F.when(again, acc["last"]).otherwise(x["at"]).alias("last"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), again.alias("duplicate")))).alias("out"))
+    """Rows with `duplicate`: the same hash was kept less than `hours` before. `rows`: id, hash, at.
 
-    repeated = rows.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("xs"))
-    return repeated.select(F.explode(F.aggregate("xs", start, step)["out"]).alias("r")).select("r.id", "r.duplicate")
+    A hash's distinct instants, not its rows, are folded in order to those that are kept; of the rows at a kept instant, the one with the smallest id is no duplicate.
+    """
+    span = F.expr(f"make_dt_interval(0, {int(hours)}, 0, 0)")
+    first = rows.groupBy("hash", "at").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    start = F.array().cast("array<timestamp_ntz>")
+    step = lambda kept, at: F.when((F.size(kept) == 0) | (at >= F.try_element_at(kept, F.lit(-1)) + span), F.concat(kept, F.array(at))).otherwise(kept)
+    kept = first.groupBy("hash").agg(F.sort_array(F.collect_list("at")).alias("xs")).select("hash", F.explode(F.aggregate("xs", start, step)).alias("at"))
+    heads = first.join(kept, ["hash", "at"], "left_semi").select("id")
+    return rows.select("id").join(heads.withColumn("__kept", F.lit(True)), "id", "left").select("id", F.col("__kept").isNull().alias("duplicate"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.domain import AS_OF, Domain
 from broadsheet.operators import feed as O
+from broadsheet.operators.ranking import first_per
 
 from .registry import plan
 
@@ -159,15 +160,13 @@ def _(d: Domain):
        SELECT fixed_category, concat(fixed_category, ' - e.g.: ', string_agg(ai_category, ', ' ORDER BY n)) AS line FROM r WHERE n <= 5 GROUP BY 1""",
 )
 def _(d: Domain):
-    from broadsheet.operators.ranking import first_per
-
     top = first_per(d.category_mapping.where("is_active"), ["fixed_category"], [F.col("usage_count").desc(), F.col("ai_category")], 5, "n")
     names = F.transform(F.sort_array(F.collect_list(F.struct("n", "ai_category"))), lambda x: x["ai_category"])
     return top.groupBy("fixed_category").agg(names.alias("names")).select("fixed_category", F.concat("fixed_category", F.lit(" - e.g.: "), F.array_join("names", ", ")).alias("line"))
 
 
 plan("o130_top_mappings", "SELECT fixed_category, ai_category, usage_count FROM category_mapping QUALIFY row_number() OVER (PARTITION BY fixed_category ORDER BY usage_count DESC, ai_category) <= 5")(
-    lambda d: __import__("broadsheet.operators.ranking", fromlist=["x"]).first_per(d.category_mapping, ["fixed_category"], [F.col("usage_count").desc(), F.col("ai_category")], 5).select("fixed_category", "ai_category", "usage_count")
+    lambda d: first_per(d.category_mapping, ["fixed_category"], [F.col("usage_count").desc(), F.col("ai_category")], 5).select("fixed_category", "ai_category", "usage_count")
 )
 plan("o050_published_since", f"SELECT id, published_at FROM articles WHERE published_at >= {_TS} - INTERVAL 24 HOUR")(lambda d: d.articles.where(O.since_hours("published_at", AS_OF, 24)).select("id", "published_at"))
 plan("o051_hide_ads", "SELECT id FROM articles WHERE is_advertisement <> true")(lambda d: d.articles.where(O.not_advertisement()).select("id"))
@@ -278,3 +277,26 @@ plan("o080_by_source_type", "SELECT s.source_type, count(*) AS articles FROM art
 plan("o088_by_source_name", "SELECT a.id, s.id AS source FROM articles a JOIN news_sources s ON a.source = s.name")(
     lambda d: d.articles.select(F.col("id").alias("article"), "source").join(F.broadcast(d.news_sources.select("id", "name")), F.col("source") == F.col("name")).select(F.col("article").alias("id"), F.col("id").alias("source"))
 )
+
+
+@plan(
+    "o031_article_documents",
+    """SELECT a.id, a.title, coalesce(string_agg(concat(c.name, '=', CAST(round(coalesce(b.confidence, 0.0) * 100) AS INTEGER)), ';' ORDER BY c.id), '') AS categories, a.content
+       FROM articles a LEFT JOIN article_categories b ON a.id = b.article_id LEFT JOIN categories c ON b.category_id = c.id GROUP BY a.id, a.title, a.content""",
+)
+def _(d: Domain):
+    entry = F.struct("category_id", F.concat("name", F.lit("="), F.round(O.confidence_to_show(F.col("confidence")) * 100).cast("int").cast("string")).alias("e"))
+    named = d.article_categories.join(F.broadcast(d.categories.select(F.col("id").alias("category_id"), "name")), "category_id")
+    nested = named.groupBy(F.col("article_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]), ";").alias("categories"))
+    return d.articles.select("id", "title", "content").join(nested, "id", "left").select("id", "title", F.coalesce("categories", F.lit("")).alias("categories"), "content")
+
+
+@plan("o012_feed_items", "SELECT id, title, url FROM articles ORDER BY published_at DESC NULLS LAST, id LIMIT 50")
+def _(d: Domain):
+    """What the rendered feed holds, parsed back."""
+    from broadsheet.sources import feeds
+
+    xml = feeds.render_feed(d.articles, "Latest", "https://example.org")
+    rows = [(int(e["link"].rpartition("/")[2]), e["link"]) for e in feeds.feed_entries(xml)]
+    got = d.spark.createDataFrame(rows, "id long, url string")
+    return got.join(d.articles.select("id", "title"), "id").select("id", "title", "url")

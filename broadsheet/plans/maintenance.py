@@ -49,10 +49,10 @@ plan("o072_snapshot_diff", "SELECT page_id, md5(url) AS h FROM pages WHERE md5(u
 )
 plan("o243_item_hashes", None)(lambda d: d.articles.select("id", Q.item_hash(F.col("title"), F.col("url"), F.col("content")).alias("h")))
 plan("o147_titles_once", "SELECT id FROM articles QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY id) = 1")(
-    lambda d: Q.number_copies(d.articles.select("id", "title"), F.lower("title"), ["id"], ["id"]).where("copy = 1").select("id")
+    lambda d: d.articles.groupBy(F.lower("title")).agg(F.min("id").alias("id")).select("id")
 )
 plan("o144_exact_copies", "SELECT id, row_number() OVER (PARTITION BY md5(lower(regexp_replace(content, '^\\s+|\\s+$', '', 'g'))) ORDER BY published_at, id) > 1 AS duplicate FROM articles")(
-    lambda d: Q.number_copies(d.articles.select("id", "published_at", F.md5(F.lower(X.strip(F.col("content")))).alias("h")), F.col("h"), ["published_at", "id"], ["id"]).select("id", (F.col("copy") > 1).alias("duplicate"))
+    lambda d: Q.mark_copies(d.articles.select("id", "published_at", F.md5(F.lower(X.strip(F.col("content")))).alias("h")), F.col("h"), ["published_at", "id"], ["id"]).select("id", F.col("is_copy").alias("duplicate"))
 )
 plan(
     "o144_window_copies",

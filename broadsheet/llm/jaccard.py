@@ -286,8 +286,9 @@ def link_components(df: DataFrame, text: str = "text", id_column: str = "doc_id"
 
     # Classes with a deciding shingle in common are connected; every link is within such a neighbourhood.
     lists = settled(deciding_shingles(found))
-    heads = lists.groupBy("key").agg(F.min("sig").alias("b"), F.count(F.lit(1)).alias("few")).where("few > 1").drop("few")
-    near = settled(components(lists.join(heads.hint("merge"), "key").where("sig <> b").select(F.col("sig").alias("a"), "b").distinct()))
+    heads = settled(lists.groupBy("key").agg(F.min("sig").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    starred = join_skewed(lists, heads, ["key"], "n", lists.count()).where("sig <> b")
+    near = settled(components(starred.select(F.col("sig").alias("a"), "b").distinct()))
     homes = settled(near.groupBy("root").agg(F.count(F.lit(1)).alias("many")))
     small = homes.where(F.col("many") <= TILE)
     blocks = max(1, -(-(small.agg(F.sum("many")).first()[0] or 0) // TILE) * 2)

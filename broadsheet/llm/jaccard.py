@@ -28,7 +28,7 @@ from ._shared import components, join_skewed, settled
 
 WORDS, PERCENT = 4, 85
 #: Text bytes whose shingles are gathered before they are sent, classes in a tile, shingles in a hash range.
-CHUNK_BYTES, TILE, RANGE_SHINGLES = 16 << 20, 512, 4 << 20
+CHUNK_BYTES, TILE, RANGE_SHINGLES = 8 << 20, 512, 2 << 20
 _MASK = np.uint64((1 << 56) - 1)
 
 

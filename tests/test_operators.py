@@ -165,3 +165,19 @@ def test_late_windows(spark, tmp_path):
     stream = S.late_windows(spark.readStream.schema("ts timestamp_ntz").parquet(inbox), "ts", "1 hour", "2 hours")
     out = S.run_available(stream, "append", str(tmp_path / "s")).select(F.col("window.start").alias("w"), "n").collect()
     assert {r.w.hour: r.n for r in out}[0] == 2
+
+
+def test_copy_between_databases(spark):
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    source, target = {"url": "jdbc:derby:memory:one;create=true", **driver}, {"url": "jdbc:derby:memory:two;create=true", **driver}
+    spark.createDataFrame([(1, "7"), (2, "8")], "id int, n string").write.format("jdbc").options(**source, dbtable="t", createTableColumnTypes="n varchar(20)").save()
+    storage.copy_table(spark, source, target, "t", casts={"n": "int"}, key="id", bounds=(1, 2))
+    assert sorted((r[0], r[1]) for r in spark.read.format("jdbc").options(**target, dbtable="t").load().collect()) == [(1, 7), (2, 8)]
+
+
+def test_components(spark):
+    from broadsheet.shared import components
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101)] + [(200 + i, 200) for i in range(1, 60)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, **{200 + i: 200 for i in range(60)}}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip, words
@@ -52,8 +52,20 @@ SUGGESTIONS = (
 )
 
 
-def any_pattern(text: Column, patterns: tuple[str, ...], flags: str = "(?iuU)") -> Column:
-    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
+#: Strings of which a text must have one for a pattern to match: looking for them is much faster than the pattern.
+ANCHORS = {
+    SPAM[0]: ("click here", "кликни здесь", "жми сюда"), SPAM[1]: ("buy now", "купи сейчас", "заказать сейчас"), SPAM[2]: ("$$$",), SPAM[3]: ("!!!!!",), SPAM[4]: ("free", "бесплатно"),
+    SPAM[5]: ("limited time", "ограниченное время"), SPAM[6]: ("act now", "действуй сейчас"), METADATA[0]: ("read",), METADATA[2]: ("read",), METADATA[3]: ("subscribe", "подписаться"), METADATA[4]: ("share", "poделиться"),
+}
+
+
+def any_pattern(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Patterns are in lower case, and so are the texts."""
+    found = F.lit(False)
+    for pattern in patterns:
+        hit = text.rlike("(?U)" + pattern)
+        found |= (contains_any(text, ANCHORS[pattern]) & hit) if pattern in ANCHORS else hit
+    return found
 
 
 def _text(title: Column, content: Column) -> Column:
@@ -61,7 +73,9 @@ def _text(title: Column, content: Column) -> Column:
 
 
 def is_navigation(title: Column, content: Column) -> Column:
-    return any_pattern(_text(title, content), NAVIGATION)
+    """The patterns begin at the text's start, so its first characters are enough for all but the first, which is the whole text."""
+    text = strip(_text(title, content))
+    return (F.length(text) < 20) & text.rlike("(?U)" + NAVIGATION[0]) | F.substring(text, 1, 80).rlike("(?U)" + "|".join(f"(?:{p})" for p in NAVIGATION[1:]))
 
 
 def is_spam(title: Column, content: Column) -> Column:
@@ -78,8 +92,9 @@ def is_target_language(content: Column) -> Column:
 
 def is_metadata(content: Column) -> Column:
     low, parts = strip(F.lower(content)), words(content)
+    dated = low.rlike(r"\s\d{2}") & low.rlike("(?U)" + METADATA[1])
     repetitive = (F.length(strip(content)) < 100) & (F.size(parts) > 5) & (F.size(F.array_distinct(F.transform(parts, F.lower))) < 0.6 * F.size(parts))
-    return any_pattern(low, METADATA) | repetitive
+    return any_pattern(low, (METADATA[0], *METADATA[2:])) | dated | repetitive
 
 
 def quality_score(title: Column, content: Column, source_type: Column) -> Column:
@@ -87,6 +102,7 @@ def quality_score(title: Column, content: Column, source_type: Column) -> Column
     sentences, n = F.regexp_count(content, F.lit(r"[.!?]+")), F.size(words(content))
     paragraphs = F.size(F.filter(F.split(content, r"\\n\\n"), lambda p: strip(p) != ""))
     text = _text(title, content)
+    cyrillic = text.rlike("[а-яё]")
     score = (
         F.lit(0.5) + F.when(F.length(strip(title)) > 20, 0.1).otherwise(0.0)
         + F.when(sentences.between(3, 50), 0.15).when(sentences > 50, 0.05).otherwise(0.0)
@@ -95,7 +111,7 @@ def quality_score(title: Column, content: Column, source_type: Column) -> Column
         - F.when(content.rlike("[A-Z]{10,}"), 0.1).otherwise(0.0) - F.when(F.regexp_count(content, F.lit("!{2,}")) > 3, 0.1).otherwise(0.0)
     )
     for pattern in PERSONAL:
-        score -= F.when(text.rlike("(?iuU)" + pattern), 0.3).otherwise(0.0)
+        score -= F.when(cyrillic & text.rlike("(?U)" + pattern), 0.3).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
@@ -106,37 +122,33 @@ def needs_extraction(title: Column, content: Column, url: Column) -> Column:
     return extractable & (chars < 300) & (n < 50) & (((F.size(words(title)) >= 5) & (chars < 200)) | (chars < 150))
 
 
-def filter_reason(title: Column, content: Column, url: Column, source_type: Column, duplicate: Column | None = None, allow_extraction: bool = True) -> Column:
-    """Why an article is not processed, by the first gate that it fails; 'passed' otherwise."""
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    t, c = blank(title), blank(content)
-    extractable = F.coalesce(F.lit(allow_extraction) & url.rlike("^https?://") & ~contains_any(F.lower(url), SKIP_DOMAINS), F.lit(False))
-    least = F.when(source_type == "extraction", 0.35).otherwise(0.4)
-    return (
-        F.when(~F.length(strip(c)).between(50, 50_000), "too short")
-        .when(F.length(c) > 50_000, "too long")
-        .when(F.length(strip(t)) < 10, "title too short")
-        .when(is_navigation(t, c), "navigation")
-        .when(~is_target_language(c), "language")
-        .when(is_spam(t, c), "spam")
-        .when(is_metadata(c) & ~extractable, "metadata")
-        .when(duplicate if duplicate is not None else F.lit(False), "duplicate")
-        .when(extractable & needs_extraction(t, c, url), "needs extraction")
-        .when(is_metadata(c) & extractable, "metadata, needs extraction")
-        .when(quality_score(t, c, source_type) < least, "low quality")
-        .otherwise("passed")
-    )
-
+def with_filter_reason(df: DataFrame, title: str, content: str, url: str, source_type: str, duplicate: Column | None = None, allow_extraction: bool = True, out: str = "reason") -> DataFrame:
+    """Rows with why an article is not processed, by the first gate that it fails; 'passed' otherwise.
 
-def most_frequent(items: Column) -> Column:
-    """How often the most frequent item of an array occurs: the longest run of the sorted array."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    The gates are columns of a first projection: one expression of all of them would be too large for the JVM to compile.
+    """
+    t, c, u = (F.coalesce(F.col(x), F.lit("")) for x in (title, content, url))
+    gates = df.withColumns(
+        {
+            "__chars": F.length(strip(c)), "__long": F.length(c) > 50_000, "__title": F.length(strip(t)) < 10, "__navigation": is_navigation(t, c), "__language": ~is_target_language(c), "__spam": is_spam(t, c),
+            "__metadata": is_metadata(c), "__extractable": F.lit(allow_extraction) & u.rlike("^https?://") & ~contains_any(F.lower(u), SKIP_DOMAINS), "__needs": needs_extraction(t, c, u),
+            "__score": quality_score(t, c, F.col(source_type)), "__copy": duplicate if duplicate is not None else F.lit(False),
+        }
+    )
+    reason = (
+        F.when(~F.col("__chars").between(50, 50_000), "too short").when(F.col("__long"), "too long").when(F.col("__title"), "title too short").when(F.col("__navigation"), "navigation")
+        .when(F.col("__language"), "language").when(F.col("__spam"), "spam").when(F.col("__metadata") & ~F.col("__extractable"), "metadata").when(F.col("__copy"), "duplicate")
+        .when(F.col("__extractable") & F.col("__needs"), "needs extraction").when(F.col("__metadata") & F.col("__extractable"), "metadata, needs extraction")
+        .when(F.col("__score") < F.when(F.col(source_type) == "extraction", 0.35).otherwise(0.4), "low quality").otherwise("passed")
+    )
+    return gates.withColumn(out, reason).select(*[x for x in df.columns if x != out], out)
 
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(F.array_sort(items), start, step)["best"]
+def has_frequent(items: Column, most: Column) -> Column:
+    """Whether an item of the array occurs more than `most` (a whole number) times: in order, it is equal to the one `most` places on."""
+    ordered = F.array_sort(items)
+    pairs = F.zip_with(F.slice(ordered, 1, F.greatest(F.size(items) - most, F.lit(0))), F.slice(ordered, most + 1, F.greatest(F.size(items) - most, F.lit(0))), lambda a, b: a == b)
+    return F.array_contains(pairs, True)
 
 
 def is_good_content(content: Column, full_article: bool = False, least: int = 200) -> Column:
@@ -149,11 +161,11 @@ def is_good_content(content: Column, full_article: bool = False, least: int = 20
     mean = F.aggregate(sentences, F.lit(0), lambda a, s: a + F.length(s)).cast("double") / F.greatest(F.size(sentences), F.lit(1))
     density = n.cast("double") / F.greatest(chars, F.lit(1))
     variety = F.size(F.array_distinct(F.filter(lowered, lambda w: F.length(w) > 3))).cast("double") / F.greatest(n, F.lit(1))
-    furniture = F.size(F.filter(lowered, lambda w: contains_any(w, NAV_WORDS)))
-    common = most_frequent(F.filter(lowered, lambda w: F.length(w) > 4))
+    furniture = F.when(contains_any(low, NAV_WORDS), F.size(F.filter(lowered, lambda w: contains_any(w, NAV_WORDS)))).otherwise(0)
+    frequent = has_frequent(F.filter(lowered, lambda w: F.length(w) > 4), F.floor(n * 0.15).cast("int"))
     good = (
         (F.length(strip(content)) >= least) & density.between(0.05, 0.5) & (F.size(sentences) >= (1 if full_article else 2)) & (mean >= 15) & (n >= 10) & (variety >= 0.3)
-        & (furniture <= n * (0.15 if full_article else 0.1)) & (common <= n * 0.15) & ~contains_any(low, ERROR_TEXT)
+        & (furniture <= n * (0.15 if full_article else 0.1)) & ~frequent & ~contains_any(low, ERROR_TEXT)
     )
     return F.coalesce(good, F.lit(False))
 
@@ -184,7 +196,7 @@ def content_kind(title: Column, content: Column) -> Column:
     text = _text(title, content)
     out = F.when(F.lit(False), "")
     for kind, patterns in CONTENT_KINDS.items():
-        out = out.when(sum((text.rlike("(?iuU)" + p).cast("int") for p in patterns), F.lit(0)) >= 2, kind)
+        out = out.when(sum((text.rlike("(?U)" + p).cast("int") for p in patterns), F.lit(0)) >= 2, kind)
     return out.otherwise("general")
 
 

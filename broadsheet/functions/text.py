@@ -18,9 +18,12 @@ SUMMARY_OPENINGS = (
 FURNITURE = ("Advertisement", "Sponsored", "Click here", "Read more", "Subscribe", "Follow us", "Share", "Tweet", "Continue reading")
 
 
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def words(text: Column) -> Column:

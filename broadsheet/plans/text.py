@@ -199,8 +199,9 @@ plan(
         WHEN round(CAST({_SCORE} AS DOUBLE), 6) < CASE WHEN {_KIND} = 'extraction' THEN 0.35 ELSE 0.4 END THEN 'low quality' ELSE 'passed' END AS reason
         FROM (SELECT *, row_number() OVER (PARTITION BY md5(lower({_strip('content')})) ORDER BY published_at, id) AS n FROM articles)""",
 )(
-    lambda d: mark_copies(_typed(d), F.md5(F.lower(X.strip(F.col("content")))), ["published_at", "id"], ["id"])
-    .select("id", S.filter_reason(F.col("title"), F.col("content"), F.col("url"), F.col("kind"), F.col("is_copy")).alias("reason"))
+    lambda d: S.with_filter_reason(
+        mark_copies(_typed(d), F.md5(F.lower(X.strip(F.col("content")))), ["published_at", "id"], ["id"]), "title", "content", "url", "kind", F.col("is_copy")
+    ).select("id", "reason")
 )
 _GS = f"list_filter(list_transform(string_split(content, '.'), lambda s: {_strip('s')}), lambda s: length(s) > 10)"
 _LW = f"list_transform({_words('content')}, lambda w: lower(w))"

@@ -121,7 +121,7 @@ def test_next_run(spark):
 
 def reason(spark, title, content, url="https://a.b/c", kind="rss"):
     df = spark.createDataFrame([(title, content, url, kind)], "t string, c string, u string, k string")
-    return df.select(S.filter_reason(F.col("t"), F.col("c"), F.col("u"), F.col("k"))).first()[0]
+    return S.with_filter_reason(df, "t", "c", "u", "k").first().reason
 
 
 GOOD = "The council met on Monday to discuss the new bridge across the river. Engineers explained the design. Residents asked about costs and traffic. " * 4

@@ -36,8 +36,11 @@ def collapse(text: Column) -> Column:
 
 def clean_summary(text: Column) -> Column:
     out = F.coalesce(text, F.lit(""))
+    some = F.lower(out).rlike("|".join(p.lower() for p in SUMMARY_OPENINGS))  # most texts have none of them
+    without = out
     for phrase in SUMMARY_OPENINGS:
-        out = F.regexp_replace(out, rf"(?imuUd)^{phrase}\s*", "")
+        without = F.regexp_replace(without, rf"(?imuUd)^{phrase}\s*", "")
+    out = F.when(some, without).otherwise(out)
     out = strip(out)
     out = F.regexp_replace(out, r"(?mUd)^[-•·*]\s*", "")
     out = F.regexp_replace(out, r"(?mUd)^\d+\.\s*$", "")

@@ -41,13 +41,13 @@ def _(d: Domain):
 
 _FEED = f"""SELECT a.id, a.url, a.title, a.source_id, a.published_at FROM articles a
     WHERE a.published_at >= {_TS} - INTERVAL 168 HOUR AND a.is_advertisement <> true
-      AND EXISTS (SELECT 1 FROM article_categories b JOIN categories c ON b.category_id = c.id WHERE b.article_id = a.id AND lower(c.name) = 'france')
+      AND EXISTS (SELECT 1 FROM article_categories b JOIN categories c ON b.category_id = c.id WHERE b.article_id = a.id AND lower(c.name) = 'nation_6')
     ORDER BY a.published_at DESC NULLS FIRST, a.id LIMIT 50"""
 
 
 def feed_public(d: Domain):
     chosen = d.articles.where(O.since_hours("published_at", AS_OF, 168) & O.not_advertisement())
-    chosen = O.with_category(chosen, d.article_categories, d.categories, "FRANCE")
+    chosen = O.with_category(chosen, d.article_categories, d.categories, "NATION_6")
     return O.page(chosen.select("id", "url", "title", "source_id", "published_at"), [F.col("published_at").desc_nulls_first(), F.col("id")], 50)
 
 
@@ -171,11 +171,11 @@ plan("o130_top_mappings", "SELECT fixed_category, ai_category, usage_count FROM
 plan("o050_published_since", f"SELECT id, published_at FROM articles WHERE published_at >= {_TS} - INTERVAL 24 HOUR")(lambda d: d.articles.where(O.since_hours("published_at", AS_OF, 24)).select("id", "published_at"))
 plan("o051_hide_ads", "SELECT id FROM articles WHERE is_advertisement <> true")(lambda d: d.articles.where(O.not_advertisement()).select("id"))
 plan("o052_category_advertisements", "SELECT id FROM articles WHERE is_advertisement = true")(lambda d: O.with_category(d.articles, d.article_categories, d.categories, "advertisements").select("id"))
-plan("o053_category_list", "SELECT id FROM articles WHERE id IN (SELECT article_id FROM article_categories b JOIN categories c ON b.category_id = c.id WHERE lower(c.name) IN ('france', 'japan'))")(
-    lambda d: O.in_categories(d.articles, d.article_categories, d.categories, "France, JAPAN").select("id")
+plan("o053_category_list", "SELECT id FROM articles WHERE id IN (SELECT article_id FROM article_categories b JOIN categories c ON b.category_id = c.id WHERE lower(c.name) IN ('nation_6', 'nation_12'))")(
+    lambda d: O.in_categories(d.articles, d.article_categories, d.categories, "Nation_6, NATION_12").select("id")
 )
-plan("o082_category_semi_join", "SELECT id, title FROM articles WHERE id IN (SELECT article_id FROM article_categories WHERE category_id IN (SELECT id FROM categories WHERE lower(name) IN ('china')))")(
-    lambda d: O.in_categories(d.articles, d.article_categories, d.categories, "china").select("id", "title")
+plan("o082_category_semi_join", "SELECT id, title FROM articles WHERE id IN (SELECT article_id FROM article_categories WHERE category_id IN (SELECT id FROM categories WHERE lower(name) IN ('nation_18')))")(
+    lambda d: O.in_categories(d.articles, d.article_categories, d.categories, "nation_18").select("id", "title")
 )
 plan("o054_source_ids", "SELECT id FROM articles WHERE source_id IN (1, 7)")(lambda d: O.from_sources(d.articles, d.news_sources, "1,abc,7").select("id"))
 plan("o054_source_names", "SELECT id FROM articles WHERE source IN ('src2', 'src3')")(lambda d: O.from_sources(d.articles, d.news_sources, "src2,src3").select("id"))

@@ -88,14 +88,14 @@ plan("o020_insert_new", "SELECT DISTINCT c_custkey AS k FROM customer UNION SELE
 plan("o110_upsert_stats", "SELECT date, CAST(sum(articles_processed) AS BIGINT) * 2 AS articles_processed FROM processing_stats GROUP BY 1")(
     lambda d: Q.accumulate(d.processing_stats.groupBy("date").agg(F.sum("articles_processed").alias("articles_processed")), d.processing_stats, "date", ["articles_processed"])
 )
-_HIT = "coalesce(lower(ai_category) = 'france news', false)"
+_HIT = "coalesce(lower(ai_category) = 'nation_6 news', false)"
 plan("o148_remap", f"SELECT article_id, CASE WHEN {_HIT} THEN 3 ELSE category_id END AS category_id FROM article_categories")(
-    lambda d: d.article_categories.select("article_id", F.when(F.coalesce(F.lower("ai_category") == "france news", F.lit(False)), 3).otherwise(F.col("category_id")).alias("category_id"))
+    lambda d: d.article_categories.select("article_id", F.when(F.coalesce(F.lower("ai_category") == "nation_6 news", F.lit(False)), 3).otherwise(F.col("category_id")).alias("category_id"))
 )
 plan(
     "o149_remap_with_collisions",
     f"SELECT article_id, category_id, ai_category FROM (SELECT article_id, CASE WHEN {_HIT} THEN 3 ELSE category_id END AS category_id, confidence, ai_category, {_HIT} AS hit FROM article_categories) QUALIFY row_number() OVER (PARTITION BY article_id, category_id ORDER BY hit DESC, confidence DESC NULLS LAST, ai_category) = 1",
-)(lambda d: Q.remap(d.article_categories, "France news", 3).select("article_id", "category_id", "ai_category"))
+)(lambda d: Q.remap(d.article_categories, "Nation_6 news", 3).select("article_id", "category_id", "ai_category"))
 plan("o150_replaced_categories", "SELECT article_id, category_id FROM article_categories WHERE article_id % 2 = 1 UNION ALL SELECT doc_id, doc_id % 7 FROM documents WHERE doc_id % 2 = 0")(
     lambda d: d.article_categories.select("article_id", "category_id").join(_fresh(d).select("article_id").distinct(), "article_id", "left_anti").unionByName(_fresh(d).dropDuplicates(["article_id", "category_id"]))
 )
@@ -110,9 +110,9 @@ plan("o151_cascade_delete", "SELECT b.article_id, b.category_id FROM article_cat
         d.articles.select("id", "source_id").join(F.broadcast(d.news_sources.where("NOT enabled").select(F.col("id").alias("source_id"))), "source_id").select(F.col("id").alias("article_id")), "article_id", "left_anti"
     )
 )
-plan("o084_correlated_delete", "SELECT article_id, category_id, ai_category FROM article_categories b WHERE NOT (lower(ai_category) = 'japan' AND EXISTS (SELECT 1 FROM article_categories c WHERE c.article_id = b.article_id AND c.category_id = 3))")(
-    lambda d: d.article_categories.select("article_id", "category_id", "ai_category").where("coalesce(lower(ai_category) <> 'japan', true)").unionByName(
-        d.article_categories.select("article_id", "category_id", "ai_category").where("lower(ai_category) = 'japan'").join(d.article_categories.where("category_id = 3").select("article_id"), "article_id", "left_anti")
+plan("o084_correlated_delete", "SELECT article_id, category_id, ai_category FROM article_categories b WHERE NOT (lower(ai_category) = 'nation_12' AND EXISTS (SELECT 1 FROM article_categories c WHERE c.article_id = b.article_id AND c.category_id = 3))")(
+    lambda d: d.article_categories.select("article_id", "category_id", "ai_category").where("coalesce(lower(ai_category) <> 'nation_12', true)").unionByName(
+        d.article_categories.select("article_id", "category_id", "ai_category").where("lower(ai_category) = 'nation_12'").join(d.article_categories.where("category_id = 3").select("article_id"), "article_id", "left_anti")
     )
 )
 plan("o152_merged_feeds", f"SELECT id, url FROM articles WHERE published_at >= timestamp '{AS_OF}' - INTERVAL 480 HOUR AND url NOT IN (SELECT url FROM pages)")(

@@ -237,9 +237,9 @@ plan("o270_summaries", "SELECT id, date, category FROM daily_summaries WHERE dat
 plan("o272_summaries_by_date", "SELECT date, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, count(*) AS n FROM daily_summaries GROUP BY 1 ORDER BY 1 DESC")(
     lambda d: d.daily_summaries.groupBy("date").agg(F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"), F.count(F.lit(1)).alias("n")).orderBy(F.col("date").desc())
 )
-plan("o275_by_category", "SELECT a.id, a.fetched_at FROM articles a JOIN article_categories b ON a.id = b.article_id JOIN categories c ON b.category_id = c.id WHERE c.name = 'JAPAN' ORDER BY a.fetched_at DESC NULLS FIRST, a.id LIMIT 50")(
+plan("o275_by_category", "SELECT a.id, a.fetched_at FROM articles a JOIN article_categories b ON a.id = b.article_id JOIN categories c ON b.category_id = c.id WHERE c.name = 'NATION_12' ORDER BY a.fetched_at DESC NULLS FIRST, a.id LIMIT 50")(
     lambda d: O.page(
-        d.articles.select("id", "fetched_at").join(d.article_categories.join(F.broadcast(d.categories.where("name = 'JAPAN'").select(F.col("id").alias("category_id"))), "category_id").select(F.col("article_id").alias("id")), "id"),
+        d.articles.select("id", "fetched_at").join(d.article_categories.join(F.broadcast(d.categories.where("name = 'NATION_12'").select(F.col("id").alias("category_id"))), "category_id").select(F.col("article_id").alias("id")), "id"),
         [F.col("fetched_at").desc_nulls_first(), F.col("id")], 50,
     )
 )

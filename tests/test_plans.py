@@ -29,7 +29,8 @@ def test_query(spark, con, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["id", "url", "title", "source_id", "published_at"]
+    page = entry.entry(spark)
+    assert page.columns == ["id", "title", "fetched_at", "category_names", "primary_category"] and page.count() == 100
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

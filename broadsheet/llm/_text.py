@@ -8,6 +8,8 @@ once. Texts are never cut: a slice always ends at a document's end, and slices h
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -52,6 +54,14 @@ def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int = SLICE_BYTE
                 offsets[first : last + 1] - offsets[first],
             )
             first = last
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on when their task has ended."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
@@ -87,7 +97,7 @@ def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, _BASE, np.uint64)
     up[0] = 1

@@ -139,6 +139,7 @@ def shared_shingles(entries: DataFrame, groups: int) -> DataFrame:
     """Of each hash range the shingles of two classes or more, dealt into groups of classes: signatures, sizes, counts, shingles, frequencies."""
 
     def run(table: pa.Table) -> pa.Table:
+        X.release()
         keys, sigs, sizes = [], [], []
         for hashes, owners, of_sig, of_size in zip(*(table.column(c).to_pylist() for c in ("hashes", "owners", "sigs", "sizes")), strict=True):
             local = unplaned(owners, 4)
@@ -183,6 +184,7 @@ def candidates(shared: DataFrame, percent: int) -> DataFrame:
     """Classes that may link: sig, n, their shared shingles rarest first, and the number of those that can decide a link."""
 
     def run(table: pa.Table) -> pa.Table:
+        X.release()
         sigs, sizes, keys, dfs = [], [], [], []
         for of_sig, of_size, counts, shingles, freqs in zip(*(table.column(c).to_pylist() for c, _ in _SHARED[1:]), strict=True):
             count = unplaned(counts, 4).astype(np.int64)

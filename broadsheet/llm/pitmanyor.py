@@ -1,16 +1,15 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Restaurants: one for each frequent context word (a word with at least `SHARE` of the training tokens, so there are
-at most 1 / SHARE of them, and the text end, which is also the context of a first word), all sharing one parent, whose base is uniform over the
-known words and one unknown. Customers after a rarer word sit in the parent directly.
+Restaurants: one for each context word (and for the text end, which is also the context of a first word), all sharing one parent, whose base is
+uniform over the known words and one unknown. With `share`, only for context words with at least that share of the training tokens; customers after others sit in the parent directly.
 Seats are sampled by blocked Gibbs sweeps: in each, all customers of a dish are seated anew, one after the other, given the other dishes' tables; from the
 33rd customer on in groups of a sixteenth of those seated. Probabilities are averaged over the last sweeps.
 
-Tokens are dealt by word, so a rare word's customers in all restaurants, and its tables in the parent, are in
-one block; a frequent word's by word and context. What blocks need of each other is small: tables of each restaurant,
-customers of each frequent word in the parent, and a few totals. These are summed between sweeps and
-bounded by 1 / SHARE. Discounts come from the counts of counts. Everything is over all training
-tokens; nothing is pruned.
+Frequent words are those with at least `SHARE` of the training tokens, so there are at most 1 / SHARE of them. Tokens are dealt by word, so a rare
+word's customers in all restaurants, and its tables in the parent, are in one block; a frequent word's by its context if that is rare, else by word and context.
+What blocks need of each other: totals of frequent words' restaurants and of their customers in the parent, and a few more, which go through the driver and are bounded by 1 / SHARE; and
+totals of rare words' restaurants, which do not: blocks send theirs to ranges of contexts, which add them up and send them back (`totals_by_block`).
+Discounts come from the counts of counts. Everything is over all training tokens; nothing is pruned.
 
 Edge cases: a null text is an empty one, of one end token; a null id is in training; words unknown to training share one entry of the base; without training
 texts all words are unknown and every score is 0. Repeated rows are documents of their own. An empty table gives no rows.
@@ -24,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import settled
+from ._shared import settled, shared_path
 from .jaccard import packed_sorted, planes, unpacked_sorted, unplaned
+from .warc import file_system
 
-#: Share of training tokens from which on a word has a restaurant.
+#: Share of training tokens from which on a word is frequent.
 SHARE = 1e-4
 SWEEPS, AVERAGED, STRENGTH, SEED = 3, 2, 0.5, 20240101
 CHUNK_TOKENS, BLOCK_TOKENS, GROUP_DOCS = 700_000, 1_000_000, 20_000
@@ -113,20 +113,24 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[at], np.add.reduceat(times, at) if len(at) else times
 
 
-_DEALT = ["bucket", "words", "counts", "contexts", "docs", "times", "keys", "flags"]
+_DEALT = ["bucket", "words", "counts", "contexts", "rare", "docs", "times", "keys", "flags"]
 _DEALT_SCHEMA = "bucket int, " + ", ".join(f"{c} binary" for c in _DEALT[1:])
 
 
-def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int) -> DataFrame:
-    """Tokens with their contexts, dealt into blocks by word; documents' ids and sizes into groups (buckets from -1 down)."""
+def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int, every: bool) -> DataFrame:
+    """Tokens with their contexts (numbers of frequent words, then of the block's rare ones), dealt into blocks by word; documents' ids and sizes into groups (buckets from -1 down)."""
     rare = len(frequent)
 
     def blobs(parts):
-        word, context, doc, key, train = (np.concatenate(x) for x in zip(*parts, strict=True))
+        word, before, doc, key, train = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at = np.minimum(np.searchsorted(frequent, before), rare - 1)
+        context = np.where(frequent[at] == before, at, rare)
         at = np.minimum(np.searchsorted(frequent, word), rare - 1)
         often = frequent[at] == word
         place = _range(word, blocks)
         place[often] = _range(X.mix(word[often] ^ X.mix(np.where(context[often] < rare, context[often], rare + doc[often]).astype(np.uint64))) & _MASK, blocks)
+        if every:
+            place[often & (context == rare)] = _range(before[often & (context == rare)], blocks)
         times = np.ones(len(word), np.int64)
         # A frequent word after a frequent one: once a document.
         both = np.flatnonzero(often & (context < rare))
@@ -138,9 +142,9 @@ def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int) ->
         lead = both[order[start]]
         keep[lead] = True
         times[lead] = np.diff(np.append(start, len(triple)))
-        word, context, doc, place, times = word[keep], context[keep], doc[keep], place[keep], times[keep]
-        order = np.lexsort((word, place))
-        word, context, doc, place, times = word[order], context[order], doc[order], place[order], times[order]
+        order = np.flatnonzero(keep)
+        order = order[np.lexsort((word[order], place[order]))]
+        word, context, before, doc, place, times = word[order], context[order], before[order], doc[order], place[order], times[order]
         cut, rows = np.searchsorted(place, np.arange(blocks + 1)), []
         for b in range(blocks):
             x, y = cut[b], cut[b + 1]
@@ -150,12 +154,17 @@ def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int) ->
                 there[doc[x:y]] = True
                 held = np.flatnonzero(there)
                 local = (np.cumsum(there) - 1)[doc[x:y]]
-                rows.append((b, packed_sorted(word[x:y][first]), planes(np.diff(np.append(first, y - x)), 4), planes(context[x:y], 4), planes(local, 4), planes(times[x:y], 4), planes(key[held], 8), train[held].tobytes()))
+                here, own = context[x:y], np.zeros(0, np.uint64)
+                if every:
+                    loose = here == rare
+                    own, number = np.unique(before[x:y][loose], return_inverse=True)
+                    here[loose] = rare + number
+                rows.append((b, packed_sorted(word[x:y][first]), planes(np.diff(np.append(first, y - x)), 4), planes(here, 4), packed_sorted(own), planes(local, 4), planes(times[x:y], 4), planes(key[held], 8), train[held].tobytes()))
         return _batch(rows)
 
     def _batch(rows):
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, [pa.int32(), *[pa.binary()] * 7], strict=True)], _DEALT)
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, [pa.int32(), *[pa.binary()] * 8], strict=True)], _DEALT)
 
     def run(batches):
         parts, n, docs = [], 0, 0
@@ -171,12 +180,10 @@ def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int) ->
             for g in np.unique(group).tolist():
                 m = group == g
                 ids = ident.fill_null(0).to_numpy()[m]
-                rows.append((-1 - g, planes(ids.view(np.uint64), 8), planes(size[m], 5), None, None, None, planes(key[m].view(np.uint64), 8), (train[m] + 2 * known[m]).astype(np.uint8).tobytes()))
+                rows.append((-1 - g, planes(ids.view(np.uint64), 8), planes(size[m], 5), None, None, None, None, planes(key[m].view(np.uint64), 8), (train[m] + 2 * known[m]).astype(np.uint8).tobytes()))
             yield _batch(rows)
             before = np.append(END, token[:-1])
-            at = np.minimum(np.searchsorted(frequent, before), rare - 1)
-            context = np.where(frequent[at] == before, at, rare)
-            parts.append((token, context, np.repeat(np.arange(docs, docs + len(size)), size), key.view(np.uint64), train))
+            parts.append((token, before, np.repeat(np.arange(docs, docs + len(size)), size), key.view(np.uint64), train))
             n, docs = n + len(token), docs + len(size)
             if n >= CHUNK_TOKENS:
                 yield blobs(parts)
@@ -187,7 +194,7 @@ def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int) ->
     return source.mapInArrow(run, _DEALT_SCHEMA)
 
 
-def assembled(rows: DataFrame) -> DataFrame:
+def assembled(rows: DataFrame, rare: int) -> DataFrame:
     """One row a block, its tokens in order of word and context; one row a group of documents."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -198,9 +205,14 @@ def assembled(rows: DataFrame) -> DataFrame:
             out = {"words": _joined(col["words"], 8), "counts": _joined(col["counts"], 5), "keys": _joined(col["keys"], 8), "flags": b"".join(col["flags"])}
         else:
             words, contexts, docs, times, keys, flags, base = [], [], [], [], [], [], 0
+            own = [unpacked_sorted(x) for x in col["rare"]]
+            loose = np.unique(np.concatenate(own))
             for i in range(table.num_rows):
                 words.append(np.repeat(unpacked_sorted(col["words"][i]), unplaned(col["counts"][i], 4).astype(np.int64)))
-                contexts.append(unplaned(col["contexts"][i], 4).astype(np.int32))
+                here = unplaned(col["contexts"][i], 4).astype(np.int32)
+                if len(own[i]):
+                    here[here >= rare] = rare + np.searchsorted(loose, own[i])[here[here >= rare] - rare]
+                contexts.append(here)
                 docs.append((unplaned(col["docs"][i], 4) + np.uint64(base)).astype(np.int32))
                 times.append(unplaned(col["times"][i], 4).astype(np.int32))
                 keys.append(unplaned(col["keys"][i], 8))
@@ -217,7 +229,7 @@ def assembled(rows: DataFrame) -> DataFrame:
             word, context, doc, time = word[order], context[order], doc[order], time[order]
             start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             out = {
-                "words": packed_sorted(word[start]), "counts": planes(np.diff(np.append(start, len(word))), 4), "contexts": planes(context, 4),
+                "words": packed_sorted(word[start]), "counts": planes(np.diff(np.append(start, len(word))), 4), "contexts": planes(context, 4), "rare": packed_sorted(loose),
                 "docs": planes(doc, 4), "times": planes(time, 4), "keys": b"\1" + packed_sorted(held) if int(held[-1]) < 1 << 56 else b"\0" + planes(held, 8), "flags": flag[first].tobytes(),
             }
         return pa.table({"bucket": pa.array([bucket], pa.int32()), **{c: pa.array([_squeezed(out[c]) if c in out else None], pa.binary()) for c in _DEALT[1:]}})
@@ -253,7 +265,9 @@ class Block:
 
     def __init__(self, row: dict, frequent: np.ndarray):
         part = {c: _loose(row[c]) for c in _DEALT[1:]}
-        self.rare = rare = len(frequent)
+        self.frequent = rare = len(frequent)
+        self.rare = unpacked_sorted(part["rare"])  # rare contexts that have restaurants
+        self.restaurants = rare + len(self.rare)
         words = unpacked_sorted(part["words"])
         self.word_of = np.repeat(np.arange(len(words)), unplaned(part["counts"], 4).astype(np.int64))
         self.context = unplaned(part["contexts"], 4).astype(np.int64)
@@ -264,13 +278,13 @@ class Block:
         at = np.minimum(np.searchsorted(frequent, words), rare - 1)
         self.index = np.where(frequent[at] == words, at, -1)  # of each word among the frequent
         self.count = np.where(train[self.doc], self.times, 0)
-        # Dishes: (word, context) runs; those of rare contexts eat in the parent.
-        key = self.word_of * (rare + 1) + self.context
+        # Dishes: (word, context) runs; those without a restaurant eat in the parent.
+        key = self.word_of * (self.restaurants + 1) + self.context
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         self.dish_of = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)]) - 1
         self.word, self.where = self.word_of[start], self.context[start]
         self.customers = np.add.reduceat(self.count, start) if len(start) else np.zeros(0, np.int64)
-        self.own = self.where < rare
+        self.own = self.where < self.restaurants
         self.direct = np.bincount(self.word[~self.own], self.customers[~self.own], len(words)).astype(np.int64)
         self.total = np.bincount(self.word, self.customers, len(words)).astype(np.int64)
 
@@ -311,19 +325,19 @@ class Whole:
         return (guests - self.discount0 * tables + (STRENGTH + self.discount0 * self.all_tables) * self.base) / (STRENGTH + self.all_guests)
 
 
-def chain(block: Block, number: int, wholes: list[Whole]):
-    """The block's state after each sweep that `wholes` allows: (tables of dishes, guests of words, their tables in the parent)."""
+def chain(block: Block, number: int, wholes: list[Whole], tables_of: list[np.ndarray]):
+    """The block's state after each sweep that `wholes` and the tables of the block's restaurants (`tables_of`) allow: (tables of dishes, guests of words, their tables in the parent)."""
     often = block.index >= 0
     tables = ((block.customers > 0) & block.own).astype(np.int64)
     guests = block.guests(tables)
     in_parent = (guests > 0).astype(np.int64)
     yield tables, guests, in_parent
-    for sweep, whole in enumerate(wholes):
+    for sweep, (whole, all_tables) in enumerate(zip(wholes, tables_of, strict=True)):
         draw = np.random.default_rng([SEED, sweep, number])
         chance = whole.parent(np.where(often, whole.guests[block.index], guests), np.where(often, whole.own_tables[block.index], in_parent))
         new = np.zeros_like(tables)
         own = np.flatnonzero(block.own)
-        others = STRENGTH + whole.discount * (whole.tables[block.where[own]] - tables[own])
+        others = STRENGTH + whole.discount * (all_tables[block.where[own]] - tables[own])
         new[own] = seated(block.customers[own], np.maximum(others, STRENGTH), chance[block.word[own]], whole.discount, draw)
         tables = new
         guests = block.guests(tables)
@@ -332,29 +346,31 @@ def chain(block: Block, number: int, wholes: list[Whole]):
 
 
 def sums_of(block: Block, state, first: bool):
-    """What the block adds to the whole: (kind, index, number)."""
+    """What the block adds to the whole: (kind, index, number) of frequent words and of all; tables of its rare words' restaurants and, if first, their customers."""
     tables, guests, in_parent = state
-    often, rare = block.index >= 0, block.rare
-    vectors = [
-        ("tables", np.bincount(block.where[block.own], tables[block.own], rare)),
-        ("guests", np.bincount(block.index[often], guests[often], rare)),
-    ]
+    often, rare, own = block.index >= 0, block.frequent, block.own
+    seats = np.bincount(block.where[own], tables[own], block.restaurants).astype(np.int64)
+    people = np.bincount(block.where[own], block.customers[own], block.restaurants).astype(np.int64)
+    vectors = [("tables", seats[:rare]), ("guests", np.bincount(block.index[often], guests[often], rare))]
     scalars = [("rare_tables", in_parent[~often].sum()), ("rare_guests", guests[~often].sum())]
     if first:
-        own = block.customers[block.own]
-        vectors += [("customers", np.bincount(block.where[block.own], own, rare)), ("counts", np.bincount(block.index[often], block.total[often], rare))]
+        ate = block.customers[own]
+        vectors += [("customers", people[:rare]), ("counts", np.bincount(block.index[often], block.total[often], rare))]
         scalars += [
-            ("words", np.count_nonzero(block.total[~often])), ("tokens", block.total.sum()), ("once", np.count_nonzero(own == 1)), ("twice", np.count_nonzero(own == 2)),
+            ("words", np.count_nonzero(block.total[~often])), ("tokens", block.total.sum()), ("once", np.count_nonzero(ate == 1)), ("twice", np.count_nonzero(ate == 2)),
             ("guest1", np.count_nonzero(guests[~often] == 1)), ("guest2", np.count_nonzero(guests[~often] == 2)),
         ]
-    for kind, values in vectors:
-        for i in np.flatnonzero(values).tolist():
-            yield kind, i, int(values[i])
-    for kind, value in scalars:
-        yield kind, 0, int(value)
+    small = [(kind, i, int(values[i])) for kind, values in vectors for i in np.flatnonzero(values).tolist()] + [(kind, 0, int(value)) for kind, value in scalars]
+    return small, seats[rare:], people[rare:]
 
 
-def sweep_sums(state: DataFrame, frequent: np.ndarray, wholes: list[Whole]) -> dict[tuple[str, int], int]:
+_SENT = ["kind", "place", "n", "block", "contexts", "tables", "customers"]
+_SENT_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
+
+
+def sweep_sums(state: DataFrame, frequent: np.ndarray, wholes: list[Whole], totals: list[str], blocks: int) -> DataFrame:
+    """What all blocks add to the whole after the next sweep; for kind 'contexts', rare words' restaurants, a row for each block and range (place) of contexts."""
+
     def run(batches):
         total: dict[tuple[str, int], int] = {}
         for batch in batches:
@@ -364,19 +380,79 @@ def sweep_sums(state: DataFrame, frequent: np.ndarray, wholes: list[Whole]) -> d
                     continue
                 X.release()
                 block = Block(row, frequent)
-                for last in chain(block, row["bucket"], wholes):
+                for last in chain(block, row["bucket"], wholes, tables_of(block, row["bucket"], wholes, totals)):
                     pass
-                for kind, index, value in sums_of(block, last, not wholes):
+                small, seats, people = sums_of(block, last, not wholes)
+                for kind, index, value in small:
                     total[kind, index] = total.get((kind, index), 0) + value
+                cut, rows = np.searchsorted(_range(block.rare, blocks), np.arange(blocks + 1)), []
+                for r in np.flatnonzero(np.diff(cut)).tolist():
+                    part = slice(cut[r], cut[r + 1])
+                    rows.append(("contexts", r, 0, row["bucket"], packed_sorted(block.rare[part]), planes(seats[part], 5), planes(people[part], 5) if not wholes else None))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _SENT_TYPES, strict=True)], _SENT)
         if total:
-            kinds, indices = zip(*total, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(indices, pa.int64()), pa.array(total.values(), pa.int64())], ["kind", "place", "n"])
+            rows = [(kind, index, value, None, None, None, None) for (kind, index), value in total.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _SENT_TYPES, strict=True)], _SENT)
+
+    return settled(state.mapInArrow(run, "kind string, place long, n long, block int, contexts binary, tables binary, customers binary"))
 
-    rows = state.mapInArrow(run, "kind string, place long, n long").groupBy("kind", "place").agg(F.sum("n").alias("n"))
+
+def small_sums(sent: DataFrame) -> dict[tuple[str, int], int]:
+    rows = sent.where("kind <> 'contexts'").groupBy("kind", "place").agg(F.sum("n").alias("n"))
     return {(r[0], r[1]): r[2] for r in rows.collect()}  # at most 4 / SHARE and a few
 
 
-def scores(state: DataFrame, frequent: np.ndarray, wholes: list[Whole], groups: int) -> DataFrame:
+def totals_by_block(sent: DataFrame) -> str:
+    """Adds up the blocks' numbers of each rare context and writes each block the sums of its contexts, in their order; the folder, with a part for each block."""
+
+    def add(table: pa.Table) -> pa.Table:
+        col = {c: table.column(c).to_pylist() for c in ("block", "contexts", "tables", "customers")}
+        held = [unpacked_sorted(x) for x in col["contexts"]]
+        _, number = np.unique(np.concatenate(held), return_inverse=True)
+        cut = np.cumsum([0, *map(len, held)])
+        out = {}
+        for c in ("tables", "customers"):
+            if col[c][0] is None:
+                out[c] = [None] * len(held)
+                continue
+            sums = np.bincount(number, np.concatenate([unplaned(x, 5) for x in col[c]])).astype(np.int64)[number]
+            out[c] = [planes(sums[a:b], 5) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table({"block": pa.array(col["block"], pa.int32()), "place": table.column("place"), "tables": pa.array(out["tables"], pa.binary()), "customers": pa.array(out["customers"], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        out = {"block": table.column("block").slice(0, 1)}
+        for c in ("tables", "customers"):
+            col = table.column(c).to_pylist()
+            out[c] = pa.array([None if col[0] is None else _squeezed(_joined(col, 5))], pa.binary())
+        return pa.table(out)
+
+    sums = sent.where("kind = 'contexts'").select("place", "block", "contexts", "tables", "customers").groupBy("place").applyInArrow(add, "block int, place long, tables binary, customers binary")
+    path = shared_path(sent.sparkSession, "totals")
+    sums.groupBy("block").applyInArrow(merge, "block int, tables binary, customers binary").write.partitionBy("block").parquet(path)
+    return path
+
+
+def _read(folder: str, number: int, column: str) -> np.ndarray:
+    """The block's row of what `totals_by_block` wrote."""
+    from pyarrow import fs
+    from pyarrow import parquet
+
+    files, path = file_system(folder)
+    for found in files.get_file_info(fs.FileSelector(f"{path}/block={number}")):
+        if found.path.endswith(".parquet"):
+            with files.open_input_file(found.path) as data:
+                return unplaned(_loose(parquet.ParquetFile(data).read([column]).column(column)[0].as_py()), 5).astype(np.int64)
+    raise FileNotFoundError(f"{folder}: no totals of block {number}")
+
+
+def tables_of(block: Block, number: int, wholes: list[Whole], totals: list[str]) -> list[np.ndarray]:
+    """Tables of the block's restaurants, of all blocks together, after each sweep so far."""
+    return [np.concatenate([whole.tables, _read(folder, number, "tables")]) if len(block.rare) else whole.tables for whole, folder in zip(wholes, totals, strict=True)]
+
+
+def scores(state: DataFrame, frequent: np.ndarray, wholes: list[Whole], totals: list[str], groups: int) -> DataFrame:
     """grp, keys, score, base, known: what each block adds to its documents' sums; and the groups of documents themselves."""
     names = ["grp", "keys", "score", "base", "known", "ids", "sizes", "flags"]
     kinds = [pa.int32(), *[pa.binary()] * 7]
@@ -393,14 +469,16 @@ def scores(state: DataFrame, frequent: np.ndarray, wholes: list[Whole], groups:
                 X.release()
                 block = Block(row, frequent)
                 often, first = block.index >= 0, wholes[0]
+                all_tables = tables_of(block, row["bucket"], wholes, totals)
+                customers = np.concatenate([first.customers, _read(totals[0], row["bucket"], "customers")]) if len(block.rare) else first.customers
+                where = np.minimum(block.where, block.restaurants - 1)
                 mean = np.zeros(len(block.word))
-                for n, (tables, guests, in_parent) in enumerate(chain(block, row["bucket"], wholes[:-1])):
+                for n, (tables, guests, in_parent) in enumerate(chain(block, row["bucket"], wholes[:-1], all_tables[:-1])):
                     if n <= len(wholes) - 1 - AVERAGED:
                         continue
                     whole = wholes[n]
                     chance = whole.parent(np.where(often, whole.guests[block.index], guests), np.where(often, whole.own_tables[block.index], in_parent))[block.word]
-                    where = np.minimum(block.where, block.rare - 1)
-                    mine = (block.customers - whole.discount * tables + (STRENGTH + whole.discount * whole.tables[where]) * chance) / (STRENGTH + whole.customers[where])
+                    mine = (block.customers - whole.discount * tables + (STRENGTH + whole.discount * all_tables[n][where]) * chance) / (STRENGTH + customers[where])
                     mean += np.where(block.own, mine, chance)
                 logs = np.log(mean / min(AVERAGED, len(wholes) - 1)) / _LN10
                 count = np.where(often, first.counts[block.index], block.total)
@@ -444,21 +522,24 @@ def scores(state: DataFrame, frequent: np.ndarray, wholes: list[Whole], groups:
     return made.groupBy("grp").applyInArrow(add, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_texts(df: DataFrame, held_out, text: str = "text", id_column: str = "doc_id", share: float = SHARE, sweeps: int = SWEEPS) -> DataFrame:
+def score_texts(df: DataFrame, held_out, text: str = "text", id_column: str = "doc_id", share: float | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """Learns from the rows where `held_out` (a column expression) is not true and scores all: the id column (as long), held_out,
-    n_tokens, n_known, train_tokens, base_score, score, log10_perplexity."""
+    n_tokens, n_known, train_tokens, base_score, score, log10_perplexity. `share`: of training tokens, from which on a context word has a restaurant (all have one if None)."""
     source = df.select(
         df[X.quoted(id_column)].cast("long").alias("id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), df[X.quoted(text)].cast("string").alias("text"),
         F.monotonically_increasing_id().alias("key"),
     )
-    frequent, total = frequent_words(source.select("train", "text"), share)
+    frequent, total = frequent_words(source.select("train", "text"), SHARE if share is None else share)
     blocks = max(64, -(-total // BLOCK_TOKENS))
     groups = max(64, -(-total // (500 * GROUP_DOCS)))
-    state = settled(assembled(dealt(source, frequent, blocks, groups)))
+    state = settled(assembled(dealt(source, frequent, blocks, groups, share is None), len(frequent)))
     wholes: list[Whole] = []
+    totals: list[str] = []
     for sweep in range(sweeps + 1):
-        wholes.append(Whole(sweep_sums(state, frequent, wholes), len(frequent), sweep, wholes[-1] if wholes else None))
-    made = scores(state, frequent, wholes, groups)
+        sent = sweep_sums(state, frequent, wholes, totals, blocks)
+        wholes.append(Whole(small_sums(sent), len(frequent), sweep, wholes[-1] if wholes else None))
+        totals.append(totals_by_block(sent))
+    made = scores(state, frequent, wholes, totals, groups)
     return made.select(
         F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(wholes[0].tokens).cast("long").alias("train_tokens"), "base_score", "score",
         (-F.col("score") / F.col("n_tokens")).alias("log10_perplexity"),

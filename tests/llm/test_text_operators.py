@@ -251,6 +251,22 @@ def test_language_model_probabilities_sum_to_one(spark):
     assert sum(p[200 + i] / end for i in range(4)) + p[300] == pytest.approx(1)
 
 
+def test_language_model_rare_contexts(spark, monkeypatch):
+    """A context word below SHARE has a restaurant too: what followed it in training is likelier after it than a word as frequent elsewhere."""
+    texts = ["f " * 60_000, *["left1 right1", "left2 right2"] * 3]
+    df = spark.createDataFrame([*enumerate(texts), (100, "left1 right1"), (101, "left1 right2")], "doc_id long, text string")
+    p = {r.doc_id: r.score for r in pitmanyor.score_texts(df, F.col("doc_id") >= 100).collect()}
+    assert p[100] > p[101] + 1
+    # Totals that go through the driver and those that blocks exchange give the same model, but for the draws.
+    words = [f"w{i * i % 97}" for i in range(3000)]
+    df = spark.createDataFrame([(i, " ".join(words[i * 30 : i * 30 + 40])) for i in range(100)], "doc_id long, text string")
+    made = []
+    for share in (1e-9, 2.0):
+        monkeypatch.setattr(pitmanyor, "SHARE", share)
+        made.append({r.doc_id: r.score for r in pitmanyor.score_texts(df, F.col("doc_id") % 5 == 1).collect()})
+    assert made[0] == pytest.approx(made[1], rel=0.02)
+
+
 def test_language_model_edges(docs, none):
     got = pitmanyor.score_texts(docs, F.lit(False)).collect()
     assert len(got) == docs.count() and all(r.score <= 0 and math.isfinite(r.score) for r in got)

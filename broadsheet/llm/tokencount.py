@@ -5,8 +5,9 @@ character at a time. Where the trie has no edge, the node's failure link leads t
 continuing node that is reached after popping the pieces matched so far, and the number
 popped is precomputed; so each character is read once and no piece is ever built.
 
-A word that cannot be split into pieces counts as one unknown token. Edge cases: a null text is an
-empty one and has 0 tokens; very long words take time in proportion to their length; words are
+The lone word mark is a piece, so a word whose first character begins no word-initial piece is the mark and continuing pieces. A character that no
+piece begins with counts as its UTF-8 bytes, each a piece, if the vocabulary has byte pieces; else the whole word counts as one unknown
+token. Edge cases: a null text is an empty one and has 0 tokens; very long words take time in proportion to their length; words are
 `[^\\x20\\x09-\\x0D]+`.
 """
 
@@ -23,13 +24,15 @@ from .bpe import located
 
 VOCABULARY = "piece_bpe_32k.model"
 REMEMBERED = 200_000
+MARK = "▁"
 
 
 class Automaton(dict):
     """As a dict it holds the counts of words seen, at most `REMEMBERED` of them."""
 
-    def __init__(self, initial: set[str], continuing: set[str]):
+    def __init__(self, initial: set[str], continuing: set[str], by_bytes: bool = False):
         super().__init__()
+        self.by_bytes = by_bytes
         # Node 0 begins a word, node 1 continues one.
         self.edges: list[dict[str, int]] = [{}, {}]
         last = [False, False]
@@ -48,6 +51,8 @@ class Automaton(dict):
         self.link = [-1] * len(last)
         self.popped = [0] * len(last)
         # By depth, so that a node's parent is linked before it.
+        if "" in initial or by_bytes:
+            self.link[0], self.popped[0] = 1, 1 if "" in initial else len(MARK.encode())
         order, at = [0, 1], 0
         while at < len(order):
             order += self.edges[order[at]].values()
@@ -63,17 +68,23 @@ class Automaton(dict):
                 z = self.link[z]
             if z >= 0:
                 self.link[node], self.popped[node] = self.edges[z][c], n
+            elif by_bytes:
+                self.link[node], self.popped[node] = 1, n + len(c.encode())
 
     def count(self, word: str) -> int:
         edges, link, popped = self.edges, self.link, self.popped
         node, n = 0, 0
         for c in word:
             while c not in edges[node]:
+                if node == 1 and self.by_bytes:
+                    n += len(c.encode())
+                    break
                 n += popped[node]
                 node = link[node]
                 if node < 0:
                     return 1
-            node = edges[node][c]
+            else:
+                node = edges[node][c]
         while node != 1:
             n += popped[node]
             node = link[node]
@@ -95,7 +106,7 @@ def automaton(name: str = VOCABULARY) -> Automaton:
 
     model = sentencepiece.SentencePieceProcessor(model_file=located(name))
     plain = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return Automaton({p[1:] for p in plain if p[0] == "▁"}, {p for p in plain if "▁" not in p})
+    return Automaton({p[1:] for p in plain if p[0] == MARK}, {p for p in plain if MARK not in p}, any(map(model.is_byte, range(model.get_piece_size()))))
 
 
 def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, keep: list[str] | None = None) -> DataFrame:

@@ -152,6 +152,37 @@ def greedy_count(word, initial, continuing):
     return n
 
 
+def test_token_counts_of_real_words():
+    """Words that begin with characters that only continue words are the mark and pieces; characters without a piece are bytes."""
+    import random
+
+    import sentencepiece
+
+    machine, model = tokencount.automaton(), sentencepiece.SentencePieceProcessor(model_file=bpe.located(tokencount.VOCABULARY))
+    assert [machine.count(w) for w in ("2024-01-15", "4952935900253052", "ñandú", "東京都", "hello", "\U00013000")] == [11, 17, 4, 4, 2, 5]
+    pieces = {p for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) for p in [model.id_to_piece(i)]}
+    longest, rng = max(map(len, pieces)), random.Random(7)
+
+    def greedy(word):
+        n, at, word = 0, 0, "▁" + word
+        while at < len(word):
+            end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in pieces), 0)
+            n, at = n + (1 if end else len(word[at].encode())), end or at + 1
+        return n
+
+    for _ in range(2000):
+        word = "".join(rng.choices("abest012ñçßéλόгд東京\U00013000\U0001f600", k=rng.randint(1, 9)))
+        assert machine.count(word) == greedy(word), word
+    for _ in range(300):  # no piece for every letter
+        initial = {"".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 8))} | {""}
+        continuing = {"".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 8))}
+        pieces, longest = {"▁" + p for p in initial} | continuing, 9
+        small = tokencount.Automaton(initial, continuing, by_bytes=True)
+        for _ in range(20):
+            word = "".join(rng.choices("abcñ", k=rng.randint(1, 9)))
+            assert small.count(word) == greedy(word), (word, initial, continuing)
+
+
 def test_token_counts(docs, none):
     import random
 

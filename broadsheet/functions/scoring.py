@@ -50,6 +50,36 @@ SUGGESTIONS = (
     ("Serbia", ("serbia", "belgrade", "serbian", "вучич", "белград", "сербия")),
     ("Science", ("science", "research", "study", "health", "medicine", "environment", "education")),
 )
+#: Keywords of the fallback category by weight: 3, 2 and 1 points. A keyword that a tier or two tiers name twice counts twice.
+WEIGHTED = {
+    "AI": (
+        ("gpt", "chatgpt", "openai", "gemini", "claude", "llm", "large language model", "generative ai"),
+        ("artificial intelligence", "machine learning", "neural network", "deep learning", "transformer", "ai model", "llms"), ("ai", "a.i.", "automated", "intelligent", "machine learning"),
+    ),
+    "Tech": (
+        ("blockchain", "cryptocurrency", "cybersecurity", "cloud computing", "software development"), ("software", "algorithm", "programming", "coding", "developer", "api", "cloud", "startup", "app"),
+        ("tech", "technology", "digital", "computer", "internet", "data", "online", "platform"),
+    ),
+    "Business": (
+        ("stock market", "ipo", "merger", "acquisition", "bankruptcy", "ceo", "startup funding"), ("economy", "economic", "financial", "investment", "revenue", "profit", "startup", "trading"),
+        ("business", "company", "money", "market", "trade", "finance", "economic"),
+    ),
+    "Science": (
+        ("quantum", "genomics", "nanotechnology", "astrophysics", "biochemistry", "breakthrough"), ("research", "study", "scientist", "discovery", "experiment", "hypothesis", "published", "journal"),
+        ("science", "scientific", "physics", "chemistry", "biology", "research", "study"),
+    ),
+    "Nature": (
+        ("biodiversity", "ecosystem", "climate change", "conservation", "endangered species", "species"), ("environment", "wildlife", "ecology", "animal", "forest", "ocean", "carbon", "emissions"),
+        ("nature", "natural", "earth", "planet", "green", "climate", "environmental"),
+    ),
+    "Serbia": (
+        ("belgrade", "novi sad", "niš", "kragujevac", "vojvodina", "srbija"), ("serbian", "beograd", "republic of serbia", "serbia's", "serbs", "serbian"), ("serbia", "serb", "belgrade"),
+    ),
+    "Marketing": (
+        ("advertising campaign", "brand strategy", "social media marketing", "influencer", "digital marketing"), ("marketing", "advertising", "brand", "promotion", "seo", "campaign", "social media"),
+        ("ad", "commercial", "branding", "promotion"),
+    ),
+}
 
 
 #: Strings of which a text must have one for a pattern to match: looking for them is much faster than the pattern.
@@ -228,3 +258,11 @@ def parsed_categories(raw: Column, valid: tuple[str, ...]) -> Column:
 def keyword_score(text: Column, keywords: tuple[str, ...]) -> Column:
     """Words of the keywords that the text has as substrings."""
     return reduce(lambda a, k: a + F.when(F.contains(text, F.lit(k)), len(k.split())).otherwise(0), dict.fromkeys(keywords), F.lit(0))
+
+
+def fallback_category(title: Column, content: Column) -> Column:
+    """The first category with the most points of its keywords in the whole title and content, if that has two at least; else 'Other'."""
+    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(content, F.lit(""))))
+    points = lambda tiers: sum((F.when(F.contains(text, F.lit(k)), 3 - i).otherwise(0) for i, tier in enumerate(tiers) for k in tier), F.lit(0))
+    best = F.array_max(F.array(*[F.struct(points(tiers).alias("score"), F.lit(-place).alias("place"), F.lit(c).alias("category")) for place, (c, tiers) in enumerate(WEIGHTED.items())]))
+    return F.when(best["score"] >= 2, best["category"]).otherwise("Other")

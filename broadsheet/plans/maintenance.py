@@ -148,6 +148,7 @@ plan(
 plan("o202_weighted_category", f"SELECT id, CASE WHEN score >= 2 THEN category ELSE 'Other' END AS category FROM ({_ROWS}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, place) = 1")(
     lambda d: _scored(d).groupBy("id").agg(F.max(F.struct("score", (-F.col("place")).alias("p"), "category")).alias("b")).select("id", F.when(F.col("b.score") >= 2, F.col("b.category")).otherwise("Other").alias("category"))
 )
+plan("o202_fallback_category")(lambda d: d.articles.select("id", S.fallback_category(F.col("title"), F.col("content")).alias("category")))
 plan("o213_list_page_fallback", "SELECT domain, count(*) FILTER (success)::DOUBLE / count(*) > 0.5 OR count(DISTINCT strategy) = 1 AND count(*) > 1 AS is_fallback FROM attempts GROUP BY 1")(
     lambda d: d.attempts.groupBy("domain").agg(((F.count_if("success").cast("double") / F.count(F.lit(1)) > 0.5) | ((F.countDistinct("strategy") == 1) & (F.count(F.lit(1)) > 1))).alias("is_fallback"))
 )

@@ -198,3 +198,14 @@ def test_decoding():
     assert H.decoded("é".encode(), None) == "é"
     assert H.decoded(b"\xff\xfea\x00", None) == "a"
     assert H.decoded(None, None) is None
+
+
+def test_fallback_category(spark):
+    """Title and whole content count, by tiers of 3, 2 and 1 points; the first of equals; two points at least."""
+    filler = "zzz " * 200
+    rows = [
+        (None, filler + "quantum", "Science"), ("Blockchain", filler, "Tech"), ("x", filler + " money", "Other"), (None, "serbian", "Serbia"), ("Wildlife", "forest software", "Nature"),
+        ("Revenue", "wildlife", "Business"), (None, None, "Other"), ("a.i. machine learning", "", "AI"),
+    ]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, t string, c string")
+    assert [r[0] for r in df.orderBy("i").select(S.fallback_category(F.col("t"), F.col("c"))).collect()] == [r[2] for r in rows]

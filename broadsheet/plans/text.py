@@ -134,6 +134,7 @@ plan("o169_hashtags", f"SELECT doc_id, array_to_string(list_distinct_first[1:20]
 plan("o146_distinct_in_order", "SELECT doc_id, array_to_string(list_filter(w, lambda t, i: list_position(w, t) = i), ' ') AS words FROM (SELECT doc_id, " + _words("coalesce(text, '')") + "[1:300] AS w FROM documents)")(
     lambda d: d.table("documents").select("doc_id", F.array_join(F.array_distinct(F.slice(X.words(F.coalesce("text", F.lit(""))), 1, 300)), " ").alias("words"))
 )
+plan("o146_distinct_words")(lambda d: d.table("documents").select("doc_id", F.array_join(F.array_distinct(X.words(F.coalesce("text", F.lit("")))), " ").alias("words")))
 plan("o170_clean_messages", f"SELECT conv_id, turn, {_strip(f'regexp_replace(regexp_replace(coalesce(text, {_quoted("")}), {_quoted(chr(92) + "s+")}, {_quoted(" ")}, {_quoted("g")}), {_quoted("[" + chr(92) + "x00-" + chr(92) + "x08" + chr(92) + "x0b" + chr(92) + "x0c" + chr(92) + "x0e-" + chr(92) + "x1f" + chr(92) + "x7f-" + chr(92) + "x{9f}]")}, {_quoted("")}, {_quoted("g")})')} AS t FROM conversations")(
     lambda d: d.table("conversations").select("conv_id", "turn", X.clean_message(F.col("text")).alias("t"))
 )

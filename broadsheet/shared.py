@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder: the session's checkpoint folder, or one of our own if none is set."""
+    """The shared folder: the session's checkpoint folder. Where none is set, one of our own if driver and executors are one process; else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="broadsheet-"))
     return context.getCheckpointDir()
 
@@ -40,24 +42,32 @@ def join_skewed(rows: DataFrame, entries: DataFrame, keys: list[str], size: str,
     return few.unionByName(many)
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(node, root) of every node of the undirected `edges` (a, b: long): the smallest node it is connected to.
+def _least_around(edges: DataFrame, total: int, side: str, other: str) -> DataFrame:
+    """`edges` with `least`, the least `other` of all edges that have the same `side`."""
+    around = settled(edges.groupBy(side).agg(F.min(other).alias("least"), F.count(F.lit(1)).alias("n")))
+    return join_skewed(edges, around, [side], "n", total)
 
-    Each round every node takes the least label around it, then the label of that label, so paths halve. Each round is written to the shared folder. Nodes with very
-    many neighbours and labels that very many nodes have are joined by broadcast.
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the undirected `edges` (a, b: long): the smallest node it is connected to. Null ends are left out.
+
+    Large stars, then small stars, in turns: first every node hands its larger neighbours to the least node around it, then its smaller ones. Edges never become
+    more, a path of n nodes in any order becomes a star in about log2(n) rounds, and rounds go on until nothing moves, so there is no bound on them. Each
+    round is written to the shared folder. Nodes with very many neighbours are joined by broadcast, least neighbours are found by partial minima.
     """
-    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    total = both.count()
-    degrees = settled(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
-    labels = settled(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    for _ in range(most_rounds):
-        known = degrees.join(labels.withColumnRenamed("node", "b").hint("merge"), "b")
-        around = join_skewed(both, known, ["b"], "n", total).groupBy("a").agg(F.min("root").alias("near"))
-        nearest = settled(labels.join(around.withColumnRenamed("a", "node").hint("merge"), "node").select("node", F.least("root", "near").alias("next"), "root"))
-        named = nearest.groupBy("next").agg(F.count(F.lit(1)).alias("n"))
-        hop = settled(named.join(nearest.select(F.col("node").alias("next"), F.col("next").alias("jump")).hint("merge"), "next"))
-        moved = settled(join_skewed(nearest, hop, ["next"], "n", total).select("node", F.least("next", "jump").alias("least"), F.col("root").alias("before")))
-        labels = moved.select("node", F.col("least").alias("root"))
-        if moved.where("least <> before").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    given = settled(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"))
+    stars = settled(given.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        total = stars.count()
+        # The least node around b is b itself, or the least of the smaller ends of edges whose larger end is b.
+        below = settled(stars.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("least")))
+        degrees = stars.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+        known = settled(degrees.join(below.hint("merge"), "b", "left").select("b", F.coalesce("least", "b").alias("least"), "n"))
+        handed = settled(join_skewed(stars, known, ["b"], "n", total).select("a", F.col("least").alias("b")).distinct())
+        small = settled(_least_around(handed, handed.count(), "a", "b"))
+        moved = small.where("b <> least")
+        if known.where("b <> least").isEmpty() and moved.isEmpty():
+            break
+        stars = settled(small.select("a", F.col("least").alias("b")).unionByName(moved.select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct())
+    nodes = given.select(F.col("a").alias("node")).unionByName(given.select(F.col("b").alias("node"))).distinct()
+    return nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from collections import defaultdict
 from datetime import datetime, timedelta
 
@@ -181,3 +183,21 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101)] + [(200 + i, 200) for i in range(1, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, **{200 + i: 200 for i in range(60)}}
+
+
+@pytest.mark.parametrize("shape", ["path", "ring", "comb"])
+def test_components_of_long_chains(spark, shape):
+    """2,000 nodes in random order settle in about log2(n) rounds, however far apart the ends are."""
+    import random
+
+    from broadsheet import shared
+
+    n, rng = 2000, random.Random(shape)
+    ids = rng.sample(range(-(10**15), 10**15), n)
+    edges = [(ids[i], ids[i + 1]) for i in range(n - 1)]
+    if shape == "ring":
+        edges.append((ids[-1], ids[0]))
+    if shape == "comb":
+        edges = [(ids[i], ids[i + 1]) for i in range(n // 2 - 1)] + [(ids[i], ids[n // 2 + i]) for i in range(n // 2)]
+    got = shared.components(spark.createDataFrame([*edges, (7, 7), (None, 3)], "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted([(i, min(ids)) for i in ids] + [(7, 7)])

@@ -11,7 +11,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +18,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once by one Python worker (a longer document is a slice of its own).
 SLICE_BYTES = 2 << 20
-#: Bytes whose hashes are computed at once.
-HASH_BLOCK = 1 << 20
+#: Numbers of eight bytes that are hashed at once.
+HASH_BLOCK = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _NGRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -92,37 +91,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(1)
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+#: Masks of the first n bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, np.uint64)
-    up[0] = 1
-    down = np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-    down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: the sum of each eight bytes mixed, then mixed with their place, then mixed with the length. Other seeds give independent hashes.
 
-
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte spans in ascending order, from one prefix sum a block."""
+    No power series, so spans of few different letters (Thue-Morse words and the like) do not collide.
+    """
     out = np.zeros(len(starts), np.uint64)
-    values, i = _byte_values(), 0
+    if not len(starts):
+        return out
+    eights = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))  # at every byte the eight bytes from there
+    count = np.maximum((ends - starts + 7) // 8, 1)
+    to, salt, i = np.cumsum(count), mix(np.array([seed + 1], np.uint64) * _BASE)[0], 0
     while i < len(starts):
-        j = max(int(np.searchsorted(ends, starts[i] + HASH_BLOCK, "right")), i + 1)
-        a, b = int(starts[i]), int(ends[j - 1])
-        size = HASH_BLOCK if b - a <= HASH_BLOCK else b - a
-        up, down = _powers(size)
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(values[raw[a:b]] * up[: b - a], out=total[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        done = int(to[i - 1]) if i else 0
+        j = max(int(np.searchsorted(to, done + HASH_BLOCK, "right")), i + 1)
+        n = count[i:j]
+        first = to[i:j] - n - done
+        place = np.arange(int(to[j - 1]) - done) - np.repeat(first, n)
+        at = np.repeat(starts[i:j], n) + 8 * place
+        value = eights[at] & _FIRST[np.clip(np.repeat(ends[i:j], n) - at, 0, 8)]
+        value = mix(mix(value ^ salt) + place.astype(np.uint64) * _BASE)
+        out[i:j] = mix(np.add.reduceat(value, first) + (ends[i:j] - starts[i:j]).astype(np.uint64) * _NGRAM)
         i = j
     return out
 
 
+def span_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of byte spans: equal for equal bytes and for no others."""
+    size = ends - starts
+    to = np.concatenate([[0], np.cumsum(size)])
+    inside = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends, -1)
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(raw[np.cumsum(inside[:-1]) > 0]))])
+    return spans.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n values (values may cross documents; mask with `inside`)."""
     m = len(hashes) - n + 1
@@ -172,11 +180,14 @@ def map_texts(df, text: str, outputs, fn, keep=None, limit: int = SLICE_BYTES):
 
     taken = {name.lower() for name, _ in outputs}
     keep = [c for c in (keep if keep is not None else [c for c in df.columns if c != text]) if c.lower() not in taken]
-    source = df.select(*[df[quoted(c)] for c in keep], F.col(quoted(text)).cast("string").alias("__text"))
+    held = "__text"
+    while held in map(str.lower, keep):
+        held += "_"
+    source = df.select(*[df[quoted(c)] for c in keep], df[quoted(text)].cast("string").alias(held))
     schema = T.StructType([*[df.schema[c] for c in keep], *T.StructType.fromDDL(", ".join(f"`{a}` {b}" for a, b in outputs))])
 
     def run(batches):
-        for rows, raw, offsets in slices(batches, "__text", limit):
+        for rows, raw, offsets in slices(batches, held, limit):
             made = [x if isinstance(x, pa.Array) else pa.array(x) for x in fn(raw, offsets)]
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *made], [*keep, *[a for a, _ in outputs]])
 

@@ -1,17 +1,18 @@
 """Quality rules from repetition coverage.
 
-Word hashes of a whole slice of documents come from one prefix sum; hashes of n consecutive
-words roll over them. A document's share of characters inside n-grams that occur twice or
-more, and inside repeated lines, decides. Everything is counted within one document, so
-documents never meet and nothing is shuffled.
+Hashes of n consecutive words roll over the numbers of a slice's words. A document's share of characters inside n-grams that occur twice or
+more, and inside repeated lines, decides. Hashes only propose: n-grams with equal ones are compared word by word, and words and lines get their
+numbers from their bytes, so no collision can change a count. Everything is counted within one document, so documents never meet and nothing is shuffled.
 
 Edge cases: a null text is an empty one: no words, every count 0, and it fails the base
-rules. A document shorter than n words has no n-grams. Repeated rows are scored
+rules. A document shorter than n words has no n-grams; a very long one is a slice of its own. Repeated rows are scored
 alike. An empty table gives no rows. Carried columns with an output's name give way.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -32,25 +33,38 @@ OUTPUTS = [
 ]
 
 
-def repeated(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which (document, key) pairs occur more than once."""
-    both = X.mix(keys + (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    ordered = np.sort(both)
+def repeated(number: np.ndarray, at: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Which of the runs of n words that begin at `at` occur more than once in their documents; `number`: of each word."""
+    keys = X.ngram_hashes(X.mix(number.astype(np.uint64) + np.uint64(1)), n)[at]
+    keys = X.mix(keys + (doc[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    ordered = np.sort(keys)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
         return np.zeros(len(keys), bool)
     twice = twice[np.append(True, twice[1:] != twice[:-1])]
-    at = np.searchsorted(twice, both)
-    return twice[np.minimum(at, len(twice) - 1)] == both
-
-
-def covered(hashes: np.ndarray, first: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    place = np.searchsorted(twice, keys)
+    found = twice[np.minimum(place, len(twice) - 1)] == keys
+    hits = np.flatnonzero(found)
+    hits = hits[np.argsort(keys[hits], kind="stable")]
+    next_to = np.flatnonzero(keys[hits[1:]] == keys[hits[:-1]])
+    x, y = at[hits[next_to]], at[hits[next_to + 1]]
+    same = doc[x] == doc[y]
+    for k in range(n):
+        same &= number[x + k] == number[y + k]
+    if not same.all():  # different runs with one hash: by their words
+        runs = [(doc[i], number[i : i + n].tobytes()) for i in at[hits].tolist()]
+        count = Counter(runs)
+        found[hits] = [count[r] > 1 for r in runs]
+    return found
+
+
+def covered(number: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Which words lie in a run of n words found twice or more in their document."""
-    m = len(hashes) - n + 1
-    change = np.zeros(len(hashes) + 1, np.int64)
+    m = len(number) - n + 1
+    change = np.zeros(len(number) + 1, np.int64)
     if m > 0:
         own = np.flatnonzero(doc[:m] == doc[n - 1 :])
-        hit = own[repeated(X.ngram_hashes(hashes, n)[own], doc[own])]
+        hit = own[repeated(number, own, doc, n)]
         change[hit] += 1
         change[hit + n] -= 1
     return np.cumsum(change[:-1]) > 0
@@ -59,7 +73,7 @@ def covered(hashes: np.ndarray, first: np.ndarray, doc: np.ndarray, n: int) -> n
 def profile(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     starts, ends, first = X.words(raw, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    hashes = X.span_hashes(raw, starts, ends)
+    number = X.span_numbers(raw, starts, ends)
     points = X.code_points(raw)
     chars = points[ends] - points[starts]
     n_words, word_chars = np.diff(first), X.run_sums(chars, first)
@@ -76,7 +90,8 @@ def profile(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     with_word = np.searchsorted(starts, to) > np.searchsorted(starts, at)
     at, to = at[with_word], to[with_word]
     line_doc = np.searchsorted(offsets, at, "right") - 1
-    key = X.mix(X.span_hashes(raw, at, to) + (line_doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    line = X.span_numbers(raw, at, to)
+    key = line_doc * (line.max(initial=0) + 1) + line
     again = np.ones(len(key), bool)
     again[np.unique(key, return_index=True)[1]] = False
     docs = len(offsets) - 1
@@ -85,9 +100,9 @@ def profile(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     in_lines = np.bincount(line_doc, line_chars, docs)
     line_share = np.bincount(line_doc[again], line_chars[again], docs) / np.maximum(in_lines, 1)
 
-    shares, n_repeat = {}, X.run_sums(covered(hashes, first, doc, 8), first)
+    shares, n_repeat = {}, X.run_sums(covered(number, doc, 8), first)
     for n in NGRAM_LIMITS:
-        shares[n] = X.run_sums(np.where(covered(hashes, first, doc, n), chars, 0), first) / np.maximum(word_chars, 1)
+        shares[n] = X.run_sums(np.where(covered(number, doc, n), chars, 0), first) / np.maximum(word_chars, 1)
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > 30 * n_words)
     kept = ~failed & (line_share <= LINE_LIMIT) & (n_symbols <= SYMBOL_LIMIT * n_words)
     for n, most in NGRAM_LIMITS.items():

@@ -8,6 +8,7 @@ import io
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from broadsheet.llm import chat, exactdedup, jaccard, warc
 from broadsheet.llm import queries as Q
@@ -119,17 +120,64 @@ def near_copies():
     return out
 
 
+def found_components(df, **options):
+    key = lambda x: (x[0], x[1], x[2], x[3] is None, x[3] or 0)
+    return sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.link_components(df, **options).collect()), key=key)
+
+
+def wanted_components(data, n=4, percent=85):
+    key = lambda x: (x[0], x[1], x[2], x[3] is None, x[3] or 0)
+    return sorted(brute_components(data, n, percent), key=key)
+
+
 @pytest.mark.parametrize("tile", [512, 8])
 def test_jaccard(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
     data = near_copies()
-    df = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, n string")
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.link_components(df).collect())
-    key = lambda x: (x[0], x[1], x[2], x[3] is None, x[3] or 0)
-    assert sorted(got, key=key) == sorted(brute_components(data), key=key)
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in data], "doc_id long, text string, n string, sig string")
+    assert found_components(df) == wanted_components(data)
     assert jaccard.link_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_with_one_signature_word(spark, monkeypatch):
+    """Classes whose first signature words are equal stay apart by the second."""
+    whole = jaccard.shingle_sets
+    monkeypatch.setattr(jaccard, "shingle_sets", lambda *a: (lambda o, k, n, s, t: (o, k, n, s & np.uint64(3), t))(*whole(*a)))
+    data = near_copies()
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert found_components(df) == wanted_components(data)
+
+
+def thue_morse(n, a, b):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+def test_jaccard_of_words_of_two_letters(spark):
+    data = [(k, thue_morse(1 << (10 + k // 2), *("ab" if k % 2 else "ba"))) for k in range(10)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert found_components(df) == wanted_components(data)
+
+
+def test_jaccard_chain_of_near_copies(spark):
+    """500 texts, each a near copy of the next only: one component from end to end, whatever order the ids are in."""
+    import random
+
+    rng, words = random.Random(2), [f"w{i}" for i in range(80 + 500 * 3)]
+    ids = rng.sample(range(10_000), 500)
+    data = [(ids[i], " ".join(words[3 * i : 3 * i + 80])) for i in range(500)]
+    got = found_components(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {c for _, _, _, c in got} == {min(ids)} and {n for _, _, n, _ in got} == {77}
+
+
+def test_jaccard_chain_of_passages(spark):
+    """A ring of texts, each made of two passages of which it shares one with either neighbour: all are candidates, none are linked at 85, all at 40."""
+    passages = [" ".join(f"p{i}x{k}" for k in range(60)) for i in range(400)]
+    data = [(i, passages[i] + " " + passages[(i + 1) % 400]) for i in range(400)]
+    assert found_components(spark.createDataFrame(data, "doc_id long, text string")) == [(False, i, 117, i) for i in range(400)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(data)], "doc_id long, text string")
+    assert found_components(df, percent=40) == wanted_components(data, 4, 40)
+
+
 def test_jaccard_on_data(spark):
     df = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
     got = sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(df).collect())
@@ -143,6 +191,15 @@ def test_one_of_each_stays(spark):
     assert got == sorted({c if c is not None else i for _, i, _, c in brute_components(data, 5, 80)})
 
 
+def test_rows_that_share_an_id_do_not_share_their_fate(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    data = [(3, a), (5, a + " more"), (5, b), (None, b + " end"), (None, "x y z " * 9), (None, "x y z " * 9), (7, None), (7, ""), (7, None)]
+    df = spark.createDataFrame([(i, t, "v", k) for k, (i, t) in enumerate(data)], "doc_id long, text string, __n string, digest long")
+    got = jaccard.keep_one_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect())) == sorted([(False, 3, a), (False, 5, b), (True, 0, "x y z " * 9), (False, 7, ""), (False, 7, ""), (False, 7, "")])
+
+
 # Chat formatting
 
 
@@ -246,3 +303,24 @@ def test_entry_has_every_query():
 
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_pipeline_keeps_columns_and_rows(spark, tmp_path):
+    """Input columns with the names of outputs, shared and null ids, null texts, repeated rows, no labels, an empty table."""
+    import corpus_pipeline as P
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(3, a), (5, a + " more"), (5, b), (None, c), (None, c), (8, c), (9, None), (9, None), (10, ""), (11, "short text")]
+    schema = "doc_id long, text string, n_words long, score string, predicted int, kept boolean, base_failed long, `row` long, __text string, id long, digest string"
+    rows = [(i, t, 777, "s", 9, None, 5, k, "t", 6, "d") for k, (i, t) in enumerate(data)]
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        want = [{*range(10)}, {0, 1, 2, 3, 4, 5}, {0, 1, 2, 5}, {0, 2, 5}]
+        for (name, stage), left in zip(P.STAGES[:-1], want, strict=True):
+            docs = stage(spark, docs, str(tmp_path)).persist()
+            assert docs.columns == spark.createDataFrame([], schema).columns, name
+            got = docs.collect()
+            assert {r.row for r in got} == (left if given else set()), name
+            assert all((r.n_words, r.score, r.predicted, r.kept, r.base_failed) == (777, "s", 9, None, 5) for r in got)
+        assert {r.doc_id for r in P.pack_sequences(spark, docs, str(tmp_path)).collect()} == ({3, 5, 8} if given else set())

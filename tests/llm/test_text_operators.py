@@ -9,7 +9,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from broadsheet.llm import _text as X
 from broadsheet.llm import bpe, packing, pitmanyor, quality, tokencount, toxicity
 from broadsheet.llm import queries as Q
 from pyspark.sql import functions as F
@@ -230,6 +232,21 @@ def test_quality(docs, none, small):
     assert quality.score_quality(none).count() == 0
 
 
+def thue_morse(n, a, b):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+def test_quality_of_hash_collisions(spark, monkeypatch):
+    """Lines of two letters that a power series modulo 2^64 takes for equal, and n-gram hashes of few bits, give the same counts."""
+    lines = [thue_morse(1 << k, *x) for k in (10, 11, 14) for x in ("ab", "ba")]
+    texts = ["\n".join(lines), "\n".join([*lines, lines[0]]), " ".join(lines * 5), "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3]
+    assert [r.n_dup_lines for r in quality.score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()] == [0, 1, 0, 0]
+    raw, offsets = X.buffers(pa.array([*texts, *[t or "" for t in TEXTS]]))
+    want, whole = quality.profile(raw, offsets), X.ngram_hashes
+    monkeypatch.setattr(X, "ngram_hashes", lambda h, n: whole(h, n) & np.uint64(15))
+    assert all(np.array_equal(a, b) for a, b in zip(quality.profile(raw, offsets), want, strict=True))
+
+
 def test_quality_keeps_good_documents(spark):
     d = f"{DATA}/sf0.01"
     got = quality.score_quality(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed").toPandas()

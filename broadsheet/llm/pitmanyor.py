@@ -1,39 +1,53 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Restaurants: one for each context word (and for the text end, which is also the context of a first word), all sharing one parent, whose base is
-uniform over the known words and one unknown. With `share`, only for context words with at least that share of the training tokens; customers after others sit in the parent directly.
-Seats are sampled by blocked Gibbs sweeps: in each, all customers of a dish are seated anew, one after the other, given the other dishes' tables; from the
-33rd customer on in groups of a sixteenth of those seated. Probabilities are averaged over the last sweeps.
+Restaurants: one for each word before a word (and for the text end, which is also the context of a first word), all sharing one parent, whose base is
+uniform over the known words and one unknown. Every context word of the training texts has a restaurant, however rare.
+
+Seats are sampled by Gibbs sweeps, each of these in turn. Of each restaurant with T tables a gamma variable z of shape strength / discount + T is drawn; given these, and given the parent's
+distribution p, the dishes of all restaurants are independent: a dish with c customers has t tables with a probability in proportion to S(c, t) (discount z p)^t (`_seating`), so all customers of a
+dish are seated anew in one exact draw, and blocks of dishes need not wait for each other. The parent's dishes are drawn alike with the new tables as customers, and p from its Dirichlet
+posterior. Nothing but the chance that the parent's unseated share falls on a known word is replaced by its mean. Gamma variables are functions of a word, its counts and the sweep, so blocks that
+share a word or a context agree on them. The state of each sweep is written to the shared folder and read by the next one. Probabilities are averaged over the last sweeps.
 
 Frequent words are those with at least `SHARE` of the training tokens, so there are at most 1 / SHARE of them. Tokens are dealt by word, so a rare
 word's customers in all restaurants, and its tables in the parent, are in one block; a frequent word's by its context if that is rare, else by word and context.
 What blocks need of each other: totals of frequent words' restaurants and of their customers in the parent, and a few more, which go through the driver and are bounded by 1 / SHARE; and
-totals of rare words' restaurants, which do not: blocks send theirs to ranges of contexts, which add them up and send them back (`totals_by_block`).
-Discounts come from the counts of counts. Everything is over all training tokens; nothing is pruned.
+totals of rare words' restaurants, which do not: blocks send theirs to ranges of contexts, which add them up and send them back (`totals_by_block`). Dishes of one customer always have one table,
+so that only restaurants with larger dishes are sent before the sweeps that are averaged.
+Discounts come from the counts of counts, the strength is fixed. Everything is over all training tokens; nothing is pruned.
+
+Words are told apart by 64-bit hashes: among 10^8 distinct words two are the same with a chance of 3e-4.
 
 Edge cases: a null text is an empty one, of one end token; a null id is in training; words unknown to training share one entry of the base; without training
-texts all words are unknown and every score is 0. Repeated rows are documents of their own. An empty table gives no rows.
+texts all words are unknown and every score is 0. Repeated rows are documents of their own; very long texts are slices of their own. An empty table gives no rows. Only the id, the text and the
+expression for held-out rows are looked at, so further columns may have any names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _seating as S
 from . import _text as X
 from ._shared import settled, shared_path
-from .jaccard import packed_sorted, planes, unpacked_sorted, unplaned
+from .jaccard import hash_range, packed_sorted, planes, unpacked_sorted, unplaned
 from .warc import file_system
 
 #: Share of training tokens from which on a word is frequent.
 SHARE = 1e-4
-SWEEPS, AVERAGED, STRENGTH, SEED = 3, 2, 0.5, 20240101
+SWEEPS, AVERAGED, STRENGTH, SEED = 12, 4, 0.5, 20240101
 CHUNK_TOKENS, BLOCK_TOKENS, GROUP_DOCS = 700_000, 1_000_000, 20_000
-_MASK = np.uint64((1 << 56) - 1)
 END = np.uint64(0x5E3D)
 _LN10 = float(np.log(10))
+#: Kinds of gamma variables.
+_OF_CONTEXT, _OF_WORD, _OF_PARENT, _OF_REST = range(4)
+#: Gamma variables are added up in units of this, so that sums do not depend on their order.
+_UNIT = 2.0**-10
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +56,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends, first = X.words(raw, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     out = np.full(len(starts) + len(offsets) - 1, END, np.uint64)
-    out[np.arange(len(starts)) + doc] = X.span_hashes(raw, starts, ends) & _MASK
+    out[np.arange(len(starts)) + doc] = X.span_hashes(raw, starts, ends)
     return out, first + np.arange(len(offsets))
 
 
@@ -54,10 +68,6 @@ def _loose(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _range(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(24)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def frequent_words(source: DataFrame, share: float) -> tuple[np.ndarray, int]:
     """Hashes of the words with at least `share` of the training tokens (and of the end), in order; number of training tokens."""
     spark = source.sparkSession
@@ -68,8 +78,8 @@ def frequent_words(source: DataFrame, share: float) -> tuple[np.ndarray, int]:
 
         def rows():
             key, times = _summed(held)
-            cut = np.searchsorted(_range(key, ranges), np.arange(ranges + 1))
-            some = [b for b in range(ranges) if cut[b] < cut[b + 1]]
+            cut = np.searchsorted(hash_range(key, ranges), np.arange(ranges + 1))
+            some = np.flatnonzero(np.diff(cut)).tolist()
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(some, pa.int32()),
@@ -97,12 +107,12 @@ def frequent_words(source: DataFrame, share: float) -> tuple[np.ndarray, int]:
         key, times = _summed([(unpacked_sorted(w), unplaned(c, 5).astype(np.int64)) for w, c in zip(table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True)])
         # Only words with that share of this range can have it of the whole.
         take = times >= share * times.sum()
-        return pa.table({"word": pa.array(np.append(key[take].view(np.int64), -1)), "n": pa.array(np.append(times[take], times.sum()))})
+        return pa.table({"word": pa.array(np.append(key[take].view(np.int64), 0)), "n": pa.array(np.append(times[take], times.sum())), "all": pa.array(np.arange(take.sum() + 1) == take.sum())})
 
-    counts = settled(source.mapInArrow(count, "bucket int, words binary, counts binary").groupBy("bucket").applyInArrow(add, "word long, n long"))
-    total = counts.where("word = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    got = [r[0] for r in counts.where((F.col("word") >= 0) & (F.col("n") >= max(1.0, share * total))).select("word").collect()]  # at most 1 / share
-    return np.unique(np.array([*got, int(END)], np.int64)).view(np.uint64), total
+    counts = settled(source.mapInArrow(count, "bucket int, words binary, counts binary").groupBy("bucket").applyInArrow(add, "word long, n long, all boolean"))
+    total = counts.where("all").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    got = [r[0] for r in counts.where(~F.col("all") & (F.col("n") >= max(1.0, share * total))).select("word").collect()]  # at most 1 / share
+    return np.unique(np.array([*got, int(END)], np.int64).view(np.uint64)), total
 
 
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +127,7 @@ _DEALT = ["bucket", "words", "counts", "contexts", "rare", "docs", "times", "key
 _DEALT_SCHEMA = "bucket int, " + ", ".join(f"{c} binary" for c in _DEALT[1:])
 
 
-def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int, every: bool) -> DataFrame:
+def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int) -> DataFrame:
     """Tokens with their contexts (numbers of frequent words, then of the block's rare ones), dealt into blocks by word; documents' ids and sizes into groups (buckets from -1 down)."""
     rare = len(frequent)
 
@@ -127,10 +137,9 @@ def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int, eve
         context = np.where(frequent[at] == before, at, rare)
         at = np.minimum(np.searchsorted(frequent, word), rare - 1)
         often = frequent[at] == word
-        place = _range(word, blocks)
-        place[often] = _range(X.mix(word[often] ^ X.mix(np.where(context[often] < rare, context[often], rare + doc[often]).astype(np.uint64))) & _MASK, blocks)
-        if every:
-            place[often & (context == rare)] = _range(before[often & (context == rare)], blocks)
+        place = hash_range(word, blocks)
+        place[often] = hash_range(X.mix(word[often] ^ X.mix(context[often].astype(np.uint64))), blocks)
+        place[often & (context == rare)] = hash_range(before[often & (context == rare)], blocks)
         times = np.ones(len(word), np.int64)
         # A frequent word after a frequent one: once a document.
         both = np.flatnonzero(often & (context < rare))
@@ -145,21 +154,18 @@ def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int, eve
         order = np.flatnonzero(keep)
         order = order[np.lexsort((word[order], place[order]))]
         word, context, before, doc, place, times = word[order], context[order], before[order], doc[order], place[order], times[order]
-        cut, rows = np.searchsorted(place, np.arange(blocks + 1)), []
-        for b in range(blocks):
-            x, y = cut[b], cut[b + 1]
-            if x < y:
-                first = np.flatnonzero(np.append(True, word[x:y][1:] != word[x:y][:-1]))
-                there = np.zeros(len(key), bool)
-                there[doc[x:y]] = True
-                held = np.flatnonzero(there)
-                local = (np.cumsum(there) - 1)[doc[x:y]]
-                here, own = context[x:y], np.zeros(0, np.uint64)
-                if every:
-                    loose = here == rare
-                    own, number = np.unique(before[x:y][loose], return_inverse=True)
-                    here[loose] = rare + number
-                rows.append((b, packed_sorted(word[x:y][first]), planes(np.diff(np.append(first, y - x)), 4), planes(here, 4), packed_sorted(own), planes(local, 4), planes(times[x:y], 4), planes(key[held], 8), train[held].tobytes()))
+        start, rows = np.flatnonzero(np.append(True, place[1:] != place[:-1])), []
+        for x, y in zip(start.tolist(), [*start[1:].tolist(), len(place)], strict=True):
+            first = np.flatnonzero(np.append(True, word[x:y][1:] != word[x:y][:-1]))
+            there = np.zeros(len(key), bool)
+            there[doc[x:y]] = True
+            held = np.flatnonzero(there)
+            local = (np.cumsum(there) - 1)[doc[x:y]]
+            here = context[x:y]
+            loose = here == rare
+            own, number = np.unique(before[x:y][loose], return_inverse=True)
+            here[loose] = rare + number
+            rows.append((int(place[x]), packed_sorted(word[x:y][first]), planes(np.diff(np.append(first, y - x)), 4), planes(here, 4), packed_sorted(own), planes(local, 4), planes(times[x:y], 4), planes(key[held], 8), train[held].tobytes()))
         return _batch(rows)
 
     def _batch(rows):
@@ -194,15 +200,19 @@ def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int, eve
     return source.mapInArrow(run, _DEALT_SCHEMA)
 
 
+_STORED = ["words", "dishes", "contexts", "customers", "rare", "entries", "docs", "times", "keys", "ids", "sizes", "flags"]
+_STORED_SCHEMA = "bucket int, " + ", ".join(f"{c} binary" for c in _STORED)
+
+
 def assembled(rows: DataFrame, rare: int) -> DataFrame:
-    """One row a block, its tokens in order of word and context; one row a group of documents."""
+    """One row a block: its dishes in order of word and context, and the documents' entries of each dish; one row a group of documents."""
 
     def run(table: pa.Table) -> pa.Table:
         X.release()
         bucket = table.column("bucket")[0].as_py()
         col = {c: table.column(c).to_pylist() for c in _DEALT[1:]}
         if bucket < 0:
-            out = {"words": _joined(col["words"], 8), "counts": _joined(col["counts"], 5), "keys": _joined(col["keys"], 8), "flags": b"".join(col["flags"])}
+            out = {"ids": _joined(col["words"], 8), "sizes": _joined(col["counts"], 5), "keys": _joined(col["keys"], 8), "flags": b"".join(col["flags"])}
         else:
             words, contexts, docs, times, keys, flags, base = [], [], [], [], [], [], 0
             own = [unpacked_sorted(x) for x in col["rare"]]
@@ -227,175 +237,241 @@ def assembled(rows: DataFrame, rare: int) -> DataFrame:
             doc = number[doc]
             order = np.lexsort((doc, context, word))
             word, context, doc, time = word[order], context[order], doc[order], time[order]
-            start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            dish = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
+            start = np.flatnonzero(np.append(True, word[dish][1:] != word[dish][:-1]))
             out = {
-                "words": packed_sorted(word[start]), "counts": planes(np.diff(np.append(start, len(word))), 4), "contexts": planes(context, 4), "rare": packed_sorted(loose),
-                "docs": planes(doc, 4), "times": planes(time, 4), "keys": b"\1" + packed_sorted(held) if int(held[-1]) < 1 << 56 else b"\0" + planes(held, 8), "flags": flag[first].tobytes(),
+                "words": packed_sorted(word[dish][start]), "dishes": planes(np.diff(np.append(start, len(dish))), 4), "contexts": planes(context[dish], 4),
+                "customers": planes(np.add.reduceat(np.where(flag[first][doc] & 1, time, 0), dish), 5), "rare": packed_sorted(loose), "entries": planes(np.diff(np.append(dish, len(word))), 4),
+                "docs": planes(doc, 4), "times": planes(time, 4), "keys": packed_sorted(held),
             }
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), **{c: pa.array([_squeezed(out[c]) if c in out else None], pa.binary()) for c in _DEALT[1:]}})
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), **{c: pa.array([_squeezed(out[c]) if c in out else None], pa.binary()) for c in _STORED}})
 
-    return rows.groupBy("bucket").applyInArrow(run, _DEALT_SCHEMA)
+    return rows.groupBy("bucket").applyInArrow(run, _STORED_SCHEMA)
 
 
 def _joined(blobs: list[bytes], width: int) -> bytes:
     return planes(np.concatenate([unplaned(b, width) for b in blobs]), width)
 
 
-def seated(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
-    """Tables of dishes whose customers sit down one after the other; `others`: strength plus discounted tables of the other dishes, `base`: the parent's probability."""
-    tables = (customers > 0).astype(np.int64)
-    at = np.flatnonzero(customers > 1)
-    at = at[np.argsort(-customers[at], kind="stable")]
-    left, j = customers[at], 1
-    while len(at):
-        step = max(1, j // 16) if j >= 32 else 1
-        t = tables[at]
-        new = (others[at] + discount * t) * base[at]
-        chance = np.clip(new / (new + j - discount * t), 0, 1)
-        group = np.minimum(step, left - j)
-        tables[at] += draw.binomial(group, chance) if step > 1 else (draw.random(len(at)) < chance)
-        j += step
-        some = int(np.searchsorted(-left, -j))
-        at, left = at[:some], left[:some]
-    return np.minimum(tables, customers)
+def _written(folder: str, sweep: int, name: str, data: bytes) -> None:
+    """Puts a file into the shared folder, whole or not at all; a task that runs again replaces it by the same bytes."""
+    files, path = file_system(f"{folder}/{sweep}")
+    files.create_dir(path, recursive=True)
+    part = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with files.open_output_stream(part, compression=None) as out:
+        out.write(data)
+    files.move(part, f"{path}/{name}")
+
+
+def _stored(folder: str, sweep: int, name: str) -> bytes:
+    files, path = file_system(f"{folder}/{sweep}")
+    with files.open_input_file(f"{path}/{name}") as data:
+        return data.read()
+
+
+def _forget(folder: str, sweep: int) -> None:
+    files, path = file_system(f"{folder}/{sweep}")
+    if files.get_file_info(path).type.name == "Directory":
+        files.delete_dir(path)
+
+
+class Run:
+    """Where a run keeps its sweeps, and what does not change: frequent words, sweeps that are averaged, discounts and totals once they are known."""
+
+    def __init__(self, frequent: np.ndarray, folder: str, sweeps: int, averaged: int):
+        self.frequent, self.folder, self.sweeps, self.first_averaged = frequent, folder, sweeps, max(sweeps - averaged + 1, 0)
+
+    def whole(self, sweep: int) -> bool:
+        """Whether all restaurants are sent after this sweep, not only those with dishes of several customers."""
+        return sweep == 0 or sweep >= self.first_averaged
 
 
 class Block:
-    """A block's tokens as arrays."""
-
-    def __init__(self, row: dict, frequent: np.ndarray):
-        part = {c: _loose(row[c]) for c in _DEALT[1:]}
-        self.frequent = rare = len(frequent)
-        self.rare = unpacked_sorted(part["rare"])  # rare contexts that have restaurants
-        self.restaurants = rare + len(self.rare)
-        words = unpacked_sorted(part["words"])
-        self.word_of = np.repeat(np.arange(len(words)), unplaned(part["counts"], 4).astype(np.int64))
-        self.context = unplaned(part["contexts"], 4).astype(np.int64)
-        self.doc = unplaned(part["docs"], 4).astype(np.int64)
-        self.times = unplaned(part["times"], 4).astype(np.int64)
-        self.keys = unpacked_sorted(part["keys"][1:]) if part["keys"][:1] == b"\1" else unplaned(part["keys"][1:], 8)
-        train = np.frombuffer(part["flags"], np.uint8).astype(bool)
-        at = np.minimum(np.searchsorted(frequent, words), rare - 1)
-        self.index = np.where(frequent[at] == words, at, -1)  # of each word among the frequent
-        self.count = np.where(train[self.doc], self.times, 0)
-        # Dishes: (word, context) runs; those without a restaurant eat in the parent.
-        key = self.word_of * (self.restaurants + 1) + self.context
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        self.dish_of = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)]) - 1
-        self.word, self.where = self.word_of[start], self.context[start]
-        self.customers = np.add.reduceat(self.count, start) if len(start) else np.zeros(0, np.int64)
-        self.own = self.where < self.restaurants
-        self.direct = np.bincount(self.word[~self.own], self.customers[~self.own], len(words)).astype(np.int64)
-        self.total = np.bincount(self.word, self.customers, len(words)).astype(np.int64)
+    """A block's dishes as arrays."""
+
+    def __init__(self, row: dict, run: Run):
+        part = {c: _loose(row[c]) for c in ("words", "dishes", "contexts", "customers", "rare")}
+        self.number, self.run, self.frequent = row["bucket"], run, len(run.frequent)
+        self.words, self.rare = unpacked_sorted(part["words"]), unpacked_sorted(part["rare"])
+        self.restaurants = self.frequent + len(self.rare)
+        self.word = np.repeat(np.arange(len(self.words)), unplaned(part["dishes"], 4).astype(np.int64))
+        self.where, self.customers = unplaned(part["contexts"], 4).astype(np.int64), unplaned(part["customers"], 5).astype(np.int64)
+        at = np.minimum(np.searchsorted(run.frequent, self.words), self.frequent - 1)
+        self.index = np.where(run.frequent[at] == self.words, at, -1)  # of each word among the frequent
+        self.often = self.index >= 0
+        self.total = np.bincount(self.word, self.customers, len(self.words)).astype(np.int64)
+        self.many = np.flatnonzero(self.customers > 1)
+        own = self.where[self.many]
+        self.active = np.unique(own[own >= self.frequent]) - self.frequent  # rare contexts with dishes that may have several tables here
+
+    def sent(self, sweep: int) -> np.ndarray:
+        return np.arange(len(self.rare)) if self.run.whole(sweep) else self.active
+
+    def first_tables(self) -> tuple[np.ndarray, np.ndarray]:
+        tables = np.minimum(self.customers, 1)
+        return tables, np.where(self.often, 0, np.minimum(self.guests(tables), 1))
 
     def guests(self, tables: np.ndarray) -> np.ndarray:
         """Customers of each word in the parent."""
-        return self.direct + np.bincount(self.word[self.own], tables[self.own], len(self.index)).astype(np.int64)
+        return np.bincount(self.word, tables, len(self.words)).astype(np.int64)
+
+    def save(self, sweep: int, tables: np.ndarray, in_parent: np.ndarray) -> None:
+        _written(f"{self.run.folder}/seats", sweep, str(self.number), _squeezed(planes(tables[self.many], 5) + planes(in_parent, 5)))
+
+    def load(self, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of the dishes, and of the words in the parent (0 for frequent words), after a sweep."""
+        if sweep == 0:
+            return self.first_tables()
+        data, tables = _loose(_stored(f"{self.run.folder}/seats", sweep, str(self.number))), np.minimum(self.customers, 1)
+        tables[self.many] = unplaned(data[: 5 * len(self.many)], 5).astype(np.int64)
+        return tables, unplaned(data[5 * len(self.many) :], 5).astype(np.int64)
+
+    def tables_of(self, whole: Whole) -> np.ndarray:
+        """Tables of each restaurant of the block, of all blocks together; of rare ones that were not sent, only those of dishes with one customer."""
+        rare = np.zeros(len(self.rare), np.int64)
+        if len(rare):
+            rare += _totals(self.run, 0, self.number, "single")
+            sent = self.sent(whole.sweep)
+            if len(sent):
+                rare[sent] += _totals(self.run, whole.sweep, self.number, "tables")
+        return np.concatenate([whole.tables, rare])
+
+    def keys_of(self, where: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.run.frequent, self.rare])[where]
 
 
 class Whole:
     """What all blocks know after a sweep."""
 
-    def __init__(self, sums: dict[tuple[str, int], int], rare: int, sweep: int, before: Whole | None):
+    def __init__(self, run: Run, sums: dict[tuple[str, int], int], sweep: int, before: Whole | None):
+        rare = len(run.frequent)
         pick = lambda kind: np.array([sums.get((kind, i), 0) for i in range(rare)], np.int64)
-        self.tables = pick("tables")
-        self.guests = pick("guests")  # of frequent words
+        self.sweep, self.tables, self.guests = sweep, pick("tables"), pick("guests")  # of frequent contexts, of frequent words
         if before is None:
             self.customers, self.counts = pick("customers"), pick("counts")
             self.words = sums.get(("words", 0), 0) + int(np.count_nonzero(self.counts))
-            once, twice = sums.get(("once", 0), 0), sums.get(("twice", 0), 0)
-            self.discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+            estimate = lambda one, two: min(0.9, max(0.05, one / (one + 2 * two))) if one else 0.5
+            self.discount = estimate(sums.get(("once", 0), 0), sums.get(("twice", 0), 0))
+            self.discount0 = estimate(*(sums.get((k, 0), 0) + int(np.count_nonzero(self.guests == n)) for k, n in (("guest1", 1), ("guest2", 2))))
             self.tokens = sums.get(("tokens", 0), 0)
-            one, two = (sums.get((k, 0), 0) + int(np.count_nonzero(self.guests == n)) for k, n in (("guest1", 1), ("guest2", 2)))
-            self.discount0 = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
-            self.own_tables = (self.guests > 0).astype(np.int64)
+            self.in_parent = np.minimum(self.guests, 1)
         else:
             for name in ("customers", "counts", "words", "discount", "discount0", "tokens"):
                 setattr(self, name, getattr(before, name))
-            others = STRENGTH + before.discount0 * (before.all_tables - before.own_tables)
-            self.own_tables = seated(self.guests, others, np.full(rare, self.base), self.discount0, np.random.default_rng([SEED, sweep]))
-        self.all_tables = sums.get(("rare_tables", 0), 0) + int(self.own_tables.sum())
+            self.in_parent = S.tables(self.guests, np.full(rare, before.parent_weight()), self.discount0, np.random.default_rng([SEED, sweep]), before.in_parent if sweep > 1 else None)
+        self.all_tables = sums.get(("rare_tables", 0), 0) + int(self.in_parent.sum())
         self.all_guests = sums.get(("rare_guests", 0), 0) + int(self.guests.sum())
+        # The parent's distribution that the next sweep is given: gamma variables of the words and of what is not seated, over their sum.
+        self.shares = word_shares(run.frequent, self.guests, self.in_parent, self.discount0, sweep)
+        self.rest = float(S.gammas(np.array([STRENGTH + self.discount0 * self.all_tables]), np.zeros(1, np.uint64), 4 * sweep + _OF_REST)[0])
+        self.sum = (sums.get(("shares", 0), 0) + units(self.shares)) * _UNIT + self.rest
 
     @property
     def base(self) -> float:
         return 1 / (self.words + 1)
 
-    def parent(self, guests: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return (guests - self.discount0 * tables + (STRENGTH + self.discount0 * self.all_tables) * self.base) / (STRENGTH + self.all_guests)
+    def parent_weight(self) -> float:
+        """What a table in the parent weighs in the next sweep."""
+        z = S.gammas(np.array([STRENGTH / self.discount0 + self.all_tables]), np.zeros(1, np.uint64), 4 * self.sweep + _OF_PARENT)[0]
+        return float(self.discount0 * z * self.base)
+
+    def drawn(self, shares: np.ndarray) -> np.ndarray:
+        return (shares + self.rest * self.base) / self.sum
+
+    def parent(self, guests: np.ndarray, in_parent: np.ndarray) -> np.ndarray:
+        """The mean of the parent's distribution given the seats."""
+        return (guests - self.discount0 * in_parent + (STRENGTH + self.discount0 * self.all_tables) * self.base) / (STRENGTH + self.all_guests)
+
+
+def word_shares(keys: np.ndarray, guests: np.ndarray, in_parent: np.ndarray, discount0: float, sweep: int) -> np.ndarray:
+    out = np.zeros(len(keys))
+    some = np.flatnonzero(guests)
+    out[some] = S.gammas(guests[some] - discount0 * in_parent[some], keys[some], 4 * sweep + _OF_WORD)
+    return out
+
+
+def units(shares: np.ndarray) -> int:
+    return int(np.rint(shares / _UNIT).astype(np.int64).sum())
+
+
+def swept(block: Block, whole: Whole) -> tuple[np.ndarray, np.ndarray]:
+    """The block's state after the sweep that follows `whole`: tables of dishes, and in the parent those of words that are not frequent."""
+    before, in_parent = block.load(whole.sweep)
+    often, draw = block.often, np.random.default_rng([SEED, whole.sweep + 1, block.number])
+    many, kept, guests = block.many, whole.sweep > 0, np.where(often, 0, block.guests(before))
+    if kept:
+        chance = whole.drawn(np.where(often, whole.shares[block.index], word_shares(block.words, guests, in_parent, whole.discount0, whole.sweep)))
+    else:  # discounts were not known when sums were sent: the first sweep is given the mean
+        chance = whole.parent(np.where(often, whole.guests[block.index], guests), np.where(often, whole.in_parent[block.index], in_parent))
+    here, number = np.unique(block.where[many], return_inverse=True)
+    z = S.gammas(STRENGTH / whole.discount + block.tables_of(whole)[here], block.keys_of(here), 4 * whole.sweep + _OF_CONTEXT)
+    tables = np.minimum(block.customers, 1)
+    tables[many] = S.tables(block.customers[many], whole.discount * z[number] * chance[block.word[many]], whole.discount, draw, before[many] if kept else None)
+    guests = np.where(often, 0, block.guests(tables))
+    return tables, S.tables(guests, np.full(len(guests), whole.parent_weight()), whole.discount0, draw, in_parent if kept else None)
 
 
-def chain(block: Block, number: int, wholes: list[Whole], tables_of: list[np.ndarray]):
-    """The block's state after each sweep that `wholes` and the tables of the block's restaurants (`tables_of`) allow: (tables of dishes, guests of words, their tables in the parent)."""
-    often = block.index >= 0
-    tables = ((block.customers > 0) & block.own).astype(np.int64)
+def sums_of(block: Block, tables: np.ndarray, in_parent: np.ndarray, before: Whole | None):
+    """What the block adds to the whole: (kind, index, number) of frequent words and of all; of its rare words' restaurants the tables of dishes with several customers, and at first those of the others and the customers."""
+    often, rare = block.often, block.frequent
     guests = block.guests(tables)
-    in_parent = (guests > 0).astype(np.int64)
-    yield tables, guests, in_parent
-    for sweep, (whole, all_tables) in enumerate(zip(wholes, tables_of, strict=True)):
-        draw = np.random.default_rng([SEED, sweep, number])
-        chance = whole.parent(np.where(often, whole.guests[block.index], guests), np.where(often, whole.own_tables[block.index], in_parent))
-        new = np.zeros_like(tables)
-        own = np.flatnonzero(block.own)
-        others = STRENGTH + whole.discount * (all_tables[block.where[own]] - tables[own])
-        new[own] = seated(block.customers[own], np.maximum(others, STRENGTH), chance[block.word[own]], whole.discount, draw)
-        tables = new
-        guests = block.guests(tables)
-        in_parent = seated(np.where(often, 0, guests), STRENGTH + whole.discount0 * np.maximum(whole.all_tables - in_parent, 0), np.full(len(guests), whole.base), whole.discount0, draw)
-        yield tables, guests, in_parent
-
-
-def sums_of(block: Block, state, first: bool):
-    """What the block adds to the whole: (kind, index, number) of frequent words and of all; tables of its rare words' restaurants and, if first, their customers."""
-    tables, guests, in_parent = state
-    often, rare, own = block.index >= 0, block.frequent, block.own
-    seats = np.bincount(block.where[own], tables[own], block.restaurants).astype(np.int64)
-    people = np.bincount(block.where[own], block.customers[own], block.restaurants).astype(np.int64)
-    vectors = [("tables", seats[:rare]), ("guests", np.bincount(block.index[often], guests[often], rare))]
-    scalars = [("rare_tables", in_parent[~often].sum()), ("rare_guests", guests[~often].sum())]
-    if first:
-        ate = block.customers[own]
+    count = lambda where, n: np.bincount(where, n, block.restaurants).astype(np.int64)
+    vectors = [("tables", count(block.where, tables)[:rare]), ("guests", np.bincount(block.index[often], guests[often], rare))]
+    scalars = [("rare_tables", in_parent.sum()), ("rare_guests", guests[~often].sum())]
+    single = people = None
+    if before is not None:
+        scalars.append(("shares", units(word_shares(block.words, np.where(often, 0, guests), in_parent, before.discount0, before.sweep + 1))))
+    else:
+        people = count(block.where, block.customers)
         vectors += [("customers", people[:rare]), ("counts", np.bincount(block.index[often], block.total[often], rare))]
         scalars += [
-            ("words", np.count_nonzero(block.total[~often])), ("tokens", block.total.sum()), ("once", np.count_nonzero(ate == 1)), ("twice", np.count_nonzero(ate == 2)),
+            ("words", np.count_nonzero(block.total[~often])), ("tokens", block.total.sum()), ("once", np.count_nonzero(block.customers == 1)), ("twice", np.count_nonzero(block.customers == 2)),
             ("guest1", np.count_nonzero(guests[~often] == 1)), ("guest2", np.count_nonzero(guests[~often] == 2)),
         ]
+        single, people = count(block.where, block.customers == 1)[rare:], people[rare:]
     small = [(kind, i, int(values[i])) for kind, values in vectors for i in np.flatnonzero(values).tolist()] + [(kind, 0, int(value)) for kind, value in scalars]
-    return small, seats[rare:], people[rare:]
+    return small, count(block.where[block.many], tables[block.many])[rare:], single, people
 
 
-_SENT = ["kind", "place", "n", "block", "contexts", "tables", "customers"]
-_SENT_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
+_SENT = ["kind", "place", "n", "block", "contexts", "tables", "single", "customers"]
+_SENT_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+_SUMMED = ("tables", "single", "customers")
 
 
-def sweep_sums(state: DataFrame, frequent: np.ndarray, wholes: list[Whole], totals: list[str], blocks: int) -> DataFrame:
-    """What all blocks add to the whole after the next sweep; for kind 'contexts', rare words' restaurants, a row for each block and range (place) of contexts."""
+def swept_sums(state: DataFrame, run: Run, before: Whole | None, blocks: int) -> DataFrame:
+    """Does a sweep (the first, of one table a dish, without `before`): blocks keep their seats and send what they add to the whole; for kind 'contexts', a row for each range (place) of contexts."""
+    sweep = before.sweep + 1 if before else 0
 
-    def run(batches):
+    def go(batches):
         total: dict[tuple[str, int], int] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in _DEALT}
-                if row["bucket"] < 0:
-                    continue
                 X.release()
-                block = Block(row, frequent)
-                for last in chain(block, row["bucket"], wholes, tables_of(block, row["bucket"], wholes, totals)):
-                    pass
-                small, seats, people = sums_of(block, last, not wholes)
+                block = Block({c: batch.column(c)[i].as_py() for c in batch.schema.names}, run)
+                if before is None:
+                    tables, in_parent = block.first_tables()
+                else:
+                    tables, in_parent = swept(block, before)
+                    block.save(sweep, tables, in_parent)
+                small, seats, single, people = sums_of(block, tables, in_parent, before)
                 for kind, index, value in small:
                     total[kind, index] = total.get((kind, index), 0) + value
-                cut, rows = np.searchsorted(_range(block.rare, blocks), np.arange(blocks + 1)), []
-                for r in np.flatnonzero(np.diff(cut)).tolist():
-                    part = slice(cut[r], cut[r + 1])
-                    rows.append(("contexts", r, 0, row["bucket"], packed_sorted(block.rare[part]), planes(seats[part], 5), planes(people[part], 5) if not wholes else None))
+                sent = block.sent(sweep)
+                place = hash_range(block.rare[sent], blocks)
+                start = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)]).tolist()
+                rows = []
+                for a, b in zip(start, [*start[1:], len(sent)], strict=True) if start else ():
+                    part = sent[a:b]
+                    more = (planes(single[part], 5), planes(people[part], 5)) if before is None else (None, None)
+                    rows.append(("contexts", int(place[a]), 0, block.number, packed_sorted(block.rare[part]), planes(seats[part], 5), *more))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _SENT_TYPES, strict=True)], _SENT)
         if total:
-            rows = [(kind, index, value, None, None, None, None) for (kind, index), value in total.items()]
+            rows = [(kind, index, value, *[None] * 5) for (kind, index), value in total.items()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _SENT_TYPES, strict=True)], _SENT)
 
-    return settled(state.mapInArrow(run, "kind string, place long, n long, block int, contexts binary, tables binary, customers binary"))
+    dishes = state.where("bucket >= 0").select("bucket", "words", "dishes", "contexts", "customers", "rare")
+    return settled(dishes.mapInArrow(go, "kind string, place long, n long, block int, contexts binary, tables binary, single binary, customers binary"))
 
 
 def small_sums(sent: DataFrame) -> dict[tuple[str, int], int]:
@@ -403,98 +479,79 @@ def small_sums(sent: DataFrame) -> dict[tuple[str, int], int]:
     return {(r[0], r[1]): r[2] for r in rows.collect()}  # at most 4 / SHARE and a few
 
 
-def totals_by_block(sent: DataFrame) -> str:
-    """Adds up the blocks' numbers of each rare context and writes each block the sums of its contexts, in their order; the folder, with a part for each block."""
+def totals_by_block(sent: DataFrame, run: Run, sweep: int) -> None:
+    """Adds up the blocks' numbers of each rare context and keeps for each block the sums of the contexts that it sent, in their order."""
 
     def add(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_pylist() for c in ("block", "contexts", "tables", "customers")}
+        col = {c: table.column(c).to_pylist() for c in ("block", "contexts", *_SUMMED)}
         held = [unpacked_sorted(x) for x in col["contexts"]]
         _, number = np.unique(np.concatenate(held), return_inverse=True)
         cut = np.cumsum([0, *map(len, held)])
         out = {}
-        for c in ("tables", "customers"):
+        for c in _SUMMED:
             if col[c][0] is None:
                 out[c] = [None] * len(held)
                 continue
             sums = np.bincount(number, np.concatenate([unplaned(x, 5) for x in col[c]])).astype(np.int64)[number]
             out[c] = [planes(sums[a:b], 5) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"block": pa.array(col["block"], pa.int32()), "place": table.column("place"), "tables": pa.array(out["tables"], pa.binary()), "customers": pa.array(out["customers"], pa.binary())})
+        return pa.table({"block": pa.array(col["block"], pa.int32()), "place": table.column("place"), **{c: pa.array(out[c], pa.binary()) for c in _SUMMED}})
 
-    def merge(table: pa.Table) -> pa.Table:
+    def keep(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")
-        out = {"block": table.column("block").slice(0, 1)}
-        for c in ("tables", "customers"):
+        block = table.column("block")[0].as_py()
+        for c in _SUMMED:
             col = table.column(c).to_pylist()
-            out[c] = pa.array([None if col[0] is None else _squeezed(_joined(col, 5))], pa.binary())
-        return pa.table(out)
+            if col[0] is not None:
+                _written(f"{run.folder}/totals", sweep, f"{block}-{c}", _squeezed(_joined(col, 5)))
+        return pa.table({"block": pa.array([block], pa.int32())})
 
-    sums = sent.where("kind = 'contexts'").select("place", "block", "contexts", "tables", "customers").groupBy("place").applyInArrow(add, "block int, place long, tables binary, customers binary")
-    path = shared_path(sent.sparkSession, "totals")
-    sums.groupBy("block").applyInArrow(merge, "block int, tables binary, customers binary").write.partitionBy("block").parquet(path)
-    return path
+    sums = sent.where("kind = 'contexts'").select("place", "block", "contexts", *_SUMMED).groupBy("place").applyInArrow(add, "block int, place long, tables binary, single binary, customers binary")
+    sums.groupBy("block").applyInArrow(keep, "block int").write.format("noop").mode("overwrite").save()
 
 
-def _read(folder: str, number: int, column: str) -> np.ndarray:
-    """The block's row of what `totals_by_block` wrote."""
-    from pyarrow import fs
-    from pyarrow import parquet
+def _totals(run: Run, sweep: int, number: int, kind: str) -> np.ndarray:
+    return unplaned(_loose(_stored(f"{run.folder}/totals", sweep, f"{number}-{kind}")), 5).astype(np.int64)
 
-    files, path = file_system(folder)
-    for found in files.get_file_info(fs.FileSelector(f"{path}/block={number}")):
-        if found.path.endswith(".parquet"):
-            with files.open_input_file(found.path) as data:
-                return unplaned(_loose(parquet.ParquetFile(data).read([column]).column(column)[0].as_py()), 5).astype(np.int64)
-    raise FileNotFoundError(f"{folder}: no totals of block {number}")
 
-
-def tables_of(block: Block, number: int, wholes: list[Whole], totals: list[str]) -> list[np.ndarray]:
-    """Tables of the block's restaurants, of all blocks together, after each sweep so far."""
-    return [np.concatenate([whole.tables, _read(folder, number, "tables")]) if len(block.rare) else whole.tables for whole, folder in zip(wholes, totals, strict=True)]
-
-
-def scores(state: DataFrame, frequent: np.ndarray, wholes: list[Whole], totals: list[str], groups: int) -> DataFrame:
-    """grp, keys, score, base, known: what each block adds to its documents' sums; and the groups of documents themselves."""
+def scores(state: DataFrame, run: Run, wholes: list[Whole], groups: int) -> DataFrame:
+    """What each block adds to its documents' sums, from the sweeps `wholes`, added up with the groups of documents themselves."""
     names = ["grp", "keys", "score", "base", "known", "ids", "sizes", "flags"]
     kinds = [pa.int32(), *[pa.binary()] * 7]
 
-    def run(batches):
+    def go(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in _DEALT}
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 if row["bucket"] < 0:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([x], t) for x, t in zip((-1 - row["bucket"], _loose(row["keys"]), None, None, None, _loose(row["words"]), _loose(row["counts"]), _loose(row["flags"])), kinds, strict=True)], names
+                        [pa.array([x], t) for x, t in zip((-1 - row["bucket"], _loose(row["keys"]), None, None, None, _loose(row["ids"]), _loose(row["sizes"]), _loose(row["flags"])), kinds, strict=True)], names
                     )
                     continue
                 X.release()
-                block = Block(row, frequent)
-                often, first = block.index >= 0, wholes[0]
-                all_tables = tables_of(block, row["bucket"], wholes, totals)
-                customers = np.concatenate([first.customers, _read(totals[0], row["bucket"], "customers")]) if len(block.rare) else first.customers
-                where = np.minimum(block.where, block.restaurants - 1)
+                block, one = Block(row, run), wholes[0]
+                often = block.often
+                customers = np.concatenate([one.customers, _totals(run, 0, block.number, "customers")]) if len(block.rare) else one.customers
                 mean = np.zeros(len(block.word))
-                for n, (tables, guests, in_parent) in enumerate(chain(block, row["bucket"], wholes[:-1], all_tables[:-1])):
-                    if n <= len(wholes) - 1 - AVERAGED:
-                        continue
-                    whole = wholes[n]
-                    chance = whole.parent(np.where(often, whole.guests[block.index], guests), np.where(often, whole.own_tables[block.index], in_parent))[block.word]
-                    mine = (block.customers - whole.discount * tables + (STRENGTH + whole.discount * all_tables[n][where]) * chance) / (STRENGTH + customers[where])
-                    mean += np.where(block.own, mine, chance)
-                logs = np.log(mean / min(AVERAGED, len(wholes) - 1)) / _LN10
-                count = np.where(often, first.counts[block.index], block.total)
-                plain = np.log10((count + 0.5) / (first.tokens + 0.5 * (first.words + 1)))
-                n = len(block.keys)
-                score = np.bincount(block.doc, block.times * logs[block.dish_of], n)
-                base = np.bincount(block.doc, block.times * plain[block.word_of], n)
-                known = np.bincount(block.doc, block.times * (count > 0)[block.word_of], n).astype(np.int64)
-                group = (X.mix(block.keys) % np.uint64(groups)).astype(np.int64)
+                for whole in wholes:
+                    tables, in_parent = block.load(whole.sweep)
+                    chance = whole.parent(np.where(often, whole.guests[block.index], block.guests(tables)), np.where(often, whole.in_parent[block.index], in_parent))[block.word]
+                    mean += (block.customers - whole.discount * tables + (STRENGTH + whole.discount * block.tables_of(whole)[block.where]) * chance) / (STRENGTH + customers[block.where])
+                logs = np.log(mean / len(wholes)) / _LN10
+                count = np.where(often, one.counts[block.index], block.total)
+                plain = np.log10((count + 0.5) / (one.tokens + 0.5 * (one.words + 1)))
+                dish = np.repeat(np.arange(len(block.word)), unplaned(_loose(row["entries"]), 4).astype(np.int64))
+                doc, times, keys = unplaned(_loose(row["docs"]), 4).astype(np.int64), unplaned(_loose(row["times"]), 4).astype(np.int64), unpacked_sorted(_loose(row["keys"]))
+                n = len(keys)
+                score = np.bincount(doc, times * logs[dish], n)
+                base = np.bincount(doc, times * plain[block.word[dish]], n)
+                known = np.bincount(doc, times * (count > 0)[block.word[dish]], n).astype(np.int64)
+                group = (X.mix(keys) % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(group, kind="stable")
-                cut = np.searchsorted(group[order], np.arange(groups + 1))
+                start = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1])).tolist()
                 rows = []
-                for g in range(groups):
-                    at = order[cut[g] : cut[g + 1]]
-                    if len(at):
-                        rows.append((g, planes(block.keys[at], 8), score[at].tobytes(), base[at].tobytes(), planes(known[at], 4), None, None, None))
+                for a, b in zip(start, [*start[1:], n], strict=True):
+                    at = order[a:b]
+                    rows.append((int(group[at[0]]), planes(keys[at], 8), score[at].tobytes(), base[at].tobytes(), planes(known[at], 4), None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def add(table: pa.Table) -> pa.Table:
@@ -518,29 +575,36 @@ def scores(state: DataFrame, frequent: np.ndarray, wholes: list[Whole], totals:
             {"id": pa.array(ids, mask=(flag & 2) == 0), "held_out": pa.array((flag & 1) == 0), "n_tokens": pa.array(size), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)}
         )
 
-    made = state.mapInArrow(run, "grp int, keys binary, score binary, base binary, known binary, ids binary, sizes binary, flags binary")
+    made = state.mapInArrow(go, "grp int, keys binary, score binary, base binary, known binary, ids binary, sizes binary, flags binary")
     return made.groupBy("grp").applyInArrow(add, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_texts(df: DataFrame, held_out, text: str = "text", id_column: str = "doc_id", share: float | None = None, sweeps: int = SWEEPS) -> DataFrame:
+def score_texts(df: DataFrame, held_out, text: str = "text", id_column: str = "doc_id", sweeps: int = SWEEPS, averaged: int = AVERAGED) -> DataFrame:
     """Learns from the rows where `held_out` (a column expression) is not true and scores all: the id column (as long), held_out,
-    n_tokens, n_known, train_tokens, base_score, score, log10_perplexity. `share`: of training tokens, from which on a context word has a restaurant (all have one if None)."""
+    n_tokens, n_known, train_tokens, base_score, score, log10_perplexity. The last `averaged` of the `sweeps` count."""
+    spark = df.sparkSession
     source = df.select(
         df[X.quoted(id_column)].cast("long").alias("id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), df[X.quoted(text)].cast("string").alias("text"),
         F.monotonically_increasing_id().alias("key"),
     )
-    frequent, total = frequent_words(source.select("train", "text"), SHARE if share is None else share)
+    frequent, total = frequent_words(source.select("train", "text"), SHARE)
     blocks = max(64, -(-total // BLOCK_TOKENS))
     groups = max(64, -(-total // (500 * GROUP_DOCS)))
-    state = settled(assembled(dealt(source, frequent, blocks, groups, share is None), len(frequent)))
-    wholes: list[Whole] = []
-    totals: list[str] = []
+    run = Run(frequent, shared_path(spark, "language-model"), sweeps, averaged)
+    assembled(dealt(source, frequent, blocks, groups), len(frequent)).write.option("compression", "none").parquet(f"{run.folder}/state")
+    state = spark.read.schema(_STORED_SCHEMA).parquet(f"{run.folder}/state")
+    whole, counted = None, []
     for sweep in range(sweeps + 1):
-        sent = sweep_sums(state, frequent, wholes, totals, blocks)
-        wholes.append(Whole(small_sums(sent), len(frequent), sweep, wholes[-1] if wholes else None))
-        totals.append(totals_by_block(sent))
-    made = scores(state, frequent, wholes, totals, groups)
+        sent = swept_sums(state, run, whole, blocks)
+        totals_by_block(sent, run, sweep)
+        whole = Whole(run, small_sums(sent), sweep, whole)
+        if sweep >= run.first_averaged:
+            counted.append(whole)
+        if 1 < sweep <= run.first_averaged:  # nobody reads the sweep before any more
+            _forget(f"{run.folder}/seats", sweep - 1)
+            _forget(f"{run.folder}/totals", sweep - 1)
+    made = scores(state, run, counted, groups)
     return made.select(
-        F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(wholes[0].tokens).cast("long").alias("train_tokens"), "base_score", "score",
+        F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(whole.tokens).cast("long").alias("train_tokens"), "base_score", "score",
         (-F.col("score") / F.col("n_tokens")).alias("log10_perplexity"),
     )

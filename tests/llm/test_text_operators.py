@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from broadsheet.llm import _seating as seating
 from broadsheet.llm import _text as X
 from broadsheet.llm import bpe, packing, pitmanyor, quality, tokencount, toxicity
 from broadsheet.llm import queries as Q
@@ -287,23 +288,82 @@ def test_language_model(spark, small):
 
 
 def test_language_model_probabilities_sum_to_one(spark):
-    """With a restaurant for the text start only, every other context is the parent: its and the start's probabilities can be told from scores."""
-    train = [(i, t) for i, t in enumerate(["a b", "a b", "a c", "b a", "a", "c c a b", None])]
+    """Scores of one-word and two-word texts give every probability: r[w] = 1 / P(end | w) solve a linear system, as each context's probabilities sum to one; then so must those of the text start."""
+    train = [(i, t) for i, t in enumerate(["a b", "a b a b", "a c", "b a", "a", "c c a b", None] * 3)]
     words = ["a", "b", "c", "zz"]
-    ask = [(100 + i, f"a {w}") for i, w in enumerate(words)] + [(200 + i, w) for i, w in enumerate(words)] + [(300, "")]
-    df = spark.createDataFrame(train + ask, "doc_id long, text string")
-    p = {r.doc_id: 10**r.score for r in pitmanyor.score_texts(df, F.col("doc_id") >= 100, share=2.0).collect()}
-    parent = [p[100 + i] / p[200] for i in range(4)]
-    end = 1 - sum(parent)
-    assert 0 < end < 1
-    assert sum(p[200 + i] / end for i in range(4)) + p[300] == pytest.approx(1)
+    asked = ["", *words, *[f"{v} {w}" for v in words for w in words]]
+    df = spark.createDataFrame(train + [(100 + i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    p = {r.doc_id: 10**r.score for r in pitmanyor.score_texts(df, F.col("doc_id") >= 100, averaged=3).collect()}
+    p = {t: p[100 + i] for i, t in enumerate(asked)}
+    step = np.array([[p[f"{v} {w}"] / p[v] for w in words] for v in words])
+    r = np.linalg.solve(np.eye(4) - step, np.ones(4))
+    assert (r > 1).all() and p[""] + sum(p[w] * x for w, x in zip(words, r, strict=True)) == pytest.approx(1, rel=1e-9)
+
+
+def brute_model(texts, discount, discount0, strength, sweeps, rng):
+    """Mean probabilities of words after contexts, by removing and seating one customer after the other (a restaurant for each context and one parent); sizes of tables by dish."""
+    pairs = [(u, w) for t in texts for x in [t.split()] for u, w in zip([None, *x], [*x, None], strict=True)]
+    vocabulary = {w for _, w in pairs}
+    base, seats, parent = 1 / (len(vocabulary) + 1), {u: {w: [] for w in vocabulary} for u, _ in pairs}, {w: [] for w in vocabulary}
+    people, tables = lambda r: sum(map(sum, r.values())), lambda r: sum(map(len, r.values()))
+
+    def p0(w):
+        return (sum(parent[w]) - discount0 * len(parent[w]) + (strength + discount0 * tables(parent)) * base) / (strength + people(parent))
+
+    def sit(sizes, d, new):
+        """Whether at a new table."""
+        place = rng.choices(range(len(sizes) + 1), [*(n - d for n in sizes), new])[0]
+        sizes[place : place + 1] = [sizes[place] + 1] if place < len(sizes) else [1]
+        return sizes[place] == 1
+
+    def leave(sizes):
+        """Whether the table goes, too."""
+        place = rng.choices(range(len(sizes)), sizes)[0]
+        sizes[place] -= 1
+        return not sizes[place] and sizes.pop(place) == 0
+
+    def enter(u, w):
+        if sit(seats[u][w], discount, (strength + discount * tables(seats[u])) * p0(w)):
+            sit(parent[w], discount0, (strength + discount0 * tables(parent)) * base)
+
+    for u, w in pairs:
+        enter(u, w)
+    sums, counted = defaultdict(float), 0
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if leave(seats[u][w]):
+                leave(parent[w])
+            enter(u, w)
+        if sweep >= sweeps // 5:
+            counted += 1
+            for u in seats:
+                for w in vocabulary:
+                    sums[u, w] += (sum(seats[u][w]) - discount * len(seats[u][w]) + (strength + discount * tables(seats[u])) * p0(w)) / (strength + people(seats[u]))
+    return {k: v / counted for k, v in sums.items()}
+
+
+def test_language_model_against_seating_one_by_one(spark):
+    """The mean predictive probabilities of a small corpus are those of a plain sampler that removes and seats one customer at a time."""
+    import random
+
+    texts = ["a b a b c", "a b", "b c a", "a a a b", "c", "d a b", "a b b b", "a b c d"]
+    ask = ["a", "b", "c", "d", "a b", "b a", "c a", "a a", "d a", "b b b", "a b c"]
+    df = spark.createDataFrame([*enumerate(texts), *[(100 + i, t) for i, t in enumerate(ask)]], "doc_id long, text string")
+    got = {r.doc_id: 10**r.score for r in pitmanyor.score_texts(df, F.col("doc_id") >= 100, sweeps=90, averaged=80).collect()}
+    pairs = Counter((u, w) for t in texts for x in [t.split()] for u, w in zip([None, *x], [*x, None], strict=True))
+    estimate = lambda n: min(0.9, max(0.05, n[1] / (n[1] + 2 * n[2]))) if n[1] else 0.5
+    d, d0 = estimate(Counter(pairs.values())), estimate(Counter(Counter(w for _, w in pairs).values()))
+    p = brute_model(texts, d, d0, pitmanyor.STRENGTH, 2000, random.Random(1))
+    for i, t in enumerate(ask):
+        x = t.split()
+        assert got[100 + i] == pytest.approx(math.prod(p[u, w] for u, w in zip([None, *x], [*x, None], strict=True)), rel=0.08), t
 
 
 def test_language_model_rare_contexts(spark, monkeypatch):
     """A context word below SHARE has a restaurant too: what followed it in training is likelier after it than a word as frequent elsewhere."""
     texts = ["f " * 60_000, *["left1 right1", "left2 right2"] * 3]
     df = spark.createDataFrame([*enumerate(texts), (100, "left1 right1"), (101, "left1 right2")], "doc_id long, text string")
-    p = {r.doc_id: r.score for r in pitmanyor.score_texts(df, F.col("doc_id") >= 100).collect()}
+    p = {r.doc_id: r.score for r in pitmanyor.score_texts(df, F.col("doc_id") >= 100, sweeps=3, averaged=2).collect()}
     assert p[100] > p[101] + 1
     # Totals that go through the driver and those that blocks exchange give the same model, but for the draws.
     words = [f"w{i * i % 97}" for i in range(3000)]
@@ -311,28 +371,60 @@ def test_language_model_rare_contexts(spark, monkeypatch):
     made = []
     for share in (1e-9, 2.0):
         monkeypatch.setattr(pitmanyor, "SHARE", share)
-        made.append({r.doc_id: r.score for r in pitmanyor.score_texts(df, F.col("doc_id") % 5 == 1).collect()})
+        made.append({r.doc_id: r.score for r in pitmanyor.score_texts(df, F.col("doc_id") % 5 == 1, sweeps=6).collect()})
     assert made[0] == pytest.approx(made[1], rel=0.02)
 
 
 def test_language_model_edges(docs, none):
-    got = pitmanyor.score_texts(docs, F.lit(False)).collect()
+    got = pitmanyor.score_texts(docs, F.lit(False), sweeps=2, averaged=1).collect()
     assert len(got) == docs.count() and all(r.score <= 0 and math.isfinite(r.score) for r in got)
-    assert pitmanyor.score_texts(none, F.lit(False)).count() == 0
-    unseen = pitmanyor.score_texts(docs, F.lit(True)).collect()
+    assert pitmanyor.score_texts(none, F.lit(False), sweeps=2, averaged=1).count() == 0
+    unseen = pitmanyor.score_texts(docs, F.lit(True), sweeps=2, averaged=1).collect()
     assert all(r.score == 0 and r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in unseen)
 
 
-def test_seating():
-    rng = np.random.default_rng(1)
-    customers = np.array([0, 1, 2, 50, 5000])
-    runs = np.array([pitmanyor.seated(customers, np.full(5, 0.5), np.full(5, 0.1), 0.5, rng) for _ in range(200)])
-    assert (runs[:, :2] == [0, 1]).all() and (runs[:, 2:] >= 1).all() and (runs <= customers).all()
-    exact = []
-    for _ in range(200):  # one customer at a time
-        t = 1
-        for j in range(1, 50):
-            new = (0.5 + 0.5 * t) * 0.1
-            t += rng.random() < new / (new + j - 0.5 * t)
-        exact.append(t)
-    assert abs(np.mean(exact) - runs[:, 3].mean()) < 0.6
+def stirling(discount, most):
+    """log S(c, t) of each c by the recurrence."""
+    rows = {1: np.array([0.0])}
+    for c in range(1, most):
+        t = np.arange(1, c + 2)
+        opened = np.append(-np.inf, rows[c])
+        with np.errstate(divide="ignore"):
+            stayed = np.append(rows[c], -np.inf) + np.log(np.maximum(c - discount * t, 1e-300))
+        rows[c + 1] = np.logaddexp(opened, stayed)
+    return rows
+
+
+@pytest.mark.parametrize("discount", [0.05, 0.3, 0.6, 0.77, 0.9])
+def test_stirling_numbers(discount):
+    rows = stirling(discount, 900)
+    for c in (129, 300, 900):
+        t = np.arange(1, c + 1)
+        got = seating.log_weights(np.full(c, c), t, np.ones(c), discount) + math.lgamma(c + 1)
+        assert np.abs(got - rows[c]).max() < 5e-3
+    table = seating.ratios(discount)
+    for c in (2, 7, 128):
+        assert np.allclose(np.log(table[c, 1:c]), np.diff(rows[c]))
+
+
+@pytest.mark.parametrize("customers, x", [(2, 0.3), (6, 0.9), (40, 3.0), (128, 0.5), (200, 5.0), (1000, 40.0)])
+def test_seats_follow_the_posterior(customers, x):
+    """Tables have the exact probabilities S(c, t) x^t, both by the exact draw and by the steps of large dishes."""
+    rng, n, d = np.random.default_rng(customers), 20_000, 0.7
+    log = stirling(d, customers)[customers] + np.arange(1, customers + 1) * math.log(x)
+    p = np.exp(log - log.max())
+    p /= p.sum()
+    tables = seating.tables(np.full(n, customers), np.full(n, x), d, rng)
+    for _ in range(20 if customers > seating.EXACT else 0):
+        tables = seating.tables(np.full(n, customers), np.full(n, x), d, rng, tables)
+    share = np.bincount(tables, minlength=customers + 1)[1:] / n
+    assert np.abs(share - p).sum() < 0.05 + 2 * np.sqrt(np.count_nonzero(p > 1e-4) / n)
+    assert tables.mean() == pytest.approx((p * np.arange(1, customers + 1)).sum(), rel=0.03)
+
+
+def test_gamma_variables():
+    key = np.arange(100_000, dtype=np.uint64)
+    for shape in (0.1, 0.7, 1.0, 5.5, 4000.0):
+        got = seating.gammas(np.full(len(key), shape), key, 3)
+        assert got.mean() == pytest.approx(shape, rel=0.03) and got.var() == pytest.approx(shape, rel=0.06)
+        assert np.array_equal(got[500:600], seating.gammas(np.full(100, shape), key[500:600], 3))

@@ -60,18 +60,37 @@ def test_exact(spark, digest):
 
 
 def test_exact_state_goes_on(spark, tmp_path):
+    """Rows of a second arrival are told from those of the first, compared with them, and can take their place; no text is kept twice."""
     state = exactdedup.KeyedState(spark, str(tmp_path / "s"))
-    schema = "digest string, id long, points long, locator long"
-    state.arrive(spark.createDataFrame([("a", 5, 3, 0), ("b", 1, 1, 1)], schema))
-    state.arrive(spark.createDataFrame([("a", 4, 3, 2), ("a", 3, 2, 3)], schema))
-    assert {r.digest: (r.keep_id, r.size) for r in state.entries(spark).collect()} == {"a": (4, 3), "b": (1, 1)}
-
-
-def test_exact_drop(spark):
-    df = spark.createDataFrame([(i, t, i) for i, t in CASES], "doc_id long, text string, extra long")
-    got = exactdedup.drop_exact_duplicates(df)
-    assert got.columns == df.columns and Counter(re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in got.collect()).most_common(1)[0][1] == 1
-    assert exactdedup.exact_duplicates(df.limit(0)).count() == 0
+    first = [(5, "a b"), (1, "c"), (9, None)]
+    second = [(4, "ab"), (7, "a  b"), (1, "c"), (2, "d")]
+    schema = "doc_id long, text string"
+    got = exactdedup.exact_duplicates(spark.createDataFrame(first, schema), state=state).collect()
+    assert sorted((r.doc_id, r.kept) for r in got) == [(1, True), (5, True), (9, True)]
+    got = exactdedup.exact_duplicates(spark.createDataFrame(second, schema), state=state).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 1, 2, False), (1, 1, 2, True), (2, 2, 1, True), (4, 7, 3, False), (5, 7, 3, False), (7, 7, 3, True), (9, 9, 1, True)]
+    assert {r.size for r in state.entries(spark).collect()} == {1, 2, 3}
+
+
+def test_exact_state_compares_earlier_texts(spark, tmp_path):
+    """Different texts of two arrivals under one digest stay apart."""
+    state, weak = exactdedup.KeyedState(spark, str(tmp_path / "s")), lambda c: F.substring(F.sha2(c, 256), 1, 0)
+    for k in range(2):
+        got = exactdedup.exact_duplicates(spark.createDataFrame([(k, f"text {k}"), (10 + k, "same")], "doc_id long, text string"), state=state, digest=weak).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (10, 10, True), (11, 10, False)]
+
+
+def test_exact_drop(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, i, "x") for i, t in CASES], "doc_id long, text string, digest long, row string")
+    want = sorted((w[0] is None, w[0] or 0) for w in brute_exact(CASES) if w[3])
+    for bits in (27, 1):  # a filter of two bits takes all rows for hits
+        monkeypatch.setattr(exactdedup, "FILTER_BITS", bits)
+        got = exactdedup.drop_exact_duplicates(df)
+        assert got.columns == df.columns
+        got = got.collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == want
+        assert {r.text for r in got if r.doc_id == 3} == {"a  b"}
+    assert exactdedup.drop_exact_duplicates(df.limit(0)).count() == exactdedup.exact_duplicates(df.limit(0)).count() == 0
 
 
 # Jaccard join

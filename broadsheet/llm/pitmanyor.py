@@ -40,7 +40,7 @@ from .warc import file_system
 
 #: Share of training tokens from which on a word is frequent.
 SHARE = 1e-4
-SWEEPS, AVERAGED, STRENGTH, SEED = 12, 4, 0.5, 20240101
+SWEEPS, AVERAGED, STRENGTH, SEED = 10, 4, 0.5, 20240101
 CHUNK_TOKENS, BLOCK_TOKENS, GROUP_DOCS = 700_000, 1_000_000, 20_000
 END = np.uint64(0x5E3D)
 _LN10 = float(np.log(10))
@@ -152,7 +152,8 @@ def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int) ->
         keep[lead] = True
         times[lead] = np.diff(np.append(start, len(triple)))
         order = np.flatnonzero(keep)
-        order = order[np.lexsort((word[order], place[order]))]
+        order = order[np.argsort(word[order], kind="stable")]
+        order = order[np.argsort(place[order].astype(np.uint16 if blocks <= 1 << 16 else np.int64), kind="stable")]
         word, context, before, doc, place, times = word[order], context[order], before[order], doc[order], place[order], times[order]
         start, rows = np.flatnonzero(np.append(True, place[1:] != place[:-1])), []
         for x, y in zip(start.tolist(), [*start[1:].tolist(), len(place)], strict=True):
@@ -200,7 +201,10 @@ def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int) ->
     return source.mapInArrow(run, _DEALT_SCHEMA)
 
 
-_STORED = ["words", "dishes", "contexts", "customers", "rare", "entries", "docs", "times", "keys", "ids", "sizes", "flags"]
+#: All dishes, those of several customers (with contexts numbered: frequent ones, then `active` ones), dishes of one customer by word; documents' entries; groups of documents.
+_DISHES = ["words", "dishes", "contexts", "customers", "rare"]
+_SEVERAL = ["words", "several_words", "several_contexts", "several_customers", "active", "ones"]
+_STORED = [*_DISHES, *_SEVERAL[1:], "entries", "docs", "times", "keys", "ids", "sizes", "flags"]
 _STORED_SCHEMA = "bucket int, " + ", ".join(f"{c} binary" for c in _STORED)
 
 
@@ -214,34 +218,39 @@ def assembled(rows: DataFrame, rare: int) -> DataFrame:
         if bucket < 0:
             out = {"ids": _joined(col["words"], 8), "sizes": _joined(col["counts"], 5), "keys": _joined(col["keys"], 8), "flags": b"".join(col["flags"])}
         else:
-            words, contexts, docs, times, keys, flags, base = [], [], [], [], [], [], 0
-            own = [unpacked_sorted(x) for x in col["rare"]]
-            loose = np.unique(np.concatenate(own))
+            places, docs, times, keys, flags, base = [], [], [], [], [], 0
+            of_words, own = [unpacked_sorted(x) for x in col["words"]], [unpacked_sorted(x) for x in col["rare"]]
+            words, loose = np.unique(np.concatenate(of_words)), np.unique(np.concatenate(own))
+            contexts = rare + len(loose)
             for i in range(table.num_rows):
-                words.append(np.repeat(unpacked_sorted(col["words"][i]), unplaned(col["counts"][i], 4).astype(np.int64)))
-                here = unplaned(col["contexts"][i], 4).astype(np.int32)
+                here = unplaned(col["contexts"][i], 4).astype(np.int64)
                 if len(own[i]):
                     here[here >= rare] = rare + np.searchsorted(loose, own[i])[here[here >= rare] - rare]
-                contexts.append(here)
+                places.append(np.repeat(np.searchsorted(words, of_words[i]), unplaned(col["counts"][i], 4).astype(np.int64)) * contexts + here)
                 docs.append((unplaned(col["docs"][i], 4) + np.uint64(base)).astype(np.int32))
                 times.append(unplaned(col["times"][i], 4).astype(np.int32))
                 keys.append(unplaned(col["keys"][i], 8))
                 flags.append(np.frombuffer(col["flags"][i], np.uint8))
                 base += len(keys[-1])
             del col
-            word, context, doc, time, key = (np.concatenate(x) for x in (words, contexts, docs, times, keys))
-            flag = np.concatenate(flags)
-            del words, contexts, docs, times, keys
+            place, doc, time, key, flag = (np.concatenate(x) for x in (places, docs, times, keys, flags))
+            del places, docs, times, keys
             # A document may come in several pieces: one number each, in order of keys.
             held, first, number = np.unique(key, return_index=True, return_inverse=True)
             doc = number[doc]
-            order = np.lexsort((doc, context, word))
-            word, context, doc, time = word[order], context[order], doc[order], time[order]
-            dish = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
-            start = np.flatnonzero(np.append(True, word[dish][1:] != word[dish][:-1]))
+            order = np.argsort(place, kind="stable")
+            place, doc, time = place[order], doc[order], time[order]
+            dish = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            word, context = place[dish] // contexts, place[dish] % contexts
+            customers = np.add.reduceat(np.where(flag[first][doc] & 1, time, 0), dish).astype(np.int64)
+            several = np.flatnonzero(customers > 1)
+            where = context[several]
+            active = np.unique(where[where >= rare])
+            where[where >= rare] = rare + np.searchsorted(active, where[where >= rare])
             out = {
-                "words": packed_sorted(word[dish][start]), "dishes": planes(np.diff(np.append(start, len(dish))), 4), "contexts": planes(context[dish], 4),
-                "customers": planes(np.add.reduceat(np.where(flag[first][doc] & 1, time, 0), dish), 5), "rare": packed_sorted(loose), "entries": planes(np.diff(np.append(dish, len(word))), 4),
+                "words": packed_sorted(words), "dishes": planes(np.bincount(word, minlength=len(words)), 4), "contexts": planes(context, 4), "customers": planes(customers, 5), "rare": packed_sorted(loose),
+                "several_words": planes(word[several], 4), "several_contexts": planes(where, 4), "several_customers": planes(customers[several], 5), "active": packed_sorted(loose[active - rare]),
+                "ones": planes(np.bincount(word[customers == 1], minlength=len(words)), 4), "entries": planes(np.diff(np.append(dish, len(place))), 4),
                 "docs": planes(doc, 4), "times": planes(time, 4), "keys": packed_sorted(held),
             }
         return pa.table({"bucket": pa.array([bucket], pa.int32()), **{c: pa.array([_squeezed(out[c]) if c in out else None], pa.binary()) for c in _STORED}})
@@ -287,57 +296,61 @@ class Run:
 
 
 class Block:
-    """A block's dishes as arrays."""
+    """A block's dishes with several customers as arrays; dishes of one customer are only counted, as they always have one table."""
 
     def __init__(self, row: dict, run: Run):
-        part = {c: _loose(row[c]) for c in ("words", "dishes", "contexts", "customers", "rare")}
+        part = {c: _loose(row[c]) for c in _SEVERAL}
         self.number, self.run, self.frequent = row["bucket"], run, len(run.frequent)
-        self.words, self.rare = unpacked_sorted(part["words"]), unpacked_sorted(part["rare"])
-        self.restaurants = self.frequent + len(self.rare)
-        self.word = np.repeat(np.arange(len(self.words)), unplaned(part["dishes"], 4).astype(np.int64))
-        self.where, self.customers = unplaned(part["contexts"], 4).astype(np.int64), unplaned(part["customers"], 5).astype(np.int64)
+        self.words, self.active = unpacked_sorted(part["words"]), unpacked_sorted(part["active"])
+        self.word, self.where = unplaned(part["several_words"], 4).astype(np.int64), unplaned(part["several_contexts"], 4).astype(np.int64)
+        self.customers, self.ones = unplaned(part["several_customers"], 5).astype(np.int64), unplaned(part["ones"], 4).astype(np.int64)
         at = np.minimum(np.searchsorted(run.frequent, self.words), self.frequent - 1)
         self.index = np.where(run.frequent[at] == self.words, at, -1)  # of each word among the frequent
         self.often = self.index >= 0
-        self.total = np.bincount(self.word, self.customers, len(self.words)).astype(np.int64)
-        self.many = np.flatnonzero(self.customers > 1)
-        own = self.where[self.many]
-        self.active = np.unique(own[own >= self.frequent]) - self.frequent  # rare contexts with dishes that may have several tables here
-
-    def sent(self, sweep: int) -> np.ndarray:
-        return np.arange(len(self.rare)) if self.run.whole(sweep) else self.active
-
-    def first_tables(self) -> tuple[np.ndarray, np.ndarray]:
-        tables = np.minimum(self.customers, 1)
-        return tables, np.where(self.often, 0, np.minimum(self.guests(tables), 1))
 
     def guests(self, tables: np.ndarray) -> np.ndarray:
         """Customers of each word in the parent."""
-        return np.bincount(self.word, tables, len(self.words)).astype(np.int64)
+        return self.ones + np.bincount(self.word, tables, len(self.words)).astype(np.int64)
 
     def save(self, sweep: int, tables: np.ndarray, in_parent: np.ndarray) -> None:
-        _written(f"{self.run.folder}/seats", sweep, str(self.number), _squeezed(planes(tables[self.many], 5) + planes(in_parent, 5)))
+        _written(f"{self.run.folder}/seats", sweep, str(self.number), _squeezed(planes(tables, 5) + planes(in_parent, 5)))
 
     def load(self, sweep: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tables of the dishes, and of the words in the parent (0 for frequent words), after a sweep."""
+        """Tables of the dishes with several customers, and of the words in the parent (0 for frequent words), after a sweep; at first one each."""
+        n = len(self.customers)
         if sweep == 0:
-            return self.first_tables()
-        data, tables = _loose(_stored(f"{self.run.folder}/seats", sweep, str(self.number))), np.minimum(self.customers, 1)
-        tables[self.many] = unplaned(data[: 5 * len(self.many)], 5).astype(np.int64)
-        return tables, unplaned(data[5 * len(self.many) :], 5).astype(np.int64)
-
-    def tables_of(self, whole: Whole) -> np.ndarray:
-        """Tables of each restaurant of the block, of all blocks together; of rare ones that were not sent, only those of dishes with one customer."""
-        rare = np.zeros(len(self.rare), np.int64)
-        if len(rare):
-            rare += _totals(self.run, 0, self.number, "single")
-            sent = self.sent(whole.sweep)
-            if len(sent):
-                rare[sent] += _totals(self.run, whole.sweep, self.number, "tables")
-        return np.concatenate([whole.tables, rare])
+            tables = np.ones(n, np.int64)
+            return tables, np.where(self.often, 0, np.minimum(self.guests(tables), 1))
+        data = _loose(_stored(f"{self.run.folder}/seats", sweep, str(self.number)))
+        return unplaned(data[: 5 * n], 5).astype(np.int64), unplaned(data[5 * n :], 5).astype(np.int64)
+
+    def shares(self, guests: np.ndarray, in_parent: np.ndarray, discount0: float, sweep: int) -> tuple[np.ndarray, int]:
+        """Gamma variables of the words that have dishes with several customers and are not frequent, and the units of all words' together; the others are drawn as one."""
+        asked = np.zeros(len(self.words), bool)
+        asked[self.word] = True
+        asked &= ~self.often
+        out = np.zeros(len(self.words))
+        out[asked] = word_shares(self.words[asked], guests[asked], in_parent[asked], discount0, sweep)
+        rest = ~asked & ~self.often
+        shape = float((guests[rest] - discount0 * in_parent[rest]).sum())
+        other = S.gammas(np.array([shape]), np.array([self.number + 1], np.uint64), 4 * sweep + _OF_WORD) if shape > 0 else np.zeros(1)
+        return out, units(out) + units(other)
+
+
+class Dishes:
+    """All of a block's dishes as arrays."""
+
+    def __init__(self, row: dict, block: Block):
+        part = {c: _loose(row[c]) for c in _DISHES}
+        self.rare = unpacked_sorted(part["rare"])
+        self.word = np.repeat(np.arange(len(block.words)), unplaned(part["dishes"], 4).astype(np.int64))
+        self.where, self.customers = unplaned(part["contexts"], 4).astype(np.int64), unplaned(part["customers"], 5).astype(np.int64)
+        self.total = np.bincount(self.word, self.customers, len(block.words)).astype(np.int64)
+        self.restaurants, self.frequent = block.frequent + len(self.rare), block.frequent
+        self.single = self.by_context(self.customers == 1)
 
-    def keys_of(self, where: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.run.frequent, self.rare])[where]
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.where, values, self.restaurants).astype(np.int64)
 
 
 class Whole:
@@ -346,8 +359,10 @@ class Whole:
     def __init__(self, run: Run, sums: dict[tuple[str, int], int], sweep: int, before: Whole | None):
         rare = len(run.frequent)
         pick = lambda kind: np.array([sums.get((kind, i), 0) for i in range(rare)], np.int64)
-        self.sweep, self.tables, self.guests = sweep, pick("tables"), pick("guests")  # of frequent contexts, of frequent words
+        self.sweep, self.guests = sweep, pick("guests")  # of frequent words
+        self.tables = pick("tables") + (pick("single") if before is None else before.single)  # of frequent contexts
         if before is None:
+            self.single = pick("single")
             self.customers, self.counts = pick("customers"), pick("counts")
             self.words = sums.get(("words", 0), 0) + int(np.count_nonzero(self.counts))
             estimate = lambda one, two: min(0.9, max(0.05, one / (one + 2 * two))) if one else 0.5
@@ -356,7 +371,7 @@ class Whole:
             self.tokens = sums.get(("tokens", 0), 0)
             self.in_parent = np.minimum(self.guests, 1)
         else:
-            for name in ("customers", "counts", "words", "discount", "discount0", "tokens"):
+            for name in ("single", "customers", "counts", "words", "discount", "discount0", "tokens"):
                 setattr(self, name, getattr(before, name))
             self.in_parent = S.tables(self.guests, np.full(rare, before.parent_weight()), self.discount0, np.random.default_rng([SEED, sweep]), before.in_parent if sweep > 1 else None)
         self.all_tables = sums.get(("rare_tables", 0), 0) + int(self.in_parent.sum())
@@ -395,83 +410,87 @@ def units(shares: np.ndarray) -> int:
 
 
 def swept(block: Block, whole: Whole) -> tuple[np.ndarray, np.ndarray]:
-    """The block's state after the sweep that follows `whole`: tables of dishes, and in the parent those of words that are not frequent."""
+    """The block's state after the sweep that follows `whole`: tables of dishes with several customers, and in the parent those of words that are not frequent."""
     before, in_parent = block.load(whole.sweep)
-    often, draw = block.often, np.random.default_rng([SEED, whole.sweep + 1, block.number])
-    many, kept, guests = block.many, whole.sweep > 0, np.where(often, 0, block.guests(before))
+    often, draw, kept = block.often, np.random.default_rng([SEED, whole.sweep + 1, block.number]), whole.sweep > 0
+    guests = np.where(often, 0, block.guests(before))
     if kept:
-        chance = whole.drawn(np.where(often, whole.shares[block.index], word_shares(block.words, guests, in_parent, whole.discount0, whole.sweep)))
+        chance = whole.drawn(np.where(often, whole.shares[block.index], block.shares(guests, in_parent, whole.discount0, whole.sweep)[0]))
     else:  # discounts were not known when sums were sent: the first sweep is given the mean
         chance = whole.parent(np.where(often, whole.guests[block.index], guests), np.where(often, whole.in_parent[block.index], in_parent))
-    here, number = np.unique(block.where[many], return_inverse=True)
-    z = S.gammas(STRENGTH / whole.discount + block.tables_of(whole)[here], block.keys_of(here), 4 * whole.sweep + _OF_CONTEXT)
-    tables = np.minimum(block.customers, 1)
-    tables[many] = S.tables(block.customers[many], whole.discount * z[number] * chance[block.word[many]], whole.discount, draw, before[many] if kept else None)
+    there = np.zeros(block.frequent + len(block.active), np.int64)
+    there[: block.frequent] = whole.tables
+    if len(block.active):
+        there[block.frequent :] = _totals(block.run, 0, block.number, "single_of_active") + _totals(block.run, whole.sweep, block.number, "tables_of_active")
+    z = S.gammas(STRENGTH / whole.discount + there, np.concatenate([block.run.frequent, block.active]), 4 * whole.sweep + _OF_CONTEXT)
+    tables = S.tables(block.customers, whole.discount * z[block.where] * chance[block.word], whole.discount, draw, before if kept else None)
     guests = np.where(often, 0, block.guests(tables))
     return tables, S.tables(guests, np.full(len(guests), whole.parent_weight()), whole.discount0, draw, in_parent if kept else None)
 
 
-def sums_of(block: Block, tables: np.ndarray, in_parent: np.ndarray, before: Whole | None):
-    """What the block adds to the whole: (kind, index, number) of frequent words and of all; of its rare words' restaurants the tables of dishes with several customers, and at first those of the others and the customers."""
+def sums_of(block: Block, tables: np.ndarray, in_parent: np.ndarray, before: Whole | None, dishes: Dishes | None = None):
+    """What the block adds to the whole: (kind, index, number) of frequent words and of all; `dishes` at first."""
     often, rare = block.often, block.frequent
     guests = block.guests(tables)
-    count = lambda where, n: np.bincount(where, n, block.restaurants).astype(np.int64)
-    vectors = [("tables", count(block.where, tables)[:rare]), ("guests", np.bincount(block.index[often], guests[often], rare))]
+    vectors = [("tables", np.bincount(block.where, tables, rare + len(block.active))[:rare]), ("guests", np.bincount(block.index[often], guests[often], rare))]
     scalars = [("rare_tables", in_parent.sum()), ("rare_guests", guests[~often].sum())]
-    single = people = None
     if before is not None:
-        scalars.append(("shares", units(word_shares(block.words, np.where(often, 0, guests), in_parent, before.discount0, before.sweep + 1))))
+        scalars.append(("shares", block.shares(guests, in_parent, before.discount0, before.sweep + 1)[1]))
     else:
-        people = count(block.where, block.customers)
-        vectors += [("customers", people[:rare]), ("counts", np.bincount(block.index[often], block.total[often], rare))]
+        vectors += [("single", dishes.single[:rare]), ("customers", dishes.by_context(dishes.customers)[:rare]), ("counts", np.bincount(block.index[often], dishes.total[often], rare))]
         scalars += [
-            ("words", np.count_nonzero(block.total[~often])), ("tokens", block.total.sum()), ("once", np.count_nonzero(block.customers == 1)), ("twice", np.count_nonzero(block.customers == 2)),
+            ("words", np.count_nonzero(dishes.total[~often])), ("tokens", dishes.total.sum()), ("once", np.count_nonzero(dishes.customers == 1)), ("twice", np.count_nonzero(dishes.customers == 2)),
             ("guest1", np.count_nonzero(guests[~often] == 1)), ("guest2", np.count_nonzero(guests[~often] == 2)),
         ]
-        single, people = count(block.where, block.customers == 1)[rare:], people[rare:]
-    small = [(kind, i, int(values[i])) for kind, values in vectors for i in np.flatnonzero(values).tolist()] + [(kind, 0, int(value)) for kind, value in scalars]
-    return small, count(block.where[block.many], tables[block.many])[rare:], single, people
+    return [(kind, i, int(values[i])) for kind, values in vectors for i in np.flatnonzero(values).tolist()] + [(kind, 0, int(value)) for kind, value in scalars]
 
 
-_SENT = ["kind", "place", "n", "block", "contexts", "tables", "single", "customers"]
-_SENT_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+_SENT = ["kind", "place", "n", "block", "contexts", "active", "tables", "single", "customers"]
+_SENT_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
 _SUMMED = ("tables", "single", "customers")
 
 
 def swept_sums(state: DataFrame, run: Run, before: Whole | None, blocks: int) -> DataFrame:
-    """Does a sweep (the first, of one table a dish, without `before`): blocks keep their seats and send what they add to the whole; for kind 'contexts', a row for each range (place) of contexts."""
+    """Does a sweep (the first, of one table a dish, without `before`): blocks keep their seats and send what they add to the whole; for kind 'contexts', a row for each range (place) of contexts,
+    of all rare contexts after the first and the averaged sweeps, else of those that have dishes of several customers in the block."""
     sweep = before.sweep + 1 if before else 0
+    columns = ["bucket", *(_SEVERAL if not run.whole(sweep) else [*_SEVERAL, *_DISHES[1:]] if sweep == 0 else [*_SEVERAL, "rare"])]
 
     def go(batches):
         total: dict[tuple[str, int], int] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                X.release()
-                block = Block({c: batch.column(c)[i].as_py() for c in batch.schema.names}, run)
+                row = {c: batch.column(c)[i].as_py() for c in columns}
+                block, dishes = Block(row, run), None
                 if before is None:
-                    tables, in_parent = block.first_tables()
+                    (tables, in_parent), dishes = block.load(0), Dishes(row, block)
                 else:
                     tables, in_parent = swept(block, before)
                     block.save(sweep, tables, in_parent)
-                small, seats, single, people = sums_of(block, tables, in_parent, before)
-                for kind, index, value in small:
+                for kind, index, value in sums_of(block, tables, in_parent, before, dishes):
                     total[kind, index] = total.get((kind, index), 0) + value
-                sent = block.sent(sweep)
-                place = hash_range(block.rare[sent], blocks)
+                contexts = unpacked_sorted(_loose(row["rare"])) if run.whole(sweep) else block.active
+                at = np.searchsorted(contexts, block.active)
+                active, seats = np.zeros(len(contexts), np.uint8), np.zeros(len(contexts), np.int64)
+                active[at] = 1
+                seats[at] = np.bincount(block.where, tables, block.frequent + len(block.active)).astype(np.int64)[block.frequent :]
+                place = hash_range(contexts, blocks)
                 start = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)]).tolist()
                 rows = []
-                for a, b in zip(start, [*start[1:], len(sent)], strict=True) if start else ():
-                    part = sent[a:b]
-                    more = (planes(single[part], 5), planes(people[part], 5)) if before is None else (None, None)
-                    rows.append(("contexts", int(place[a]), 0, block.number, packed_sorted(block.rare[part]), planes(seats[part], 5), *more))
+                if dishes is not None:
+                    single, people = dishes.single[block.frequent :], dishes.by_context(dishes.customers)[block.frequent :]
+                for a, b in zip(start, [*start[1:], len(contexts)], strict=True) if start else ():
+                    more = (planes(single[a:b], 5), planes(people[a:b], 5)) if dishes is not None else (None, None)
+                    rows.append(("contexts", int(place[a]), 0, block.number, packed_sorted(contexts[a:b]), np.packbits(active[a:b]).tobytes(), planes(seats[a:b], 5), *more))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _SENT_TYPES, strict=True)], _SENT)
         if total:
-            rows = [(kind, index, value, *[None] * 5) for (kind, index), value in total.items()]
+            rows = [(kind, index, value, *[None] * 6) for (kind, index), value in total.items()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _SENT_TYPES, strict=True)], _SENT)
+        X.release()
 
-    dishes = state.where("bucket >= 0").select("bucket", "words", "dishes", "contexts", "customers", "rare")
-    return settled(dishes.mapInArrow(go, "kind string, place long, n long, block int, contexts binary, tables binary, single binary, customers binary"))
+    some = state.where("bucket >= 0").select(*columns)
+    return settled(some.mapInArrow(go, "kind string, place long, n long, block int, contexts binary, active binary, tables binary, single binary, customers binary"))
 
 
 def small_sums(sent: DataFrame) -> dict[tuple[str, int], int]:
@@ -480,7 +499,7 @@ def small_sums(sent: DataFrame) -> dict[tuple[str, int], int]:
 
 
 def totals_by_block(sent: DataFrame, run: Run, sweep: int) -> None:
-    """Adds up the blocks' numbers of each rare context and keeps for each block the sums of the contexts that it sent, in their order."""
+    """Adds up the blocks' numbers of each rare context and keeps for each block the sums of the contexts that it sent, in their order, and of the active ones among them."""
 
     def add(table: pa.Table) -> pa.Table:
         col = {c: table.column(c).to_pylist() for c in ("block", "contexts", *_SUMMED)}
@@ -494,18 +513,23 @@ def totals_by_block(sent: DataFrame, run: Run, sweep: int) -> None:
                 continue
             sums = np.bincount(number, np.concatenate([unplaned(x, 5) for x in col[c]])).astype(np.int64)[number]
             out[c] = [planes(sums[a:b], 5) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"block": pa.array(col["block"], pa.int32()), "place": table.column("place"), **{c: pa.array(out[c], pa.binary()) for c in _SUMMED}})
+        return pa.table({"block": pa.array(col["block"], pa.int32()), "place": table.column("place"), "active": table.column("active"), **{c: pa.array(out[c], pa.binary()) for c in _SUMMED}})
 
     def keep(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")
-        block = table.column("block")[0].as_py()
+        block, active = table.column("block")[0].as_py(), table.column("active").to_pylist()
         for c in _SUMMED:
             col = table.column(c).to_pylist()
             if col[0] is not None:
-                _written(f"{run.folder}/totals", sweep, f"{block}-{c}", _squeezed(_joined(col, 5)))
+                sums = [unplaned(x, 5) for x in col]
+                flags = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(x)).astype(bool) for f, x in zip(active, sums, strict=True)])
+                sums = np.concatenate(sums)
+                _written(f"{run.folder}/totals", sweep, f"{block}-{c}_of_active", _squeezed(planes(sums[flags], 5)))
+                if run.whole(sweep):
+                    _written(f"{run.folder}/totals", sweep, f"{block}-{c}", _squeezed(planes(sums, 5)))
         return pa.table({"block": pa.array([block], pa.int32())})
 
-    sums = sent.where("kind = 'contexts'").select("place", "block", "contexts", *_SUMMED).groupBy("place").applyInArrow(add, "block int, place long, tables binary, single binary, customers binary")
+    sums = sent.where("kind = 'contexts'").select("place", "block", "contexts", "active", *_SUMMED).groupBy("place").applyInArrow(add, "block int, place long, active binary, tables binary, single binary, customers binary")
     sums.groupBy("block").applyInArrow(keep, "block int").write.format("noop").mode("overwrite").save()
 
 
@@ -529,22 +553,27 @@ def scores(state: DataFrame, run: Run, wholes: list[Whole], groups: int) -> Data
                     continue
                 X.release()
                 block, one = Block(row, run), wholes[0]
-                often = block.often
-                customers = np.concatenate([one.customers, _totals(run, 0, block.number, "customers")]) if len(block.rare) else one.customers
-                mean = np.zeros(len(block.word))
+                dishes, often = Dishes(row, block), block.often
+                rare = len(dishes.rare) > 0
+                of = lambda kind, sweep: _totals(run, sweep, block.number, kind) if rare else np.zeros(0, np.int64)  # noqa: B023, E731
+                customers, single = np.concatenate([one.customers, of("customers", 0)]), of("single", 0)
+                several, tables = np.flatnonzero(dishes.customers > 1), np.minimum(dishes.customers, 1)
+                mean = np.zeros(len(dishes.word))
                 for whole in wholes:
-                    tables, in_parent = block.load(whole.sweep)
-                    chance = whole.parent(np.where(often, whole.guests[block.index], block.guests(tables)), np.where(often, whole.in_parent[block.index], in_parent))[block.word]
-                    mean += (block.customers - whole.discount * tables + (STRENGTH + whole.discount * block.tables_of(whole)[block.where]) * chance) / (STRENGTH + customers[block.where])
+                    seats, in_parent = block.load(whole.sweep)
+                    tables[several] = seats
+                    chance = whole.parent(np.where(often, whole.guests[block.index], block.guests(seats)), np.where(often, whole.in_parent[block.index], in_parent))[dishes.word]
+                    all_tables = np.concatenate([whole.tables, single + of("tables", whole.sweep)])
+                    mean += (dishes.customers - whole.discount * tables + (STRENGTH + whole.discount * all_tables[dishes.where]) * chance) / (STRENGTH + customers[dishes.where])
                 logs = np.log(mean / len(wholes)) / _LN10
-                count = np.where(often, one.counts[block.index], block.total)
+                count = np.where(often, one.counts[block.index], dishes.total)
                 plain = np.log10((count + 0.5) / (one.tokens + 0.5 * (one.words + 1)))
-                dish = np.repeat(np.arange(len(block.word)), unplaned(_loose(row["entries"]), 4).astype(np.int64))
+                dish = np.repeat(np.arange(len(dishes.word)), unplaned(_loose(row["entries"]), 4).astype(np.int64))
                 doc, times, keys = unplaned(_loose(row["docs"]), 4).astype(np.int64), unplaned(_loose(row["times"]), 4).astype(np.int64), unpacked_sorted(_loose(row["keys"]))
                 n = len(keys)
                 score = np.bincount(doc, times * logs[dish], n)
-                base = np.bincount(doc, times * plain[block.word[dish]], n)
-                known = np.bincount(doc, times * (count > 0)[block.word[dish]], n).astype(np.int64)
+                base = np.bincount(doc, times * plain[dishes.word[dish]], n)
+                known = np.bincount(doc, times * (count > 0)[dishes.word[dish]], n).astype(np.int64)
                 group = (X.mix(keys) % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(group, kind="stable")
                 start = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1])).tolist()

@@ -364,7 +364,7 @@ def test_language_model_rare_contexts(spark, monkeypatch):
     texts = ["f " * 60_000, *["left1 right1", "left2 right2"] * 3]
     df = spark.createDataFrame([*enumerate(texts), (100, "left1 right1"), (101, "left1 right2")], "doc_id long, text string")
     p = {r.doc_id: r.score for r in pitmanyor.score_texts(df, F.col("doc_id") >= 100, sweeps=3, averaged=2).collect()}
-    assert p[100] > p[101] + 1
+    assert p[100] > p[101] + 0.5  # equal if the context had no restaurant
     # Totals that go through the driver and those that blocks exchange give the same model, but for the draws.
     words = [f"w{i * i % 97}" for i in range(3000)]
     df = spark.createDataFrame([(i, " ".join(words[i * 30 : i * 30 + 40])) for i in range(100)], "doc_id long, text string")

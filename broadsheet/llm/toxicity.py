@@ -2,15 +2,16 @@
 
 Features are hashed n-grams of code points (white space as one blank), present or not. The log ratio of
 each feature's smoothed frequency among toxic and other labelled texts scales it, and a logistic
-regression is fitted to the scaled features. The model is fitted to at most `SAMPLE` labelled rows of
+regression with a squared penalty is fitted to the scaled features until its gradient vanishes. A feature counts if its ratio differs from 0 by more than `SIGNIFICANT` standard errors; others are
+noise, of which the fit would make weights (figures in the README). The model is fitted to at most `SAMPLE` labelled rows of
 each class, taken by hash of their ids; its size is `2 ** BITS` numbers whatever the data. Scoring
-reads each text once.
+reads each text once, whole; a very long text is a slice of its own.
 
 Labels, language, source and ids are never features. Edge cases: a null text is an empty one and gets
 the score of the intercept; without labelled rows of both classes every score is the share
 of toxic ones (0 without labels) clipped to [0.01, 0.69]; labelled rows without a
 document, null labels and labels other than 0 and 1 are left out; several labels of one
-document count as toxic if any is.
+document count as toxic if any is; rows that share a labelled id are all fitted to. An empty table gives no rows. Carried columns with an output's name give way.
 """
 
 from __future__ import annotations
@@ -27,19 +28,15 @@ BITS = 20
 LENGTHS = (3, 4, 5, 6)
 #: Labelled rows of each class that the model is fitted to, at most.
 SAMPLE = 4000
-#: Smallest number of fitted texts of either class with a feature.
-LEAST = 4
+#: Standard errors by which a feature's log-count ratio differs from 0.
+SIGNIFICANT = 3.0
 THRESHOLD = 0.7
 #: Runs of features whose counts are added up apart.
 PARTS = 64
-#: Strength of the squared penalty, most steps and mass of the smoothing.
-PENALTY, STEPS, SMOOTHING = 1e-4, 3000, 0.5
-#: The fit ends when fifty steps lower the loss by less than this share.
-SETTLED = 0.01
-#: Smallest absolute log-count ratio of a feature that counts.
-LEAST_RATIO = 1.0
-#: Weights below this share of the largest are dropped.
-FAINT = 1e-3
+#: Strength of the squared penalty, most steps of the fit, largest entry of its last gradient, and mass of the smoothing.
+PENALTY, STEPS, FLAT, SMOOTHING = 1e-4, 500, 1e-7, 0.5
+#: Text bytes that a Python worker looks at at once.
+SLICE_BYTES = 1 << 20
 
 
 def gram_features(raw: np.ndarray, offsets: np.ndarray, lengths=LENGTHS, bits: int = BITS):
@@ -110,28 +107,40 @@ def ratios(with_1: np.ndarray, with_0: np.ndarray, n_1: int, n_0: int) -> np.nda
     """Log-count ratios of features by the numbers of texts of each class that have them; 0 where they say nothing beyond noise."""
     p, q = with_1 + SMOOTHING, with_0 + SMOOTHING
     ratio = np.log(p / (n_1 + 2 * SMOOTHING)) - np.log(q / (n_0 + 2 * SMOOTHING))
-    ratio[(np.maximum(with_1, with_0) < LEAST) | (np.abs(ratio) < LEAST_RATIO) | (np.abs(ratio) < 3 * np.sqrt(1 / p + 1 / q))] = 0
+    ratio[np.abs(ratio) < SIGNIFICANT * np.sqrt(1 / p + 1 / q)] = 0
     return ratio
 
 
-class _Sums:
-    """Sums of entries by group, from their order by group."""
-
-    def __init__(self, group: np.ndarray, n: int):
-        self.order = None if (group[1:] >= group[:-1]).all() else np.argsort(group, kind="stable")
-        ordered = group if self.order is None else group[self.order]
-        self.there, self.start = np.unique(ordered, return_index=True)
-        self.n = n
-
-    def __call__(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n)
-        if len(values):
-            out[self.there] = np.add.reduceat(values if self.order is None else values[self.order], self.start)
-        return out
+def least(loss, start: np.ndarray, memory: int = 8) -> np.ndarray:
+    """Where a convex function is least, by limited-memory quasi-Newton steps; `loss` returns value and gradient."""
+    w, (value, slope) = start, loss(start)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        if np.abs(slope).max() <= FLAT:
+            break
+        back, shares = slope.copy(), []
+        for s, y in reversed(moves):
+            shares.append(s @ back / (s @ y))
+            back -= shares[-1] * y
+        back *= moves[-1][0] @ moves[-1][1] / (moves[-1][1] @ moves[-1][1]) if moves else 1 / np.abs(slope).sum()
+        for (s, y), share in zip(moves, reversed(shares), strict=True):
+            back += s * (share - y @ back / (s @ y))
+        size, fall = 1.0, float(slope @ back)
+        while True:
+            there = w - size * back
+            new, new_slope = loss(there)
+            if new <= value - 1e-4 * size * fall or size < 1e-10:
+                break
+            size /= 2
+        s, y = there - w, new_slope - slope
+        if s @ y > 1e-16:
+            moves = [*moves, (s, y)][-memory:]
+        w, value, slope = there, new, new_slope
+    return w
 
 
 def fit(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> Model:
-    """`texts`: the distinct features of each text; `ratio`: all features' log-count ratios."""
+    """`texts`: the distinct features of each text; `ratio`: all features' log-count ratios. Each class weighs the same."""
     size, n = len(ratio), len(y)
     prior = float(np.clip(y.mean(), 0.01, 0.69)) if n else 0.01
     if not n or y.min() == y.max() or not ratio.any():
@@ -143,30 +152,21 @@ def fit(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> Model:
     take = place[column] >= 0
     row, at = row[take], place[column[take]]
     x = ratio[used][at]
-    # Logistic regression by accelerated gradient steps; each class weighs the same. Sums run over entries sorted by text and by feature.
+    scale = 1 / np.sqrt(max(float(np.median(np.bincount(row, x * x, n))), 1e-9))  # a text's features have a length of about 1
+    x = x * scale
     balance = np.where(y == 1, 0.5 / np.count_nonzero(y == 1), 0.5 / np.count_nonzero(y == 0))
-    by_text, by_feature = _Sums(row, n), _Sums(at, len(used))
-    largest = max(by_text(x * x).max(initial=0), 1e-9)
-    rate = 4 / largest
-    w, b, v, vb, before = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0, np.inf
-    for step in range(STEPS):
-        margin = by_text(x * v[at]) + vb
-        if step % 50 == 49:
-            loss = float((balance * np.logaddexp(0, np.where(y == 1, -margin, margin))).sum())
-            if loss > before * (1 - SETTLED):
-                break
-            before = loss
-        error = balance * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
-        new = v - rate * (by_feature(x * error[row]) + PENALTY * v / max(largest, 1))
-        new_b = vb - rate * float(error.sum()) * largest / 40
-        move = step / (step + 3)
-        v, vb = new + move * (new - w), new_b + move * (new_b - b)
-        w, b = new, new_b
+    sign = np.where(y == 1, 1.0, -1.0)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        margin = sign * (np.bincount(row, x * w[at], n) + w[-1])
+        error = -balance * sign / (1 + np.exp(np.clip(margin, -500, 500)))
+        slope = np.append(np.bincount(at, x * error[row], len(used)) + PENALTY * w[:-1], error.sum())
+        return float((balance * np.logaddexp(0, -margin)).sum() + PENALTY / 2 * (w[:-1] @ w[:-1])), slope
+
+    w = least(loss, np.zeros(len(used) + 1))
     weights = np.zeros(size)
-    scaled = w * ratio[used]
-    scaled[np.abs(scaled) < FAINT * np.abs(scaled).max(initial=0)] = 0
-    weights[used] = scaled
-    return Model(weights, b)
+    weights[used] = w[:-1] * ratio[used] * scale
+    return Model(weights, float(w[-1]))
 
 
 def class_counts(rows: DataFrame, text: str) -> DataFrame:
@@ -175,7 +175,7 @@ def class_counts(rows: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         counts = np.zeros((2, size), np.int32)
-        for part, raw, offsets in X.slices(batches, text):
+        for part, raw, offsets in X.slices(batches, text, SLICE_BYTES):
             doc, feature = distinct_features(raw, offsets)
             y = part.column("y").to_numpy()[doc]
             for k in (0, 1):
@@ -197,7 +197,7 @@ def class_counts(rows: DataFrame, text: str) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "toxic", size: int = SAMPLE) -> Model:
     """Fits a model to a sample of at most 2 * `size` labelled documents.
 
-    To the driver come 2 ** BITS counts of either class, and of each text of the sample those features that differ between the classes.
+    To the driver come 2 ** BITS counts of either class, and of each of the at most 2 * `size` texts those features that differ between the classes, four bytes each.
     """
     chosen = settled(sample_rows(labels.select(id_column, label), id_column, label, size))
     number = {r[0]: r[1] for r in chosen.groupBy("y").count().collect()}
@@ -209,7 +209,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", id_column
     wanted = ratio != 0
 
     def run(batches):
-        for part, raw, offsets in X.slices(batches, text):
+        for part, raw, offsets in X.slices(batches, text, SLICE_BYTES):
             doc, feature = distinct_features(raw, offsets, wanted)
             first = np.searchsorted(doc, np.arange(part.num_rows + 1))
             values = feature.astype("<u4")
@@ -229,4 +229,4 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text", keep: list[s
         scores = shared.value.scores(raw, offsets)
         return [scores, (scores >= threshold).astype(np.int32)]
 
-    return X.map_texts(df, text, [("score", "double"), ("predicted", "int")], run, keep)
+    return X.map_texts(df, text, [("score", "double"), ("predicted", "int")], run, keep, SLICE_BYTES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -186,6 +187,28 @@ def test_token_counts_of_real_words():
             assert small.count(word) == greedy(word), (word, initial, continuing)
 
 
+def test_token_counts_of_documents(spark, small):
+    """n_tokens of whole texts with the real vocabulary, by greedy matching of its pieces as strings."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=bpe.located(tokencount.VOCABULARY))
+    pieces = {p for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) for p in [model.id_to_piece(i)]}
+    longest = max(map(len, pieces))
+
+    @functools.cache
+    def greedy(word):
+        n, at, word = 0, 0, "\u2581" + word
+        while at < len(word):
+            end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in pieces), 0)
+            n, at = n + (1 if end else len(word[at].encode())), end or at + 1
+        return n
+
+    texts = {r.doc_id: r.text or "" for r in small.collect()}
+    for r in Q.op2_token_counts(spark, f"{DATA}/sf0.001").collect():
+        words = WORD.findall(texts[r.doc_id])
+        assert r.n_words == len(words) and r.n_tokens == sum(map(greedy, words)), r.doc_id
+
+
 def test_token_counts(docs, none):
     import random
 
@@ -262,6 +285,56 @@ def test_toxicity(spark):
     assert area > 0.97 and (negative >= 0.7).mean() < 0.02 and (positive >= 0.7).mean() > 0.8
 
 
+def grams(text):
+    """Distinct padded n-grams of a text, white space as blanks."""
+    padded = " " + re.sub(r"[ \t-\r]", " ", text or "") + " "
+    return {padded[i : i + k] for k in toxicity.LENGTHS for i in range(len(padded) - k + 1)}
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Ratios, fitted weights and scores of a small sample, from n-grams as strings and plain gradient descent."""
+    import random
+
+    monkeypatch.setattr(toxicity, "SIGNIFICANT", 1.5)
+    rng = random.Random(4)
+    vocabulary, bad = [f"{a}{b}" for a in ("wor", "té", "ka") for b in ("da", "li", "mo", "日本")], ["vile", "scum"]
+    rows = []
+    for i in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(3, 9))
+        if i % 3 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    texts = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(100, None, "x"), (101, "vile words", "x")], "doc_id long, text string, score string")
+    model = toxicity.train(texts, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(texts, model).collect()}
+    y = np.array([r[2] for r in rows])
+    sets = [grams(t) for _, t, _ in rows]
+    count = [Counter(g for s, label in zip(sets, y, strict=True) if label == k for g in s) for k in (0, 1)]
+    n = [int((y == k).sum()) for k in (0, 1)]
+    ratio = {}
+    for g in set().union(*sets):
+        p, q = count[1][g] + 0.5, count[0][g] + 0.5
+        r = math.log(p / (n[1] + 1)) - math.log(q / (n[0] + 1))
+        if abs(r) >= 1.5 * math.sqrt(1 / p + 1 / q):
+            ratio[g] = r
+    names = sorted(ratio)
+    assert len(names) > 20 and len(names) == np.count_nonzero(model.weights)
+    x = np.array([[ratio[g] * (g in s) for g in names] for s in sets])
+    x /= math.sqrt(np.median((x * x).sum(1)))
+    scale = x[np.nonzero(x)][0] / np.array([[ratio[g] * (g in s) for g in names] for s in sets])[np.nonzero(x)][0]
+    w, b, balance = np.zeros(len(names)), 0.0, np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+    v, vb = w.copy(), b
+    for step in range(60_000):  # accelerated gradient steps
+        error = balance * (1 / (1 + np.exp(-(x @ v + vb))) - y)
+        new, new_b = v - 0.5 * (x.T @ error + toxicity.PENALTY * v), vb - 0.5 * error.sum()
+        move = step / (step + 3)
+        v, vb, w, b = new + move * (new - w), new_b + move * (new_b - b), new, new_b
+    for i, t in [*((i, t) for i, t, _ in rows), (100, None), (101, "vile words")]:
+        own = grams(t)
+        want = 1 / (1 + math.exp(-(sum(w[k] * ratio[g] * scale for k, g in enumerate(names) if g in own) + b)))
+        assert got[i] == pytest.approx(want, abs=2e-3), (i, t)
+
+
 def test_toxicity_edges(docs, none, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (99, 1), (None, 1), (3, None), (4, 7)], "doc_id long, toxic int")
     for train in (labels, labels.limit(0), labels.where("toxic = 1")):

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Formats in the order in which they are tried.
+# Formats in the order in which they are tried (months, days and hours may have one digit), whole months, and shapes of dates.
 FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "MMMM d, yyyy", "MMM d, yyyy",
-    "M/d/yyyy", "M-d-yyyy", "d MMMM yyyy", "d MMM yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy", "yyyy-MM-dd HH:mm", "d.M.yyyy HH:mm",
+    "yyyy-M-d", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'", "yyyy-M-d'T'H:m:s.SSSSSS'Z'", "yyyy-M-d H:m:s", "yyyy/M/d", "yyyy/M/d H:m:s", "MMMM d, yyyy", "MMM d, yyyy",
+    "M/d/yyyy", "M-d-yyyy", "d MMMM yyyy", "d MMM yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy", "yyyy-M-d H:m", "d.M.yyyy H:m",
 )
 #: Whole months, which stand for their first day.
-MONTHS = (("MMMM yyyy d", " 1"), ("yyyy-MM-d", "-1"))
+MONTHS = (("MMMM yyyy d", " 1"), ("yyyy-M-d", "-1"))
 TEXT_PATTERNS = (
     r"(?i)Published:?\s*([A-Za-z]+\s+\d{1,2},?\s+\d{4})", r"(?i)Date:?\s*([A-Za-z]+\s+\d{1,2},?\s+\d{4})", r"(?i)(\d{1,2}\s+[A-Za-z]+\s+\d{4})", r"(?i)([A-Za-z]+\s+\d{1,2},?\s+\d{4})",
     r"(\d{4}-\d{2}-\d{2})", r"(\d{2}/\d{2}/\d{4})", r"(\d{1,2}/\d{1,2}/\d{4})",
@@ -43,9 +43,9 @@ def parse_date(text: Column, as_of: str) -> Column:
 
 
 def relative_date(text: Column, as_of: str) -> Column:
-    """'3 days ago', 'yesterday' and the like; a month has 30 days, a year 365."""
+    """'3 days ago', 'yesterday' and the like; a month has 30 days, a year 365. Numbers of more than six digits are no dates."""
     low, now = F.lower(F.trim(text)), _instant(as_of)
-    pattern = r"(\d{1,6})\s+(second|minute|hour|day|week|month|year)s?\s+ago"
+    pattern = r"(?<!\d)(\d{1,6})\s+(second|minute|hour|day|week|month|year)s?\s+ago"
     number, unit = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(low, pattern, 1), F.lit("")), F.lit("999999")).cast("int"), F.lit(0)), F.regexp_extract(low, pattern, 2)
     zero = F.lit(0)
     days = F.when(unit == "day", number).when(unit == "week", number * 7).when(unit == "month", number * 30).when(unit == "year", number * 365).otherwise(zero)

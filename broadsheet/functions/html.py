@@ -20,8 +20,6 @@ from pyspark.sql import types as T
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style", "noscript", "template"}
 BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "blockquote", "ul", "ol", "table", "figure", "header", "footer", "nav", "main", "aside"}
-#: Where an article's text is looked for, in order.
-CONTENT_SELECTORS = ("article", "[itemprop=articleBody]", ".article-content", ".article-body", ".post-content", ".entry-content", "main", "#content", ".content")
 CHAT_TAGS = {"b", "strong", "i", "em", "u", "s", "code", "pre", "a"}
 
 
@@ -155,31 +153,16 @@ def json_ld(root: Node) -> list[dict]:
     return out
 
 
-def scored_candidates(root: Node) -> list[tuple[float, str]]:
-    """Elements that may hold the text, by length, paragraphs and links; best first."""
-    out = []
-    for n in root.walk():
-        if n.tag in ("article", "main", "section", "div", "td"):
-            text = n.text()
-            if len(text) >= 100:
-                inside = list(n.walk())
-                linked = sum(len(x.text()) for x in inside if x.tag == "a")
-                score = len(text) / 100 + 3 * sum(x.tag == "p" for x in inside) - 30 * linked / max(len(text), 1) + (10 if n.tag in ("article", "main") else 0)
-                out.append((score, text))
-    return sorted(out, key=lambda x: (-x[0], x[1]))[:5]
-
-
 PAGE = T.StructType(
     [
-        *[T.StructField(c, T.StringType()) for c in ("title", "description", "author", "image", "published", "content", "strategy")],
+        *[T.StructField(c, T.StringType()) for c in ("title", "description", "author", "image", "published")],
         T.StructField("alternatives", T.ArrayType(T.StringType())),
-        T.StructField("candidates", T.ArrayType(T.StringType())),
     ]
 )
 
 
 def page_fields(markup: str | None, url: str | None) -> dict:
-    """Everything of a page from one parse; each field by a cascade of places."""
+    """A page's metadata from one parse; each field by a cascade of places."""
     root, base = parse(markup or ""), url or ""
     ld = json_ld(root)
     in_ld = lambda *keys: next((str(x[k]) for x in ld for k in keys if isinstance(x.get(k), str) and x[k].strip()), None)
@@ -193,22 +176,9 @@ def page_fields(markup: str | None, url: str | None) -> dict:
     published = meta(root, "article:published_time", "datePublished") or in_ld("datePublished", "dateCreated") or (time and time.attrs["datetime"]) or None
     links = [n.attrs["href"] for n in root.walk() if n.tag == "link" and n.attrs.get("rel", "") in ("canonical", "amphtml") and n.attrs.get("href")]
     links += [n.attrs["href"] for n in select(root, "a[href]") if n.text().lower() in ("read more", "continue reading", "full article")]
-    candidates = [t for _, t in scored_candidates(root)]
-    content, strategy = None, None
-    for selector in CONTENT_SELECTORS:
-        hit = first(root, selector)
-        if hit is not None and len(text := hit.text()) >= 100:
-            content, strategy = text, f"selector:{selector}"
-            break
-    if content is None and (text := in_ld("articleBody")):
-        content, strategy = text, "json-ld"
-    if content is None and (text := meta(root, "og:description", "description")) and len(text) >= 100:
-        content, strategy = text, "meta"
-    if content is None and candidates:
-        content, strategy = "\n\n".join(candidates[:3]), "scored"
     return {
         "title": title, "description": meta(root, "og:description", "description", "twitter:description"), "author": author, "image": urljoin(base, image) if image else None, "published": published,
-        "content": content, "strategy": strategy, "alternatives": list(dict.fromkeys(urljoin(base, u) for u in links)), "candidates": candidates,
+        "alternatives": list(dict.fromkeys(urljoin(base, u) for u in links)),
     }
 
 
@@ -284,35 +254,29 @@ def items(markup: pd.Series, url: pd.Series) -> pd.Series:
 
 def chat_markup(markup: str | None, most: int = 4000) -> str:
     """Only a chat client's tags, links with their address only; cut between tags, which are closed."""
-    out, open_tags, size, full = [], [], 0, False
-
-    def go(x) -> None:
-        nonlocal size, full
-        if full:
-            return
-        if isinstance(x, str):
+    out, size, stack = [], 0, [parse(markup or "")]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, tuple):  # the end of an element
+            out.append(f"</{x[0]}>")
+        elif size >= most:
+            continue
+        elif isinstance(x, str):
             piece = entities.escape(x, quote=False)
             if size + len(piece) > most:
-                piece, full = piece[: most - size].rpartition("&")[0] if "&" in piece[max(0, most - size - 6) : most - size] else piece[: most - size], True
+                piece = piece[: most - size].rpartition("&")[0] if "&" in piece[max(0, most - size - 6) : most - size] else piece[: most - size]
+                size = most
             out.append(piece)
             size += len(piece)
-            return
-        if x.tag in SILENT:
-            return
-        keep = x.tag in CHAT_TAGS and (x.tag != "a" or x.attrs.get("href"))
-        if keep:
-            opened = f'<a href="{entities.escape(x.attrs["href"])}">' if x.tag == "a" else f"<{x.tag}>"
-            out.append(opened)
-            open_tags.append(x.tag)
-            size += len(opened) + len(x.tag) + 3
-        elif x.tag == "br":
-            out.append("\n")
-        for c in x.children:
-            go(c)
-        if keep:
-            out.append(f"</{open_tags.pop()}>")
-
-    go(parse(markup or ""))
+        elif x.tag not in SILENT:
+            if x.tag in CHAT_TAGS and (x.tag != "a" or x.attrs.get("href")):
+                opened = f'<a href="{entities.escape(x.attrs["href"])}">' if x.tag == "a" else f"<{x.tag}>"
+                out.append(opened)
+                size += len(opened) + len(x.tag) + 3
+                stack.append((x.tag,))
+            elif x.tag == "br":
+                out.append("\n")
+            stack.extend(reversed(x.children))
     return "".join(out)
 
 

@@ -37,6 +37,7 @@ BOT_WALL = (
     "checking your browser before accessing", "before you continue to google", "согласие на использование файлов cookie", "consent to the use of cookies", "we use cookies and data to",
     "uses cookies to deliver its services", "cookies help us deliver our services", "javascript is not available", "javascript не доступен", "требуется включить javascript",
 )
+FURNITURE_WORDS = ("click here", "read more", "subscribe", "follow us", "menu", "navigation", "sidebar", "footer", "header")
 CONTENT_KINDS = {
     "changelog": (r"\b(version|v\d+|\d+\.\d+)", r"\b(released?|updated?|fixed?|added?|improved?)", r"\b(feature|bug|improvement|enhancement)"),
     "news": (r"\b(breaking|urgent|announced?|launched?)", r"\b(today|yesterday|this week|latest)", r"\b(update|news|press|release)"),
@@ -50,6 +51,31 @@ SUGGESTIONS = (
     ("Serbia", ("serbia", "belgrade", "serbian", "вучич", "белград", "сербия")),
     ("Science", ("science", "research", "study", "health", "medicine", "environment", "education")),
 )
+#: Keywords of a category that is chosen among several; each counts as many points as it has words.
+KEYWORDS = {
+    "Serbia": (
+        "serbia", "serbian", "belgrade", "beograd", "srbija", "srbije", "srbiju", "сербия", "сербии", "сербию", "сербский", "сербского", "сербской", "сербским", "белград", "београд", "београду", "београда",
+        "vučić", "vucic", "вучич", "вучића", "president", "government", "parliament", "ministry", "президент", "правительство", "парламент", "министерство", "novi sad", "niš", "kragujevac", "subotica", "zemun",
+        "vojvodina", "нови сад", "ниш", "крагуевац", "суботица", "земун", "воеводина", "kosovo", "metohija", "косово", "метохия", "метохију", "косова", "republika srpska", "bosnia", "республика srpska", "босния",
+        "посольство", "посольство рф", "суверенитет", "территориальная целостность", "бомбардировка", "бомбардировке", "нато", "западные страны", "сербский народ",
+    ),
+    "Tech": (
+        "technology", "tech", "software", "hardware", "computer", "digital", "internet", "web", "app", "application", "programming", "code", "artificial intelligence", "ai", "machine learning", "blockchain",
+        "cryptocurrency", "bitcoin", "startup", "innovation", "gadget", "smartphone", "tablet", "laptop", "cloud", "data", "algorithm",
+    ),
+    "Business": (
+        "business", "company", "corporation", "enterprise", "market", "economy", "financial", "finance", "investment", "profit", "revenue", "sales", "trade", "commerce", "industry", "manufacturing", "retail",
+        "banking", "stock", "shares", "merger", "acquisition", "ceo", "management", "strategy", "growth", "expansion",
+    ),
+    "Science": (
+        "science", "research", "study", "experiment", "discovery", "scientist", "university", "academic", "journal", "publication", "theory", "medicine", "medical", "health", "biology", "chemistry", "physics",
+        "mathematics", "engineering", "laboratory", "clinical", "trial",
+    ),
+}
+#: Which category counts where no keyword is found.
+PRIORITY = ("Serbia", "Science", "Tech", "Business", "Other")
+#: Characters of the content that are looked at for keywords.
+KEYWORD_CHARS = 500
 #: Keywords of the fallback category by weight: 3, 2 and 1 points. A keyword that a tier or two tiers name twice counts twice.
 WEIGHTED = {
     "AI": (
@@ -103,9 +129,9 @@ def _text(title: Column, content: Column) -> Column:
 
 
 def is_navigation(title: Column, content: Column) -> Column:
-    """The patterns begin at the text's start, so its first characters are enough for all but the first, which is the whole text."""
+    """The patterns are anchored to the text's start, the first to its end as well."""
     text = strip(_text(title, content))
-    return (F.length(text) < 20) & text.rlike("(?U)" + NAVIGATION[0]) | F.substring(text, 1, 80).rlike("(?U)" + "|".join(f"(?:{p})" for p in NAVIGATION[1:]))
+    return (F.length(text) < 20) & text.rlike("(?U)" + NAVIGATION[0]) | text.rlike("(?U)" + "|".join(f"(?:{p})" for p in NAVIGATION[1:]))
 
 
 def is_spam(title: Column, content: Column) -> Column:
@@ -208,7 +234,7 @@ def assess_content(text: Column) -> Column:
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)
     variety = F.size(F.array_distinct(tokens)).cast("double") / F.greatest(F.size(tokens), F.lit(1))
     low = F.lower(text)
-    furniture = sum((F.contains(low, F.lit(w)).cast("int") for w in ("click here", "read more", "subscribe", "follow us", "menu", "navigation", "sidebar", "footer", "header")), F.lit(0))
+    furniture = sum((F.contains(low, F.lit(w)).cast("int") for w in FURNITURE_WORDS), F.lit(0))
     score = (
         F.when(chars.between(200, 3000), 0.3).when(chars.between(100, 5000), 0.2).otherwise(0.1) + F.when(sentences >= 3, 0.2).when(sentences >= 1, 0.1).otherwise(0.0)
         + F.when(marks.between(0.02, 0.15), 0.2).when(marks.between(0.01, 0.25), 0.1).otherwise(0.0) + F.when(F.size(tokens) == 0, 0.0).when(variety >= 0.4, 0.2).when(variety >= 0.2, 0.1).otherwise(0.0)
@@ -260,6 +286,38 @@ def keyword_score(text: Column, keywords: tuple[str, ...]) -> Column:
     return reduce(lambda a, k: a + F.when(F.contains(text, F.lit(k)), len(k.split())).otherwise(0), dict.fromkeys(keywords), F.lit(0))
 
 
+def keyword_text(title: Column, content: Column) -> Column:
+    """What keywords are looked for in: the title and the first `KEYWORD_CHARS` characters of the content."""
+    part = lambda x, end="": F.coalesce(F.when(x != "", F.concat(F.lower(x), F.lit(end))), F.lit(""))
+    return F.concat(part(title, " "), part(F.substring(content, 1, KEYWORD_CHARS)))
+
+
+def _candidate_scores(text: Column, candidates: Column) -> Column:
+    """(category, place, score) of each candidate."""
+    points = F.create_map(*[x for c, words in KEYWORDS.items() for x in (F.lit(c), keyword_score(text, words))])
+    return F.transform(candidates, lambda c, i: F.struct(c.alias("category"), i.alias("place"), F.coalesce(F.try_element_at(points, c), F.lit(0)).alias("score")))
+
+
+def best_category(text: Column, candidates: Column) -> Column:
+    """Of several categories that with the most points of its keywords, the first of equals; without any, the first in `PRIORITY`, else the first. `text`: see `keyword_text`."""
+    scored = _candidate_scores(text, candidates)
+    best = F.array_max(F.transform(scored, lambda x: F.struct(x["score"].alias("score"), (-x["place"]).alias("back"), x["category"].alias("category"))))
+    preferred = F.try_element_at(F.filter(F.array(*map(F.lit, PRIORITY)), lambda p: F.array_contains(candidates, p)), F.lit(1))
+    return F.when(F.size(candidates) <= 1, F.try_element_at(candidates, F.lit(1))).when(best["score"] > 0, best["category"]).otherwise(F.coalesce(preferred, F.try_element_at(candidates, F.lit(1))))
+
+
+def category_confidences(text: Column, candidates: Column) -> Column:
+    """(name, confidence) of the candidates, most confident first: 0.6 and more by their share of all points, 0.3 without points; 0.7 less a tenth for each place where no candidate has points. Below 0.3 only if all are."""
+    scored = _candidate_scores(text, candidates)
+    total = F.aggregate(scored, F.lit(0), lambda a, x: a + x["score"])
+    share = lambda x: F.when(total == 0, F.lit(0.7) - 0.1 * x["place"]).when(x["score"] > 0, F.lit(0.6) + x["score"].cast("double") / total * 0.4).otherwise(0.3)
+    found = F.transform(scored, lambda x: F.struct((-F.round(share(x), 2)).alias("minus"), x["place"].alias("place"), x["category"].alias("name")))
+    kept = F.filter(found, lambda x: x["minus"] <= -0.3)
+    ordered = F.array_sort(F.when(F.size(kept) > 0, kept).otherwise(found))
+    many = F.transform(ordered, lambda x: F.struct(x["name"].alias("name"), (-x["minus"]).alias("confidence")))
+    return F.when(F.size(candidates) == 1, F.array(F.struct(candidates[0].alias("name"), F.lit(1.0).alias("confidence")))).otherwise(many)
+
+
 def fallback_category(title: Column, content: Column) -> Column:
     """The first category with the most points of its keywords in the whole title and content, if that has two at least; else 'Other'."""
     text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(content, F.lit(""))))

@@ -10,15 +10,14 @@ from broadsheet.shared import components, join_skewed, settled
 
 
 def mark_copies(df: DataFrame, key: Column, order: list[str], ids: list[str]) -> DataFrame:
-    """Rows with `is_copy`: an earlier row in order has their key. Nulls are a key of their own.
+    """Rows with `is_copy`: an earlier row by order and ids has their key. Nulls are a key of their own; rows that are equal in order and ids are no copies of each other.
 
-    The first row of each key is found by an aggregation, and frequent keys meet their rows by broadcast; only keys, order and ids move.
+    The first row of each key is found by an aggregation, and frequent keys meet their rows by broadcast.
     """
-    narrow = df.select(*dict.fromkeys([*ids, *order]), F.coalesce(key, F.lit("")).alias("__key"))
-    place = F.struct(*dict.fromkeys([*order, *ids]))
-    first = narrow.groupBy("__key").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n"))
-    marked = join_skewed(narrow, first, ["__key"], "__n", narrow.count()).select(*ids, (place != F.col("__first")).alias("is_copy"))
-    return df.join(marked, ids)
+    keyed, place = df.withColumn("__key", F.coalesce(key, F.lit(""))), F.struct(*dict.fromkeys([*order, *ids]))
+    first = settled(keyed.groupBy("__key").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n")))
+    total = first.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    return join_skewed(keyed, first, ["__key"], "__n", total).withColumn("is_copy", place != F.col("__first")).select(*df.columns, "is_copy")
 
 
 def new_items(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
@@ -26,17 +25,71 @@ def new_items(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
     return now.join(before.select(key).distinct(), key, "left_anti")
 
 
+def _json_string(text: Column) -> Column:
+    """A JSON string in ASCII, other characters as \\uXXXX (two of them beyond the basic plane)."""
+    plain = F.coalesce(text.cast("string"), F.lit(""))
+    code = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        short = F.when(c == '"', '\\"').when(c == "\\", "\\\\").when(n == 8, "\\b").when(n == 9, "\\t").when(n == 10, "\\n").when(n == 12, "\\f").when(n == 13, "\\r")
+        over = n - 0x10000
+        return short.when((n < 32) | ((n > 126) & (n < 0x10000)), code(n)).when(n >= 0x10000, F.concat(code(F.lit(0xD800) + F.shiftright(over, 10)), code(F.lit(0xDC00) + over.bitwiseAND(0x3FF)))).otherwise(c)
+
+    escaped = F.when(plain.rlike(r'[^ !#-\[\]-~]'), F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), 0), one), "")).otherwise(plain)
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
+
+
 def item_hash(title: Column, link: Column, description: Column) -> Column:
-    return F.md5(F.to_json(F.struct(F.substring(description, 1, 100).alias("description"), link.alias("link"), title.alias("title"))))
+    """MD5 of the item as JSON with sorted keys, in ASCII, with blanks after commas and colons; of the description the first 100 characters; missing fields are empty."""
+    fields = (("description", F.substring(description, 1, 100)), ("link", link), ("title", title))
+    parts = [x for i, (name, value) in enumerate(fields) for x in (F.lit(f'{", " if i else "{"}"{name}": '), _json_string(value))]
+    return F.md5(F.concat(*parts, F.lit("}")))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], recency: str) -> DataFrame:
-    """The latest row of each key; new rows win ties."""
+    """The latest row of each key; new rows win ties with old ones, and of equally new ones the greatest as JSON."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(recency).desc(), F.col("__new").desc()))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(recency).desc(), F.col("__new").desc(), F.to_json(F.struct(*old.columns)).desc()))
     return both.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__new")
 
 
+def without_recent_titles(articles: DataFrame, hours: int = 168) -> DataFrame:
+    """Articles (id, source_id, title, fetched_at) but those of which the same source has an article with a smaller id and the same title in any case that was not fetched more than `hours` before.
+
+    One pass in order of ids in each title of a source: the latest instant so far is enough.
+    """
+    before = F.max("fetched_at").over(Window.partitionBy("source_id", F.lower("title")).orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    recent = before >= F.col("fetched_at") - F.expr(f"make_dt_interval(0, {int(hours)}, 0, 0)")
+    marked = articles.withColumn("__recent", F.col("title").isNotNull() & F.col("source_id").isNotNull() & F.coalesce(recent, F.lit(False)))
+    return marked.where("NOT __recent").drop("__recent")
+
+
+def merge_by_url(existing: DataFrame, incoming: DataFrame, fields: list[str]) -> DataFrame:
+    """Existing articles that incoming ones update: each incoming row meets the article with the smallest id of those whose URL is among its candidates. Articles that are summarised and processed stay as they are and do not
+    come out; of the others every field takes the last incoming value that is not empty, else keeps its own. `existing`: id, url, summary, processed and the fields; `incoming`: seq, urls (candidates) and the fields."""
+    each = incoming.select("seq", *[F.col(f).alias(f"__{f}") for f in fields], F.explode(F.array_distinct(F.filter("urls", lambda u: u.isNotNull() & (u != "")))).alias("url"))
+    # The smallest article of each incoming row, by keys alone; then the fields.
+    hit = each.select("seq", "url").join(existing.select("id", "url"), "url").groupBy("seq").agg(F.min("id").alias("id"))
+    given = incoming.select("seq", *[F.col(f).alias(f"__{f}") for f in fields]).join(hit, "seq")
+    last = given.groupBy("id").agg(*[F.max_by(f"__{f}", F.when(F.col(f"__{f}").isNotNull() & (F.col(f"__{f}").cast("string") != ""), F.col("seq"))).alias(f"__{f}") for f in fields])
+    open_ = existing.where(~F.coalesce(F.col("processed") & F.col("summary").isNotNull() & (F.col("summary") != ""), F.lit(False)))
+    return open_.join(last, "id").select("id", *[F.coalesce(F.nullif(F.col(f"__{f}").cast("string"), F.lit("")).cast(existing.schema[f].dataType), F.col(f)).alias(f) for f in fields])
+
+
+def list_page_fallback(items: DataFrame) -> DataFrame:
+    """(page, is_fallback): whether a list page's items are one element of the whole page taken for an item: more than half of the links are missing or lead to the page itself, several items have one and the same link, or
+    the only item has more than 5,000 characters. `items`: page, base (the page's address), link, description. Addresses are compared without query, fragment and closing slashes."""
+    plain = lambda u: F.rtrim(F.regexp_replace(u, r"[?#].*$", ""), F.lit("/"))
+    blank = F.col("link").isNull() | (F.col("link") == "")
+    link = F.when(~blank, plain(F.col("link")))
+    known = items.groupBy("page").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(blank | (link == plain(F.col("base")))).alias("at_base"), F.min(link).alias("least"), F.max(link).alias("most"), F.max(F.length("description")).alias("chars")
+    )
+    same = F.coalesce((F.col("least") == F.col("most")) & (F.col("n") > 1), F.lit(False))
+    return known.select("page", ((F.col("at_base") > 0.5 * F.col("n")) | same | ((F.col("n") == 1) & (F.coalesce("chars", F.lit(0)) > 5000))).alias("is_fallback"))
+
+
 def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows, and new rows whose keys are not among them."""
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti").select(*old.columns))

@@ -104,9 +104,10 @@ def primary_category(bridge: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def category_counts(bridge: DataFrame, categories: DataFrame) -> DataFrame:
-    """Articles by category, empty ones with 0; counted before the join, so the bridge shuffles by category only."""
+    """Articles by category name in lower case, empty ones with 0; names that differ in case only count together. Counted before the join, so the bridge shuffles by category only."""
     counts = bridge.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
-    return categories.join(counts, categories.id == counts.category_id, "left").select(F.lower("name").alias("name"), F.coalesce("n", F.lit(0).cast("long")).alias("articles"))
+    named = categories.join(counts, categories.id == counts.category_id, "left").select(F.lower("name").alias("name"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return named.groupBy("name").agg(F.sum("n").alias("articles"))
 
 
 def source_counts(articles: DataFrame, sources: DataFrame, keep_empty: bool = False, enabled_only: bool = True) -> DataFrame:

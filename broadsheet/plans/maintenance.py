@@ -14,7 +14,6 @@ from .registry import plan
 #: Label rules in order; keys match as substrings either way. Settings of the queries, not of the operator.
 RULES = (("europe", "International"), ("world", "International"), ("health", "Science"), ("sports", "Other"), ("law", "Politics"), ("climate", "Science"), ("news", "Other"), ("brass", "Tech"), ("steel", "Business"))
 VALID = ("Serbia", "Tech", "Business", "Science", "Other")
-KEYWORDS = {"Tech": ("ing", "software", "machine learning", "tion"), "Business": ("market", "ent", "the"), "Science": ("research", "study", "ore"), "Serbia": ("belgrade", "novi sad", "ia")}
 
 
 def _rules(d: Domain):
@@ -47,7 +46,10 @@ plan(
 plan("o072_snapshot_diff", "SELECT page_id, md5(url) AS h FROM pages WHERE md5(url) NOT IN (SELECT md5(concat('https://', source, '.example.org/', doc_id)) FROM documents)")(
     lambda d: Q.new_items(d.table("pages").select("page_id", F.md5("url").alias("h")), d.articles.select(F.md5("url").alias("h")), "h").select("page_id", "h")
 )
-plan("o243_item_hashes", None)(lambda d: d.articles.select("id", Q.item_hash(F.col("title"), F.col("url"), F.col("content")).alias("h")))
+_ESCAPE = lambda t: f"""concat('"', array_to_string(list_transform(string_split(coalesce({t}, ''), ''), lambda c: CASE WHEN c = '' THEN '' WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN unicode(c) = 8 THEN '\\b' WHEN unicode(c) = 9 THEN '\\t'
+    WHEN unicode(c) = 10 THEN '\\n' WHEN unicode(c) = 12 THEN '\\f' WHEN unicode(c) = 13 THEN '\\r' WHEN unicode(c) >= 65536 THEN printf('\\u%04x\\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024)
+    WHEN unicode(c) < 32 OR unicode(c) > 126 THEN printf('\\u%04x', unicode(c)) ELSE c END), ''), '"')"""
+plan("o243_item_hashes", f"""SELECT id, md5(concat('{{"description": ', {_ESCAPE('substring(content, 1, 100)')}, ', "link": ', {_ESCAPE('url')}, ', "title": ', {_ESCAPE('title')}, '}}')) AS h FROM articles""")(lambda d: d.articles.select("id", Q.item_hash(F.col("title"), F.col("url"), F.col("content")).alias("h")))
 plan("o147_titles_once", "SELECT id FROM articles QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY id) = 1")(
     lambda d: d.articles.groupBy(F.lower("title")).agg(F.min("id").alias("id")).select("id")
 )
@@ -63,21 +65,24 @@ plan(
        SELECT id, duplicate FROM f""",
 )(lambda d: Q.window_duplicates(d.articles.select("id", F.col("published_at").alias("at"), F.md5(F.lower(X.strip(F.col("content")))).alias("hash"))))
 plan("o141_greedy_batch", None)(
-    lambda d: Q.greedy_by_source(d.articles.select("source_id", F.col("id").alias("seq"), "id", F.substring("title", 1, 12).alias("title"), F.array("url", F.concat(F.lit("k"), (F.col("id") % 997).cast("string"))).alias("urls")))
+    lambda d: Q.greedy_by_source(d.articles.select("source_id", F.col("id").alias("seq"), "id", "title", F.array("url", F.concat(F.lit("k"), (F.col("id") % 997).cast("string"))).alias("urls")))
+)
+_INCOMING = "SELECT doc_id AS seq, concat('https://', source, '.example.org/', doc_id) AS u1, CASE WHEN doc_id % 4 = 0 THEN concat('https://', source, '.example.org/', doc_id + 1) END AS u2, CASE WHEN doc_id % 3 > 0 THEN upper(source) ELSE '' END AS title, CASE WHEN doc_id % 5 > 0 THEN text END AS content FROM documents"
+plan(
+    "o142_merged_rows",
+    f"""WITH i AS ({_INCOMING}), e AS (SELECT seq, u1 AS url FROM i UNION SELECT seq, u2 FROM i WHERE u2 IS NOT NULL),
+       h AS (SELECT e.seq, min(a.id) AS id FROM e JOIN articles a ON a.url = e.url GROUP BY 1),
+       l AS (SELECT h.id, arg_max(i.title, i.seq) FILTER (i.title <> '') AS title, arg_max(i.content, i.seq) FILTER (i.content <> '') AS content FROM h JOIN i ON i.seq = h.seq GROUP BY 1)
+       SELECT a.id, coalesce(l.title, a.title) AS title, md5(coalesce(l.content, a.content)) AS h FROM articles a JOIN l ON a.id = l.id WHERE NOT coalesce(a.processed AND a.summary IS NOT NULL AND a.summary <> '', false)""",
+)(
+    lambda d: Q.merge_by_url(d.articles, d.spark.sql(_INCOMING.replace("FROM documents", "FROM {documents}"), documents=d.table("documents")).withColumn("urls", F.array("u1", "u2")), ["title", "content"]).select("id", "title", F.md5("content").alias("h"))
 )
-plan("o142_merged_rows", "SELECT a.id, coalesce(a.summary, substring(b.text, 1, 50)) AS summary FROM articles a LEFT JOIN documents b ON a.id = b.doc_id WHERE NOT (a.summary IS NOT NULL AND a.processed)")(
-    lambda d: d.articles.select("id", "summary", "processed").where("NOT (summary IS NOT NULL AND processed)").join(d.table("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 50).alias("fresh")), "id", "left")
-    .select("id", F.coalesce("summary", "fresh").alias("summary"))
-)
 plan(
     "o143_recent_titles",
     "SELECT a.id FROM articles a WHERE NOT EXISTS (SELECT 1 FROM articles b WHERE b.source_id = a.source_id AND lower(b.title) = lower(a.title) AND b.id < a.id AND b.fetched_at >= a.fetched_at - INTERVAL 168 HOUR)",
 )(
-    lambda d: d.articles.select("id", "source_id", F.lower("title").alias("t"), "fetched_at").join(
-        d.articles.select(F.col("source_id").alias("s"), F.lower("title").alias("u"), F.col("id").alias("other"), F.col("fetched_at").alias("seen")),
-        (F.col("source_id") == F.col("s")) & (F.col("t") == F.col("u")) & (F.col("other") < F.col("id")) & (F.col("seen") >= F.col("fetched_at") - F.expr("interval 168 hours")), "left_anti",
-    ).select("id")
-)
+    lambda d: Q.without_recent_titles(d.articles.select("id", "source_id", "title", "fetched_at")).select("id")
+)
 plan("o140_upsert", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")(
     lambda d: Q.upsert(
         d.table("orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", "o_totalprice", F.struct("o_orderdate", "o_orderkey").alias("at")),
@@ -121,37 +126,46 @@ plan("o152_merged_feeds", f"SELECT id, url FROM articles WHERE published_at >= t
 plan("o153_backfill", "SELECT DISTINCT b.article_id, c.id AS category_id FROM (SELECT article_id, string_split(replace(ai_category, ' ', '|'), '|')[1] AS part FROM article_categories) b JOIN categories c ON lower(b.part) = lower(c.name)")(
     lambda d: d.article_categories.select("article_id", F.lower(F.split(F.replace("ai_category", F.lit(" "), F.lit("|")), r"\|")[0]).alias("part")).join(F.broadcast(d.categories.select(F.lower("name").alias("part"), F.col("id").alias("category_id"))), "part").select("article_id", "category_id").distinct()
 )
-_KW = lambda c: " + ".join(f"CASE WHEN contains(lower(substring(content, 1, 500)), '{k}') THEN {len(k.split())} ELSE 0 END" for k in KEYWORDS[c])
-_ROWS = " UNION ALL ".join(f"SELECT id, '{c}' AS category, {_KW(c)} AS score, {i} AS place FROM articles" for i, c in enumerate(KEYWORDS))
+_CANDIDATES = {0: ("Tech", "Business"), 1: ("Science", "Serbia", "Other"), 2: ("Business", "Other", "Health", "Science"), 3: ("Health",)}
 
 
-def _scored(d: Domain):
-    text = F.lower(F.substring("content", 1, 500))
-    each = F.array(*[F.struct(F.lit(c).alias("category"), S.keyword_score(text, ks).alias("score"), F.lit(i).alias("place")) for i, (c, ks) in enumerate(KEYWORDS.items())])
-    return d.articles.select("id", F.inline(each))
+def _candidates(d: Domain):
+    chosen = F.when(F.lit(False), F.array(F.lit("")))
+    for k, names in _CANDIDATES.items():
+        chosen = chosen.when(F.col("id") % 4 == k, F.array(*map(F.lit, names)))
+    return d.articles.select("id", S.keyword_text(F.col("title"), F.col("content")).alias("t"), chosen.alias("c"))
 
 
-plan("o200_best_category", f"SELECT id, category FROM ({_ROWS}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, place) = 1")(
-    lambda d: _scored(d).groupBy("id").agg(F.max_by("category", F.struct("score", (-F.col("place")).alias("p"))).alias("category"))
-)
+_TEXT = f"concat(CASE WHEN title <> '' THEN concat(lower(title), ' ') ELSE '' END, lower(substring(coalesce(content, ''), 1, {S.KEYWORD_CHARS})))"
+_KW = lambda c: " + ".join(f"CASE WHEN contains(t, '{k}') THEN {len(k.split())} ELSE 0 END" for k in S.KEYWORDS.get(c, ())) or "0"
+_ROWS = " UNION ALL ".join(f"SELECT id, '{c}' AS category, {_KW(c)} AS score, {i} AS place, {len(cs)} AS n FROM x WHERE id % 4 = {k}" for k, cs in _CANDIDATES.items() for i, c in enumerate(cs))
+plan(
+    "o200_best_category",
+    f"""WITH x AS (SELECT id, {_TEXT} AS t FROM articles), r AS ({_ROWS}), m AS (SELECT *, max(score) OVER (PARTITION BY id) AS top FROM r)
+       SELECT id, arg_min(category, CASE WHEN top > 0 AND n > 1 THEN place - score * 100 ELSE coalesce(list_position({list(S.PRIORITY)}, category), 100) * 10 + place END) AS category FROM m GROUP BY id""",
+)(lambda d: _candidates(d).select("id", S.best_category(F.col("t"), F.col("c")).alias("category")))
 plan(
     "o201_category_confidences",
-    f"""SELECT id, category, round(CASE WHEN total = 0 THEN 0.7 - 0.1 * place WHEN score > 0 THEN 0.6 + score::DOUBLE / total * 0.4 ELSE 0.3 END::DOUBLE, 2) AS confidence FROM (SELECT *, sum(score) OVER (PARTITION BY id) AS total FROM ({_ROWS}))""",
-)(
-    lambda d: d.articles.select("id", F.lower(F.substring("content", 1, 500)).alias("t")).select(
-        "id", F.array(*[F.struct(F.lit(c).alias("category"), S.keyword_score(F.col("t"), ks).alias("score"), F.lit(i).alias("place")) for i, (c, ks) in enumerate(KEYWORDS.items())]).alias("x")
-    ).withColumn("total", F.aggregate("x", F.lit(0), lambda a, s: a + s["score"])).select("id", "total", F.inline("x")).select(
-        "id", "category",
-        F.round(F.when(F.col("total") == 0, F.lit(0.7) - F.lit(0.1) * F.col("place")).when(F.col("score") > 0, F.lit(0.6) + F.col("score").cast("double") / F.col("total") * 0.4).otherwise(0.3), 2).alias("confidence"),
-    )
-)
-plan("o202_weighted_category", f"SELECT id, CASE WHEN score >= 2 THEN category ELSE 'Other' END AS category FROM ({_ROWS}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, place) = 1")(
-    lambda d: _scored(d).groupBy("id").agg(F.max(F.struct("score", (-F.col("place")).alias("p"), "category")).alias("b")).select("id", F.when(F.col("b.score") >= 2, F.col("b.category")).otherwise("Other").alias("category"))
-)
-plan("o202_fallback_category")(lambda d: d.articles.select("id", S.fallback_category(F.col("title"), F.col("content")).alias("category")))
-plan("o213_list_page_fallback", "SELECT domain, count(*) FILTER (success)::DOUBLE / count(*) > 0.5 OR count(DISTINCT strategy) = 1 AND count(*) > 1 AS is_fallback FROM attempts GROUP BY 1")(
-    lambda d: d.attempts.groupBy("domain").agg(((F.count_if("success").cast("double") / F.count(F.lit(1)) > 0.5) | ((F.countDistinct("strategy") == 1) & (F.count(F.lit(1)) > 1))).alias("is_fallback"))
-)
+    f"""WITH x AS (SELECT id, {_TEXT} AS t FROM articles), r AS ({_ROWS}),
+       s AS (SELECT *, CASE WHEN n = 1 THEN 1.0 WHEN sum(score) OVER (PARTITION BY id) = 0 THEN 0.7 - 0.1 * place WHEN score > 0 THEN 0.6 + score::DOUBLE / sum(score) OVER (PARTITION BY id) * 0.4 ELSE 0.3 END::DOUBLE AS c FROM r)
+       SELECT id, category, round(c, 2) AS confidence, row_number() OVER (PARTITION BY id ORDER BY round(c, 2) DESC, place) - 1 AS place FROM s WHERE round(c, 2) >= 0.3""",
+)(lambda d: _candidates(d).select("id", F.posexplode(S.category_confidences(F.col("t"), F.col("c"))).alias("place", "x")).select("id", F.col("x.name").alias("category"), F.round("x.confidence", 2).alias("confidence"), F.col("place").cast("long").alias("place")))
+_POINTS = {c: " + ".join(f"CASE WHEN contains(t, '{k}') THEN {3 - i} ELSE 0 END" for i, tier in enumerate(tiers) for k in (x.replace("'", "''") for x in tier)) for c, tiers in S.WEIGHTED.items()}
+plan(
+    "o202_fallback_category",
+    f"""WITH x AS (SELECT id, lower(concat(coalesce(title, ''), ' ', coalesce(content, ''))) AS t FROM articles),
+       r AS ({" UNION ALL ".join(f"SELECT id, '{c}' AS category, {points} AS score, {i} AS place FROM x" for i, (c, points) in enumerate(_POINTS.items()))})
+       SELECT id, CASE WHEN max(score) >= 2 THEN arg_max(category, score * 100 - place) ELSE 'Other' END AS category FROM r GROUP BY id""",
+)(lambda d: d.articles.select("id", S.fallback_category(F.col("title"), F.col("content")).alias("category")))
+_ITEMS = """SELECT l_orderkey AS page, concat('https://l', l_orderkey, '.example/list/?all#top') AS base,
+    CASE WHEN l_returnflag = 'N' AND l_partkey % 3 > 0 THEN concat('https://l', l_orderkey, '.example/list?page=', l_linenumber) WHEN l_returnflag = 'R' AND l_partkey % 2 = 0 THEN '' WHEN l_returnflag = 'R' THEN NULL
+         ELSE concat('https://l', l_orderkey, '.example/', l_partkey % 2, '/?x') END AS link, repeat('d', CAST(l_quantity AS INT) * 120) AS description FROM """
+_BARE = "rtrim(regexp_replace({}, '[?#].*$', ''), '/')"
+plan(
+    "o213_list_page_fallback",
+    f"""WITH i AS ({_ITEMS} lineitem), b AS (SELECT page, CASE WHEN link <> '' THEN {_BARE.format("link")} END AS link, {_BARE.format("base")} AS base, length(description) AS chars FROM i)
+       SELECT page, count(*) FILTER (link IS NULL OR link = base) > 0.5 * count(*) OR count(DISTINCT link) = 1 AND count(*) > 1 OR count(*) = 1 AND max(chars) > 5000 AS is_fallback FROM b GROUP BY page""",
+)(lambda d: Q.list_page_fallback(d.spark.sql(_ITEMS + "{lineitem}", lineitem=d.table("lineitem"))))
 plan("o214_merged_fields", "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, false AS is_advertisement FROM events")(
     lambda d: d.table("events").select("event_id", F.from_json("props", "k bigint, is_advertisement boolean").alias("j")).select("event_id", F.coalesce("j.k", F.lit(0)).alias("k"), F.coalesce("j.is_advertisement", F.lit(False)).alias("is_advertisement"))
 )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from broadsheet.domain import Domain
+from broadsheet.functions import extraction as E
 from broadsheet.functions import html as H
-from broadsheet.functions import scoring as S
 from broadsheet.operators import digest as G
 
 from .registry import plan
@@ -16,44 +16,60 @@ def _page(d: Domain):
     return d.table("pages").select("page_id", "url", "html").withColumn("p", H.page("html", "url"))
 
 
+def _content(d: Domain):
+    return d.table("pages").select("page_id", E.content("html", F.lit(None).cast("string")).alias("c"))
+
+
 plan("o234_page_metadata")(lambda d: _page(d).select("page_id", "p.title", "p.description", "p.author", "p.published"))
 plan("o233_json_ld_date")(lambda d: _page(d).select("page_id", "p.published"))
 plan("o235_primary_images")(lambda d: _page(d).select("page_id", "p.image"))
 plan("o236_alternative_links")(lambda d: _page(d).select("page_id", F.array_join("p.alternatives", " ").alias("links")))
-plan("o237_selected_content")(lambda d: _page(d).select("page_id", "p.strategy", F.md5("p.content").alias("h"), F.length("p.content").alias("chars")))
-plan("o238_scored_candidates")(lambda d: _page(d).select("page_id", F.posexplode("p.candidates").alias("place", "text")).select("page_id", "place", F.length("text").alias("chars")))
+plan("o237_selected_content")(lambda d: _content(d).select("page_id", "c.strategy", F.md5("c.content").alias("h"), F.length("c.content").alias("chars")))
+plan("o238_scored_candidates")(lambda d: d.table("pages").select("page_id", F.posexplode(E.scored("html")).alias("place", "c")).select("page_id", "place", "c.score", F.length("c.text").alias("chars")))
 plan("o240_extraction_cascade")(
-    lambda d: _page(d).select("page_id", F.when(S.is_good_content(F.col("p.content"), True), F.col("p.content")).when(S.is_good_content(F.col("p.description")), F.col("p.description")).alias("content")).select("page_id", F.length("content").alias("chars"))
+    lambda d: d.table("pages").select("page_id", E.content("html", F.when(F.col("page_id") % 3 == 0, "article p")).alias("c")).select("page_id", "c.strategy", F.length("c.content").alias("chars"))
 )
-plan("o239_without_boilerplate")(lambda d: _page(d).select("page_id", F.size(F.filter("p.candidates", lambda t: ~F.lower(t).rlike("cookie|subscribe|advertisement"))).alias("kept")))
+plan("o239_without_boilerplate")(lambda d: d.table("pages").select("page_id", E.main_text("html").alias("t")).select("page_id", F.length("t").alias("chars"), F.md5("t").alias("h")))
 plan("o008_page_items")(lambda d: d.table("pages").select("page_id", F.explode(H.items("html", "url")).alias("i")).select("page_id", "i.title", "i.link"))
 plan("o172_chat_markup")(lambda d: d.table("pages").select("page_id", F.md5(H.chat_html("html")).alias("h")))
-plan("o173_short_markup")(lambda d: d.table("pages").select("page_id", F.length(H.chat_html("html")).alias("chars")))
+plan("o173_short_markup")(lambda d: d.table("pages").select("page_id", E.short_markup(1000)("html").alias("t")).select("page_id", F.length("t").alias("chars"), F.md5("t").alias("h")))
 
 
 def _channel(d: Domain):
     """Conversations as channel pages, one a conversation."""
     turn = F.concat(
         F.lit('<div class="tgme_widget_message" data-post="c/'), F.col("turn").cast("string"), F.lit('"><div class="tgme_widget_message_text">'), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
-        F.lit('</div><a class="tgme_widget_message_date" href="https://t.me/c/'), F.col("turn").cast("string"), F.lit('"><time datetime="2024-01-02T03:04:05+00:00"></time></a></div>'),
+        F.lit('</div>'), F.when(F.col("turn") % 2 == 0, F.concat(F.lit('<i class="photo" style="width:9px;background-image:url(\'https://cdn.example/'), F.col("turn").cast("string"), F.lit(".jpg\')\"></i>"))).otherwise(""),
+        F.when(F.col("turn") % 3 == 0, F.concat(F.lit('<video src="https://cdn.example/'), F.col("turn").cast("string"), F.lit('.mp4"></video>'))).otherwise(""), F.lit('<a class="tgme_widget_message_date" href="https://t.me/c/'), F.col("turn").cast("string"), F.lit('"><time datetime="2024-01-02T03:04:05+00:00"></time></a></div>'),
     )
     return d.table("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", turn.alias("m")))), lambda x: x["m"]), "").alias("html"))
 
 
-plan("o007_channel_messages", "SELECT conv_id, turn AS message FROM conversations WHERE length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) >= 20")(
+plan("o007_channel_messages", "SELECT conv_id, turn AS message FROM conversations WHERE (length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) >= 20 OR turn % 2 = 0 OR turn % 3 = 0)")(
     lambda d: _channel(d).select("conv_id", F.explode(H.messages("html")).alias("m")).select("conv_id", F.col("m.message_id").cast("long").alias("message"))
 )
-plan("o241_message_articles", "SELECT conv_id, turn AS message, concat('https://t.me/c/', turn) AS url, md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS h FROM conversations WHERE length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) >= 20")(
+plan("o241_message_articles", "SELECT conv_id, turn AS message, concat('https://t.me/c/', turn) AS url, md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS h FROM conversations WHERE (length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) >= 20 OR turn % 2 = 0 OR turn % 3 = 0)")(
     lambda d: _channel(d).select("conv_id", F.explode(H.messages("html")).alias("m")).select("conv_id", F.col("m.message_id").cast("long").alias("message"), "m.url", F.md5("m.text").alias("h"))
 )
-plan("o232_message_media")(lambda d: _channel(d).select("conv_id", F.explode(H.messages("html")).alias("m")).select("conv_id", "m.message_id", F.size("m.media").alias("media")))
+plan(
+    "o232_message_media",
+    """SELECT conv_id, turn AS message, kind, url FROM (SELECT DISTINCT conv_id, turn FROM conversations) c,
+       (VALUES ('image', 2, '.jpg'), ('video', 3, '.mp4')) k(kind, every, ending), LATERAL (SELECT concat('https://cdn.example/', c.turn, k.ending) AS url) WHERE turn % every = 0""",
+)(
+    lambda d: _channel(d).select("conv_id", F.explode(H.messages("html")).alias("m")).select("conv_id", F.col("m.message_id").cast("long").alias("message"), F.explode("m.media").alias("x"))
+    .select("conv_id", "message", F.col("x.type").alias("kind"), "x.url").distinct()
+)
 plan("o242_thread_articles")(
     lambda d: d.table("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t")).select(
         "conv_id", F.element_at("t", 1)["text"].alias("post"),
         F.array_join(F.transform(F.slice(F.filter(F.slice("t", 2, 1 << 30), lambda c: (F.length(c["text"]) > 20) & (c["role"] != "system")), 1, 5), lambda c: c["text"]), "\n\n").alias("comments"),
     ).select("conv_id", F.length("post").alias("post_chars"), F.length("comments").alias("comment_chars"))
 )
-plan("o011_decoded")(lambda d: d.table("pages").select("page_id", H.decode_bytes(F.encode("html", "UTF-8"), F.lit("utf-8")).alias("t")).select("page_id", F.md5("t").alias("h")))
+_BYTES = "CASE page_id % 5 WHEN 0 THEN encode(html, 'UTF-8') WHEN 1 THEN encode(html, 'UTF-16') WHEN 2 THEN encode(html, 'ISO-8859-1') WHEN 3 THEN encode(html, 'UTF-8') ELSE unhex(concat('EFBBBF', hex(encode(html, 'UTF-8')))) END"
+_DECLARED = "CASE page_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN NULL WHEN 2 THEN 'iso-8859-1' WHEN 3 THEN 'no-such-set' END"
+plan("o011_decoded", "SELECT page_id, md5(html) AS h FROM pages WHERE page_id % 5 <> 2 OR regexp_full_match(html, '[\\x00-\\x{FF}]*')")(
+    lambda d: d.table("pages").where("page_id % 5 <> 2 OR html rlike '^[\\\\x00-\\\\xff]*$'").select("page_id", H.decode_bytes(F.expr(_BYTES), F.expr(_DECLARED)).alias("t")).select("page_id", F.md5("t").alias("h"))
+)
 
 _BLOCK = "concat('<b>', category, '</b>', chr(10), trim(summary_text), chr(10))"
 plan(

@@ -131,10 +131,11 @@ _TAGGED = "replace(replace(coalesce(text, ''), ' the ', ' #The '), '***', ' #sta
 plan("o169_hashtags", f"SELECT doc_id, array_to_string(list_distinct_first[1:20], ',') AS tags FROM (SELECT doc_id, list_filter(tags, lambda t, i: list_position(tags, t) = i) AS list_distinct_first FROM (SELECT doc_id, list_transform(regexp_extract_all({_TAGGED}, '(?:^|\\s)#([\\p{{L}}\\p{{N}}_]+)', 1), lambda t: lower(t)) AS tags FROM documents))")(
     lambda d: d.table("documents").select("doc_id", F.array_join(X.hashtags(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(" the "), F.lit(" #The ")), F.lit("***"), F.lit(" #star"))), ",").alias("tags"))
 )
-plan("o146_distinct_in_order", "SELECT doc_id, array_to_string(list_filter(w, lambda t, i: list_position(w, t) = i), ' ') AS words FROM (SELECT doc_id, " + _words("coalesce(text, '')") + "[1:300] AS w FROM documents)")(
-    lambda d: d.table("documents").select("doc_id", F.array_join(F.array_distinct(F.slice(X.words(F.coalesce("text", F.lit(""))), 1, 300)), " ").alias("words"))
-)
-plan("o146_distinct_words")(lambda d: d.table("documents").select("doc_id", F.array_join(F.array_distinct(X.words(F.coalesce("text", F.lit("")))), " ").alias("words")))
+plan(
+    "o146_distinct_in_order",
+    f"""SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY p), '') AS words FROM (SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM (SELECT doc_id, {_words("coalesce(text, '')")} AS ws FROM documents)) GROUP BY ALL) GROUP BY doc_id
+        UNION ALL SELECT doc_id, '' FROM (SELECT doc_id, {_words("coalesce(text, '')")} AS ws FROM documents) WHERE len(ws) = 0""",
+)(lambda d: d.table("documents").select("doc_id", F.array_join(F.array_distinct(X.words(F.coalesce("text", F.lit("")))), " ").alias("words")))
 plan("o170_clean_messages", f"SELECT conv_id, turn, {_strip(f'regexp_replace(regexp_replace(coalesce(text, {_quoted("")}), {_quoted(chr(92) + "s+")}, {_quoted(" ")}, {_quoted("g")}), {_quoted("[" + chr(92) + "x00-" + chr(92) + "x08" + chr(92) + "x0b" + chr(92) + "x0c" + chr(92) + "x0e-" + chr(92) + "x1f" + chr(92) + "x7f-" + chr(92) + "x{9f}]")}, {_quoted("")}, {_quoted("g")})')} AS t FROM conversations")(
     lambda d: d.table("conversations").select("conv_id", "turn", X.clean_message(F.col("text")).alias("t"))
 )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from broadsheet.shared import shared_path
+
 
 def state_folder(spark: SparkSession, name: str) -> str:
     """A folder for one query's state in the cluster's shared folder."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="broadsheet-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def run_available(stream: DataFrame, mode: str, folder: str) -> DataFrame:
@@ -29,11 +28,21 @@ def run_available(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{out}/n=*")
 
 
-def first_within(stream: DataFrame, hours: int = 24) -> DataFrame:
-    """Rows (id, hash, at) with `duplicate`: their hash was kept less than `hours` before; time runs from the last kept one. A batch's rows of a hash are taken in order of time."""
+def _millis(at: pd.Timestamp) -> int:
+    return int(at.timestamp() * 1000)
+
+
+def first_within(stream: DataFrame, hours: int = 24, late: str = "7 days") -> DataFrame:
+    """Rows (id, hash, at) with `duplicate`: their hash was kept less than `hours` before; time runs from the last kept one. A batch's rows of a hash are taken in order of time.
+
+    The state of a hash is dropped when the watermark, `late` behind the latest instant, has passed the end of its time. Rows that come later than that are not looked at.
+    """
     span = pd.Timedelta(hours=hours)
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["at", "id"])
         last = pd.Timestamp(state.get[0]) if state.exists else None
         flags = []
@@ -42,23 +51,44 @@ def first_within(stream: DataFrame, hours: int = 24) -> DataFrame:
             last = last if again else at
             flags.append(again)
         state.update((last.isoformat(),))
+        state.setTimeoutTimestamp(max(_millis(last + span), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"id": rows["id"].to_numpy(), "hash": rows["hash"].to_numpy(), "at": rows["at"].to_numpy(), "duplicate": flags})
 
-    return stream.groupBy("hash").applyInPandasWithState(update, "id long, hash string, at timestamp_ntz, duplicate boolean", "last string", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withColumn("__time", F.to_timestamp(F.col("at"))).withWatermark("__time", late)
+    return timed.groupBy("hash").applyInPandasWithState(update, "id long, hash string, at timestamp_ntz, duplicate boolean", "last string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def new_on_page(stream: DataFrame) -> DataFrame:
-    """Items (page, hash, title) that no earlier snapshot of their page had; the state of a page is the set of hashes seen."""
+    """Items (page, hash, title) that no earlier snapshot of their page had. The state has an entry an item, so a batch writes only what is new."""
+    return stream.select("page", "hash", "title").dropDuplicates(["page", "hash"])
+
+
+def login_locks(stream: DataFrame, threshold: int = 5, seconds: int = 300, late: str = "7 days") -> DataFrame:
+    """Attempts (id, address, at, success) with `locked`: the address had `threshold` failures without a success between them, and `seconds` have not gone by since the last of them. Attempts while locked do not count; after
+    the time the count begins anew. State is dropped when no failures are counted or the lock has ended and the watermark, `late` behind the latest instant, has passed; rows that come later than that are not looked at."""
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0]) if state.exists else set()
-        for frame in frames:
-            fresh = frame[~frame["hash"].isin(seen)].drop_duplicates("hash")
-            seen.update(fresh["hash"])
-            yield fresh[["page", "hash", "title"]]
-        state.update((sorted(seen),))
-
-    return stream.groupBy("page").applyInPandasWithState(update, "page string, hash string, title string", "hashes array<string>", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        failures, until = state.get if state.exists else (0, "")
+        until = pd.Timestamp(until) if until else None
+        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        locked = []
+        for at, success in zip(rows["at"], rows["success"], strict=True):
+            if until is not None and at >= until:
+                failures, until = 0, None
+            locked.append(until is not None)
+            if until is None:
+                failures = 0 if success else failures + 1
+                until = at + pd.Timedelta(seconds=seconds) if failures >= threshold else None
+        state.update((failures, until.isoformat() if until is not None else ""))
+        if until is not None or not failures:
+            state.setTimeoutTimestamp(max(_millis(until if until is not None else rows["at"].iloc[-1]), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"id": rows["id"].to_numpy(), "address": rows["address"].to_numpy(), "at": rows["at"].to_numpy(), "locked": locked})
+
+    timed = stream.withColumn("__time", F.to_timestamp(F.col("at"))).withWatermark("__time", late)
+    return timed.groupBy("address").applyInPandasWithState(update, "id long, address string, at timestamp_ntz, locked boolean", "failures long, until string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def running_stats(stream: DataFrame) -> DataFrame:

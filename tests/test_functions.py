@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from broadsheet.functions import dates as D
+from broadsheet.functions import extraction as X2
 from broadsheet.functions import html as H
 from broadsheet.functions import media as M
 from broadsheet.functions import scoring as S
@@ -169,8 +170,69 @@ def test_page_cascade():
     body = "Text of the article that goes on for a while so that it is long enough to count as content. " * 3
     page = H.page_fields(f'<html><head><title>Doc</title><meta property="og:title" content="OG"><meta name="author" content="Ann"><link rel="canonical" href="/c"><script type="application/ld+json">{{"@graph": [{{"datePublished": "2024-01-02", "image": "/i.jpg"}}]}}</script></head><body><article><p>{body}</p></article></body></html>', "https://a.b/x")
     assert page["title"] == "OG" and page["author"] == "Ann" and page["published"] == "2024-01-02" and page["image"] == "https://a.b/i.jpg"
-    assert page["strategy"] == "selector:article" and page["content"] == body.strip() and page["alternatives"] == ["https://a.b/c"]
-    assert H.page_fields(None, None)["content"] is None
+    assert page["alternatives"] == ["https://a.b/c"] and H.page_fields(None, None)["title"] is None
+
+
+STORY = "The council of the northern town decided on Monday to rebuild its old harbour bridge before winter. Engineers said that work on both banks begins within weeks, and traffic moves elsewhere. "
+LONGER = STORY + "Shops along the quay hope visitors return soon. Several families already left because noise never stops."
+
+
+def test_cascade_passes_over_poor_places():
+    nav = "<article>" + "menu subscribe newsletter footer. " * 20 + "</article>"
+    teaser = "<article>Short teaser.</article>"
+    good = f"<article><p>{LONGER}</p></article>"
+    assert X2.extracted(f"<body>{nav}{teaser}{good}</body>") == (LONGER, "selector:article")
+    assert X2.extracted(f"<body>{nav}<div class='lead x'><p>{LONGER}</p></div></body>", ".lead p") == (LONGER, "learned")
+    assert X2.extracted(f"<body><div class=lead>bad</div>{good}</body>", ".lead") == (LONGER, "selector:article")
+    assert X2.extracted(f"<body>{nav}<table><tr><td><pre>{LONGER}</pre></td></tr></table></body>") == (LONGER, "readability")
+    ld = f'<script type="application/ld+json">{{"articleBody": "{LONGER}"}}</script>'
+    assert X2.extracted(f"<body>{nav}{ld}</body>") == (LONGER, "json-ld")
+    assert X2.extracted(f'<head><meta property="og:description" content="{LONGER}"></head>{nav}') == (LONGER, "open-graph")
+    assert X2.extracted(f"<body>{nav}<section>{LONGER}</section></body>") == (LONGER, "scored")
+    assert X2.extracted(f"<body>{nav}</body>") == (None, None) == X2.extracted(None)
+
+
+def test_scores_of_elements():
+    page = X2.Page(H.parse(f"<div id=content class='post'><p>{LONGER}</p></div><div class=sidebar>{LONGER}</div><article><p>{STORY}</p><p>{STORY}</p><nav>{LONGER}</nav></article><p>short</p>"))
+    points = {(s, len(t)) for s, t in page.candidates(9)}
+    n, m = len(LONGER), len(STORY.strip())
+    # 2 for more than 200 characters, 1 for more than 100; tags 4, 1, 0.5; names 2 each way up, 3 down; paragraphs half each
+    assert points == {(2 + 1 + 2 * 2 + 0.5, n), (2 + 0.5, n), (max(0.0, 2 + 1 - 3), n), (2 + 4 + 1.0, 2 * m + 1), (1 + 0.5, m)}
+    import time
+
+    start = time.time()
+    X2.extracted("<div>" * 3000 + "x " * 3000 + "</div>" * 3000)
+    X2.Page(H.parse("<div>" * 2000 + STORY * 20 + "</div>" * 2000)).candidates()
+    assert time.time() - start < 20
+
+
+def test_boilerplate_goes():
+    page = f"""<body class=x><header>top</header><nav>n</nav><!-- c --><div class="Ad-box">a</div><div id=thread>not an ad word but 'ad' is in it</div><div class="main Related">r</div>
+        <div id=a><p>{STORY}</p><span class=share-it>s</span><script>var x</script></div><footer>f</footer></body>"""
+    assert X2.without_boilerplate(page) == STORY.strip() and X2.without_boilerplate(None) == ""
+    assert X2.without_boilerplate("<body class=headline><p>kept</p></body>") == "" and X2.without_boilerplate("<div>" * 5000 + "deep") == "deep"
+
+
+def test_shortened_markup():
+    assert X2.shortened("<b>x</b>", 8) == "<b>x</b>"
+    text = "<div><p>One sentence here. " + "word " * 40 + "</p></div>"
+    got = X2.shortened(text, 120)
+    assert got == text[:67].rstrip() + " ...</p></div>" or got.endswith("...</p></div>") and len(got) <= 120 + 12
+    assert X2.shortened("<p>" + "a. " * 100, 200).startswith("<p>a. ") and X2.shortened("<p>" + "a. " * 100, 200).endswith("a. ...</p>")
+    assert X2.shortened("x" * 100 + "<a href='" + "y" * 100, 160) == "x" * 100 + "..."
+    assert X2.shortened("<br>" * 100, 100).count("...") == 1
+
+
+def test_good_content_is_the_same_in_python(spark):
+    texts = [LONGER, STORY, "", None, "menu " * 60, "word. " * 60, "404 not found. " + LONGER, LONGER + " subscribe" * 9, "x" * 300, "a b c. " * 50, LONGER.replace(".", ""), " ".join(f"longish{i % 3}." for i in range(60)), "Слово за словом " + LONGER]
+    for full in (True, False):
+        got = apply(spark, lambda c: S.is_good_content(c, full), texts)  # noqa: B023
+        assert got == [X2.is_good(t, full) for t in texts], full
+
+
+def test_chat_markup_of_deep_pages():
+    assert H.chat_markup("<b>" * 5000 + "x").count("</b>") < 5000
+    assert H.chat_markup("<div>" * 5000 + "x") == "x"
 
 
 LIST = "<main>" + "".join(f'<article><h2><a href="/a{i}">AI Breakthrough {i}</a></h2><time datetime="2024-01-0{i}"></time><p>d</p></article>' for i in (1, 2, 3)) + "</main>"
@@ -209,3 +271,22 @@ def test_fallback_category(spark):
     ]
     df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, t string, c string")
     assert [r[0] for r in df.orderBy("i").select(S.fallback_category(F.col("t"), F.col("c"))).collect()] == [r[2] for r in rows]
+
+
+def test_navigation_reads_the_whole_text(spark):
+    df = spark.createDataFrame([(1, "", "cookie" + " " * 100 + "policy of ours"), (2, "", "home"), (3, "", "home is where it is"), (4, "Menu", "x"), (5, "", "our cookie policy")], "i int, t string, c string")
+    assert [r[0] for r in df.orderBy("i").select(S.is_navigation(F.col("t"), F.col("c"))).collect()] == [True, True, False, True, False]
+
+
+def test_dates_of_one_digit_and_long_numbers(spark):
+    assert [str(x) for x in apply(spark, lambda c: D.parse_date(c, AS_OF), ["2024-1-5", "2024/1/5 7:08:09", "2024-01-05T1:02:03Z"])] == ["2024-01-05 00:00:00", "2024-01-05 07:08:09", "2024-01-05 01:02:03"]
+    assert apply(spark, lambda c: D.relative_date(c, AS_OF), ["1234567 days ago"]) == [None]
+    assert [str(x) for x in apply(spark, lambda c: D.relative_date(c, AS_OF), ["3 days ago", "x 12 hours ago"])] == ["2024-01-28 00:00:00", "2024-01-30 12:00:00"]
+
+
+def test_chosen_categories(spark):
+    rows = [("Serbian tech", "market", ["Tech", "Business", "Serbia"]), (None, "zzz", ["Other", "Tech", "Science"]), ("x", "stock stock research study", ["Health", "Business", "Science"]), ("x", None, ["Health"]), ("x", "x", ["Foo", "Bar"]), ("machine learning", "bank trade", ["Business", "Tech"])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, c string, k array<string>").withColumn("x", S.keyword_text(F.col("t"), F.col("c")))
+    assert [r[0] for r in df.orderBy("i").select(S.best_category(F.col("x"), F.col("k"))).collect()] == ["Serbia", "Science", "Science", "Health", "Foo", "Tech"]
+    got = [[(x.name, round(x.confidence, 2)) for x in r[0]] for r in df.orderBy("i").select(S.category_confidences(F.col("x"), F.col("k"))).collect()]
+    assert got[1] == [("Other", 0.7), ("Tech", 0.6), ("Science", 0.5)] and got[3] == [("Health", 1.0)] and got[2] == [("Science", 0.87), ("Business", 0.73), ("Health", 0.3)]

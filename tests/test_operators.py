@@ -1,10 +1,9 @@
 from __future__ import annotations
 
-import pytest
-
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pytest
 from broadsheet.operators import dedup as Q
 from broadsheet.operators import digest as G
 from broadsheet.operators import feed as O
@@ -161,6 +160,20 @@ def test_state_goes_on_between_runs(spark, tmp_path):
     assert arrive([(3, "a", t + timedelta(hours=23)), (4, "a", t + timedelta(hours=25)), (5, "b", t)]) == {1: False, 2: True, 3: True, 4: False, 5: False}
 
 
+def test_login_locks(spark, tmp_path):
+    """Five failures lock for five minutes; attempts meanwhile do not count; a success or the end of the lock starts anew; the state goes on between runs."""
+    folder, inbox = str(tmp_path / "state"), str(tmp_path / "in")
+    t, schema = datetime(2024, 1, 1), "id long, address string, at timestamp_ntz, success boolean"
+
+    def arrive(rows):
+        spark.createDataFrame([(i, a, t + timedelta(seconds=s), ok) for i, a, s, ok in rows], schema).write.mode("append").parquet(inbox)
+        return {r.id for r in S.run_available(S.login_locks(spark.readStream.schema(schema).parquet(inbox)), "append", folder).collect() if r.locked}
+
+    first = [(i, "a", i, False) for i in range(5)] + [(10 + i, "b", i, i == 3) for i in range(7)] + [(5, "a", 60, True)]
+    assert arrive(first) == {5}
+    assert arrive([(6, "a", 200, False), (7, "a", 304, False), (8, "a", 305, False), (20, "c", 0, False)]) == {5, 6}
+
+
 def test_late_windows(spark, tmp_path):
     inbox = str(tmp_path / "in")
     spark.createDataFrame([(datetime(2024, 1, 1, h),) for h in (0, 1, 5, 30 % 24)], "ts timestamp_ntz").write.parquet(inbox)
@@ -201,3 +214,49 @@ def test_components_of_long_chains(spark, shape):
         edges = [(ids[i], ids[i + 1]) for i in range(n // 2 - 1)] + [(ids[i], ids[n // 2 + i]) for i in range(n // 2)]
     got = shared.components(spark.createDataFrame([*edges, (7, 7), (None, 3)], "a long, b long")).collect()
     assert sorted((r.node, r.root) for r in got) == sorted([(i, min(ids)) for i in ids] + [(7, 7)])
+
+
+def test_category_names_that_differ_in_case(spark):
+    categories = spark.createDataFrame([(1, "Tech"), (2, "tech"), (3, "Other")], "id long, name string")
+    bridge = spark.createDataFrame([(1, 1), (2, 2), (3, 2)], "article_id long, category_id long")
+    assert sorted(map(tuple, O.category_counts(bridge, categories).collect())) == [("other", 0), ("tech", 3)]
+
+
+def test_item_hashes(spark):
+    """The same as the hash of Python's sorted JSON."""
+    import hashlib
+    import json
+
+    items = [("T", "https://a.b/?x=1&y", "d" * 150), ('q"\\', None, "a\nb\tc\x08\x0c\r"), ("été 日本 😀\x7f\x00", "/l", None), ("", "", "")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(items)], "i int, t string, l string, d string")
+    got = [r[0] for r in df.orderBy("i").select(Q.item_hash(F.col("t"), F.col("l"), F.col("d"))).collect()]
+    assert got == [hashlib.md5(json.dumps({"title": t or "", "link": x or "", "description": (d or "")[:100]}, sort_keys=True).encode()).hexdigest() for t, x, d in items]
+
+
+def test_upsert_ties(spark):
+    old, new = spark.createDataFrame([(1, 5, "old")], "k int, at int, v string"), spark.createDataFrame([(1, 5, "b"), (1, 5, "c"), (1, 5, "a")], "k int, at int, v string")
+    for order in (new, new.orderBy("v"), new.orderBy(F.desc("v"))):
+        assert [r.v for r in Q.upsert(old, order, ["k"], "at").collect()] == ["c"]
+
+
+def test_merge_by_url(spark):
+    existing = spark.createDataFrame([(1, "u1", "T1", "C1", None, False), (2, "u2", "T2", None, "s", True), (3, "u3", "T3", "C3", "s", False), (4, "u4", "T4", "C4", None, None)], "id long, url string, title string, content string, summary string, processed boolean")
+    incoming = spark.createDataFrame([(1, ["u1", "x"], "N", ""), (2, ["u2"], "N", "N"), (3, ["u3", "u1"], "M", None), (4, [None, "", "u3"], None, "N"), (5, ["zz"], "N", "N")], "seq long, urls array<string>, title string, content string")
+    assert {r.id: (r.title, r.content) for r in Q.merge_by_url(existing, incoming, ["title", "content"]).collect()} == {1: ("M", "C1"), 3: ("T3", "N")}
+
+
+def test_list_page_fallback(spark):
+    base = "https://a.b/list/?q=1"
+    pages = {
+        1: [("https://a.b/list#x", "d"), ("https://a.b/1", "d")], 2: [("https://a.b/list#x", "d"), ("", "d"), ("https://a.b/1", "d")], 3: [("https://a.b/1", "d"), ("https://a.b/1/?z", "d")], 4: [("https://a.b/1", "d" * 5001)],
+        5: [("https://a.b/1", "d" * 5000)], 6: [(None, None)], 7: [("https://a.b/1", "d"), ("https://a.b/2", "d" * 9000)],
+    }
+    df = spark.createDataFrame([(p, base, link, text) for p, xs in pages.items() for link, text in xs], "page int, base string, link string, description string")
+    assert {r.page: r.is_fallback for r in Q.list_page_fallback(df).collect()} == {1: False, 2: True, 3: True, 4: True, 5: False, 6: True, 7: False}
+
+
+def test_recent_titles(spark):
+    t = datetime(2024, 1, 10)
+    rows = [(1, 1, "A", t), (2, 1, "a", t + timedelta(hours=168)), (3, 1, "A", t + timedelta(hours=337)), (4, 2, "a", t), (5, 1, "b", t), (6, 1, "B", t - timedelta(hours=900)), (7, None, "a", t), (8, 1, None, t), (9, 1, None, t)]
+    df = spark.createDataFrame(rows, "id long, source_id int, title string, fetched_at timestamp_ntz")
+    assert sorted(r.id for r in Q.without_recent_titles(df).collect()) == [1, 3, 4, 5, 7, 8, 9]

@@ -45,5 +45,5 @@ def test_distinct_words_of_whole_texts(spark):
     import re
 
     want = {r.doc_id: " ".join(dict.fromkeys(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r.doc_id: r.words for r in plans.QUERIES["o146_distinct_words"](spark, FOLDER).collect()}
+    got = {r.doc_id: r.words for r in plans.QUERIES["o146_distinct_in_order"](spark, FOLDER).collect()}
     assert got == want and max(len(w.split()) for w in want.values()) > 300

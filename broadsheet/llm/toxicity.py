@@ -35,6 +35,8 @@ THRESHOLD = 0.7
 PARTS = 64
 #: Strength of the squared penalty, most steps of the fit, largest entry of its last gradient, and mass of the smoothing.
 PENALTY, STEPS, FLAT, SMOOTHING = 1e-4, 500, 1e-7, 0.5
+#: Entries of texts that the fit looks at at once.
+ENTRIES = 1 << 19
 #: Text bytes that a Python worker looks at at once.
 SLICE_BYTES = 1 << 20
 
@@ -145,27 +147,39 @@ def fit(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> Model:
     prior = float(np.clip(y.mean(), 0.01, 0.69)) if n else 0.01
     if not n or y.min() == y.max() or not ratio.any():
         return Model(np.zeros(size), float(np.log(prior / (1 - prior))))
-    row, column = np.repeat(np.arange(n), [len(t) for t in texts]), np.concatenate(texts)
     used = np.flatnonzero(ratio)
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    take = place[column] >= 0
-    row, at = row[take], place[column[take]]
-    x = ratio[used][at]
-    scale = 1 / np.sqrt(max(float(np.median(np.bincount(row, x * x, n))), 1e-9))  # a text's features have a length of about 1
-    x = x * scale
+    at = [place[t] for t in texts]  # four bytes an entry, text by text
+    at = [t[t >= 0] for t in at]
+    ends = np.cumsum([len(t) for t in at])
+    at = np.concatenate(at)
+    starts = np.append(0, ends[:-1])
+    some = np.flatnonzero(ends > starts)
+    runs = np.split(some, np.flatnonzero(np.diff(starts[some] // ENTRIES)) + 1)  # texts whose entries are looked at together
+    own = ratio[used]
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        """Of each text the sum of the values of its features."""
+        out = np.zeros(n)
+        for run in runs:
+            out[run] = np.add.reduceat(values[at[starts[run[0]] : ends[run[-1]]]], starts[run] - starts[run[0]])
+        return out
+
+    own = own / np.sqrt(max(float(np.median(sums(own * own))), 1e-9))  # a text's features have a length of about 1
     balance = np.where(y == 1, 0.5 / np.count_nonzero(y == 1), 0.5 / np.count_nonzero(y == 0))
     sign = np.where(y == 1, 1.0, -1.0)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = sign * (np.bincount(row, x * w[at], n) + w[-1])
-        error = -balance * sign / (1 + np.exp(np.clip(margin, -500, 500)))
-        slope = np.append(np.bincount(at, x * error[row], len(used)) + PENALTY * w[:-1], error.sum())
-        return float((balance * np.logaddexp(0, -margin)).sum() + PENALTY / 2 * (w[:-1] @ w[:-1])), slope
+        margin = sign * (sums(own * w[:-1]) + w[-1])
+        error, slope = -balance * sign / (1 + np.exp(np.clip(margin, -500, 500))), np.zeros(len(used))
+        for run in runs:
+            slope += np.bincount(at[starts[run[0]] : ends[run[-1]]], np.repeat(error[run], ends[run] - starts[run]), len(used))
+        return float((balance * np.logaddexp(0, -margin)).sum() + PENALTY / 2 * (w[:-1] @ w[:-1])), np.append(own * slope + PENALTY * w[:-1], error.sum())
 
     w = least(loss, np.zeros(len(used) + 1))
     weights = np.zeros(size)
-    weights[used] = w[:-1] * ratio[used] * scale
+    weights[used] = w[:-1] * own
     return Model(weights, float(w[-1]))
 
 
@@ -218,7 +232,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", id_column
 
     got = rows.mapInArrow(run, "y int, features binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))  # the same model whatever order rows arrive in
-    return fit([np.frombuffer(r[1], "<u4").astype(np.int64) for r in got], np.array([r[0] for r in got], np.int64), ratio)
+    return fit([np.frombuffer(r[1], "<u4") for r in got], np.array([r[0] for r in got], np.int64), ratio)
 
 
 def score_toxicity(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -9,7 +9,8 @@ on the data. Rows learn their place from their rank among the pieces of their le
 is counted in buckets: no length, however frequent, is ever in one task.
 
 Edge cases: a null text is an empty one and packs as its end token alone. Repeated rows are
-pieces like any others, as are rows with a null id. An empty table gives no rows.
+pieces like any others, as are rows with a null id. Only a document longer than the capacity is cut, however long it is; further columns than the id and the
+text are not looked at, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -156,7 +156,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> Model:
     at = np.concatenate(at)
     starts = np.append(0, ends[:-1])
     some = np.flatnonzero(ends > starts)
-    runs = np.split(some, np.flatnonzero(np.diff(starts[some] // ENTRIES)) + 1)  # texts whose entries are looked at together
+    runs = np.split(some, np.flatnonzero(np.diff(starts[some] // ENTRIES)) + 1) if len(some) else []  # texts whose entries are looked at together
     own = ratio[used]
 
     def sums(values: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ keep a frequent payload out of any one task.
 
 Edge cases: null html is an empty payload; payloads under `SMALL` bytes are all responses; a null id is larger than any other
 and gets the name of its digest; rows repeated in full are records of their own, and where all the rows of a payload share an id one of them is
-the response. An empty table gives no rows. A damaged record raises WarcError.
+the response. A very long payload is one record, inflated step by step when it is read. Ids are integers or what casts to them; further columns are not looked at, whatever their names. An empty table gives no rows. A damaged record raises WarcError.
 """
 
 from __future__ import annotations
@@ -188,10 +188,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_column: str =
     """
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
-    source = pages.select(
+    given = pages.select(
         F.col(X.quoted(id_column)).cast("long").alias("id"), F.coalesce(F.col(X.quoted(url)).cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col(X.quoted(html)).cast("string"), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"),
     )
+    # Numbers of rows are written with them: another scan, with other executors, might number them otherwise.
+    numbered = shared_path(spark, "pages")
+    given.write.option("compression", "zstd").parquet(numbered)
+    source = spark.read.schema(given.schema).parquet(numbered)
     narrow = source.select("row", "id", F.octet_length("html").alias("size"), F.unhex(F.sha2("html", 256)).alias("sha"))
     known = settled(revisits(settled(narrow)))
     marked = source.join(known, "row", "left")

@@ -9,7 +9,8 @@ are looked up in a table of bounded size.
 
 Edge cases: a null text is an empty one and has no ids; the special tokens' strings in a text
 become their ids, as the tokenizers library has it; null ids decode to an empty text; bytes
-that are not UTF-8 decode to replacement characters.
+that are not UTF-8 decode to replacement characters. Texts are encoded whole, however long they are; repeated rows give
+equal ids; an empty table gives no rows; carried columns with an output's name give way.
 """
 
 from __future__ import annotations

@@ -60,6 +60,24 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, first + np.arange(len(offsets))
 
 
+class Finder:
+    """The numbers of words among the frequent ones (in order); words that are not get the number after the last."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.frequent, self.none = frequent, len(frequent)
+        slot = (frequent >> np.uint64(44)).astype(np.int64)
+        self.table = np.full(1 << 20, self.none, np.int32)
+        self.table[slot] = np.arange(self.none)
+        self.crowded = np.bincount(slot, minlength=1 << 20) > 1
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        slot = (words >> np.uint64(44)).astype(np.int32)
+        at = self.table[slot]
+        more = np.flatnonzero(self.crowded[slot])
+        at[more] = np.minimum(np.searchsorted(self.frequent, words[more]), self.none - 1)
+        return np.where(self.frequent[np.minimum(at, self.none - 1)] == words, at, self.none)
+
+
 def _squeezed(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
@@ -129,14 +147,14 @@ _DEALT_SCHEMA = "bucket int, " + ", ".join(f"{c} binary" for c in _DEALT[1:])
 
 def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int) -> DataFrame:
     """Tokens with their contexts (numbers of frequent words, then of the block's rare ones), dealt into blocks by word; documents' ids and sizes into groups (buckets from -1 down)."""
-    rare = len(frequent)
+    rare, finder = len(frequent), Finder(frequent)
 
     def blobs(parts):
-        word, before, doc, key, train = (np.concatenate(x) for x in zip(*parts, strict=True))
-        at = np.minimum(np.searchsorted(frequent, before), rare - 1)
-        context = np.where(frequent[at] == before, at, rare)
-        at = np.minimum(np.searchsorted(frequent, word), rare - 1)
-        often = frequent[at] == word
+        word, doc, key, train = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # A text's first word follows the end of the text before it.
+        before, at = np.append(END, word[:-1]), finder.find(word)
+        context = np.append(finder.find(np.array([END])), at[:-1])
+        often = at < rare
         place = hash_range(word, blocks)
         place[often] = hash_range(X.mix(word[often] ^ X.mix(context[often].astype(np.uint64))), blocks)
         place[often & (context == rare)] = hash_range(before[often & (context == rare)], blocks)
@@ -189,8 +207,7 @@ def dealt(source: DataFrame, frequent: np.ndarray, blocks: int, groups: int) ->
                 ids = ident.fill_null(0).to_numpy()[m]
                 rows.append((-1 - g, planes(ids.view(np.uint64), 8), planes(size[m], 5), None, None, None, None, planes(key[m].view(np.uint64), 8), (train[m] + 2 * known[m]).astype(np.uint8).tobytes()))
             yield _batch(rows)
-            before = np.append(END, token[:-1])
-            parts.append((token, before, np.repeat(np.arange(docs, docs + len(size)), size), key.view(np.uint64), train))
+            parts.append((token, np.repeat(np.arange(docs, docs + len(size)), size), key.view(np.uint64), train))
             n, docs = n + len(token), docs + len(size)
             if n >= CHUNK_TOKENS:
                 yield blobs(parts)

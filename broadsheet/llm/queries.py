@@ -73,7 +73,44 @@ QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_bpe, op4_qual
 
 _DIGEST = "sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g'))"
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_ROWS = ", ".join(f"string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS g{n}" for n in quality.NGRAM_LIMITS)
+_REPEATED = ", ".join(f"p <= n_words - {n - 1} AND count(*) FILTER (p <= n_words - {n - 1}) OVER (PARTITION BY doc_id, g{n}) > 1 AS r{n}" for n in quality.NGRAM_LIMITS)
+_COVERED = ", ".join(f"max(CAST(r{n} AS INT)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n in quality.NGRAM_LIMITS)
+_SHARES = ", ".join(f"coalesce(sum(chars) FILTER (c{n} = 1), 0) AS in{n}" for n in quality.NGRAM_LIMITS)
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    "op4_quality": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, {_WORDS.format("t")} AS ws FROM d),
+        u AS (SELECT doc_id, len(ws) AS n_words, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        g AS (SELECT doc_id, n_words, p, length(word) AS chars, {_ROWS} FROM u),
+        r AS (SELECT doc_id, p, chars, {_REPEATED} FROM g),
+        c AS (SELECT doc_id, chars, {_COVERED} FROM r),
+        s AS (SELECT doc_id, sum(chars) AS word_chars, coalesce(sum(c8), 0) AS n_repeat_words, {_SHARES} FROM c GROUP BY doc_id),
+        l AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id, x) > 1 AS again FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+        m AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(length(x)) FILTER (again), 0) / sum(length(x)) AS dup_line_share FROM l GROUP BY doc_id),
+        a AS (SELECT d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(dup_line_share, 0.0) AS dup_line_share,
+                     {", ".join(f"coalesce(in{n}, 0) / greatest(coalesce(word_chars, 0), 1) AS dup_{n}gram_share" for n in quality.NGRAM_LIMITS)}
+              FROM d JOIN w USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id)),
+        f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+        SELECT *, NOT base_failed AND dup_line_share <= {quality.LINE_LIMIT} AND n_symbols <= {quality.SYMBOL_LIMIT}::DOUBLE * n_words AND {" AND ".join(f"dup_{n}gram_share <= {most}" for n, most in quality.NGRAM_LIMITS.items())} AS kept FROM f""",
+    "op10_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+        u AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        g AS (SELECT doc_id, n, p, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {jaccard.WORDS - 1} FOLLOWING) AS gram FROM u),
+        s AS (SELECT DISTINCT doc_id, gram FROM g WHERE p = 1 OR p <= n - {jaccard.WORDS - 1}),
+        k AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS class FROM s GROUP BY doc_id),
+        c AS (SELECT class, min(doc_id) AS first_id, count(*) AS class_size, any_value(n) AS n FROM k GROUP BY class),
+        x AS (SELECT c.class, c.n, s.gram FROM c JOIN s ON s.doc_id = c.first_id),
+        o AS (SELECT a.class AS a, b.class AS b, a.n + b.n AS sizes, count(*) AS shared FROM x a JOIN x b ON a.gram = b.gram AND a.class <> b.class GROUP BY ALL),
+        l AS (SELECT a, b FROM o WHERE 100 * shared >= {jaccard.PERCENT} * (sizes - shared)),
+        r AS (SELECT class AS a, class AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        least AS (SELECT r.a AS class, min(c.first_id) AS component_id FROM r JOIN c ON r.b = c.class GROUP BY 1)
+        SELECT w.doc_id, coalesce(k.n, 0) AS n_shingles, coalesce(least.component_id, w.doc_id) AS component_id, coalesce(c.class_size, 1) AS class_size
+        FROM w LEFT JOIN k USING (doc_id) LEFT JOIN c USING (class) LEFT JOIN least USING (class)""",
     "op5_warc": f"""
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

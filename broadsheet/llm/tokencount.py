@@ -8,7 +8,7 @@ popped is precomputed; so each character is read once and no piece is ever built
 The lone word mark is a piece, so a word whose first character begins no word-initial piece is the mark and continuing pieces. A character that no
 piece begins with counts as its UTF-8 bytes, each a piece, if the vocabulary has byte pieces; else the whole word counts as one unknown
 token. Edge cases: a null text is an empty one and has 0 tokens; very long words take time in proportion to their length; words are
-`[^\\x20\\x09-\\x0D]+`.
+`[^\\x20\\x09-\\x0D]+`. Repeated rows are counted alike; an empty table gives no rows; carried columns with an output's name give way.
 """
 
 from __future__ import annotations

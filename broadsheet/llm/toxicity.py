@@ -141,23 +141,22 @@ def least(loss, start: np.ndarray, memory: int = 8) -> np.ndarray:
     return w
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> Model:
-    """`texts`: the distinct features of each text; `ratio`: all features' log-count ratios. Each class weighs the same."""
-    size, n = len(ratio), len(y)
+def fit(texts: list[bytes], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the features and the intercept. `texts`: the places among the features that each text has, as bytes of `kind(len(ratio))`; the list is emptied; `ratio`: the features' log-count ratios. Each class weighs the same."""
+    n = len(y)
     prior = float(np.clip(y.mean(), 0.01, 0.69)) if n else 0.01
-    if not n or y.min() == y.max() or not ratio.any():
-        return Model(np.zeros(size), float(np.log(prior / (1 - prior))))
-    used = np.flatnonzero(ratio)
-    place = np.full(size, -1, np.int32)
-    place[used] = np.arange(len(used))
-    at = [place[t] for t in texts]  # four bytes an entry, text by text
-    at = [t[t >= 0] for t in at]
-    ends = np.cumsum([len(t) for t in at])
-    at = np.concatenate(at)
-    starts = np.append(0, ends[:-1])
+    if not n or y.min() == y.max() or not len(ratio):
+        return np.zeros(len(ratio)), float(np.log(prior / (1 - prior)))
+    # One array of two or four bytes an entry, text by text.
+    width = np.dtype(kind(len(ratio))).itemsize
+    ends = np.cumsum([len(t) // width for t in texts])
+    at, starts = np.empty(ends[-1], kind(len(ratio))), np.append(0, ends[:-1])
+    for i in range(n):
+        at[starts[i] : ends[i]] = np.frombuffer(texts[i], at.dtype)
+        texts[i] = b""
     some = np.flatnonzero(ends > starts)
     runs = np.split(some, np.flatnonzero(np.diff(starts[some] // ENTRIES)) + 1) if len(some) else []  # texts whose entries are looked at together
-    own = ratio[used]
+    own = ratio
 
     def sums(values: np.ndarray) -> np.ndarray:
         """Of each text the sum of the values of its features."""
@@ -172,15 +171,18 @@ def fit(texts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> Model:
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         margin = sign * (sums(own * w[:-1]) + w[-1])
-        error, slope = -balance * sign / (1 + np.exp(np.clip(margin, -500, 500))), np.zeros(len(used))
+        error, slope = -balance * sign / (1 + np.exp(np.clip(margin, -500, 500))), np.zeros(len(own))
         for run in runs:
-            slope += np.bincount(at[starts[run[0]] : ends[run[-1]]], np.repeat(error[run], ends[run] - starts[run]), len(used))
+            slope += np.bincount(at[starts[run[0]] : ends[run[-1]]], np.repeat(error[run], ends[run] - starts[run]), len(own))
         return float((balance * np.logaddexp(0, -margin)).sum() + PENALTY / 2 * (w[:-1] @ w[:-1])), np.append(own * slope + PENALTY * w[:-1], error.sum())
 
-    w = least(loss, np.zeros(len(used) + 1))
-    weights = np.zeros(size)
-    weights[used] = w[:-1] * own
-    return Model(weights, float(w[-1]))
+    w = least(loss, np.zeros(len(own) + 1))
+    return w[:-1] * own, float(w[-1])
+
+
+def kind(features: int) -> str:
+    """The smallest type of a feature's place among so many."""
+    return "<u2" if features <= 1 << 16 else "<u4"
 
 
 def class_counts(rows: DataFrame, text: str) -> DataFrame:
@@ -211,7 +213,7 @@ def class_counts(rows: DataFrame, text: str) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "toxic", size: int = SAMPLE) -> Model:
     """Fits a model to a sample of at most 2 * `size` labelled documents.
 
-    To the driver come 2 ** BITS counts of either class, and of each of the at most 2 * `size` texts those features that differ between the classes, four bytes each.
+    To the driver come 2 ** BITS counts of either class, and of each of the at most 2 * `size` texts those features that differ between the classes, two bytes each (four if there are more than 65,536).
     """
     chosen = settled(sample_rows(labels.select(id_column, label), id_column, label, size))
     number = {r[0]: r[1] for r in chosen.groupBy("y").count().collect()}
@@ -220,19 +222,25 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", id_column
     empty = np.zeros((1 << BITS) // PARTS, np.int64)
     with_1, with_0 = (np.concatenate([parts.get(i, (empty, empty))[k] for i in range(PARTS)]) for k in (0, 1))
     ratio = ratios(with_1, with_0, number.get(1, 0), number.get(0, 0))
-    wanted = ratio != 0
+    used = np.flatnonzero(ratio)
+    wanted, place = ratio != 0, np.zeros(1 << BITS, kind(len(used)))
+    place[used] = np.arange(len(used))
 
     def run(batches):
         for part, raw, offsets in X.slices(batches, text, SLICE_BYTES):
             doc, feature = distinct_features(raw, offsets, wanted)
             first = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            values = feature.astype("<u4")
+            values = place[feature]
             blobs = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(blobs, pa.binary())], ["y", "features"])
 
-    got = rows.mapInArrow(run, "y int, features binary").collect()
-    got.sort(key=lambda r: (r[0], bytes(r[1])))  # the same model whatever order rows arrive in
-    return fit([np.frombuffer(r[1], "<u4") for r in got], np.array([r[0] for r in got], np.int64), ratio)
+    got = [(r[0], bytes(r[1])) for r in rows.mapInArrow(run, "y int, features binary").collect()]
+    got.sort()  # the same model whatever order rows arrive in
+    labels_, texts = np.array([y for y, _ in got], np.int64), [t for _, t in got]
+    del got
+    weights = np.zeros(1 << BITS)
+    weights[used], bias = fit(texts, labels_, ratio[used])
+    return Model(weights, bias)
 
 
 def score_toxicity(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

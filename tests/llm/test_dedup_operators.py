@@ -26,7 +26,7 @@ def con(duck):
     return duck(f"{DATA}/sf0.01")
 
 
-@pytest.mark.parametrize("name", ["op5_warc", "op8_chat", "op9_exact_dedup"])
+@pytest.mark.parametrize("name", ["op4_quality", "op5_warc", "op8_chat", "op9_exact_dedup", "op10_jaccard"])
 def test_against_sql(spark, con, name):
     got, want = Q.QUERIES[name](spark, f"{DATA}/sf0.01").toPandas(), con.sql(Q.ORACLES[name]).df()
     assert rows(got) == rows(want)

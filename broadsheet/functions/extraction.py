@@ -232,6 +232,12 @@ def shortened(markup: str, most: int) -> str:
     return head + "..." + "".join(f"</{tag}>" for tag in reversed(parser.open))
 
 
+@F.pandas_udf(T.BooleanType())
+def good(text: pd.Series) -> pd.Series:
+    """`is_good` of whole columns: one pass a text, where the same test as an expression (`scoring.is_good_content`) reads it anew for each of its eight conditions."""
+    return text.map(is_good).astype(bool)
+
+
 CONTENT = T.StructType([T.StructField("content", T.StringType()), T.StructField("strategy", T.StringType())])
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from broadsheet.shared import components, join_skewed, settled
 
+#: Rules that labels are matched with as substrings, at most.
+MOST_RULES = 10_000
+
 
 def mark_copies(df: DataFrame, key: Column, order: list[str], ids: list[str]) -> DataFrame:
     """Rows with `is_copy`: an earlier row by order and ids has their key. Nulls are a key of their own; rows that are equal in order and ids are no copies of each other.
@@ -109,11 +112,13 @@ def remap(bridge: DataFrame, label: str, target: int) -> DataFrame:
 
 def map_labels(labels: DataFrame, mapping: DataFrame, rules: DataFrame, valid: list[str], label: str = "label") -> DataFrame:
     """Each distinct label's category and where it came from: valid as it is, mapping exactly, mapping in lower case, rules exactly, rules by substring either way (first
-    in the rules' order), else 'Other'. `mapping`: ai_category, fixed_category; `rules`: key, target, priority; both small tables of settings."""
+    in the rules' order), else 'Other'. `mapping`: ai_category, fixed_category; `rules`: key, target, priority, at most `MOST_RULES` of them."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules: they are matched as substrings with every label")
     low = F.lower(F.trim(F.col(label)))
-    exact = F.broadcast(mapping.groupBy(F.col("ai_category").alias("__a")).agg(F.min("fixed_category").alias("by_exact")))
-    lower = F.broadcast(mapping.groupBy(F.lower("ai_category").alias("__l")).agg(F.min("fixed_category").alias("by_lower")))
-    rule = F.broadcast(rules.select(F.col("key").alias("__k"), F.col("target").alias("by_rule")))
+    exact = mapping.groupBy(F.col("ai_category").alias("__a")).agg(F.min("fixed_category").alias("by_exact"))
+    lower = mapping.groupBy(F.lower("ai_category").alias("__l")).agg(F.min("fixed_category").alias("by_lower"))
+    rule = rules.select(F.col("key").alias("__k"), F.col("target").alias("by_rule"))
     distinct = labels.select(label).distinct().withColumn("__low", low)
     near = distinct.join(F.broadcast(rules), F.contains("__low", F.col("key")) | F.contains("key", F.col("__low"))).groupBy(label).agg(F.min_by("target", "priority").alias("by_part"))
     found = (

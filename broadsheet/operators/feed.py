@@ -27,14 +27,14 @@ def with_category(articles: DataFrame, bridge: DataFrame, categories: DataFrame,
     if name.lower() == "advertisements":
         return articles.where(F.col("is_advertisement"))
     wanted = categories.where(F.lower("name") == name.lower()).select(F.col("id").alias("category_id"))
-    return articles.join(bridge.join(F.broadcast(wanted), "category_id").select(F.col("article_id").alias("id")), "id", "left_semi")
+    return articles.join(bridge.join(wanted, "category_id").select(F.col("article_id").alias("id")), "id", "left_semi")
 
 
 def in_categories(articles: DataFrame, bridge: DataFrame, categories: DataFrame, names: str) -> DataFrame:
     """Articles in any category of a comma-separated list."""
     listed = [n.strip().lower() for n in names.split(",") if n.strip()]
     wanted = categories.where(F.lower("name").isin(listed)).select(F.col("id").alias("category_id"))
-    return articles.join(bridge.join(F.broadcast(wanted), "category_id").select(F.col("article_id").alias("id")), "id", "left_semi")
+    return articles.join(bridge.join(wanted, "category_id").select(F.col("article_id").alias("id")), "id", "left_semi")
 
 
 def from_sources(articles: DataFrame, sources: DataFrame, listed: str) -> DataFrame:
@@ -44,7 +44,7 @@ def from_sources(articles: DataFrame, sources: DataFrame, listed: str) -> DataFr
     if numbers:
         return articles.where(F.col("source_id").isin(numbers))
     named = sources.where(F.col("name").isin(tokens)).select(F.col("id").alias("source_id"))
-    return articles.join(F.broadcast(named), "source_id", "left_semi")
+    return articles.join(named, "source_id", "left_semi")
 
 
 def matches(query: str, columns: tuple[str, ...] = ("title", "summary", "content")) -> Column:
@@ -88,7 +88,7 @@ def confidence_to_show(column: Column) -> Column:
 
 def categories_of_page(articles: DataFrame, bridge: DataFrame, categories: DataFrame) -> DataFrame:
     """Each article of a page with its categories as an array in order of confidence, then id."""
-    named = bridge.join(F.broadcast(categories.select(F.col("id").alias("category_id"), "name", "display_name")), "category_id")
+    named = bridge.join(categories.select(F.col("id").alias("category_id"), "name", "display_name"), "category_id")
     own = named.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
     entry = F.struct((-confidence_to_show(F.col("confidence"))).alias("back"), "category_id", "name", "display_name")
     nested = own.groupBy("article_id").agg(F.sort_array(F.collect_list(entry)).alias("c"))
@@ -100,7 +100,7 @@ def primary_category(bridge: DataFrame, categories: DataFrame) -> DataFrame:
     """article_id, name of the category with most confidence (missing is 0), then smallest id."""
     rank = F.row_number().over(Window.partitionBy("article_id").orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "category_id"))
     best = bridge.select("article_id", "category_id", "confidence").withColumn("n", rank).where("n = 1")
-    return best.join(F.broadcast(categories.select(F.col("id").alias("category_id"), "name")), "category_id").select("article_id", F.col("name").alias("primary_category"))
+    return best.join(categories.select(F.col("id").alias("category_id"), "name"), "category_id").select("article_id", F.col("name").alias("primary_category"))
 
 
 def category_counts(bridge: DataFrame, categories: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def unmapped(bridge: DataFrame, mapping: DataFrame) -> DataFrame:
     """Free-form labels without a mapping, with their numbers of articles."""
     labels = bridge.where(F.col("ai_category").isNotNull() & (F.col("ai_category") != "")).groupBy("ai_category").agg(F.count(F.lit(1)).alias("articles"))
     known = mapping.select(F.lower("ai_category").alias("k"))
-    return labels.join(F.broadcast(known), F.lower("ai_category") == F.col("k"), "left_anti")
+    return labels.join(known, F.lower("ai_category") == F.col("k"), "left_anti")
 
 
 def top_titles(labels: DataFrame, bridge: DataFrame, articles: DataFrame, most: int = 5) -> DataFrame:

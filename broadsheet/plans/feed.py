@@ -82,7 +82,7 @@ def _(d: Domain):
     """SELECT a.id, coalesce(arg_min(c.display_name, c.id), 'Other') AS primary_category FROM articles a LEFT JOIN article_categories b ON a.id = b.article_id LEFT JOIN categories c ON b.category_id = c.id GROUP BY a.id""",
 )
 def _(d: Domain):
-    named = d.article_categories.join(F.broadcast(d.categories), F.col("category_id") == F.col("id"))
+    named = d.article_categories.join(d.categories, F.col("category_id") == F.col("id"))
     first = named.groupBy(F.col("article_id").alias("id")).agg(F.min_by("display_name", "category_id").alias("primary_category"))
     return d.articles.select("id").join(first, "id", "left").select("id", F.coalesce("primary_category", F.lit("Other")).alias("primary_category"))
 
@@ -252,7 +252,7 @@ plan("o281_source_filter", "SELECT id FROM news_sources WHERE error_count > 0 AN
     lambda d: d.news_sources.where("error_count > 0 AND (contains(lower(name), 'src1') OR contains(lower(url), 'src1'))").select("id")
 )
 plan("o073_article_categories", "SELECT a.id, c.name, b.confidence FROM articles a JOIN article_categories b ON a.id = b.article_id JOIN categories c ON b.category_id = c.id")(
-    lambda d: d.articles.select("id").join(d.article_categories, F.col("id") == F.col("article_id")).join(F.broadcast(d.categories.select(F.col("id").alias("category_id"), "name")), "category_id").select("id", "name", "confidence")
+    lambda d: d.articles.select("id").join(d.article_categories, F.col("id") == F.col("article_id")).join(d.categories.select(F.col("id").alias("category_id"), "name"), "category_id").select("id", "name", "confidence")
 )
 plan("o077_unmapped", "SELECT b.ai_category, count(*) AS articles FROM article_categories b LEFT JOIN category_mapping m ON lower(b.ai_category) = lower(m.ai_category) WHERE m.ai_category IS NULL GROUP BY 1")(lambda d: O.unmapped(d.article_categories, d.category_mapping))
 plan("o114_unmapped_counts", "SELECT b.ai_category, count(*) AS articles FROM article_categories b LEFT JOIN category_mapping m ON lower(b.ai_category) = lower(m.ai_category) WHERE m.ai_category IS NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")(
@@ -272,10 +272,10 @@ plan("o105_category_counts", f"{_BY_CATEGORY} UNION ALL SELECT 'all', count(*) F
 plan("o092_top_category", f"SELECT * FROM ({_BY_CATEGORY}) ORDER BY articles DESC, name LIMIT 1")(lambda d: O.page(O.category_counts(d.article_categories, d.categories), [F.col("articles").desc(), F.col("name")], 1))
 plan("o271_top_categories", f"SELECT * FROM ({_BY_CATEGORY}) ORDER BY articles DESC, name LIMIT 12")(lambda d: O.page(O.category_counts(d.article_categories, d.categories), [F.col("articles").desc(), F.col("name")], 12))
 plan("o080_by_source_type", "SELECT s.source_type, count(*) AS articles FROM articles a JOIN news_sources s ON a.source_id = s.id GROUP BY 1")(
-    lambda d: d.articles.select("source_id").join(F.broadcast(d.news_sources.select(F.col("id").alias("source_id"), "source_type")), "source_id").groupBy("source_type").agg(F.count(F.lit(1)).alias("articles"))
+    lambda d: d.articles.select("source_id").join(d.news_sources.select(F.col("id").alias("source_id"), "source_type"), "source_id").groupBy("source_type").agg(F.count(F.lit(1)).alias("articles"))
 )
 plan("o088_by_source_name", "SELECT a.id, s.id AS source FROM articles a JOIN news_sources s ON a.source = s.name")(
-    lambda d: d.articles.select(F.col("id").alias("article"), "source").join(F.broadcast(d.news_sources.select("id", "name")), F.col("source") == F.col("name")).select(F.col("article").alias("id"), F.col("id").alias("source"))
+    lambda d: d.articles.select(F.col("id").alias("article"), "source").join(d.news_sources.select("id", "name"), F.col("source") == F.col("name")).select(F.col("article").alias("id"), F.col("id").alias("source"))
 )
 
 
@@ -286,7 +286,7 @@ plan("o088_by_source_name", "SELECT a.id, s.id AS source FROM articles a JOIN ne
 )
 def _(d: Domain):
     entry = F.struct("category_id", F.concat("name", F.lit("="), F.round(O.confidence_to_show(F.col("confidence")) * 100).cast("int").cast("string")).alias("e"))
-    named = d.article_categories.join(F.broadcast(d.categories.select(F.col("id").alias("category_id"), "name")), "category_id")
+    named = d.article_categories.join(d.categories.select(F.col("id").alias("category_id"), "name"), "category_id")
     nested = named.groupBy(F.col("article_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]), ";").alias("categories"))
     return d.articles.select("id", "title", "content").join(nested, "id", "left").select("id", "title", F.coalesce("categories", F.lit("")).alias("categories"), "content")
 

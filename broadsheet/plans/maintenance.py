@@ -39,8 +39,8 @@ plan(
        LEFT JOIN (SELECT x.ai_category, c.id FROM category_mapping x JOIN categories c ON lower(c.name) = x.ai_category WHERE x.is_active) m ON lower(replace(b.ai_category, ' news', '')) = m.ai_category""",
 )(
     lambda d: d.article_categories.select("article_id", "category_id", F.lower("ai_category").alias("k"), F.lower(F.replace("ai_category", F.lit(" news"), F.lit(""))).alias("k2"))
-    .join(F.broadcast(d.categories.select(F.lower("name").alias("k"), F.col("id").alias("own"))), "k", "left")
-    .join(F.broadcast(d.category_mapping.where("is_active").select(F.col("ai_category").alias("k2")).join(d.categories.select(F.lower("name").alias("k2"), F.col("id").alias("mapped")), "k2")), "k2", "left")
+    .join(d.categories.select(F.lower("name").alias("k"), F.col("id").alias("own")), "k", "left")
+    .join(d.category_mapping.where("is_active").select(F.col("ai_category").alias("k2")).join(d.categories.select(F.lower("name").alias("k2"), F.col("id").alias("mapped")), "k2"), "k2", "left")
     .select("article_id", "category_id", F.coalesce("own", "mapped", F.lit(-1)).alias("saved_id"))
 )
 plan("o072_snapshot_diff", "SELECT page_id, md5(url) AS h FROM pages WHERE md5(url) NOT IN (SELECT md5(concat('https://', source, '.example.org/', doc_id)) FROM documents)")(
@@ -112,7 +112,7 @@ def _fresh(d: Domain):
 
 plan("o151_cascade_delete", "SELECT b.article_id, b.category_id FROM article_categories b JOIN articles a ON b.article_id = a.id WHERE a.source_id NOT IN (SELECT id FROM news_sources WHERE NOT enabled)")(
     lambda d: d.article_categories.select("article_id", "category_id").join(
-        d.articles.select("id", "source_id").join(F.broadcast(d.news_sources.where("NOT enabled").select(F.col("id").alias("source_id"))), "source_id").select(F.col("id").alias("article_id")), "article_id", "left_anti"
+        d.articles.select("id", "source_id").join(d.news_sources.where("NOT enabled").select(F.col("id").alias("source_id")), "source_id").select(F.col("id").alias("article_id")), "article_id", "left_anti"
     )
 )
 plan("o084_correlated_delete", "SELECT article_id, category_id, ai_category FROM article_categories b WHERE NOT (lower(ai_category) = 'nation_12' AND EXISTS (SELECT 1 FROM article_categories c WHERE c.article_id = b.article_id AND c.category_id = 3))")(
@@ -124,7 +124,7 @@ plan("o152_merged_feeds", f"SELECT id, url FROM articles WHERE published_at >= t
     lambda d: d.articles.where("lang = 'en'").unionByName(d.articles.where("lang <> 'en'")).where(f"published_at >= timestamp_ntz'{AS_OF}' - interval 480 hours").select("id", "url").join(d.table("pages").select("url"), "url", "left_anti").select("id", "url")
 )
 plan("o153_backfill", "SELECT DISTINCT b.article_id, c.id AS category_id FROM (SELECT article_id, string_split(replace(ai_category, ' ', '|'), '|')[1] AS part FROM article_categories) b JOIN categories c ON lower(b.part) = lower(c.name)")(
-    lambda d: d.article_categories.select("article_id", F.lower(F.split(F.replace("ai_category", F.lit(" "), F.lit("|")), r"\|")[0]).alias("part")).join(F.broadcast(d.categories.select(F.lower("name").alias("part"), F.col("id").alias("category_id"))), "part").select("article_id", "category_id").distinct()
+    lambda d: d.article_categories.select("article_id", F.lower(F.split(F.replace("ai_category", F.lit(" "), F.lit("|")), r"\|")[0]).alias("part")).join(d.categories.select(F.lower("name").alias("part"), F.col("id").alias("category_id")), "part").select("article_id", "category_id").distinct()
 )
 _CANDIDATES = {0: ("Tech", "Business"), 1: ("Science", "Serbia", "Other"), 2: ("Business", "Other", "Health", "Science"), 3: ("Health",)}
 

@@ -98,7 +98,7 @@ plan(
        FROM articles a JOIN news_sources s ON a.source_id = s.id GROUP BY 1""",
 )(
     lambda d: d.articles.select("source_id", F.length(F.coalesce("content", F.lit(""))).alias("n_chars"), (F.col("title") == F.col("summary")).alias("bad"))
-    .join(F.broadcast(d.news_sources.select(F.col("id").alias("source_id"), "source_type")), "source_id").groupBy("source_type")
+    .join(d.news_sources.select(F.col("id").alias("source_id"), "source_type"), "source_id").groupBy("source_type")
     .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("avg_length"), F.count_if("bad").alias("failed"), F.round((1 - F.count_if("bad").cast("double") / F.count(F.lit(1))) * 100.0, 4).alias("success_rate"))
 )
 _CONTENT = "count(*) AS n, count(*) FILTER (length(coalesce(content, '')) < 200) AS short, count(*) FILTER (title = summary) AS failed"
@@ -229,7 +229,7 @@ plan(
        QUALIFY row_number() OVER (PARTITION BY article_id, name ORDER BY confidence DESC) = 1""",
 )(
     lambda d: d.article_categories.select("article_id", F.lower("ai_category").alias("k"), F.coalesce("confidence", F.lit(0.0)).alias("c"))
-    .join(F.broadcast(d.category_mapping.select(F.col("ai_category").alias("k"), F.col("fixed_category").alias("name"))), "k").groupBy("article_id", "name").agg(F.max("c").alias("confidence"))
+    .join(d.category_mapping.select(F.col("ai_category").alias("k"), F.col("fixed_category").alias("name")), "k").groupBy("article_id", "name").agg(F.max("c").alias("confidence"))
 )
 plan("o270_summaries", "SELECT id, date, category FROM daily_summaries WHERE date = '2024-01-10' ORDER BY date DESC, created_at DESC, id LIMIT 50")(
     lambda d: O.page(d.daily_summaries.where("date = '2024-01-10'").select("id", "date", "category", "created_at"), [F.col("date").desc(), F.col("created_at").desc(), F.col("id")], 50).drop("created_at")
@@ -239,7 +239,7 @@ plan("o272_summaries_by_date", "SELECT date, string_agg(DISTINCT category, ',' O
 )
 plan("o275_by_category", "SELECT a.id, a.fetched_at FROM articles a JOIN article_categories b ON a.id = b.article_id JOIN categories c ON b.category_id = c.id WHERE c.name = 'NATION_12' ORDER BY a.fetched_at DESC NULLS FIRST, a.id LIMIT 50")(
     lambda d: O.page(
-        d.articles.select("id", "fetched_at").join(d.article_categories.join(F.broadcast(d.categories.where("name = 'NATION_12'").select(F.col("id").alias("category_id"))), "category_id").select(F.col("article_id").alias("id")), "id"),
+        d.articles.select("id", "fetched_at").join(d.article_categories.join(d.categories.where("name = 'NATION_12'").select(F.col("id").alias("category_id")), "category_id").select(F.col("article_id").alias("id")), "id"),
         [F.col("fetched_at").desc_nulls_first(), F.col("id")], 50,
     )
 )
@@ -248,6 +248,6 @@ plan("o276_mapping_list", "SELECT ai_category, fixed_category, usage_count FROM
 )
 plan("o277_categories_by_confidence", "SELECT b.article_id, row_number() OVER (PARTITION BY b.article_id ORDER BY coalesce(b.confidence, 0.0) DESC, b.category_id) AS place, c.name FROM article_categories b JOIN categories c ON b.category_id = c.id")(
     lambda d: R.first_per(d.article_categories, ["article_id"], [F.coalesce("confidence", F.lit(0.0)).desc(), F.col("category_id")], 1 << 30, "place")
-    .join(F.broadcast(d.categories.select(F.col("id").alias("category_id"), "name")), "category_id").select("article_id", F.col("place").cast("long").alias("place"), "name")
+    .join(d.categories.select(F.col("id").alias("category_id"), "name"), "category_id").select("article_id", F.col("place").cast("long").alias("place"), "name")
 )
 plan("o278_by_date", "SELECT id, published_at FROM articles ORDER BY published_at DESC, id")(lambda d: d.articles.select("id", "published_at").orderBy(F.col("published_at").desc(), "id"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.domain import AS_OF, Domain
 from broadsheet.functions import dates as D
+from broadsheet.functions import extraction as E
 from broadsheet.functions import media as M
 from broadsheet.functions import scoring as S
 from broadsheet.functions import text as X
@@ -214,7 +215,7 @@ plan(
         AND coalesce(list_sum(list_transform({_GS}, lambda s: length(s))), 0)::DOUBLE / greatest(len({_GS}), 1) >= 15 AND {_N} >= 10
         AND len(list_distinct(list_filter({_LW}, lambda w: length(w) > 3)))::DOUBLE / greatest({_N}, 1) >= 0.3 AND len(list_filter({_LW}, lambda w: {_any('w', S.NAV_WORDS)})) <= {_N} * 0.1
         AND coalesce(list_max(map_values(list_histogram({_LONG}))), 0) <= {_N} * 0.15 AND NOT {_any(f'lower({_strip("content")})', S.ERROR_TEXT)}, false) AS good FROM articles""".replace("list_histogram(", "list_aggregate(").replace(f"list_aggregate({_LONG})", f"list_aggregate({_LONG}, 'histogram')"),
-)(lambda d: d.articles.select("id", S.is_good_content(F.col("content")).alias("good")))
+)(lambda d: d.articles.select("id", E.good("content").alias("good")))
 plan("o198_content_assessment", None)(lambda d: d.articles.select("id", F.round(S.assess_content(F.col("content")), 4).alias("score")))
 plan("o203_suggested_category", f"SELECT ai_category, category_id, CASE WHEN ai_category IS NULL OR ai_category = '' THEN 'Other' {' '.join(f'WHEN {_any(chr(108) + "ower(ai_category)", ks)} THEN {_quoted(c)}' for c, ks in S.SUGGESTIONS)} ELSE 'Other' END AS suggested FROM article_categories")(
     lambda d: d.article_categories.select("ai_category", "category_id", S.suggested_category(F.col("ai_category")).alias("suggested"))

@@ -224,7 +224,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_column: str =
             files.move(part, name)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([size])], ["file", "records", "bytes"])
 
-    return folder, settled(marked.mapInArrow(run, "file string, records long, bytes long"))
+    manifest = settled(marked.mapInArrow(run, "file string, records long, bytes long"))
+    files, path = file_system(numbered)
+    files.delete_dir(path)  # every archive is there
+    return folder, manifest
 
 
 def file_system(folder: str):

@@ -228,7 +228,12 @@ def messages(markup: pd.Series) -> pd.Series:
 ITEMS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("title", "link", "description", "published")]))
 
 
-def list_items(markup: str | None, url: str | None, items: str = "article, .post, .entry, li.item", titles: str = "h1 a, h2 a, h3 a, h2, h3, a") -> list[dict]:
+# Selectors of a list page's items and of their titles, in order.
+ITEM_SELECTORS = "article, .article, .news-item, .post, .entry, .changelog-item, .update-item, .release-note, .content li, .main li, ul.updates li, ul.news li"
+TITLE_SELECTORS = "h1, h2, h3, h4, .title, .headline, .heading, a[href], .link, .post-title, .article-title"
+
+
+def list_items(markup: str | None, url: str | None, items: str = ITEM_SELECTORS, titles: str = TITLE_SELECTORS) -> list[dict]:
     """Items of a list page by the first selector with hits: title, link, text and date; one of each title."""
     root = parse(markup or "")
     found = next((hits for s in items.split(",") if (hits := select(root, s.strip()))), [])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadsheet.shared import join_skewed, settled
+
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank_column: str | None = None) -> DataFrame:
     """The first n rows of each group; Spark keeps at most n rows a group before its shuffle."""
@@ -39,9 +41,11 @@ def patterns_to_keep(patterns: DataFrame, most: int = 50) -> DataFrame:
 
 
 def page_structure(patterns: DataFrame, least: float = 50.0) -> DataFrame:
-    """Of each domain and role the selectors with a good rate, or all where none has."""
-    good = F.max(pattern_rate() >= least).over(Window.partitionBy("domain", "role"))
-    return patterns.withColumns({"rate": pattern_rate(), "any_good": good}).where(~F.col("any_good") | (F.col("rate") >= least))
+    """Of each domain and role the selectors with a good rate, or all where none has. Which have one is aggregated first, so a frequent domain is not gathered in one task."""
+    keyed = patterns.withColumns({"rate": pattern_rate(), "__key": F.to_json(F.struct("domain", "role"))})
+    good = settled(keyed.groupBy("__key").agg(F.max(F.col("rate") >= least).alias("any_good"), F.count(F.lit(1)).alias("__n")))
+    total = good.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    return join_skewed(keyed, good, ["__key"], "__n", total).where(~F.col("any_good") | (F.col("rate") >= least)).drop("__key", "__n")
 
 
 def runs(events: DataFrame, keys: list[str], flag: str, order: list[str]) -> DataFrame:
@@ -53,8 +57,18 @@ def runs(events: DataFrame, keys: list[str], flag: str, order: list[str]) -> Dat
 
 
 def last_runs(events: DataFrame, keys: list[str], flag: str, order: list[str], stable_at: int = 3) -> DataFrame:
-    """A key's consecutive successes and failures as they stand after its last row."""
-    last = first_per(runs(events, keys, flag, order), keys, [F.col(c).desc() for c in order])
-    good = F.when(F.col(flag), F.col("run_length")).otherwise(F.lit(0).cast("long"))
-    bad = F.when(F.col(flag), F.lit(0).cast("long")).otherwise(F.col("run_length"))
-    return last.select(*keys, good.alias("consecutive_successes"), bad.alias("consecutive_failures"), (good >= stable_at).alias("is_stable"))
+    """A key's consecutive successes and failures as they stand after its last row; a flag that is null counts as a failure.
+
+    The last run is what comes after the last row with the other flag: two aggregations with partial sums, so a frequent key is not gathered in one task.
+    """
+    rows = events.select(*keys, F.to_json(F.struct(*keys)).alias("__key"), F.coalesce(F.col(flag), F.lit(False)).alias("__good"), F.struct(*order).alias("__at"))
+    last = settled(
+        rows.groupBy("__key").agg(F.max_by("__good", "__at").alias("__ends"), F.max(F.when(F.col("__good"), F.col("__at"))).alias("__up"), F.max(F.when(~F.col("__good"), F.col("__at"))).alias("__down"), F.count(F.lit(1)).alias("__n"))
+        .select("__key", "__ends", F.when(F.col("__ends"), F.col("__down")).otherwise(F.col("__up")).alias("__other"), "__n")
+    )
+    total = last.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    in_last = F.count_if(F.col("__other").isNull() | (F.col("__at") > F.col("__other")))
+    found = join_skewed(rows, last, ["__key"], "__n", total).groupBy(*keys, "__ends").agg(in_last.alias("__length"))
+    zero = F.lit(0).cast("long")
+    good, bad = F.when(F.col("__ends"), F.col("__length")).otherwise(zero), F.when(F.col("__ends"), zero).otherwise(F.col("__length"))
+    return found.select(*keys, good.alias("consecutive_successes"), bad.alias("consecutive_failures"), (good >= stable_at).alias("is_stable"))

@@ -30,7 +30,7 @@ plan("o240_extraction_cascade")(
     lambda d: d.table("pages").select("page_id", E.content("html", F.when(F.col("page_id") % 3 == 0, "article p")).alias("c")).select("page_id", "c.strategy", F.length("c.content").alias("chars"))
 )
 plan("o239_without_boilerplate")(lambda d: d.table("pages").select("page_id", E.main_text("html").alias("t")).select("page_id", F.length("t").alias("chars"), F.md5("t").alias("h")))
-plan("o008_page_items")(lambda d: d.table("pages").select("page_id", F.explode(H.items("html", "url")).alias("i")).select("page_id", "i.title", "i.link"))
+plan("o008_page_items")(lambda d: d.table("pages").select("page_id", F.explode(H.items("html", "url")).alias("i")).select("page_id", "i.title", "i.link", F.length("i.description").alias("chars")))
 plan("o172_chat_markup")(lambda d: d.table("pages").select("page_id", F.md5(H.chat_html("html")).alias("h")))
 plan("o173_short_markup")(lambda d: d.table("pages").select("page_id", E.short_markup(1000)("html").alias("t")).select("page_id", F.length("t").alias("chars"), F.md5("t").alias("h")))
 

@@ -242,6 +242,10 @@ def test_list_page():
     items = H.list_items(LIST, "https://x.y/")
     assert [i["link"] for i in items] == ["https://x.y/a1", "https://x.y/a2", "https://x.y/a3"] and items[0]["published"] == "2024-01-01"
     assert H.list_items("<body><p>none</p></body>", "u") == []
+    blog = "".join(f'<div class="post"><h3><a href="/docker-{i}">Docker in practice {i}</a></h3><span class="date">2024-02-0{i}</span><div class="excerpt">e</div></div>' for i in (1, 2))
+    for items in (H.list_items(blog, "https://b.c/blog/"), H.list_items(blog, "https://b.c/blog/", ".post, article", "h3, h2")):
+        assert [(i["title"], i["link"], i["published"]) for i in items] == [(f"Docker in practice {k}", f"https://b.c/docker-{k}", f"2024-02-0{k}") for k in (1, 2)]
+    assert [(i["title"], i["link"]) for i in H.list_items("<article><h1>Only one</h1><p>text</p></article>", "https://b.c/x")] == [("Only one", "https://b.c/x")]
 
 
 def test_channel_page():

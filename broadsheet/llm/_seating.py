@@ -3,7 +3,7 @@
 A dish with c customers has t tables with a probability in proportion to S(c, t) x^t, where S are the generalised Stirling numbers of the discount d,
 S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t). Up to `EXACT` customers their ratios come from this recurrence. Beyond it S(c, t) is
 c! / (t! d^t) P(N_1 + .. + N_t = c), where the N have the generating function 1 - (1 - s)^d: by the finite sum where that is well-conditioned, else by a saddle point with its
-first correction (logarithms agree with the recurrence to 2e-3, ratios of neighbours to 1e-3). Large dishes take random-walk steps by these weights.
+first correction (logarithms agree with the recurrence to 4e-3 for discounts up to 0.85 and to 1e-2 at 0.9, the largest that the model takes). Large dishes take random-walk steps by these weights.
 """
 
 from __future__ import annotations

@@ -468,13 +468,13 @@ def stirling(discount, most):
     return rows
 
 
-@pytest.mark.parametrize("discount", [0.05, 0.3, 0.6, 0.77, 0.9])
+@pytest.mark.parametrize("discount", [0.05, 0.3, 0.6, 0.77, 0.85, 0.9])
 def test_stirling_numbers(discount):
     rows = stirling(discount, 900)
     for c in (129, 300, 900):
         t = np.arange(1, c + 1)
         got = seating.log_weights(np.full(c, c), t, np.ones(c), discount) + math.lgamma(c + 1)
-        assert np.abs(got - rows[c]).max() < 5e-3
+        assert np.abs(got - rows[c]).max() < (4e-3 if discount <= 0.85 else 1e-2)
     table = seating.ratios(discount)
     for c in (2, 7, 128):
         assert np.allclose(np.log(table[c, 1:c]), np.diff(rows[c]))
@@ -499,5 +499,6 @@ def test_gamma_variables():
     key = np.arange(100_000, dtype=np.uint64)
     for shape in (0.1, 0.7, 1.0, 5.5, 4000.0):
         got = seating.gammas(np.full(len(key), shape), key, 3)
-        assert got.mean() == pytest.approx(shape, rel=0.03) and got.var() == pytest.approx(shape, rel=0.06)
+        # four standard errors of a gamma sample's mean and variance
+        assert abs(got.mean() - shape) < 4 * math.sqrt(shape / len(key)) and abs(got.var() - shape) < 4 * shape * math.sqrt((2 + 6 / shape) / len(key))
         assert np.array_equal(got[500:600], seating.gammas(np.full(100, shape), key[500:600], 3))

@@ -40,7 +40,7 @@ from .warc import file_system
 
 #: Share of training tokens from which on a word is frequent.
 SHARE = 1e-4
-SWEEPS, AVERAGED, STRENGTH, SEED = 10, 4, 0.5, 20240101
+SWEEPS, AVERAGED, STRENGTH, SEED = 12, 4, 0.5, 20240101
 CHUNK_TOKENS, BLOCK_TOKENS, GROUP_DOCS = 700_000, 1_000_000, 20_000
 END = np.uint64(0x5E3D)
 _LN10 = float(np.log(10))
@@ -329,8 +329,9 @@ class Block:
         """Customers of each word in the parent."""
         return self.ones + np.bincount(self.word, tables, len(self.words)).astype(np.int64)
 
-    def save(self, sweep: int, tables: np.ndarray, in_parent: np.ndarray) -> None:
+    def save(self, sweep: int, tables: np.ndarray, in_parent: np.ndarray, shares: np.ndarray) -> None:
         _written(f"{self.run.folder}/seats", sweep, str(self.number), _squeezed(planes(tables, 5) + planes(in_parent, 5)))
+        _written(f"{self.run.folder}/seats", sweep, f"{self.number}-shares", shares.tobytes())
 
     def load(self, sweep: int) -> tuple[np.ndarray, np.ndarray]:
         """Tables of the dishes with several customers, and of the words in the parent (0 for frequent words), after a sweep; at first one each."""
@@ -432,7 +433,7 @@ def swept(block: Block, whole: Whole) -> tuple[np.ndarray, np.ndarray]:
     often, draw, kept = block.often, np.random.default_rng([SEED, whole.sweep + 1, block.number]), whole.sweep > 0
     guests = np.where(often, 0, block.guests(before))
     if kept:
-        chance = whole.drawn(np.where(often, whole.shares[block.index], block.shares(guests, in_parent, whole.discount0, whole.sweep)[0]))
+        chance = whole.drawn(np.where(often, whole.shares[block.index], np.frombuffer(_stored(f"{block.run.folder}/seats", whole.sweep, f"{block.number}-shares"), np.float64)))
     else:  # discounts were not known when sums were sent: the first sweep is given the mean
         chance = whole.parent(np.where(often, whole.guests[block.index], guests), np.where(often, whole.in_parent[block.index], in_parent))
     there = np.zeros(block.frequent + len(block.active), np.int64)
@@ -445,14 +446,13 @@ def swept(block: Block, whole: Whole) -> tuple[np.ndarray, np.ndarray]:
     return tables, S.tables(guests, np.full(len(guests), whole.parent_weight()), whole.discount0, draw, in_parent if kept else None)
 
 
-def sums_of(block: Block, tables: np.ndarray, in_parent: np.ndarray, before: Whole | None, dishes: Dishes | None = None):
-    """What the block adds to the whole: (kind, index, number) of frequent words and of all; `dishes` at first."""
+def sums_of(block: Block, tables: np.ndarray, in_parent: np.ndarray, guests: np.ndarray, shares: int | None, dishes: Dishes | None = None):
+    """What the block adds to the whole: (kind, index, number) of frequent words and of all; `dishes` at first, then the units of its words' `shares`."""
     often, rare = block.often, block.frequent
-    guests = block.guests(tables)
     vectors = [("tables", np.bincount(block.where, tables, rare + len(block.active))[:rare]), ("guests", np.bincount(block.index[often], guests[often], rare))]
     scalars = [("rare_tables", in_parent.sum()), ("rare_guests", guests[~often].sum())]
-    if before is not None:
-        scalars.append(("shares", block.shares(guests, in_parent, before.discount0, before.sweep + 1)[1]))
+    if shares is not None:
+        scalars.append(("shares", shares))
     else:
         vectors += [("single", dishes.single[:rare]), ("customers", dishes.by_context(dishes.customers)[:rare]), ("counts", np.bincount(block.index[often], dishes.total[often], rare))]
         scalars += [
@@ -483,8 +483,11 @@ def swept_sums(state: DataFrame, run: Run, before: Whole | None, blocks: int) ->
                     (tables, in_parent), dishes = block.load(0), Dishes(row, block)
                 else:
                     tables, in_parent = swept(block, before)
-                    block.save(sweep, tables, in_parent)
-                for kind, index, value in sums_of(block, tables, in_parent, before, dishes):
+                guests, units_of = block.guests(tables), None
+                if before is not None:
+                    shares, units_of = block.shares(guests, in_parent, before.discount0, sweep)
+                    block.save(sweep, tables, in_parent, shares)
+                for kind, index, value in sums_of(block, tables, in_parent, guests, units_of, dishes):
                     total[kind, index] = total.get((kind, index), 0) + value
                 contexts = unpacked_sorted(_loose(row["rare"])) if run.whole(sweep) else block.active
                 at = np.searchsorted(contexts, block.active)

@@ -1,11 +1,12 @@
-"""What several operators need: results kept in the shared folder, joins with frequent keys, connected components."""
+"""What several operators need: results kept in the shared folder, joins with frequent keys, connected components, sums in an order."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +72,39 @@ def components(edges: DataFrame) -> DataFrame:
         stars = settled(small.select("a", F.col("least").alias("b")).unionByName(moved.select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct())
     nodes = given.select(F.col("a").alias("node")).unionByName(given.select(F.col("b").alias("node"))).distinct()
     return nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+#: Low bits of a row's number that count rows within their partition.
+_PLACE = 33
+
+
+def before(rows: DataFrame, order: list[Column | str], value: Column | str | None = None, groups: list[str] | None = None, name: str = "before") -> DataFrame:
+    """`rows` with the number of rows that come before each in `order`, or the sum of `value` over them; with `groups`, among the rows of its group (nulls are one group).
+
+    Two levels, so that no group and not the whole is ever in one task: rows are dealt out in ranges of the order and written to the shared folder, each range is numbered or summed by itself,
+    and what the ranges before it hold is added: one number a range, of which there are at most as many as the session has shuffle partitions, or one a range and group. Rows that are equal in `order`
+    follow each other in any order, but in the same one however often the result is read. Null values count as 0.
+    """
+    keys, tie, row = [F.col(f"`{g}`") for g in groups or []], "__tie", "__row"
+    by = [*keys, *[F.col(o) if isinstance(o, str) else o for o in order], F.col(tie)]
+    dealt = rows.withColumn(tie, F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*by).sortWithinPartitions(*by).drop(tie)
+    dealt = settled(dealt.withColumn(row, F.monotonically_increasing_id()))
+    part, place = F.shiftright(row, _PLACE), F.col(row).bitwiseAND(F.lit((1 << _PLACE) - 1))
+    if not keys and value is None:
+        counts = dict(dealt.groupBy(part.alias("part")).count().collect())  # a row a range
+        most = max(counts, default=0)
+        starts = np.cumsum([0, *[counts.get(p, 0) for p in range(most)]]).tolist()
+        return dealt.withColumn(name, F.get(F.lit(starts), part.cast("int")) + place).drop(row)
+    added = F.lit(1) if value is None else F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0))
+    dealt = dealt.withColumns({"__part": part, "__place": place, "__added": added}).drop(row)
+    inside = F.sum("__added").over(Window.partitionBy(*keys, "__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1))
+    held = dealt.groupBy(*keys, "__part").agg(F.sum("__added").alias("held"), F.min("__place").alias("first"))
+    earlier = held.withColumn("earlier", F.coalesce(F.sum("held").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    earlier = earlier.select(*[k.alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__part").alias("__of"), "earlier", "first")
+    on = F.col("__part") == F.col("__of")
+    for i, k in enumerate(keys):
+        on &= k.eqNullSafe(F.col(f"__key{i}"))
+    counted = dealt.withColumn("__inside", F.coalesce(inside, F.lit(0))) if value is not None else dealt
+    joined = counted.join(earlier.hint("merge"), on)
+    total = F.col("earlier") + (F.col("__inside") if value is not None else F.col("__place") - F.col("first"))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], total.alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdedup, jaccard, packing, pitmanyor, quality, tokencount, toxicity, warc
+from . import bpe, chat, exactdedup, jaccard, layout, packing, pitmanyor, quality, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,20 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_bpe, op4_quality, op5_warc, op6_language_model, op7_toxicity, op8_chat, op9_exact_dedup, op10_jaccard)}
+def laid_out(docs: DataFrame, file_rows: int = layout.FILE_ROWS) -> DataFrame:
+    """Ids of documents in a layout by source, language, length of the text and a date made from the id."""
+    dimensions = [
+        layout.Dimension("source", F.col("source")), layout.Dimension("lang", F.col("lang")), layout.Dimension("length", F.coalesce(F.octet_length("text"), F.lit(-1)), 1),
+        layout.Dimension("date", F.crc32(F.col("doc_id").cast("string")) % 365, 1),
+    ]
+    return layout.clustered(docs, dimensions, carried=["doc_id"], file_rows=file_rows, interleave=["date", "length", "lang", "source"])
+
+
+def op11_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laid_out(table(spark, sf_dir, "documents")).select("doc_id", "z", "position", "file", "files_touched", "files_matching", "file_bounds")
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_bpe, op4_quality, op5_warc, op6_language_model, op7_toxicity, op8_chat, op9_exact_dedup, op10_jaccard, op11_layout)}
 
 _DIGEST = "sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g'))"
 
@@ -80,6 +93,10 @@ _COVERED = ", ".join(f"max(CAST(r{n} AS INT)) OVER (PARTITION BY doc_id ORDER BY
 _SHARES = ", ".join(f"coalesce(sum(chars) FILTER (c{n} = 1), 0) AS in{n}" for n in quality.NGRAM_LIMITS)
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The CRC-32 of the id's decimal digits, bit by bit.
+_CRC32 = """xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS UBIGINT)),
+    lambda h, c: list_reduce([xor(h, c)] || [CAST(x AS UBIGINT) for x in range(8)], lambda a, b: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))))"""
+
 ORACLES = {
     "op4_quality": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -111,6 +128,19 @@ ORACLES = {
         least AS (SELECT r.a AS class, min(c.first_id) AS component_id FROM r JOIN c ON r.b = c.class GROUP BY 1)
         SELECT w.doc_id, coalesce(k.n, 0) AS n_shingles, coalesce(least.component_id, w.doc_id) AS component_id, coalesce(c.class_size, 1) AS class_size
         FROM w LEFT JOIN k USING (doc_id) LEFT JOIN c USING (class) LEFT JOIN least USING (class)""",
+    "op11_layout": f"""
+        WITH v AS (SELECT doc_id, coalesce(encode(source), ''::BLOB) AS v0, source IS NOT NULL AS k0, coalesce(encode(lang), ''::BLOB) AS v1, lang IS NOT NULL AS k1, coalesce(octet_length(encode(text)), -1) AS v2, {_CRC32} % 365 AS v3 FROM documents),
+        c AS (SELECT doc_id, {", ".join(f"CAST({layout.CELLS} * (rank() OVER (ORDER BY {o}) - 1) // count(*) OVER () AS BIGINT) AS c{i}" for i, o in enumerate(("k0, v0", "k1, v1", "v2", "v3 NULLS FIRST")))} FROM v),
+        z AS (SELECT *, {" + ".join(f"((c{i} >> {b}) & 1) * {1 << 4 * b + i}" for b in range(3) for i in range(4))} AS z, c0 * 512 + c1 * 64 + c2 * 8 + c3 AS cell FROM c),
+        p AS (SELECT *, row_number() OVER (ORDER BY z, doc_id NULLS FIRST) - 1 AS position FROM z),
+        f AS (SELECT *, position // {layout.FILE_ROWS} AS file FROM p),
+        b AS (SELECT file, {", ".join(f"{m}(c{i}) AS {m}{i}" for i in range(4) for m in ("min", "max"))} FROM f GROUP BY file),
+        q AS (SELECT DISTINCT cell, c0, c1, c2, c3 FROM f),
+        h AS (SELECT DISTINCT file, c0, c1, c2, c3 FROM f),
+        t AS (SELECT cell, count(*) AS files_touched FROM q JOIN b ON q.c0 BETWEEN min0 AND max0 AND q.c1 BETWEEN min1 AND max1 AND min2 <= q.c2 + 1 AND max2 >= q.c2 - 1 AND min3 <= q.c3 + 1 AND max3 >= q.c3 - 1 GROUP BY cell),
+        m AS (SELECT cell, count(DISTINCT file) AS files_matching FROM q JOIN h ON q.c0 = h.c0 AND q.c1 = h.c1 AND h.c2 BETWEEN q.c2 - 1 AND q.c2 + 1 AND h.c3 BETWEEN q.c3 - 1 AND q.c3 + 1 GROUP BY cell)
+        SELECT doc_id, z, position, file, files_touched, files_matching, concat_ws(',', {", ".join(f"{m}{i}" for i in range(4) for m in ("min", "max"))}) AS file_bounds
+        FROM f JOIN b USING (file) JOIN t USING (cell) JOIN m USING (cell)""",
     "op5_warc": f"""
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

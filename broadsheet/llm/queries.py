@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdedup, jaccard, layout, packing, pitmanyor, quality, tokencount, toxicity, warc
+from . import bpe, chat, exactdedup, jaccard, layout, packing, pitmanyor, quality, tokencount, tokenfile, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,11 @@ def op11_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid_out(table(spark, sf_dir, "documents")).select("doc_id", "z", "position", "file", "files_touched", "files_matching", "file_bounds")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_bpe, op4_quality, op5_warc, op6_language_model, op7_toxicity, op8_chat, op9_exact_dedup, op10_jaccard, op11_layout)}
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_documents(*tokenfile.write_tokens(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_bpe, op4_quality, op5_warc, op6_language_model, op7_toxicity, op8_chat, op9_exact_dedup, op10_jaccard, op11_layout, op12_token_files)}
 
 _DIGEST = "sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g'))"
 

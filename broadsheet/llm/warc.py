@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._files import file_system, removed
 from ._shared import settled, shared_path
 
 SMALL = 100
@@ -225,21 +226,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_column: str =
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([size])], ["file", "records", "bytes"])
 
     manifest = settled(marked.mapInArrow(run, "file string, records long, bytes long"))
-    files, path = file_system(numbered)
-    files.delete_dir(path)  # every archive is there
+    removed(numbered)  # every archive is there
     return folder, manifest
 
 
-def file_system(folder: str):
-    from pyarrow import fs
-
-    if folder.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
-    if folder.startswith("/"):
-        return fs.LocalFileSystem(), folder
-    return fs.FileSystem.from_uri(folder)
-
-
 def read_archives(folder: str, manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """One row a record, each archive read from its start to its end by one task: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked for.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdedup, jaccard, layout, packing, pitmanyor, quality, tokencount, tokenfile, toxicity, warc
+from . import bpe, chat, collocation, exactdedup, jaccard, layout, packing, pitmanyor, quality, tokencount, tokenfile, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +86,11 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_documents(*tokenfile.write_tokens(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_bpe, op4_quality, op5_warc, op6_language_model, op7_toxicity, op8_chat, op9_exact_dedup, op10_jaccard, op11_layout, op12_token_files)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_bpe, op4_quality, op5_warc, op6_language_model, op7_toxicity, op8_chat, op9_exact_dedup, op10_jaccard, op11_layout, op12_token_files, op13_collocations)}
 
 _DIGEST = "sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g'))"
 
@@ -145,6 +149,19 @@ ORACLES = {
         m AS (SELECT cell, count(DISTINCT file) AS files_matching FROM q JOIN h ON q.c0 = h.c0 AND q.c1 = h.c1 AND h.c2 BETWEEN q.c2 - 1 AND q.c2 + 1 AND h.c3 BETWEEN q.c3 - 1 AND q.c3 + 1 GROUP BY cell)
         SELECT doc_id, z, position, file, files_touched, files_matching, concat_ws(',', {", ".join(f"{m}{i}" for i in range(4) for m in ("min", "max"))}) AS file_bounds
         FROM f JOIN b USING (file) JOIN t USING (cell) JOIN m USING (cell)""",
+    "op13_collocations": f"""
+        WITH p AS (SELECT coalesce(lang, '{collocation.UNKNOWN}') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+        n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        f AS (SELECT lang, k AS words, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g, range(1, {collocation.MOST_WORDS + 1}) AS s(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= {collocation.LEAST}),
+        c AS (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1),
+        k AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS front, array_to_string(ws[k + 1:], ' ') AS rest FROM c, range(1, {collocation.MOST_WORDS}) AS s(k) WHERE k < words),
+        s AS (SELECT k.lang, k.phrase, k.a, k, l.f AS l, r.f AS r, {collocation.SCALE}::HUGEINT * a // (l.f + r.f) AS score FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.front JOIN f r ON r.lang = k.lang AND r.phrase = k.rest),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        x AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM c, range(2, {collocation.MOST_WORDS}) AS s(m), range(1, {collocation.MOST_WORDS}) AS t(i) WHERE m < words AND i + m - 1 <= words GROUP BY ALL),
+        o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b LEFT JOIN x USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < {collocation.COVERED}::HUGEINT * a)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= {collocation.FIRST}""",
     "op5_warc": f"""
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

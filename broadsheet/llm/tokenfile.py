@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import uuid
 import zlib
 from functools import lru_cache
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from . import _text as X
 from ._files import file_system, removed
 from ._shared import before, settled, shared_path
-from .bpe import located
+from .bpe import byte_letters, located
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -43,7 +44,7 @@ FILE_TOKENS, READ_TOKENS = 1 << 24, 1 << 20
 #: Bits of a bitmap that an entry of its directory counts, and values packed at once.
 RANK_BITS, PACKED = 512, 1 << 16
 #: Chunks of texts whose ids a worker remembers, and bytes of text encoded at once.
-REMEMBERED, SLICE_BYTES = 400_000, 8 << 20
+REMEMBERED, SLICE_BYTES = 1_000_000, 8 << 20
 MAGIC = b"DACTOK01"
 
 
@@ -209,14 +210,29 @@ class Coder:
         self.by_chunk = bool(words) and self.mark is not None and one([joined])[0] == [i for x in one(words) for i in x] == one([f"\n{joined.replace(' ', chr(12))}\r\n"])[0]
         self.by_chunk = self.by_chunk and all(one([a])[0] == one([b])[0] for a, b in zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", strict=True))
         self.by_chunk = self.by_chunk and all(one([f"{a}b9{c}"])[0] == [i for x in one([a, "b9", c]) for i in x] for a in ('"', "((", "''", "$") for c in ("'", '."', "%", "!!"))
+        # Words of letters in lower case, and digits, go to the library's model without the steps before it, where that comes to the same.
+        self.letters = {b: c for c, b in byte_letters().items()}
+        words += ["naïve", "größe", "привет", "日本語", "ñandú", "0", "9", "é"]
         self.plain = all(self.modelled(w) == i for w, i in zip(words, one(words), strict=True)) if self.by_chunk else False
+        self.digits = {bytes([b]): self.modelled(chr(b)) for b in range(48, 58)} if self.plain and one(["1029"])[0] == [i for d in "1029" for i in self.modelled(d)] else {}
         self.forget()
 
     def ask(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def modelled(self, word: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize(word)]
+        return [t.id for t in self.library.model.tokenize(word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode())))]
+
+    def simple(self, key: bytes) -> list[int] | None:
+        """Ids of a word of letters in lower case or of a number; None for all else."""
+        if key.isalpha():  # ASCII letters, of which there are no capitals here
+            return self.modelled(key.decode("ascii")) if self.plain and key.islower() else None
+        if key.isdigit():
+            return [i for k in range(len(key)) for i in self.digits[key[k : k + 1]]] if self.digits else None
+        if not self.plain or key.isascii():
+            return None
+        word = key.decode("utf-8", "replace")
+        return self.modelled(word) if word.isalpha() and word.islower() and word == word.lower() and unicodedata.is_normalized("NFC", word) and "�" not in word else None
 
     def forget(self) -> None:
         self.rows: dict[bytes, int] = {}
@@ -229,9 +245,9 @@ class Coder:
             self.forget()
             new = keys
         if new:
-            easy = [self.plain and k.isalpha() for k in new]  # bytes are letters if they are ASCII letters
-            asked = iter(self.ask([k.decode("utf-8", "replace") for k, e in zip(new, easy, strict=True) if not e]))
-            made = [self.modelled(k.decode("ascii")) if e else next(asked) for k, e in zip(new, easy, strict=True)]
+            made = [self.simple(k) for k in new]
+            asked = iter(self.ask([k.decode("utf-8", "replace") for k, m in zip(new, made, strict=True) if m is None]))
+            made = [next(asked) if m is None else m for m in made]
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             sizes = np.fromiter(map(len, made), np.int64, len(made))
             self.flat = np.concatenate([self.flat, np.fromiter((i for m in made for i in m), np.uint32, int(sizes.sum()))])
@@ -273,7 +289,7 @@ class Coder:
         to = np.concatenate([[0], np.cumsum(size)])
         solid = np.zeros(len(raw) + 1, np.int8)
         solid[starts] += 1
-        np.add.at(solid, ends, -1)
+        solid[ends] -= 1
         held = np.ascontiguousarray(low[np.cumsum(solid[:-1], dtype=np.int8) > 0])
         spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(to), pa.py_buffer(held)]).dictionary_encode()
         row = self.learn(spans.dictionary.to_pylist())[spans.indices.to_numpy()]
@@ -295,15 +311,24 @@ def coder(name: str) -> Coder:
     return Coder(name)
 
 
+def id_bytes(vocabulary: str, end: int) -> int:
+    """Bytes that hold any id of a vocabulary."""
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(located(vocabulary)).get_vocab(with_added_tokens=True).values()
+    return 2 if max(end, *ids) < 1 << 16 else 4
+
+
 def encoded(df: DataFrame, text: str = "text", id_column: str = "doc_id", vocabulary: str = VOCABULARY, end: int = END_ID) -> DataFrame:
-    """id (long) and ids, as little-endian unsigned 32-bit integers, of every document with its end token."""
+    """id (long) and ids of every document with its end token, as little-endian unsigned integers of `id_bytes` each."""
     source = df.select(df[X.quoted(id_column)].cast("long").alias("id"), df[X.quoted(text)].cast("string").alias("__text"))
+    each = id_bytes(vocabulary, end)
 
     def run(batches):
         made = coder(vocabulary)
         for rows, raw, offsets in X.slices(batches, "__text", SLICE_BYTES):
             ids, to = made.encode(raw, offsets, end)
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(to) - 1, [None, pa.py_buffer(4 * to), pa.py_buffer(ids.astype("<u4"))])
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(to) - 1, [None, pa.py_buffer(each * to), pa.py_buffer(ids.astype(f"<u{each}"))])
             yield pa.RecordBatch.from_arrays([rows.column("id"), data.cast(pa.binary())], ["id", "ids"])
 
     return source.mapInArrow(run, "id long, ids binary")
@@ -325,6 +350,7 @@ def write_tokens(df: DataFrame, folder: str | None = None, text: str = "text", i
     rows = spark.read.schema("id long, ids binary, tie long").parquet(once)
     by = [F.asc_nulls_first("id"), F.asc("tie")]
     ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by, "ids").select("id", "ids")
+    each = id_bytes(vocabulary, end)
 
     def run(batches):
         from pyspark import TaskContext
@@ -346,7 +372,7 @@ def write_tokens(df: DataFrame, folder: str | None = None, text: str = "text", i
 
         for batch in batches:
             for i, data in zip(batch.column("id").to_pylist(), batch.column("ids"), strict=True):
-                held.append((i, np.frombuffer(data.as_buffer(), "<u4").astype(np.uint32)))
+                held.append((i, np.frombuffer(data.as_buffer(), f"<u{each}").astype(np.uint32)))
                 size += len(held[-1][1])
                 if size >= file_tokens:
                     yield written()

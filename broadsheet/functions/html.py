@@ -106,21 +106,34 @@ def _compound(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def select_all(root: Node, selectors: tuple[str, ...]) -> dict[str, list[Node]]:
+    """For each selector its elements in document order, from one walk: how far the ancestors match is handed down, so that depth costs nothing."""
+    chains = [[_compound(part) for part in s.split()] for s in selectors]
+    out: dict[str, list[Node]] = {s: [] for s in selectors}
+    # A compound is looked at where the first of its conditions may hold.
+    likely: dict[tuple[str, str], list[int]] = {}
+    for k, chain in enumerate(chains):
+        kind, name, _ = chain[-1][0]
+        likely.setdefault((kind if kind in ("tag", "class", "id") else "has", name), []).append(k)
+    long = [k for k, chain in enumerate(chains) if len(chain) > 1]
+    stack = [(c, (0,) * len(long)) for c in reversed(root.children) if isinstance(c, Node)]
+    # The root itself, which has no name, may be an ancestor too.
+    while stack:
+        node, above = stack.pop()
+        keys = [("tag", node.tag), *(("class", c) for c in set(node.attrs.get("class", "").split())), ("id", node.attrs.get("id", "")), *(("has", a) for a in node.attrs)]
+        for k in sorted({k for key in keys for k in likely.get(key, ())}):
+            chain = chains[k]
+            if (len(chain) == 1 or above[long.index(k)] >= len(chain) - 1) and node.matches(chain[-1]):
+                out[selectors[k]].append(node)
+        if node.children:
+            below = tuple(n + (n < len(chains[k]) - 1 and node.matches(chains[k][n])) for n, k in zip(above, long, strict=True)) if long else above
+            stack.extend((c, below) for c in reversed(node.children) if isinstance(c, Node))
+    return out
+
+
 def select(root: Node, selector: str) -> list[Node]:
     """Elements in document order that the selector matches."""
-    chain = [_compound(part) for part in selector.split()]
-
-    def fits(node: Node) -> bool:
-        if not node.matches(chain[-1]):
-            return False
-        up, at = node.parent, len(chain) - 2
-        while at >= 0 and up is not None:
-            if up.matches(chain[at]):
-                at -= 1
-            up = up.parent
-        return at < 0
-
-    return [n for n in root.walk() if fits(n)]
+    return select_all(root, (selector,))[selector]
 
 
 def first(root: Node, selectors: str) -> Node | None:

@@ -162,7 +162,7 @@ def test_media(spark):
 
 def test_selectors():
     root = H.parse("<div id=a class='x y'><p data-k='v1'>one</p><p>two</p></div><main><article><h1>T</h1></article></main>")
-    for selector, want in {"p": 2, ".x": 1, "#a": 1, "div p": 2, "[data-k]": 1, "[data-k=v1]": 1, "[data-k*=v]": 1, "main article h1": 1, "div.y#a p": 2, ".z": 0}.items():
+    for selector, want in {"p": 2, ".x": 1, "#a": 1, "div p": 2, "main article": 1, "main main article": 0, "div": 1, "div div": 0, "[data-k]": 1, "[data-k=v1]": 1, "[data-k*=v]": 1, "main article h1": 1, "div.y#a p": 2, ".z": 0}.items():
         assert len(H.select(root, selector)) == want, selector
 
 
@@ -206,6 +206,58 @@ def test_scores_of_elements():
     assert time.time() - start < 20
 
 
+def test_cascade_is_linear_in_nesting():
+    import time
+
+    n = 4000
+    chain = "".join(f'<div class="content">word{i} and more' for i in range(n)) + "</div>" * n
+    cells = "".join(f"<td>word{i} and more, yes" for i in range(n)) + "</td>" * n
+    same = "<div class='content'>" * n + ("x y z " * 50 + ". ") * 50 + "</div>" * n
+    for markup in (chain, cells, same):
+        start = time.process_time()
+        X2.extracted(markup)
+        assert time.process_time() - start < 4  # about half a second on an idle machine
+
+
+def test_texts_of_elements_are_parts_of_their_layer():
+    """Against each element's own strings, tidied and judged by themselves."""
+    import random
+
+    random.seed(11)
+    said = ["Share", "read", "more", "Read more", "the", "bridge", "menu", "Follow", "us", ".", ", and", "! Why", ":x", "subscribe", "Advertısement", "advertisement", "harbour winter.", "404 not found", "cookie policy", "Tweet.", "İstanbul", "\n", STORY, "Several. Families."]
+    tags = ["div", "p", "article", "section", "td", "span", "a", "nav", "aside", "div class=content", "div id=content class='post ad'", "main", "script", "p class=mb-14"]
+
+    def made(depth=0):
+        inner = [f"<{t}>{made(depth + 1)}</{t.split()[0]}>" if depth < 6 and random.random() < 0.5 else " ".join(random.choices(said, k=random.randint(1, 30))) for t in random.choices(tags, k=random.randint(1, 5))]
+        return random.choice(["", " "]).join(inner)
+
+    def own(node, outer=True):
+        return [s for c in node.children for s in ([c.strip()] if isinstance(c, str) else [] if c.tag in X2.INNER_TAGS else own(c)) if s]
+
+    good = 0
+    for _ in range(150):
+        page = X2.Page(H.parse(made()))
+        texts = [X2.tidy(" ".join(own(n))) for n in page.nodes]
+        assert [page.text(n) for n in page.nodes] == texts
+        assert [page.length(n) for n in page.nodes] == [len(t) for t in texts] and [page.commas(n) for n in page.nodes] == [t.count(",") for t in texts]
+        judged = page.good(page.nodes)
+        assert [judged[id(n)] for n in page.nodes] == [X2.is_good(t) for t in texts]
+        good += sum(judged.values())
+    assert good > 20
+
+
+def test_metadata_is_passed_over():
+    poor = LONGER + " It takes a 5 min read."
+    assert X2.is_good(poor) and X2.is_poor(poor) and not X2.is_poor(LONGER) and not X2.is_poor(poor + " buy now") and not X2.is_poor("5 min read")
+    assert X2.extracted(f"<article><p>{poor}</p></article>")[1] not in ("selector:article", "readability")
+    assert X2.extracted(f"<article><p>{poor}</p></article><b>x</b>", "article p")[1] != "learned"
+
+
+def test_densest_weighs_all():
+    linked = "".join(f"<div><p><a href=x>{LONGER}, one, two, three, four</a></p></div>" for _ in range(9))
+    assert X2.Page(H.parse(f"<body><section>{linked}</section><section><div><p>{LONGER}</p></div></section></body>")).densest() == LONGER
+
+
 def test_boilerplate_goes():
     page = f"""<body class=x><header>top</header><nav>n</nav><!-- c --><div class="Ad-box">a</div><div id=thread>not an ad word but 'ad' is in it</div><div class="main Related">r</div>
         <div id=a><p>{STORY}</p><span class=share-it>s</span><script>var x</script></div><footer>f</footer></body>"""

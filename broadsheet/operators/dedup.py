@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.shared import components, join_skewed, settled
+from broadsheet.shared import before, components, join_skewed, settled
 
-#: Rules that labels are matched with as substrings, at most.
-MOST_RULES = 10_000
+#: Rows of a greedy pass that tasks fold by themselves at the end.
+FOLDED = 100_000
 
 
 def mark_copies(df: DataFrame, key: Column, order: list[str], ids: list[str]) -> DataFrame:
@@ -51,21 +51,22 @@ def item_hash(title: Column, link: Column, description: Column) -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], recency: str) -> DataFrame:
-    """The latest row of each key; new rows win ties with old ones, and of equally new ones the greatest as JSON."""
+    """The latest row of each key; new rows win ties with old ones, and of equally new ones the greatest as JSON. An aggregation with partial results, so a key may have any number of versions."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(recency).desc(), F.col("__new").desc(), F.to_json(F.struct(*old.columns)).desc()))
-    return both.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__new")
+    place = F.struct(F.col(recency).alias("at"), F.col("__new").alias("new"), F.to_json(F.struct(*old.columns)).alias("text"))
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*old.columns), place).alias("__row")).select("__row.*")
 
 
 def without_recent_titles(articles: DataFrame, hours: int = 168) -> DataFrame:
     """Articles (id, source_id, title, fetched_at) but those of which the same source has an article with a smaller id and the same title in any case that was not fetched more than `hours` before.
 
-    One pass in order of ids in each title of a source: the latest instant so far is enough.
+    The latest instant so far, in order of ids in each title of a source, is enough; it is found by ranges of the ids, so a title may have any share of the rows. Articles without a title or source stay and are not looked at.
     """
-    before = F.max("fetched_at").over(Window.partitionBy("source_id", F.lower("title")).orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    recent = before >= F.col("fetched_at") - F.expr(f"make_dt_interval(0, {int(hours)}, 0, 0)")
-    marked = articles.withColumn("__recent", F.col("title").isNotNull() & F.col("source_id").isNotNull() & F.coalesce(recent, F.lit(False)))
-    return marked.where("NOT __recent").drop("__recent")
+    titled = F.col("title").isNotNull() & F.col("source_id").isNotNull()
+    low = articles.where(titled).withColumn("__low", F.lower("title"))
+    seen = before(low, ["id"], "fetched_at", ["source_id", "__low"], "__before", "max")
+    recent = F.col("__before") >= F.col("fetched_at") - F.expr(f"make_dt_interval(0, {int(hours)}, 0, 0)")
+    return seen.where(~F.coalesce(recent, F.lit(False))).select(*articles.columns).unionByName(articles.where(~titled))
 
 
 def merge_by_url(existing: DataFrame, incoming: DataFrame, fields: list[str]) -> DataFrame:
@@ -110,17 +111,47 @@ def remap(bridge: DataFrame, label: str, target: int) -> DataFrame:
     return moved.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__hit")
 
 
+def _substrings(text: str, lengths: list[int]) -> Column:
+    """The distinct substrings of a text that have one of the lengths."""
+
+    def of(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))
+        return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, lengths))))
+
+
+def _inside(inner: DataFrame, around: DataFrame) -> DataFrame:
+    """(inner, around) pairs of distinct strings `s`, the one part of the other: equal substrings meet, so no string is compared with all others. Strings that are part of very many others meet them by broadcast."""
+    lengths = sorted(r[0] for r in inner.select(F.length("s")).distinct().collect() if r[0])  # at most as many as the longest of them has characters
+    if not lengths:
+        return inner.select(F.col("s").alias("inner"), F.col("s").alias("around")).limit(0)
+    parts = around.select(F.col("s").alias("around"), F.explode(_substrings("s", lengths)).alias("s"))
+    counts = settled(parts.groupBy("s").agg(F.count(F.lit(1)).alias("__n")).join(inner, "s"))
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    return join_skewed(parts, counts, ["s"], "__n", total).select(F.col("s").alias("inner"), "around")
+
+
+def first_by_part(labels: DataFrame, rules: DataFrame) -> DataFrame:
+    """Labels (with `__low`, not empty) with target and priority of every rule whose key is part of the label or has it as a part, each label's first rule among them."""
+    keys = settled(rules.where("key <> ''").groupBy("key").agg(F.min(F.struct("priority", "target")).alias("r")))
+    lows = settled(labels.select("__low").distinct())
+    named, said = keys.select(F.col("key").alias("s")), lows.select(F.col("__low").alias("s"))
+    pairs = _inside(named, said).select(F.col("inner").alias("key"), F.col("around").alias("__low")).unionByName(_inside(said, named).select(F.col("around").alias("key"), F.col("inner").alias("__low")))
+    best = pairs.join(keys, "key").groupBy("__low").agg(F.min("r").alias("r")).select("__low", "r.target", "r.priority")
+    empty = rules.where("key = ''").agg(F.min(F.struct("priority", "target")).alias("r")).where("r IS NOT NULL").select("r.target", "r.priority")  # one row: such a key is part of all
+    return labels.join(best.unionByName(lows.join(F.broadcast(empty))), "__low").drop("__low")
+
+
 def map_labels(labels: DataFrame, mapping: DataFrame, rules: DataFrame, valid: list[str], label: str = "label") -> DataFrame:
     """Each distinct label's category and where it came from: valid as it is, mapping exactly, mapping in lower case, rules exactly, rules by substring either way (first
-    in the rules' order), else 'Other'. `mapping`: ai_category, fixed_category; `rules`: key, target, priority, at most `MOST_RULES` of them."""
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules: they are matched as substrings with every label")
+    in the rules' order), else 'Other'. `mapping`: ai_category, fixed_category; `rules`: key, target, priority, any number of them."""
     low = F.lower(F.trim(F.col(label)))
     exact = mapping.groupBy(F.col("ai_category").alias("__a")).agg(F.min("fixed_category").alias("by_exact"))
     lower = mapping.groupBy(F.lower("ai_category").alias("__l")).agg(F.min("fixed_category").alias("by_lower"))
     rule = rules.select(F.col("key").alias("__k"), F.col("target").alias("by_rule"))
     distinct = labels.select(label).distinct().withColumn("__low", low)
-    near = distinct.join(F.broadcast(rules), F.contains("__low", F.col("key")) | F.contains("key", F.col("__low"))).groupBy(label).agg(F.min_by("target", "priority").alias("by_part"))
+    near = first_by_part(distinct.where("__low <> ''").select(F.col(label), "__low"), rules).groupBy(label).agg(F.min_by("target", "priority").alias("by_part"))
     found = (
         distinct.join(exact, F.col(label) == F.col("__a"), "left").join(lower, F.col("__low") == F.col("__l"), "left").join(rule, F.col("__low") == F.col("__k"), "left")
         .join(near.withColumnRenamed(label, "__n"), F.col(label) == F.col("__n"), "left")
@@ -139,16 +170,43 @@ def greedy_by_source(rows: DataFrame) -> DataFrame:
     kept before; rows that go mark nothing. `rows`: source_id, seq, id, title, urls (array).
 
     Rows that share no URL or title with another are kept as they are. Of rows with the same shared URLs and titles only the first can
-    be kept, whatever happens before it; so frequent titles shrink to a few rows. What is left is folded in order, each connected group of
-    rows by itself.
+    be kept, whatever happens before it; so frequent titles shrink to a few rows. The others are decided in rounds: a row that is the first of all its URLs and its title is kept, and those that share one with it go.
+    So a group of any size is spread over tasks. When `FOLDED` rows are left, or a round decides less than a hundredth of them (long chains, each of whose rows waits for the one before), the rest is folded in
+    order, each connected group by itself.
     """
     name = lambda mark, c: F.concat(F.lit(mark), F.col("source_id").cast("string"), F.lit(":"), c)
     each = F.concat(F.transform("urls", lambda u: name("u", u)), F.when(F.trim("title") != "", F.array(name("t", F.lower(F.trim("title"))))).otherwise(F.array().cast("array<string>")))
     keys = rows.select("seq", "id", F.explode(F.array_distinct(each)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1").drop("n")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     clashing = settled(keys.join(shared, "key").groupBy("id", "seq").agg(F.sort_array(F.collect_list("key")).alias("keys")))
-    first = settled(clashing.groupBy("keys").agg(F.min(F.struct("seq", "id")).alias("f")).select("f.*", "keys"))
-    parts = first.select("id", F.explode("keys").alias("key"))
+    left = settled(clashing.groupBy("keys").agg(F.min(F.struct("seq", "id")).alias("f")).select("f.*", "keys"))
+    kept, n = [], left.count()
+    while n > FOLDED:
+        won, rest = _round(left)
+        kept.append(won)
+        left, n, was = rest, rest.count(), n
+        if was - n < was / 100:
+            break
+    whole = rows.join(clashing.select("id"), "id", "left_anti").select("id")
+    for found in [*kept, _folded(left)]:
+        whole = whole.unionByName(found)
+    return whole
+
+
+def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids of rows that come first at each of their keys, rows that share no key with these). `left`: id, seq, keys."""
+    parts = left.select("id", "seq", F.explode("keys").alias("key"))
+    first = settled(parts.groupBy("key").agg(F.min(F.struct("seq", "id")).alias("f"), F.count(F.lit(1)).alias("__n")))
+    firsts = first.groupBy(F.col("f.id").alias("id")).agg(F.count(F.lit(1)).alias("first_at"))
+    won = settled(left.join(firsts.hint("merge"), "id").where(F.col("first_at") == F.size("keys")).select("id", "keys"))
+    taken = settled(won.select(F.explode("keys").alias("key")).join(first.select("key", "__n").hint("merge"), "key"))
+    gone = join_skewed(parts.select("id", "key"), taken, ["key"], "__n", first.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]).select("id").distinct()
+    return won.select("id"), settled(left.join(gone.hint("merge"), "id", "left_anti"))
+
+
+def _folded(left: DataFrame) -> DataFrame:
+    """Ids of the rows kept in order, each connected group of rows folded by one task."""
+    parts = left.select("id", F.explode("keys").alias("key"))
     heads = parts.groupBy("key").agg(F.min("id").alias("b"))
     group = components(parts.join(heads, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()).withColumnRenamed("node", "id")
 
@@ -161,20 +219,34 @@ def greedy_by_source(rows: DataFrame) -> DataFrame:
                 kept.append(row.id)
         return pd.DataFrame({"id": kept})
 
-    grouped = first.join(group, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    some = grouped.groupBy("root").applyInPandas(fold, "id long")
-    return rows.join(clashing.select("id"), "id", "left_anti").select("id").unionByName(some)
+    grouped = left.join(group, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return grouped.groupBy("root").applyInPandas(fold, "id long")
 
 
 def window_duplicates(rows: DataFrame, hours: int = 24) -> DataFrame:
-    """Rows with `duplicate`: the same hash was kept less than `hours` before. `rows`: id, hash, at.
+    """Rows with `duplicate`: the same hash was kept less than `hours` before. `rows`: id, hash, at. Of the rows at a kept instant, the one with the smallest id is no duplicate. Rows without a hash or
+    an instant are no duplicates and are not looked at.
 
-    A hash's distinct instants, not its rows, are folded in order to those that are kept; of the rows at a kept instant, the one with the smallest id is no duplicate.
+    Each instant of a hash leads to the first one at least `hours` on; kept are those that its first instant leads to. The way is followed by doubling: in every round the known ones lead on by as many steps as there have been so far, and steps
+    join to twice their length. So a hash with any number of instants takes a number of rounds that is the logarithm of the number of kept ones, and is never in one task.
     """
     span = F.expr(f"make_dt_interval(0, {int(hours)}, 0, 0)")
-    first = rows.groupBy("hash", "at").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    start = F.array().cast("array<timestamp_ntz>")
-    step = lambda kept, at: F.when((F.size(kept) == 0) | (at >= F.try_element_at(kept, F.lit(-1)) + span), F.concat(kept, F.array(at))).otherwise(kept)
-    kept = first.groupBy("hash").agg(F.sort_array(F.collect_list("at")).alias("xs")).select("hash", F.explode(F.aggregate("xs", start, step)).alias("at"))
-    heads = first.join(kept, ["hash", "at"], "left_semi").select("id")
-    return rows.select("id").join(heads.withColumn("__kept", F.lit(True)), "id", "left").select("id", F.col("__kept").isNull().alias("duplicate"))
+    first = settled(rows.where("hash IS NOT NULL AND at IS NOT NULL").groupBy("hash", "at").agg(F.min("id").alias("id")))
+    several = first.groupBy("hash").agg(F.count(F.lit(1)).alias("instants"), F.min("at").alias("start")).where("instants > 1")
+    # Instants and the ends of their times in one order: how many instants come before an end is the number of the instant that follows it.
+    known = first.join(several.select("hash").hint("merge"), "hash", "left_semi").select("hash", "at")
+    ends = known.select("hash", (F.col("at") + span).alias("t"), F.lit(0).alias("kind"), "at")
+    counted = settled(before(known.select("hash", F.col("at").alias("t"), F.lit(1).alias("kind"), "at").unionByName(ends), ["t", "kind"], F.col("kind"), ["hash"], "n"))
+    steps = settled(counted.groupBy("hash", "at").agg(F.max(F.when(F.col("kind") == 1, F.col("n"))).alias("n"), F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("to")))
+    places, total = steps.select("hash", "n", "at"), counted.groupBy("hash").agg(F.sum("kind").alias("__all"))
+    step = settled(steps.join(total.hint("merge"), "hash").where(F.col("to") < F.col("__all")).select("hash", "n", "to"))
+    reached = settled(places.where("n = 0").select("hash", "n"))
+    while not step.isEmpty():
+        on = reached.join(step.hint("merge"), ["hash", "n"]).select("hash", F.col("to").alias("n"))
+        reached = settled(reached.unionByName(on))
+        step = settled(step.join(step.select("hash", F.col("n").alias("to"), F.col("to").alias("further")).hint("merge"), ["hash", "to"]).select("hash", "n", F.col("further").alias("to")))
+    kept = places.join(reached.hint("merge"), ["hash", "n"]).select("hash", "at")
+    single = first.join(several.select("hash").hint("merge"), "hash", "left_anti").select("id")
+    heads = first.join(kept.hint("merge"), ["hash", "at"], "left_semi").select("id").unionByName(single)
+    timed = F.col("hash").isNotNull() & F.col("at").isNotNull()
+    return rows.select("id", timed.alias("__timed")).join(heads.withColumn("__kept", F.lit(True)), "id", "left").select("id", (F.col("__timed") & F.col("__kept").isNull()).alias("duplicate"))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.shared import before
+
 LIMIT, FOOTER_ROOM = 3600, 80
 
 
@@ -60,11 +62,9 @@ def split_lines(texts: DataFrame, text: str, limit: int = LIMIT) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows of each group in order while the running size is within the budget."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget)
+    """Rows of each group in order while the running size is within the budget; null sizes count as 0. A group may have any share of the rows."""
+    summed = before(rows, order, size, [group], "running").withColumn("running", F.col("running") + F.coalesce(size, F.lit(0)))
+    return summed.where(F.col("running") <= budget)
 
 
 def balanced_halves(counts: DataFrame, group: str, name: str, n: str) -> DataFrame:

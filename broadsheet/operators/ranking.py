@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.shared import join_skewed, settled
+from broadsheet.shared import before, join_skewed, settled
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank_column: str | None = None) -> DataFrame:
@@ -49,11 +49,15 @@ def page_structure(patterns: DataFrame, least: float = 50.0) -> DataFrame:
 
 
 def runs(events: DataFrame, keys: list[str], flag: str, order: list[str]) -> DataFrame:
-    """Each row with the length of the run of equal flags that ends in it."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    changed = F.coalesce((F.col(flag) != F.lag(flag).over(w)).cast("long"), F.lit(1).cast("long"))
-    numbered = events.withColumn("__run", F.sum(changed).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.withColumn("run_length", F.row_number().over(Window.partitionBy(*keys, "__run").orderBy(*order)).cast("long")).drop("__run")
+    """Each row with the length of the run of equal flags that ends in it; a row whose flag is null is a run of its own.
+
+    A row's run began after the last row before it with another flag. Both the rows' numbers and those last rows are found by ranges of the order, so a key may have any share of the rows.
+    """
+    numbered = before(events, order, groups=keys, name="__n")
+    good, n = F.col(flag), F.col("__n")
+    others = {"__not_good": F.when(~F.coalesce(good, F.lit(False)), n), "__not_bad": F.when(F.coalesce(good, F.lit(True)), n)}
+    last = F.when(good.isNull(), n - 1).when(good, F.col("__not_good")).otherwise(F.col("__not_bad"))
+    return before(numbered, ["__n"], others, keys, how="max").select(*events.columns, (n - F.coalesce(last, F.lit(-1))).cast("long").alias("run_length"))
 
 
 def last_runs(events: DataFrame, keys: list[str], flag: str, order: list[str], stable_at: int = 3) -> DataFrame:

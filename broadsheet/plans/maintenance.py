@@ -64,7 +64,13 @@ plan(
              UNION ALL SELECT s.id, s.t, s.hash, s.n, CASE WHEN s.t < f.kept_at + INTERVAL 24 HOUR THEN f.kept_at ELSE s.t END, s.t < f.kept_at + INTERVAL 24 HOUR FROM f JOIN s ON f.hash = s.hash AND s.n = f.n + 1)
        SELECT id, duplicate FROM f""",
 )(lambda d: Q.window_duplicates(d.articles.select("id", F.col("published_at").alias("at"), F.md5(F.lower(X.strip(F.col("content")))).alias("hash"))))
-plan("o141_greedy_batch", None)(
+plan(
+    "o141_greedy_batch",
+    """WITH RECURSIVE k AS (SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY id) AS n, list_concat(['u' || url, 'uk' || id % 997], CASE WHEN trim(title) <> '' THEN ['t' || lower(trim(title))] ELSE [] END) AS keys FROM articles),
+       f AS (SELECT source_id, id, n, keys AS seen, true AS kept FROM k WHERE n = 1
+             UNION ALL SELECT k.source_id, k.id, k.n, CASE WHEN list_has_any(f.seen, k.keys) THEN f.seen ELSE list_concat(f.seen, k.keys) END, NOT list_has_any(f.seen, k.keys) FROM f JOIN k ON k.source_id = f.source_id AND k.n = f.n + 1)
+       SELECT id FROM f WHERE kept""",
+)(
     lambda d: Q.greedy_by_source(d.articles.select("source_id", F.col("id").alias("seq"), "id", "title", F.array("url", F.concat(F.lit("k"), (F.col("id") % 997).cast("string"))).alias("urls")))
 )
 _INCOMING = "SELECT doc_id AS seq, concat('https://', source, '.example.org/', doc_id) AS u1, CASE WHEN doc_id % 4 = 0 THEN concat('https://', source, '.example.org/', doc_id + 1) END AS u2, CASE WHEN doc_id % 3 > 0 THEN upper(source) ELSE '' END AS title, CASE WHEN doc_id % 5 > 0 THEN text END AS content FROM documents"

@@ -78,12 +78,12 @@ def components(edges: DataFrame) -> DataFrame:
 _PLACE = 33
 
 
-def before(rows: DataFrame, order: list[Column | str], value: Column | str | None = None, groups: list[str] | None = None, name: str = "before") -> DataFrame:
-    """`rows` with the number of rows that come before each in `order`, or the sum of `value` over them; with `groups`, among the rows of its group (nulls are one group).
+def before(rows: DataFrame, order: list[Column | str], value: Column | str | dict[str, Column] | None = None, groups: list[str] | None = None, name: str = "before", how: str = "sum") -> DataFrame:
+    """`rows` with the number of rows that come before each in `order`, or the sum (or with `how` the max) of `value` over them; with `groups`, among the rows of its group (nulls are one group). Several values have names of their own.
 
     Two levels, so that no group and not the whole is ever in one task: rows are dealt out in ranges of the order and written to the shared folder, each range is numbered or summed by itself,
     and what the ranges before it hold is added: one number a range, of which there are at most as many as the session has shuffle partitions, or one a range and group. Rows that are equal in `order`
-    follow each other in any order, but in the same one however often the result is read. Null values count as 0.
+    follow each other in any order, but in the same one however often the result is read. Sums take null values as 0, the max leaves them out.
     """
     keys, tie, row = [F.col(f"`{g}`") for g in groups or []], "__tie", "__row"
     by = [*keys, *[F.col(o) if isinstance(o, str) else o for o in order], F.col(tie)]
@@ -92,19 +92,20 @@ def before(rows: DataFrame, order: list[Column | str], value: Column | str | Non
     part, place = F.shiftright(row, _PLACE), F.col(row).bitwiseAND(F.lit((1 << _PLACE) - 1))
     if not keys and value is None:
         counts = dict(dealt.groupBy(part.alias("part")).count().collect())  # a row a range
-        most = max(counts, default=0)
-        starts = np.cumsum([0, *[counts.get(p, 0) for p in range(most)]]).tolist()
+        starts = np.cumsum([0, *[counts.get(p, 0) for p in range(max(counts, default=0))]]).tolist()
         return dealt.withColumn(name, F.get(F.lit(starts), part.cast("int")) + place).drop(row)
-    added = F.lit(1) if value is None else F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0))
-    dealt = dealt.withColumns({"__part": part, "__place": place, "__added": added}).drop(row)
-    inside = F.sum("__added").over(Window.partitionBy(*keys, "__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1))
-    held = dealt.groupBy(*keys, "__part").agg(F.sum("__added").alias("held"), F.min("__place").alias("first"))
-    earlier = held.withColumn("earlier", F.coalesce(F.sum("held").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    earlier = earlier.select(*[k.alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__part").alias("__of"), "earlier", "first")
+    values = value if isinstance(value, dict) else {name: F.lit(1) if value is None else F.col(value) if isinstance(value, str) else value}
+    sums = how == "sum"
+    added = {f"__added{i}": F.coalesce(v, F.lit(0)) if sums else v for i, v in enumerate(values.values())}
+    together = F.sum if sums else F.max
+    dealt = dealt.withColumns({"__part": part, "__place": place, **added}).drop(row)
+    above = Window.partitionBy(*keys, "__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    held = dealt.groupBy(*keys, "__part").agg(*[together(a).alias(a) for a in added])
+    over = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = held.select(*[k.alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__part").alias("__of"), *[together(a).over(over).alias(f"__earlier{i}") for i, a in enumerate(added)])
     on = F.col("__part") == F.col("__of")
     for i, k in enumerate(keys):
         on &= k.eqNullSafe(F.col(f"__key{i}"))
-    counted = dealt.withColumn("__inside", F.coalesce(inside, F.lit(0))) if value is not None else dealt
-    joined = counted.join(earlier.hint("merge"), on)
-    total = F.col("earlier") + (F.col("__inside") if value is not None else F.col("__place") - F.col("first"))
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], total.alias(name))
+    joined = dealt.withColumns({f"__inside{i}": together(a).over(above) for i, a in enumerate(added)}).join(earlier.hint("merge"), on)
+    total = lambda i: F.coalesce(F.col(f"__earlier{i}"), F.lit(0)) + F.coalesce(F.col(f"__inside{i}"), F.lit(0)) if sums else F.greatest(f"__earlier{i}", f"__inside{i}")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[total(i).alias(n) for i, n in enumerate(values)])

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import random
+import re
 from collections import defaultdict
 from datetime import datetime, timedelta
+from unittest import mock
 
 import pytest
 from broadsheet.operators import dedup as Q
@@ -40,6 +43,42 @@ def test_runs(spark):
     assert got == {"d": (1, 0, False), "e": (0, 1, False)}
 
 
+def test_runs_against_a_model(spark):
+    random.seed(4)
+    rows = [(random.choice(["d", "d", "d", "e", None]), i, random.choice([True, True, False, None])) for i in range(400)]
+    want, held = {}, {}
+    for domain, i, ok in rows:
+        last, n = held.get(domain, (None, 0))
+        held[domain] = (ok, n + 1 if ok is not None and ok == last else 1)
+        want[i] = held[domain][1]
+    df = spark.createDataFrame(rows, "domain string, i int, ok boolean").repartition(6)
+    assert {r.i: r.run_length for r in R.runs(df, ["domain"], "ok", ["i"]).collect()} == want
+
+
+def test_budget_against_a_model(spark):
+    random.seed(4)
+    rows = [(random.choice(["a", "a", "b", None]), i, random.choice([1, 5, 20, None])) for i in range(300)]
+    want, held = {}, {}
+    for g, i, n in rows:
+        held[g] = held.get(g, 0) + (n or 0)
+        if held[g] <= 300:
+            want[i] = held[g]
+    df = spark.createDataFrame(rows, "g string, i int, n long").repartition(6)
+    assert {r.i: r.running for r in G.within_budget(df, "g", ["i"], "n", 300).collect()} == want
+
+
+def test_frequent_keys_are_in_no_window(spark):
+    """Windows are over ranges of a key's rows or over numbers of ranges, never over a key alone."""
+    df = spark.createDataFrame([("d", 1, True, 1)], "g string, i int, ok boolean, n long")
+    at = spark.createDataFrame([(1, 1, "a", datetime(2024, 1, 1))], "id long, source_id int, title string, fetched_at timestamp_ntz")
+    hashed = at.select("id", F.col("title").alias("hash"), F.col("fetched_at").alias("at"))
+    for out in (R.runs(df, ["g"], "ok", ["i"]), G.within_budget(df, "g", ["i"], "n", 9), Q.without_recent_titles(at), Q.upsert(df, df, ["g"], "i"), Q.window_duplicates(hashed)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        for window in re.findall(r"Window \[.*", plan):
+            assert "__part" in window, window
+        assert "collect_list" not in plan and "MapInPandas" not in plan
+
+
 def test_snapshot_diff(spark):
     item = lambda ids: spark.createDataFrame([(i, f"h{i}") for i in ids], "i int, h string")
     assert [r.i for r in Q.new_items(item([2, 3]), item([1, 2]), "h").collect()] == [3]
@@ -51,9 +90,15 @@ def test_greedy_keeps_what_a_dropped_row_does_not_mark(spark):
     assert sorted(r.id for r in Q.greedy_by_source(df).collect()) == [1, 3, 4, 5, 6]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 4), st.lists(st.integers(0, 5), min_size=1, max_size=2)), max_size=25))
 def test_greedy_against_a_model(spark, drawn):
+    for folded in (Q.FOLDED, 0, 3):  # all by folding, all in rounds, rounds and then the rest
+        with mock.patch.object(Q, "FOLDED", folded):
+            _greedy(spark, drawn)
+
+
+def _greedy(spark, drawn):
     rows = [(s, i, i, f"t{t}", [f"u{u}" for u in us]) for i, (s, t, us) in enumerate(drawn)]
     seen, want = defaultdict(set), []
     for s, _, i, t, us in rows:
@@ -65,6 +110,28 @@ def test_greedy_against_a_model(spark, drawn):
     assert sorted(r.id for r in Q.greedy_by_source(df).collect()) == want
 
 
+def test_greedy_rounds_over_a_large_group_and_a_chain(spark):
+    large = [(1, i, i, "same", [f"u{i}", f"u{i + 1}"] if i % 3 else [f"v{i}"]) for i in range(3000)]
+    chain = [(2, i, 10_000 + i, "", [f"w{i}", f"w{i + 1}"]) for i in range(300)]
+    df = spark.createDataFrame(large + chain, "source_id int, seq int, id long, title string, urls array<string>").repartition(8)
+    with mock.patch.object(Q, "FOLDED", 10):
+        assert sorted(r.id for r in Q.greedy_by_source(df).collect()) == [0, *range(10_000, 10_300, 2)]
+
+
+def test_window_duplicates_against_a_model(spark):
+    random.seed(8)
+    t = datetime(2024, 1, 1)
+    rows = [(i, random.choice(["h", "h", "h", "g", "f", None]), random.choice([None, *[t + timedelta(hours=random.randint(0, 2000)) for _ in range(9)]])) for i in range(600)]
+    want, last = {}, {}
+    for i, h, at in sorted(rows, key=lambda r: (r[2] or t, r[0])):
+        timed = h is not None and at is not None
+        want[i] = timed and h in last and at - last[h] < timedelta(hours=24)
+        if timed and not want[i]:
+            last[h] = at
+    df = spark.createDataFrame(rows, "id long, hash string, at timestamp_ntz").repartition(5)
+    assert {r.id: r.duplicate for r in Q.window_duplicates(df).collect()} == want
+
+
 def test_window_duplicates(spark):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([(i, "h", t + timedelta(hours=h)) for i, h in enumerate((0, 23, 25, 48, 49))], "id long, hash string, at timestamp_ntz")
@@ -88,6 +155,20 @@ def test_label_cascade(spark):
     }
 
 
+def test_labels_by_part_against_a_model(spark):
+    random.seed(6)
+    said = {"".join(random.choices("abcé ", k=random.randint(1, 9))).strip() for _ in range(300)} - {""}
+    rules = [("".join(random.choices("abcé ", k=random.randint(1, 7))), f"t{i}", i) for i in range(60)]
+    rows, keys = spark.createDataFrame([(s, s) for s in said] + [("\U0001f600a", "\U0001f600a")], "label string, __low string"), spark.createDataFrame(rules, "key string, target string, priority int")
+    want = {s: min((p, t) for k, t, p in rules if k in s or s in k) for s in {*said, "\U0001f600a"} if any(k in s or s in k for k, _, _ in rules)}
+    assert want and {r.label: (r.priority, r.target) for r in Q.first_by_part(rows, keys).collect()} == want
+    some = Q.first_by_part(rows, keys.unionByName(spark.createDataFrame([("", "all", -1)], keys.schema))).groupBy("label").agg(F.min("priority").alias("p")).collect()
+    assert {r.label for r in some} == {*said, "\U0001f600a"} and {r.p for r in some} == {-1}
+    assert Q.first_by_part(rows, keys.where("false")).count() == 0 and Q.first_by_part(rows.where("false"), keys).count() == 0
+    plan = Q.first_by_part(rows, keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" not in plan.lower()
+
+
 def summaries(spark, sizes):
     return spark.createDataFrame([(i, "2024-01-01", f"c{i}", "x" * n, 100 - i) for i, n in enumerate(sizes)], "id long, date string, category string, summary_text string, articles_count long")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadsheet.functions.text import strip
 from broadsheet.shared import before, components, join_skewed, settled
 
 #: Rows of a greedy pass that tasks fold by themselves at the end.
@@ -132,6 +135,25 @@ def _inside(inner: DataFrame, around: DataFrame) -> DataFrame:
     return join_skewed(parts, counts, ["s"], "__n", total).select(F.col("s").alias("inner"), "around")
 
 
+#: What stands between the parts of a composite label; the first of these that a label has divides it.
+SEPARATORS = ("|", "/", ",", " and ", " & ")
+
+
+def backfilled(bridge: DataFrame, labelled: DataFrame, categories: DataFrame, other: str = "Other") -> DataFrame:
+    """The bridge (article_id, category_id) after composite labels became categories: `labelled` (id, label) articles whose label has a separator lose the rows they had and get one for each part that is a category's name as it stands, or
+    the one of `other` if there is none. Articles with other labels keep theirs. `categories`: id, name."""
+    label, parts = F.col("label"), F.lit(None).cast("array<string>")
+    for mark in reversed(SEPARATORS):
+        parts = F.when(F.contains(label, F.lit(mark)), F.split(label, re.escape(mark))).otherwise(parts)
+    composite = settled(labelled.select(F.col("id").alias("article_id"), parts.alias("parts")).where("parts IS NOT NULL"))
+    named = composite.select("article_id", F.explode(F.array_distinct(F.transform("parts", lambda p: strip(p)))).alias("name"))
+    found = settled(named.join(categories.select("name", F.col("id").alias("category_id")), "name").select("article_id", "category_id").distinct())
+    rest = categories.where(F.col("name") == other).select(F.col("id").alias("category_id")).limit(1)  # one row
+    none = composite.select("article_id").distinct().join(found.select("article_id").distinct(), "article_id", "left_anti").join(F.broadcast(rest))
+    kept = bridge.select("article_id", "category_id").join(composite.select("article_id").distinct(), "article_id", "left_anti")
+    return kept.unionByName(found).unionByName(none)
+
+
 def first_by_part(labels: DataFrame, rules: DataFrame) -> DataFrame:
     """Labels (with `__low`, not empty) with target and priority of every rule whose key is part of the label or has it as a part, each label's first rule among them."""
     keys = settled(rules.where("key <> ''").groupBy("key").agg(F.min(F.struct("priority", "target")).alias("r")))

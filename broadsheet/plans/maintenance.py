@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from broadsheet.domain import AS_OF, Domain
 from broadsheet.functions import scoring as S
 from broadsheet.functions import text as X
+from broadsheet.functions import variant as V
 from broadsheet.operators import dedup as Q
 
 from .registry import plan
@@ -129,9 +130,24 @@ plan("o084_correlated_delete", "SELECT article_id, category_id, ai_category FROM
 plan("o152_merged_feeds", f"SELECT id, url FROM articles WHERE published_at >= timestamp '{AS_OF}' - INTERVAL 480 HOUR AND url NOT IN (SELECT url FROM pages)")(
     lambda d: d.articles.where("lang = 'en'").unionByName(d.articles.where("lang <> 'en'")).where(f"published_at >= timestamp_ntz'{AS_OF}' - interval 480 hours").select("id", "url").join(d.table("pages").select("url"), "url", "left_anti").select("id", "url")
 )
-plan("o153_backfill", "SELECT DISTINCT b.article_id, c.id AS category_id FROM (SELECT article_id, string_split(replace(ai_category, ' ', '|'), '|')[1] AS part FROM article_categories) b JOIN categories c ON lower(b.part) = lower(c.name)")(
-    lambda d: d.article_categories.select("article_id", F.lower(F.split(F.replace("ai_category", F.lit(" "), F.lit("|")), r"\|")[0]).alias("part")).join(d.categories.select(F.lower("name").alias("part"), F.col("id").alias("category_id")), "part").select("article_id", "category_id").distinct()
-)
+_COMPOSITE = """concat(a.n_name, CASE a.id % 8 WHEN 0 THEN '|' WHEN 1 THEN ' / ' WHEN 2 THEN ', ' WHEN 3 THEN ' and ' WHEN 4 THEN ' & ' WHEN 5 THEN ' + ' WHEN 6 THEN ', x|' ELSE ' | ' END,
+    CASE WHEN a.id % 3 = 0 THEN 'Unheard of' WHEN a.id % 7 = 0 THEN lower(b.n_name) ELSE b.n_name END, CASE WHEN a.id % 5 = 0 THEN '|' ELSE '' END)"""
+_LABELLED = f"SELECT a.id, CASE WHEN a.id % 11 = 0 THEN 'One/two' ELSE {_COMPOSITE} END AS label FROM (SELECT doc_id AS id, n_name FROM {{documents}} JOIN {{nation}} ON n_nationkey = doc_id % 25) a JOIN (SELECT doc_id AS id, n_name FROM {{documents}} JOIN {{nation}} ON n_nationkey = (doc_id * 3 + 1) % 25) b ON a.id = b.id"
+plan(
+    "o153_backfill",
+    f"""WITH l AS ({_LABELLED.format(documents='documents', nation='nation')}), c AS (SELECT id, name FROM categories UNION ALL SELECT -1, 'Other'),
+       s AS (SELECT id, CASE WHEN contains(label, '|') THEN string_split(label, '|') WHEN contains(label, '/') THEN string_split(label, '/') WHEN contains(label, ',') THEN string_split(label, ',')
+                WHEN contains(label, ' and ') THEN string_split(label, ' and ') WHEN contains(label, ' & ') THEN string_split(label, ' & ') END AS parts FROM l),
+       p AS (SELECT id, trim(unnest(parts)) AS name FROM s WHERE parts IS NOT NULL),
+       f AS (SELECT DISTINCT p.id AS article_id, c.id AS category_id FROM p JOIN c ON p.name = c.name)
+       SELECT article_id, category_id FROM f UNION ALL SELECT id, -1 FROM s WHERE parts IS NOT NULL AND id NOT IN (SELECT article_id FROM f)
+       UNION ALL SELECT article_id, category_id FROM article_categories WHERE article_id NOT IN (SELECT id FROM s WHERE parts IS NOT NULL)""",
+)(
+    lambda d: Q.backfilled(
+        d.article_categories, d.spark.sql(_LABELLED, documents=d.table("documents"), nation=d.table("nation")),
+        d.categories.select("id", "name").unionByName(d.spark.createDataFrame([(-1, "Other")], "id long, name string")),
+    )
+)
 _CANDIDATES = {0: ("Tech", "Business"), 1: ("Science", "Serbia", "Other"), 2: ("Business", "Other", "Health", "Science"), 3: ("Health",)}
 
 
@@ -172,9 +188,20 @@ plan(
     f"""WITH i AS ({_ITEMS} lineitem), b AS (SELECT page, CASE WHEN link <> '' THEN {_BARE.format("link")} END AS link, {_BARE.format("base")} AS base, length(description) AS chars FROM i)
        SELECT page, count(*) FILTER (link IS NULL OR link = base) > 0.5 * count(*) OR count(DISTINCT link) = 1 AND count(*) > 1 OR count(*) = 1 AND max(chars) > 5000 AS is_fallback FROM b GROUP BY page""",
 )(lambda d: Q.list_page_fallback(d.spark.sql(_ITEMS + "{lineitem}", lineitem=d.table("lineitem"))))
-plan("o214_merged_fields", "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, false AS is_advertisement FROM events")(
-    lambda d: d.table("events").select("event_id", F.from_json("props", "k bigint, is_advertisement boolean").alias("j")).select("event_id", F.coalesce("j.k", F.lit(0)).alias("k"), F.coalesce("j.is_advertisement", F.lit(False)).alias("is_advertisement"))
-)
+#: Raw data of an event: nothing, flags of several types, confidences as numbers, text and what is neither.
+_RAW = """CASE event_id % 9 WHEN 0 THEN props WHEN 1 THEN '{"is_advertisement": true, "ad_confidence": 0.75, "ad_type": "native", "ad_markers": ["x", 1]}' WHEN 2 THEN '{"is_advertisement": "false", "ad_confidence": "0.5"}'
+    WHEN 3 THEN '{"advertising_detection": {}, "ad_reasoning": "none", "ad_confidence": null}' WHEN 4 THEN '{"is_advertisement": 1, "ad_confidence": "high", "ad_type": "banner"}' WHEN 5 THEN '{"is_advertisement": []}'
+    WHEN 6 THEN '{"ad_type": "lost", "ad_confidence": 1}' WHEN 7 THEN 'not json' END"""
+plan(
+    "o214_merged_fields",
+    """SELECT event_id, CASE WHEN k IN (1, 2, 4) THEN true WHEN k IN (3, 5) THEN false ELSE user_id % 2 = 0 END AS is_advertisement, CASE k WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 WHEN 3 THEN 0.0 ELSE 0.25 END::DOUBLE AS ad_confidence,
+         CASE WHEN k = 1 THEN 'native' ELSE 'old' END AS ad_type, CASE WHEN k = 3 THEN 'none' END AS ad_reasoning, CASE WHEN k = 1 THEN '["x",1]' END AS ad_markers, k IN (1, 2, 3, 5) AS ad_processed
+       FROM (SELECT *, event_id % 9 AS k FROM events)""",
+)(
+    lambda d: d.table("events").select(
+        "event_id", V.ad_fields(F.expr(_RAW), F.col("user_id") % 2 == 0, F.lit(0.25), F.lit("old"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)).alias("f")
+    ).select("event_id", "f.*")
+)
 plan("o264_daily_window", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")(
     lambda d: d.table("events").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.to_date("w.start").cast("string").alias("day"), "n", "total")
 )

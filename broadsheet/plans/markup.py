@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from broadsheet.domain import Domain
 from broadsheet.functions import extraction as E
 from broadsheet.functions import html as H
+from broadsheet.functions import text as X
+from broadsheet.functions import variant as V
 from broadsheet.operators import digest as G
 
 from .registry import plan
@@ -59,12 +61,68 @@ plan(
     lambda d: _channel(d).select("conv_id", F.explode(H.messages("html")).alias("m")).select("conv_id", F.col("m.message_id").cast("long").alias("message"), F.explode("m.media").alias("x"))
     .select("conv_id", "message", F.col("x.type").alias("kind"), "x.url").distinct()
 )
-plan("o242_thread_articles")(
-    lambda d: d.table("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t")).select(
-        "conv_id", F.element_at("t", 1)["text"].alias("post"),
-        F.array_join(F.transform(F.slice(F.filter(F.slice("t", 2, 1 << 30), lambda c: (F.length(c["text"]) > 20) & (c["role"] != "system")), 1, 5), lambda c: c["text"]), "\n\n").alias("comments"),
-    ).select("conv_id", F.length("post").alias("post_chars"), F.length("comments").alias("comment_chars"))
+def _threads(d: Domain):
+    """Conversations as threads in JSON: the first turn is the post, the others are its comments, some by bots or moderators, some with answers."""
+    turns = d.table("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    listing = lambda kind, children: F.struct(F.lit("Listing").alias("kind"), F.struct(F.transform(children, lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("data"))).alias("children")).alias("data"))
+    first, key = F.element_at("t", 1), F.col("conv_id")
+    post = F.struct(
+        F.concat(F.lit("Thread "), key.cast("string")).alias("title"), F.when(key % 3 != 0, first["text"]).otherwise("").alias("selftext"), (key % 2 == 0).alias("is_self"), F.when(key % 5 == 0, "image").alias("post_hint"),
+        F.concat(F.lit("https://t.example/"), key.cast("string"), F.when(key % 7 == 0, ".JPG").otherwise("/page")).alias("url"), first["role"].alias("author"), (key * 60 + 1704067200).alias("created_utc"),
+    )
+    comment = lambda c: F.struct(
+        c["text"].alias("body"), F.when(c["turn"] % 4 == 3, "AutoModerator").otherwise(c["role"]).alias("author"), F.when(c["turn"] % 5 == 4, "moderator").alias("distinguished"),
+        F.when(c["turn"] % 3 == 1, listing("t1", F.array(F.struct(F.repeat(c["text"], F.lit(2)).alias("body"))))).alias("replies"),
+    )
+    document = F.concat(F.lit("["), F.to_json(listing("t3", F.array(post))), F.lit(","), F.to_json(listing("t1", F.transform(F.slice("t", 2, 1 << 30), comment))), F.lit("]"))
+    return turns.select("conv_id", document.alias("document"))
+
+
+_STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')".format
+plan(
+    "o242_thread_articles",
+    f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM t),
+       c AS (SELECT conv_id, {_STRIPPED("text")} AS body, n FROM n WHERE n BETWEEN 2 AND 11 AND length({_STRIPPED("text")}) > 20 AND turn % 4 <> 3 AND turn % 5 <> 4 AND lower(role) NOT IN ('automoderator', 'automod', 'bot')),
+       f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n) <= 5),
+       b AS (SELECT conv_id, concat(chr(10), chr(10), 'Комментарии:', chr(10), string_agg(body, chr(10) || chr(10) ORDER BY n)) AS below FROM f GROUP BY 1),
+       p AS (SELECT n.*, concat('Thread ', conv_id) AS title, CASE WHEN conv_id % 3 <> 0 THEN {_STRIPPED("text")} ELSE '' END AS own, coalesce(below, '') AS below FROM n LEFT JOIN b USING (conv_id) WHERE n = 1)
+       SELECT conv_id, role AS author, strftime(to_timestamp(1704067200 + conv_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS published,
+         CASE WHEN conv_id % 5 = 0 OR conv_id % 7 = 0 THEN concat('https://t.example/', conv_id, CASE WHEN conv_id % 7 = 0 THEN '.JPG' ELSE '/page' END) END AS image,
+         CASE WHEN conv_id % 2 <> 0 AND conv_id % 5 <> 0 THEN concat('https://t.example/', conv_id, CASE WHEN conv_id % 7 = 0 THEN '.JPG' ELSE '/page' END) END AS link,
+         md5(CASE WHEN conv_id % 2 = 0 AND own <> '' THEN concat(title, chr(10), chr(10), own) WHEN conv_id % 5 = 0 OR own = '' THEN concat(title, below) ELSE concat(title, chr(10), chr(10), own, below) END) AS h FROM p""",
+)(lambda d: _threads(d).select("conv_id", V.thread(F.col("document")).alias("a")).select("conv_id", "a.author", "a.published", "a.image", "a.link", F.md5("a.content").alias("h")))
+#: JSON-LD put into the heads of pages: an object, a list, a graph, broken JSON before an object.
+_LD = """CASE page_id % 5
+    WHEN 0 THEN concat('<script type="application/ld+json">{"@type": "NewsArticle", "datePublished": "2024-01-', 10 + page_id % 20, '", "author": {"name": "A', page_id, '"}, "image": "/i.png", "articleBody": "', url, '"}</script>')
+    WHEN 1 THEN concat('<script id=x type=''application/ld+json''>[{"@type": "BreadcrumbList", "datePublished": 7}, {"@type": "Article", "dateCreated": "2023-02-', 10 + page_id % 20, '", "author": [{"name": "B', page_id, '"}], "image": [{"url": "/l.png"}]}]</script>')
+    WHEN 2 THEN concat('<SCRIPT TYPE="application/ld+json"> {"@context": "https://schema.org", "@graph": [{"@type": "WebSite", "image": " "}, {"@type": "Article", "author": "C', page_id, '", "datePublished": "2022-03-', 10 + page_id % 20, '", "image": {"url": "/g.png"}}]} </SCRIPT>')
+    WHEN 3 THEN concat('<script type="application/ld+json">{"datePublished": "broken", </script><script type="application/ld+json">{"datePublished": "2021-04-', 10 + page_id % 20, '", "image": ["/m.png", "/n.png"]}</script>') ELSE '' END"""
+plan(
+    "o233_json_ld_fields",
+    """SELECT page_id, CASE WHEN k < 4 THEN concat(['2024-01-', '2023-02-', '2022-03-', '2021-04-'][k + 1], 10 + page_id % 20) END AS published, CASE WHEN k < 3 THEN concat(['A', 'B', 'C'][k + 1], page_id) END AS author,
+         ['/i.png', '/l.png', '/g.png', '/m.png', NULL][k + 1] AS image, CASE WHEN k = 0 THEN url END AS body FROM (SELECT *, page_id % 5 AS k FROM pages)""",
+)(
+    lambda d: d.table("pages").select("page_id", V.json_ld(F.concat(F.expr(_LD), F.coalesce("html", F.lit("")))).alias("o")).select(
+        "page_id", V.published(F.col("o")).alias("published"), V.author(F.col("o")).alias("author"), V.image(F.col("o")).alias("image"), V.article_body(F.col("o")).alias("body")
+    )
 )
+
+
+def _lists(d: Domain):
+    """Articles on list pages, some ten a page."""
+    head = F.concat(F.lit("<article><h2><a href='/"), F.col("id").cast("string"), F.lit("'>"), X.escape_html(F.col("title")), F.lit("</a></h2><time datetime='"), F.date_format("published_at", "yyyy-MM-dd"), F.lit("'>then</time><p>about it</p></article>"))
+    return d.articles.where("title IS NOT NULL").groupBy(F.concat("source", F.lit("-"), (F.col("id") % 5).cast("string")).alias("page")).agg(
+        F.concat(F.lit("<body><nav><a href=/x>menu</a></nav><main>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", head.alias("m")))), lambda x: x["m"]), "\n"), F.lit("</main></body>")).alias("html")
+    )
+
+
+plan(
+    "o008_list_items",
+    f"""WITH a AS (SELECT id, concat(source, '-', id % 5) AS page, {_STRIPPED("regexp_replace(title, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')")} AS title, published_at FROM articles)
+        SELECT page, title, concat('https://', page, '.example/', id) AS link, strftime(published_at, '%Y-%m-%d') AS published FROM a WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY page, lower(title) ORDER BY id) = 1""",
+)(
+    lambda d: _lists(d).select("page", F.explode(H.items("html", F.concat(F.lit("https://"), "page", F.lit(".example/list")))).alias("i")).select("page", "i.title", "i.link", "i.published")
+)
 _BYTES = "CASE page_id % 5 WHEN 0 THEN encode(html, 'UTF-8') WHEN 1 THEN encode(html, 'UTF-16') WHEN 2 THEN encode(html, 'ISO-8859-1') WHEN 3 THEN encode(html, 'UTF-8') ELSE unhex(concat('EFBBBF', hex(encode(html, 'UTF-8')))) END"
 _DECLARED = "CASE page_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN NULL WHEN 2 THEN 'iso-8859-1' WHEN 3 THEN 'no-such-set' END"
 plan("o011_decoded", "SELECT page_id, md5(html) AS h FROM pages WHERE page_id % 5 <> 2 OR regexp_full_match(html, '[\\x00-\\x{FF}]*')")(

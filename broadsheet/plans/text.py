@@ -238,7 +238,9 @@ _WRITTEN = "CASE id % 5 " + " ".join(f"WHEN {i} THEN date_format(published_at, '
 plan("o223_parsed_dates", "SELECT id, CASE WHEN id % 5 = 4 THEN published_at WHEN id % 5 = 2 AND day(published_at) <= 12 THEN CASE WHEN make_timestamp(2024, day(published_at), month(published_at), 0, 0, 0) <= " + _TS + " + INTERVAL 1 DAY THEN make_timestamp(2024, day(published_at), month(published_at), 0, 0, 0) ELSE date_trunc('day', published_at) END ELSE date_trunc('day', published_at) END::TIMESTAMP AS at FROM articles")(
     lambda d: d.articles.select("id", D.parse_date(F.expr(_WRITTEN), AS_OF).alias("at"))
 )
-plan("o221_date_strings", f"SELECT id, true AS looks FROM articles")(lambda d: d.articles.select("id", D.looks_like_date(F.expr(_WRITTEN)).alias("looks")))
+plan("o221_date_strings", "SELECT id, id % 7 NOT IN (3, 5) AS looks FROM articles")(
+    lambda d: d.articles.select("id", D.looks_like_date(F.expr(f"CASE id % 7 WHEN 3 THEN concat('number ', id, ' of many') WHEN 5 THEN '12:30' ELSE {_WRITTEN} END")).alias("looks"))
+)
 plan("o222_dates_in_text", "SELECT id, strftime(published_at, '%B %-d, %Y') AS found FROM articles")(
     lambda d: d.articles.select("id", D.date_in_text(F.concat(F.col("title"), F.lit(" Published: "), F.date_format("published_at", "MMMM d, yyyy"), F.lit(" end"))).alias("found"))
 )
@@ -264,7 +266,11 @@ plan("o035_media_views", "SELECT page_id, 2::BIGINT AS images, 1::BIGINT AS vide
         "page_id", F.col("c.images").cast("long").alias("images"), F.col("c.videos").cast("long").alias("videos"), F.col("c.documents").cast("long").alias("documents"), M.primary_image(F.col("m"), F.lit(None).cast("string")).alias("primary_image")
     )
 )
-plan("o303_media_counts", "SELECT page_id, 2::BIGINT AS n FROM pages")(lambda d: _pages(d).select("page_id", F.size(M.distinct_by_url(F.expr(_MEDIA_SPARK))).cast("long").alias("n")))
+_SEVERAL = """concat(transform(sequence(0, cast(page_id % 5 as int)), i -> named_struct('url', concat(url, '/', i % 3, '.jpg'), 'type', 'image')), if(page_id % 3 = 0, array(named_struct('url', concat(url, '/b.mp4'), 'type', 'video')), array()),
+    if(page_id % 2 = 0, array(named_struct('url', concat(url, '/c.pdf'), 'type', 'document'), named_struct('url', concat(url, '/c.pdf'), 'type', 'document')), array()))"""
+plan("o303_media_counts", "SELECT page_id, least(page_id % 5 + 1, 3)::BIGINT AS images, (page_id % 3 = 0)::BIGINT AS videos, (page_id % 2 = 0)::BIGINT AS documents FROM pages")(
+    lambda d: _pages(d).select("page_id", M.counts(M.distinct_by_url(F.expr(_SEVERAL))).alias("c")).select("page_id", *[F.col(f"c.{k}").cast("long").alias(k) for k in ("images", "videos", "documents")])
+)
 plan("o230_content_images", "SELECT page_id, concat(url, '?a=1&b=2') AS url, 'content_image_1.jpg' AS filename FROM pages")(
     lambda d: _pages(d).select("page_id", M.content_images(F.concat(F.lit("<p><img class='x' src=\""), "url", F.lit("?a=1&amp;b=2\" alt=''>")))[0].alias("i")).select("page_id", "i.url", "i.filename")
 )

@@ -7,11 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from broadsheet.shared import shared_path
 
 
+_PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def state_folder(spark: SparkSession, name: str) -> str:
     """A folder for one query's state in the cluster's shared folder."""
     return shared_path(spark, name)
@@ -24,7 +27,12 @@ def run_available(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/n={number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)  # state on disk, with timers
+    try:
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{out}/n=*")
 
 
@@ -32,30 +40,84 @@ def _millis(at: pd.Timestamp) -> int:
     return int(at.timestamp() * 1000)
 
 
-def first_within(stream: DataFrame, hours: int = 24, late: str = "7 days") -> DataFrame:
-    """Rows (id, hash, at) with `duplicate`: their hash was kept less than `hours` before; time runs from the last kept one. A batch's rows of a hash are taken in order of time.
+class _Timed(StatefulProcessor):
+    """State of a key with an end: one value, and one timer in event time at whose instant the value goes."""
 
-    The state of a hash is dropped when the watermark, `late` behind the latest instant, has passed the end of its time. Rows that come later than that are not looked at.
-    """
-    span = pd.Timedelta(hours=hours)
-
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        last = pd.Timestamp(state.get[0]) if state.exists else None
+    schema = "last string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.value = handle, handle.getValueState("value", self.schema)
+
+    def keep(self, value: tuple, until: pd.Timestamp) -> None:
+        self.drop()
+        self.value.update(value)
+        self.handle.registerTimer(_millis(until))
+
+    def drop(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if self.value.exists():
+            self.value.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _First(_Timed):
+    def __init__(self, span: pd.Timedelta):
+        self.span = span
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows)).sort_values(["at", "id"])
+        last = pd.Timestamp(self.value.get()[0]) if self.value.exists() else None
         flags = []
         for at in rows["at"]:
-            again = last is not None and at - last < span
+            again = last is not None and at - last < self.span
             last = last if again else at
             flags.append(again)
-        state.update((last.isoformat(),))
-        state.setTimeoutTimestamp(max(_millis(last + span), state.getCurrentWatermarkMs() + 1))
+        self.keep((last.isoformat(),), last + self.span)
         yield pd.DataFrame({"id": rows["id"].to_numpy(), "hash": rows["hash"].to_numpy(), "at": rows["at"].to_numpy(), "duplicate": flags})
 
+
+class _Locks(_Timed):
+    schema = "failures long, last string"
+
+    def __init__(self, threshold: int, lock: pd.Timedelta, forget: pd.Timedelta):
+        self.threshold, self.lock, self.forget = threshold, lock, forget
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows)).sort_values(["at", "id"])
+        failures, last = self.value.get() if self.value.exists() else (0, None)
+        last, locked = pd.Timestamp(last) if last else None, []
+        for at, success in zip(rows["at"], rows["success"], strict=True):
+            full = failures >= self.threshold
+            if failures and at >= last + (self.lock if full else self.forget):
+                failures, full = 0, False
+            locked.append(full)
+            if not full:
+                failures, last = (0, last) if success else (failures + 1, at)
+        if failures:
+            self.keep((failures, last.isoformat()), last + (self.lock if failures >= self.threshold else self.forget))
+        else:
+            self.drop()
+        yield pd.DataFrame({"id": rows["id"].to_numpy(), "address": rows["address"].to_numpy(), "at": rows["at"].to_numpy(), "locked": locked})
+
+
+def _timed(stream: DataFrame, key: str, late: str, processor: _Timed, schema: str) -> DataFrame:
     timed = stream.withColumn("__time", F.to_timestamp(F.col("at"))).withWatermark("__time", late)
-    return timed.groupBy("hash").applyInPandasWithState(update, "id long, hash string, at timestamp_ntz, duplicate boolean", "last string", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def first_within(stream: DataFrame, hours: int = 24, late: str = "7 days") -> DataFrame:
+    """Rows (id, hash, at) with `duplicate`: their hash was kept less than `hours` before; time runs from the last kept one. A batch's rows of a hash are taken in order of time.
+
+    The state of a hash goes when the watermark, `late` behind the latest instant, has passed the end of its time. Rows that come later than that are not looked at.
+    """
+    return _timed(stream, "hash", late, _First(pd.Timedelta(hours=hours)), "id long, hash string, at timestamp_ntz, duplicate boolean")
 
 
 def new_on_page(stream: DataFrame) -> DataFrame:
@@ -63,32 +125,14 @@ def new_on_page(stream: DataFrame) -> DataFrame:
     return stream.select("page", "hash", "title").dropDuplicates(["page", "hash"])
 
 
-def login_locks(stream: DataFrame, threshold: int = 5, seconds: int = 300, late: str = "7 days") -> DataFrame:
+def login_locks(stream: DataFrame, threshold: int = 5, seconds: int = 300, late: str = "7 days", forget: str = "30 days") -> DataFrame:
     """Attempts (id, address, at, success) with `locked`: the address had `threshold` failures without a success between them, and `seconds` have not gone by since the last of them. Attempts while locked do not count; after
-    the time the count begins anew. State is dropped when no failures are counted or the lock has ended and the watermark, `late` behind the latest instant, has passed; rows that come later than that are not looked at."""
-
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        failures, until = state.get if state.exists else (0, "")
-        until = pd.Timestamp(until) if until else None
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        locked = []
-        for at, success in zip(rows["at"], rows["success"], strict=True):
-            if until is not None and at >= until:
-                failures, until = 0, None
-            locked.append(until is not None)
-            if until is None:
-                failures = 0 if success else failures + 1
-                until = at + pd.Timedelta(seconds=seconds) if failures >= threshold else None
-        state.update((failures, until.isoformat() if until is not None else ""))
-        if until is not None or not failures:
-            state.setTimeoutTimestamp(max(_millis(until if until is not None else rows["at"].iloc[-1]), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"id": rows["id"].to_numpy(), "address": rows["address"].to_numpy(), "at": rows["at"].to_numpy(), "locked": locked})
+    the time the count begins anew. Fewer failures are forgotten `forget` after the last of them.
 
-    timed = stream.withColumn("__time", F.to_timestamp(F.col("at"))).withWatermark("__time", late)
-    return timed.groupBy("address").applyInPandasWithState(update, "id long, address string, at timestamp_ntz, locked boolean", "failures long, until string", "append", GroupStateTimeout.EventTimeTimeout)
+    So every state has an end: a success, the end of the lock, or that of the failures' time; it goes when the watermark, `late` behind the latest instant, has passed it. Rows that come later than that are not looked at.
+    """
+    processor = _Locks(threshold, pd.Timedelta(seconds=seconds), pd.Timedelta(forget))
+    return _timed(stream, "address", late, processor, "id long, address string, at timestamp_ntz, locked boolean")
 
 
 def running_stats(stream: DataFrame) -> DataFrame:

@@ -255,6 +255,41 @@ def test_login_locks(spark, tmp_path):
     assert arrive([(6, "a", 200, False), (7, "a", 304, False), (8, "a", 305, False), (20, "c", 0, False)]) == {5, 6}
 
 
+def test_timed_state_ends(spark, tmp_path):
+    """Failures that did not lead to a lock are forgotten, and state of keys that nothing is heard of any more goes when the watermark has passed its end."""
+    t, schema = datetime(2024, 1, 1), "id long, address string, at timestamp_ntz, success boolean"
+    inbox, folder = str(tmp_path / "in"), str(tmp_path / "state")
+
+    def arrive(rows):
+        spark.createDataFrame([(i, a, t + timedelta(days=d), ok) for i, a, d, ok in rows], schema).coalesce(1).write.mode("append").parquet(inbox)
+        out = S.run_available(S.login_locks(spark.readStream.schema(schema).parquet(inbox), 3, 600, "1 day", "2 days"), "append", folder)
+        held = spark.read.format("statestore").option("stateVarName", "value").load(f"{folder}/state")
+        return {r.id for r in out.collect() if r.locked}, held.count()
+
+    locked, held = arrive([(i, f"a{i}", 0.0, False) for i in range(40)] + [(90, "b", 0, False), (91, "b", 0.001, False)])
+    assert locked == set() and held == 41
+    # The third failure comes more than two days after the second: it is a first one again.
+    locked, held = arrive([(92, "b", 2.1, False), (93, "b", 2.2, False), (94, "b", 2.3, True), (95, "c", 9, False)])
+    assert locked == set()
+    locked, held = arrive([(96, "c", 9.1, False)])
+    assert locked == set() and held <= 2
+    assert arrive([(97, "c", 9.2, False), (98, "c", 9.2001, True)]) == ({98}, 1)
+
+
+def test_state_of_first_rows_ends(spark, tmp_path):
+    t, schema = datetime(2024, 1, 1), "id long, hash string, at timestamp_ntz"
+    inbox, folder = str(tmp_path / "in"), str(tmp_path / "state")
+
+    def arrive(rows):
+        spark.createDataFrame([(i, h, t + timedelta(hours=x)) for i, h, x in rows], schema).coalesce(1).write.mode("append").parquet(inbox)
+        out = S.run_available(S.first_within(spark.readStream.schema(schema).parquet(inbox), 24, "1 day"), "append", folder)
+        return {r.id for r in out.collect() if r.duplicate}, spark.read.format("statestore").option("stateVarName", "value").load(f"{folder}/state").count()
+
+    assert arrive([(i, f"h{i}", 0) for i in range(30)] + [(50, "h0", 23)]) == ({50}, 30)
+    assert arrive([(51, "h1", 24), (52, "h2", 23.9), (53, "late", 200)])[0] == {50, 52}
+    assert arrive([(54, "late", 201)]) == ({50, 52, 54}, 1)
+
+
 def test_late_windows(spark, tmp_path):
     inbox = str(tmp_path / "in")
     spark.createDataFrame([(datetime(2024, 1, 1, h),) for h in (0, 1, 5, 30 % 24)], "ts timestamp_ntz").write.parquet(inbox)

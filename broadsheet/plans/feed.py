@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from broadsheet.domain import AS_OF, Domain
 from broadsheet.operators import feed as O
 from broadsheet.operators.ranking import first_per
+from broadsheet.shared import shared_path
 
 from .registry import plan
 
@@ -291,12 +292,13 @@ def _(d: Domain):
     return d.articles.select("id", "title", "content").join(nested, "id", "left").select("id", "title", F.coalesce("categories", F.lit("")).alias("categories"), "content")
 
 
-@plan("o012_feed_items", "SELECT id, title, url FROM articles ORDER BY published_at DESC NULLS LAST, id LIMIT 50")
+@plan("o012_feed_items", "SELECT id, regexp_replace(regexp_replace(title, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS title, url, published_at FROM articles ORDER BY published_at DESC NULLS LAST, id LIMIT 50")
 def _(d: Domain):
-    """What the rendered feed holds, parsed back."""
+    """What the written feed holds, read back by Spark's XML reader."""
     from broadsheet.sources import feeds
 
-    xml = feeds.render_feed(d.articles, "Latest", "https://example.org")
-    rows = [(int(e["link"].rpartition("/")[2]), e["link"]) for e in feeds.feed_entries(xml)]
-    got = d.spark.createDataFrame(rows, "id long, url string")
-    return got.join(d.articles.select("id", "title"), "id").select("id", "title", "url")
+    folder = shared_path(d.spark, "feed")
+    feeds.write_feed(d.articles, folder, "Latest", "https://example.org")
+    rows = d.spark.read.schema("title string, link string, pubDate string").format("xml").option("rowTag", "item").load(folder)
+    stamp = F.to_timestamp(F.regexp_replace("pubDate", r"^\w+, | [-+]\d{4}$", ""), "dd MMM yyyy HH:mm:ss").cast("timestamp_ntz")
+    return rows.select(F.substring_index("link", "/", -1).cast("long").alias("id"), F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"), F.col("link").alias("url"), stamp.alias("published_at"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from dataclasses import dataclass
 from email.utils import format_datetime
 from xml.sax.saxutils import escape
 
@@ -11,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 ENTRY = T.StructType(
     [*[T.StructField(c, T.StringType()) for c in ("title", "link", "content", "description", "published", "updated", "image")], T.StructField("tags", T.ArrayType(T.StringType()))]
@@ -19,6 +22,15 @@ ENTRY = T.StructType(
 _IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp")
 
 
+def file_system(address: str):
+    """(file system, path in it) of an address of any store that pyarrow knows; what Spark calls s3a is s3 there."""
+    from pyarrow import fs
+
+    if address.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), "/" + address.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri("s3://" + address.split("://", 1)[1] if address.startswith(("s3a://", "s3n://")) else address)
+
+
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2].lower()
 
@@ -76,10 +88,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Address) -> Iterator[tuple]:
         """A source that can't be read has no rows; the others are not touched by it."""
-        from pyarrow import fs
-
         try:
-            files, path = (fs.LocalFileSystem(), partition.address.removeprefix("file://")) if partition.address.startswith(("/", "file://")) else fs.FileSystem.from_uri(partition.address)
+            files, path = file_system(partition.address)
             with files.open_input_stream(path) as stream:
                 data = stream.read()
         except Exception:  # noqa: BLE001
@@ -95,6 +105,38 @@ class _Reader(DataSourceReader):
         return H.list_items(text, None) if self.kind == "page" else H.channel_messages(text)
 
 
+class _StreamReader(DataSourceStreamReader):
+    """Addresses whose document has changed since the last trigger are read again. An offset has for each address when it was changed and its size; one that can't be looked at keeps its last offset, so that it is read when it is there
+    again and doesn't stop the others."""
+
+    def __init__(self, options: dict, schema: T.StructType):
+        self.source, self.known = _Reader(options, schema), {}
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        for address in self.source.addresses:
+            try:
+                files, path = file_system(address)
+                info = files.get_file_info(path)
+                if info.is_file:
+                    self.known[address] = f"{info.mtime_ns} {info.size}"
+            except Exception:  # noqa: BLE001, S112
+                continue
+        return dict(self.known)
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.known = {**end, **self.known}
+        return [_Address(a) for a, state in end.items() if start.get(a) != state]
+
+    def read(self, partition: _Address) -> Iterator[tuple]:
+        return self.source.read(partition)
+
+    def commit(self, end: dict) -> None:
+        self.known = {**end, **self.known}
+
+
 class FeedSource(DataSource):
     """`spark.read.format("broadsheet_feed").option("addresses", "a,b").load()`; also with kind=page or kind=channel."""
 
@@ -112,6 +154,9 @@ class FeedSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(dict(self.options), schema)
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return _StreamReader(dict(self.options), schema)
+
 
 #: Type of source -> options of the reader.
 REGISTRY = {"rss": {"kind": "feed"}, "page": {"kind": "page"}, "telegram": {"kind": "channel"}}
@@ -123,18 +168,86 @@ def read_sources(spark: SparkSession, kind: str, addresses: list[str]) -> DataFr
     return spark.read.format("broadsheet_feed").options(addresses=",".join(addresses), **REGISTRY[kind]).load()
 
 
+def stream_sources(spark: SparkSession, kind: str, addresses: list[str]) -> DataFrame:
+    """The same as a stream: each trigger has the rows of the sources that have changed since the one before. Entries that were there before come again with their source; `dropDuplicates` on source and link leaves the new ones."""
+    spark.dataSource.register(FeedSource)
+    return spark.readStream.format("broadsheet_feed").options(addresses=",".join(addresses), **REGISTRY[kind]).load()
+
+
 def read_landed(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of feed files landed in a folder of any store that Spark reads: path and the entry's columns."""
     files = spark.read.format("binaryFile").load(folder).select("path", F.decode("content", "UTF-8").alias("xml"))
     return files.select("path", F.explode(entries("xml")).alias("e")).select("path", "e.*")
 
 
-def render_feed(articles: DataFrame, title: str, link: str, limit: int = 50) -> str:
-    """RSS 2.0 of the latest articles, rendered on the driver from `limit` rows."""
-    rows = articles.orderBy(F.col("published_at").desc_nulls_last(), "id").limit(limit).select("id", "title", "url", "summary", "published_at").collect()
-    items = "".join(
-        f"<item><title>{escape(r.title or '')}</title><link>{escape(r.url or '')}</link><description>{escape(r.summary or '')}</description><guid>{escape(r.url or str(r.id))}</guid>"
-        + (f"<pubDate>{format_datetime(r.published_at)}</pubDate>" if r.published_at else "") + "</item>"
-        for r in rows
-    )
-    return f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{escape(title)}</title><link>{escape(link)}</link>{items}</channel></rss>'
+#: Characters that XML does not have.
+_NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
+def _xml(name: str, value: str | None) -> str:
+    return "" if value is None else f"<{name}>{escape(_NOT_XML.sub('', value))}</{name}>"
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    part: str
+    name: str
+
+
+class _FeedWriter(DataSourceWriter):
+    """Each task writes the rows of its partition, in their order, as a feed of its own beside the place where it is to be; they get their names when all tasks have ended."""
+
+    def __init__(self, options: dict, names: list[str], overwrite: bool):
+        self.options, self.names, self.overwrite = options, names, overwrite
+
+    def write(self, rows: Iterator) -> _Written:
+        from pyspark import TaskContext
+
+        files, base = file_system(self.options["path"])
+        files.create_dir(base, recursive=True)
+        number = TaskContext.get().partitionId()
+        part = f"{base}/.feed-{number:05d}-{uuid.uuid4().hex}"
+        with files.open_output_stream(part) as out:
+            out.write(f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel>{_xml("title", self.options.get("title", ""))}{_xml("link", self.options.get("link", ""))}'.encode())
+            for row in rows:
+                r = dict(zip(self.names, row, strict=True))
+                stamp = format_datetime(r["published_at"]) if r.get("published_at") is not None else None
+                key = r.get("url") or (str(r["id"]) if r.get("id") is not None else None)
+                out.write(("<item>" + _xml("title", r.get("title") or "") + _xml("link", r.get("url") or "") + _xml("description", r.get("summary") or "") + _xml("guid", key) + _xml("pubDate", stamp) + "</item>").encode("utf-8", "replace"))
+            out.write(b"</channel></rss>")
+        return _Written(part, f"{base}/feed-{number:05d}.xml")
+
+    def commit(self, messages: list) -> None:
+        from pyarrow import fs
+
+        files, base = file_system(self.options["path"])
+        if self.overwrite:
+            for old in files.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+                if old.base_name.startswith("feed-"):
+                    files.delete_file(old.path)
+        for m in messages:
+            files.move(m.part, m.name)
+
+    def abort(self, messages: list) -> None:
+        files, _ = file_system(self.options["path"])
+        for m in messages:
+            if m is not None:
+                files.delete_file(m.part)
+
+
+class FeedSink(DataSource):
+    """`df.write.format("broadsheet_rss").option("path", folder).option("title", ...)`: a feed a partition, of the columns id, title, url, summary, published_at that are there."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "broadsheet_rss"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        return _FeedWriter(dict(self.options), schema.names, overwrite)
+
+
+def write_feed(articles: DataFrame, folder: str, title: str, link: str, limit: int = 50) -> None:
+    """Writes RSS 2.0 of the `limit` latest articles to a file in the folder (one task has these rows); what was there goes when it is whole."""
+    articles.sparkSession.dataSource.register(FeedSink)
+    latest = articles.select("id", "title", "url", "summary", "published_at").orderBy(F.col("published_at").desc_nulls_last(), "id").limit(limit)
+    latest.coalesce(1).write.format("broadsheet_rss").mode("overwrite").options(path=folder, title=title, link=link).save()

@@ -206,9 +206,49 @@ def test_sources(spark, tmp_path):
     assert sorted(r.link for r in feeds.read_landed(spark, str(tmp_path)).collect()) == ["https://a/1", "https://b/1"]
 
 
-def test_rendered_feed_parses_back(spark):
-    df = spark.createDataFrame([(1, "A & B", "https://a/1", None, datetime(2024, 1, 1)), (2, None, "https://a/2", "s", None)], "id long, title string, url string, summary string, published_at timestamp_ntz")
-    assert [e["link"] for e in feeds.feed_entries(feeds.render_feed(df, "T", "https://a", 5))] == ["https://a/1", "https://a/2"]
+def test_written_feed_parses_back(spark, tmp_path):
+    rows = [(1, "A & B \x01<c>", "https://a/1?x=1&y=2", None, datetime(2024, 1, 1)), (2, None, "https://a/2", "s", None), (3, "new", "https://a/3", "", datetime(2024, 2, 1)), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, title string, url string, summary string, published_at timestamp_ntz").repartition(4)
+    folder = tmp_path / "feed"
+    for limit, links in ((5, ["https://a/3", "https://a/1?x=1&y=2", "https://a/2"]), (1, ["https://a/3"])):
+        feeds.write_feed(df, f"file://{folder}", "T & t", "https://a", limit)
+        (written,) = folder.iterdir()  # the one before has gone, and nothing half written is left
+        found = feeds.feed_entries(written.read_bytes())
+        assert [e["link"] for e in found] == links
+    assert found[0]["published"] == "Thu, 01 Feb 2024 00:00:00 -0000"
+    feeds.write_feed(df.where("false"), str(folder), "T", "https://a")
+    assert feeds.feed_entries(next(folder.iterdir()).read_bytes()) == []
+
+
+def test_a_failed_feed_leaves_what_was_there(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "https://a/1", None, datetime(2024, 1, 1))], "id long, title string, url string, summary string, published_at timestamp_ntz")
+    feeds.write_feed(df, str(tmp_path), "T", "https://a")
+    with pytest.raises(Exception, match="broken"):
+        feeds.write_feed(df.withColumn("title", F.raise_error(F.lit("broken"))), str(tmp_path), "T", "https://a")
+    assert [e["link"] for p in tmp_path.glob("*.xml") for e in feeds.feed_entries(p.read_bytes())] == ["https://a/1"]
+
+
+def test_stream_of_sources_reads_what_has_changed(spark, tmp_path):
+    """A source that is missing stops nothing and is read when it is there; sources that stay as they are are not read again."""
+    def feed(name, *links):
+        (tmp_path / name).write_text("<rss><channel>" + "".join(f"<item><title>t</title><link>{x}</link></item>" for x in links) + "</channel></rss>")
+
+    folder, addresses = str(tmp_path / "state"), [str(tmp_path / n) for n in ("a.xml", "b.xml", "c.xml")]
+
+    def arrived():
+        out = S.run_available(feeds.stream_sources(spark, "rss", addresses).select("source", "link"), "append", folder).collect()
+        last = max((r.batch for r in out), default=None)
+        return len(out), sorted(r.link for r in out if r.batch == last)
+
+    feed("a.xml", "a1", "a2")
+    feed("b.xml", "b1")
+    assert arrived() == (3, ["a1", "a2", "b1"])
+    assert arrived()[0] == 3
+    feed("b.xml", "b2", "b1")
+    feed("c.xml", "c1")
+    assert arrived() == (6, ["b1", "b2", "c1"])
+    (tmp_path / "a.xml").unlink()
+    assert arrived()[0] == 6
 
 
 def test_dead_letters(spark, tmp_path):

@@ -76,8 +76,11 @@ def merge_by_url(existing: DataFrame, incoming: DataFrame, fields: list[str]) ->
     """Existing articles that incoming ones update: each incoming row meets the article with the smallest id of those whose URL is among its candidates. Articles that are summarised and processed stay as they are and do not
     come out; of the others every field takes the last incoming value that is not empty, else keeps its own. `existing`: id, url, summary, processed and the fields; `incoming`: seq, urls (candidates) and the fields."""
     each = incoming.select("seq", *[F.col(f).alias(f"__{f}") for f in fields], F.explode(F.array_distinct(F.filter("urls", lambda u: u.isNotNull() & (u != "")))).alias("url"))
-    # The smallest article of each incoming row, by keys alone; then the fields.
-    hit = each.select("seq", "url").join(existing.select("id", "url"), "url").groupBy("seq").agg(F.min("id").alias("id"))
+    # The smallest article of each incoming row, by keys alone; then the fields. A URL has one article that matters, so frequent ones meet it by broadcast.
+    smallest = existing.where("url IS NOT NULL").groupBy("url").agg(F.min("id").alias("id"))
+    counted = settled(each.groupBy("url").agg(F.count(F.lit(1)).alias("__n")).join(smallest.hint("merge"), "url"))
+    total = counted.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    hit = join_skewed(each.select("seq", "url"), counted, ["url"], "__n", total).groupBy("seq").agg(F.min("id").alias("id"))
     given = incoming.select("seq", *[F.col(f).alias(f"__{f}") for f in fields]).join(hit, "seq")
     last = given.groupBy("id").agg(*[F.max_by(f"__{f}", F.when(F.col(f"__{f}").isNotNull() & (F.col(f"__{f}").cast("string") != ""), F.col("seq"))).alias(f"__{f}") for f in fields])
     open_ = existing.where(~F.coalesce(F.col("processed") & F.col("summary").isNotNull() & (F.col("summary") != ""), F.lit(False)))

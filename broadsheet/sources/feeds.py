@@ -106,8 +106,8 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Addresses whose document has changed since the last trigger are read again. An offset has for each address when it was changed and its size; one that can't be looked at keeps its last offset, so that it is read when it is there
-    again and doesn't stop the others."""
+    """Addresses whose document has changed since the last trigger are read again. An offset has for each address when it was changed and its size; one that can't be looked at doesn't stop the others; it keeps its last
+    offset while the query runs and is read when it is there again."""
 
     def __init__(self, options: dict, schema: T.StructType):
         self.source, self.known = _Reader(options, schema), {}

@@ -120,9 +120,43 @@ def first_within(stream: DataFrame, hours: int = 24, late: str = "7 days") -> Da
     return _timed(stream, "hash", late, _First(pd.Timedelta(hours=hours)), "id long, hash string, at timestamp_ntz, duplicate boolean")
 
 
+class _Snapshots(StatefulProcessor):
+    """Of a page its last snapshot: instant and hashes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last, self.hashes = handle.getValueState("last", "snapshot string"), handle.getListState("hashes", "hash string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows))
+        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
+        known = {h for (h,) in self.hashes.get()} if self.hashes.exists() else set()
+        fresh = []
+        for at, items in rows[rows["snapshot"].notna()].groupby("snapshot", sort=True):
+            if last is not None and at < last:
+                continue
+            items = items.drop_duplicates("hash")
+            fresh.append(items[~items["hash"].isin(known)])
+            known = set(items["hash"]) | (known if at == last else set())
+            last = at
+        if last is not None:
+            self.last.update((last.isoformat(),))
+            self.hashes.put([(h,) for h in known])
+        for items in fresh:
+            yield items[["page", "snapshot", "hash", "title"]]
+
+    def close(self) -> None:
+        pass
+
+
 def new_on_page(stream: DataFrame) -> DataFrame:
-    """Items (page, hash, title) that no earlier snapshot of their page had. The state has an entry an item, so a batch writes only what is new."""
-    return stream.select("page", "hash", "title").dropDuplicates(["page", "hash"])
+    """Items (page, snapshot, hash, title) that the page's snapshot before did not have; an item that was gone and comes back is new again. `snapshot`: the instant at which the page was looked at.
+
+    The state of a page is the hashes of its last snapshot, so it is bounded by the page. Items of that snapshot that come in a later batch go on with it; those of older ones are not looked at.
+    """
+    processor = _Snapshots()
+    return stream.select("page", "snapshot", "hash", "title").groupBy("page").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType="page string, snapshot timestamp_ntz, hash string, title string", outputMode="Append", timeMode="None"
+    )
 
 
 def login_locks(stream: DataFrame, threshold: int = 5, seconds: int = 300, late: str = "7 days", forget: str = "30 days") -> DataFrame:

@@ -281,6 +281,24 @@ def test_state_goes_on_between_runs(spark, tmp_path):
     assert arrive([(3, "a", t + timedelta(hours=23)), (4, "a", t + timedelta(hours=25)), (5, "b", t)]) == {1: False, 2: True, 3: True, 4: False, 5: False}
 
 
+def test_new_items_of_snapshots(spark, tmp_path):
+    """Only the snapshot before counts, over batches too; a page's state is its last snapshot."""
+    folder, inbox, t = str(tmp_path / "state"), str(tmp_path / "in"), datetime(2024, 1, 1)
+    schema = "page string, snapshot timestamp_ntz, hash string, title string, batch string"
+
+    def arrive(*snapshots):
+        rows = [(page, t + timedelta(days=day), h, "t", "x") for page, day, hashes in snapshots for h in hashes]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(inbox)
+        out = S.run_available(S.new_on_page(spark.readStream.schema(schema).parquet(inbox)), "append", folder).collect()
+        last = max(r.batch for r in out)
+        return sorted((r.page, (r.snapshot - t).days, r.hash) for r in out if r.batch == last), spark.read.format("statestore").option("stateVarName", "hashes").load(f"{folder}/state").count()
+
+    assert arrive(("p", 0, "ab"), ("p", 1, "bcc"), ("q", 0, "z")) == ([("p", 0, "a"), ("p", 0, "b"), ("p", 1, "c"), ("q", 0, "z")], 3)
+    # a is gone from the last snapshot and new again; d goes on with snapshot 1; the old snapshot of q is not looked at
+    assert arrive(("p", 1, "d"), ("p", 2, "abd"), ("q", -1, "y"))[0] == [("p", 1, "d"), ("p", 2, "a")]
+    assert arrive(("p", 3, "a"), ("q", 1, "zy"))[0] == [("q", 1, "y")]
+
+
 def test_login_locks(spark, tmp_path):
     """Five failures lock for five minutes; attempts meanwhile do not count; a success or the end of the lock starts anew; the state goes on between runs."""
     folder, inbox = str(tmp_path / "state"), str(tmp_path / "in")
@@ -401,6 +419,12 @@ def test_merge_by_url(spark):
     assert {r.id: (r.title, r.content) for r in Q.merge_by_url(existing, incoming, ["title", "content"]).collect()} == {1: ("M", "C1"), 3: ("T3", "N")}
 
 
+def test_merge_by_a_frequent_url(spark):
+    old = spark.createDataFrame([(i, "u", None, False, f"o{i}") for i in range(5, 60)] + [(1, "v", "s", True, "kept"), (2, None, None, False, "n")], "id long, url string, summary string, processed boolean, title string")
+    new = spark.createDataFrame([(i, ["u", "v"] if i == 7 else ["u"] if i % 2 else [None, ""], f"t{i}" if i < 90 else "") for i in range(100)], "seq long, urls array<string>, title string")
+    assert [tuple(r) for r in Q.merge_by_url(old, new, ["title"]).collect()] == [(5, "t89")]
+
+
 def test_list_page_fallback(spark):
     base = "https://a.b/list/?q=1"
     pages = {

@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from broadsheet.shared import spread
+
 AS_OF = "2024-01-31 00:00:00"
 
 #: Of each table: the generic table(s) in Spark SQL, and the projection in both dialects where it is the same.
@@ -99,12 +101,17 @@ class Domain:
         """A generic table as it is stored."""
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _derived(self, name: str) -> DataFrame:
-        body = _definitions("spark")[name]
+    def spread(self, name: str) -> DataFrame:
+        """A generic table over all cores, for columns that take much time a row."""
+        return spread(self.table(name))
+
+    def _derived(self, name: str, spreading: bool = False) -> DataFrame:
+        body, read = _definitions("spark")[name], self.spread if spreading else self.table
         tables = [t for t in ("documents", "labels", "nation", "region", "events", "part", "orders", "supplier") if f" {t}" in body]
-        return self.spark.sql(_braced(body, tables), **{t: self.table(t) for t in tables})
+        return self.spark.sql(_braced(body, tables), **{t: read(t) for t in tables})
 
     articles = cached_property(lambda self: self._derived("articles"))
+    spread_articles = cached_property(lambda self: self._derived("articles", True))
     news_sources = cached_property(lambda self: self._derived("news_sources"))
     categories = cached_property(lambda self: self._derived("categories"))
     article_categories = cached_property(lambda self: self._derived("article_categories"))

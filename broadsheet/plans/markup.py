@@ -15,11 +15,11 @@ from .registry import plan
 
 
 def _page(d: Domain):
-    return d.table("pages").select("page_id", "url", "html").withColumn("p", H.page("html", "url"))
+    return d.spread("pages").select("page_id", "url", "html").withColumn("p", H.page("html", "url"))
 
 
 def _content(d: Domain):
-    return d.table("pages").select("page_id", E.content("html", F.lit(None).cast("string")).alias("c"))
+    return d.spread("pages").select("page_id", E.content("html", F.lit(None).cast("string")).alias("c"))
 
 
 plan("o234_page_metadata")(lambda d: _page(d).select("page_id", "p.title", "p.description", "p.author", "p.published"))
@@ -27,14 +27,14 @@ plan("o233_json_ld_date")(lambda d: _page(d).select("page_id", "p.published"))
 plan("o235_primary_images")(lambda d: _page(d).select("page_id", "p.image"))
 plan("o236_alternative_links")(lambda d: _page(d).select("page_id", F.array_join("p.alternatives", " ").alias("links")))
 plan("o237_selected_content")(lambda d: _content(d).select("page_id", "c.strategy", F.md5("c.content").alias("h"), F.length("c.content").alias("chars")))
-plan("o238_scored_candidates")(lambda d: d.table("pages").select("page_id", F.posexplode(E.scored("html")).alias("place", "c")).select("page_id", "place", "c.score", F.length("c.text").alias("chars")))
+plan("o238_scored_candidates")(lambda d: d.spread("pages").select("page_id", F.posexplode(E.scored("html")).alias("place", "c")).select("page_id", "place", "c.score", F.length("c.text").alias("chars")))
 plan("o240_extraction_cascade")(
-    lambda d: d.table("pages").select("page_id", E.content("html", F.when(F.col("page_id") % 3 == 0, "article p")).alias("c")).select("page_id", "c.strategy", F.length("c.content").alias("chars"))
+    lambda d: d.spread("pages").select("page_id", E.content("html", F.when(F.col("page_id") % 3 == 0, "article p")).alias("c")).select("page_id", "c.strategy", F.length("c.content").alias("chars"))
 )
-plan("o239_without_boilerplate")(lambda d: d.table("pages").select("page_id", E.main_text("html").alias("t")).select("page_id", F.length("t").alias("chars"), F.md5("t").alias("h")))
-plan("o008_page_items")(lambda d: d.table("pages").select("page_id", F.explode(H.items("html", "url")).alias("i")).select("page_id", "i.title", "i.link", F.length("i.description").alias("chars")))
-plan("o172_chat_markup")(lambda d: d.table("pages").select("page_id", F.md5(H.chat_html("html")).alias("h")))
-plan("o173_short_markup")(lambda d: d.table("pages").select("page_id", E.short_markup(1000)("html").alias("t")).select("page_id", F.length("t").alias("chars"), F.md5("t").alias("h")))
+plan("o239_without_boilerplate")(lambda d: d.spread("pages").select("page_id", E.main_text("html").alias("t")).select("page_id", F.length("t").alias("chars"), F.md5("t").alias("h")))
+plan("o008_page_items")(lambda d: d.spread("pages").select("page_id", F.explode(H.items("html", "url")).alias("i")).select("page_id", "i.title", "i.link", F.length("i.description").alias("chars")))
+plan("o172_chat_markup")(lambda d: d.spread("pages").select("page_id", F.md5(H.chat_html("html")).alias("h")))
+plan("o173_short_markup")(lambda d: d.spread("pages").select("page_id", E.short_markup(1000)("html").alias("t")).select("page_id", F.length("t").alias("chars"), F.md5("t").alias("h")))
 
 
 def _channel(d: Domain):
@@ -102,7 +102,7 @@ plan(
     """SELECT page_id, CASE WHEN k < 4 THEN concat(['2024-01-', '2023-02-', '2022-03-', '2021-04-'][k + 1], 10 + page_id % 20) END AS published, CASE WHEN k < 3 THEN concat(['A', 'B', 'C'][k + 1], page_id) END AS author,
          ['/i.png', '/l.png', '/g.png', '/m.png', NULL][k + 1] AS image, CASE WHEN k = 0 THEN url END AS body FROM (SELECT *, page_id % 5 AS k FROM pages)""",
 )(
-    lambda d: d.table("pages").select("page_id", V.json_ld(F.concat(F.expr(_LD), F.coalesce("html", F.lit("")))).alias("o")).select(
+    lambda d: d.spread("pages").select("page_id", V.json_ld(F.concat(F.expr(_LD), F.coalesce("html", F.lit("")))).alias("o")).select(
         "page_id", V.published(F.col("o")).alias("published"), V.author(F.col("o")).alias("author"), V.image(F.col("o")).alias("image"), V.article_body(F.col("o")).alias("body")
     )
 )
@@ -126,7 +126,7 @@ plan(
 _BYTES = "CASE page_id % 5 WHEN 0 THEN encode(html, 'UTF-8') WHEN 1 THEN encode(html, 'UTF-16') WHEN 2 THEN encode(html, 'ISO-8859-1') WHEN 3 THEN encode(html, 'UTF-8') ELSE unhex(concat('EFBBBF', hex(encode(html, 'UTF-8')))) END"
 _DECLARED = "CASE page_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN NULL WHEN 2 THEN 'iso-8859-1' WHEN 3 THEN 'no-such-set' END"
 plan("o011_decoded", "SELECT page_id, md5(html) AS h FROM pages WHERE page_id % 5 <> 2 OR regexp_full_match(html, '[\\x00-\\x{FF}]*')")(
-    lambda d: d.table("pages").where("page_id % 5 <> 2 OR html rlike '^[\\\\x00-\\\\xff]*$'").select("page_id", H.decode_bytes(F.expr(_BYTES), F.expr(_DECLARED)).alias("t")).select("page_id", F.md5("t").alias("h"))
+    lambda d: d.spread("pages").where("page_id % 5 <> 2 OR html rlike '^[\\\\x00-\\\\xff]*$'").select("page_id", H.decode_bytes(F.expr(_BYTES), F.expr(_DECLARED)).alias("t")).select("page_id", F.md5("t").alias("h"))
 )
 
 _BLOCK = "concat('<b>', category, '</b>', chr(10), trim(summary_text), chr(10))"

@@ -88,13 +88,13 @@ for _p in X.SUMMARY_OPENINGS:
     _SUMMARY = f"regexp_replace({_SUMMARY}, '(?im)^{_p}\\s*', '', 'g')"
 _SUMMARY = f"regexp_replace(regexp_replace(regexp_replace({_strip(_SUMMARY)}, '(?m)^[-•·*]\\s*', '', 'g'), '(?m)^\\d+\\.\\s*$', '', 'g'), '\\n\\s*\\n', chr(10) || chr(10), 'g')"
 plan("o162_clean_summary", f"SELECT doc_id, md5({_strip(f'regexp_replace({_SUMMARY}, chr(58) || chr(92) || chr(115) || chr(42) || chr(36), chr(0)[2:2])')}) AS h FROM documents".replace("chr(58) || chr(92) || chr(115) || chr(42) || chr(36), chr(0)[2:2]", "':\\s*$', ''"))(
-    lambda d: d.table("documents").select("doc_id", F.md5(X.clean_summary(F.col("text"))).alias("h"))
+    lambda d: d.spread("documents").select("doc_id", F.md5(X.clean_summary(F.col("text"))).alias("h"))
 )
 _CLEAN = "regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')"
 for _p in X.FURNITURE:
     _CLEAN = f"regexp_replace({_CLEAN}, '(?i)\\b{_p}\\b\\s*', '', 'g')"
 plan("o163_clean_text", f"SELECT doc_id, md5({_strip(f'regexp_replace({_CLEAN}, {_quoted(chr(92) + "s+([.,:;!?])")}, {_quoted(chr(92) + "1")}, {_quoted("g")})')}) AS h FROM documents")(
-    lambda d: d.table("documents").select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("h"))
+    lambda d: d.spread("documents").select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("h"))
 )
 
 
@@ -142,7 +142,7 @@ plan("o170_clean_messages", f"SELECT conv_id, turn, {_strip(f'regexp_replace(reg
 )
 _NOTAGS = r"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 _PLAIN = _strip(f"regexp_replace({_NOTAGS}, '\\s+', ' ', 'g')")
-plan("o171_plain_text", f"SELECT page_id, md5({_PLAIN}) AS h FROM pages")(lambda d: d.table("pages").select("page_id", F.md5(X.without_tags(F.col("html"))).alias("h")))
+plan("o171_plain_text", f"SELECT page_id, md5({_PLAIN}) AS h FROM pages")(lambda d: d.spread("pages").select("page_id", F.md5(X.without_tags(F.col("html"))).alias("h")))
 plan("o171_first_words", f"SELECT page_id, CASE WHEN len(w) > 30 THEN concat(array_to_string(w[1:30], ' '), '...') ELSE array_to_string(w, ' ') END AS t FROM (SELECT page_id, {_words(_PLAIN)} AS w FROM pages)")(
     lambda d: d.table("pages").select("page_id", X.first_words(X.without_tags(F.col("html")), 30).alias("t"))
 )
@@ -160,16 +160,16 @@ plan("o179_validated", "SELECT event_id, greatest(0.0, least(1.0, value / 100))
     .select("event_id", F.from_json("j", "confidence double, summary string").alias("r"))
     .select("event_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("r.confidence", F.lit(0.8)))).alias("confidence"), F.coalesce(F.nullif(F.trim("r.summary"), F.lit("")), F.lit("none")).alias("summary"))
 )
-plan("o180_markdown", None)(lambda d: d.table("documents").select("doc_id", F.md5(X.markdown_to_html(F.concat(F.lit("# "), "text"))).alias("h")))
-plan("o181_extractive_summary", None)(lambda d: d.table("documents").select("doc_id", X.extractive_summary(F.col("text")).alias("summary")))
-plan("o161_clean_entities", None)(lambda d: d.table("pages").select("page_id", X.clean_entities(F.col("html")).alias("t")))
+plan("o180_markdown", None)(lambda d: d.spread("documents").select("doc_id", F.md5(X.markdown_to_html(F.concat(F.lit("# "), "text"))).alias("h")))
+plan("o181_extractive_summary", None)(lambda d: d.spread("documents").select("doc_id", X.extractive_summary(F.col("text")).alias("summary")))
+plan("o161_clean_entities", None)(lambda d: d.spread("pages").select("page_id", X.clean_entities(F.col("html")).alias("t")))
 plan("o164_clean_urls", None)(lambda d: d.table("pages").select("page_id", X.clean_url(F.concat(F.lit("​"), "url", F.lit(" "))).alias("url")))
-plan("o182_valid_summaries", None)(lambda d: d.articles.select("id", X.is_summary_of(F.col("summary"), F.col("content")).alias("valid")))
+plan("o182_valid_summaries", None)(lambda d: d.spread_articles.select("id", X.is_summary_of(F.col("summary"), F.col("content")).alias("valid")))
 
 plan("o069_bot_walls", f"SELECT id, length({_strip('content')}) < 500 AND {_any('lower(content)', S.BOT_WALL)} AS wall FROM articles")(lambda d: d.articles.select("id", S.is_bot_wall(F.col("content")).alias("wall")))
 _T = "lower(concat(coalesce(title, ''), ' ', coalesce(content, '')))"
 plan("o191_navigation", f"SELECT id, regexp_matches({_T}, {_re(S.NAVIGATION)}, 'i') AS navigation FROM articles")(lambda d: d.articles.select("id", S.is_navigation(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("navigation")))
-plan("o193_spam", f"SELECT id, regexp_matches({_T}, {_re(S.SPAM)}, 'i') AS spam FROM articles")(lambda d: d.articles.select("id", S.is_spam(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("spam")))
+plan("o193_spam", f"SELECT id, regexp_matches({_T}, {_re(S.SPAM)}, 'i') AS spam FROM articles")(lambda d: d.spread_articles.select("id", S.is_spam(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("spam")))
 _LANG = "len(regexp_extract_all(content, '[a-zA-Z]')) + len(regexp_extract_all(content, '[а-яёА-ЯЁ]'))"
 _CYR = "len(regexp_extract_all(content, '[а-яёА-ЯЁ]'))"
 _LANG_OK = f"({_LANG} < 50 OR coalesce({_CYR}::DOUBLE / nullif({_LANG}, 0) >= 0.3, false) OR coalesce({_CYR}::DOUBLE / nullif({_LANG}, 0) <= 0.1, false))"
@@ -190,7 +190,7 @@ _SCORE = f"""greatest(0.0, least(1.0, 0.5 + CASE WHEN length({_strip('title')})
 
 
 def _typed(d: Domain):
-    return d.articles.withColumn("kind", F.expr(_KIND))
+    return d.spread_articles.withColumn("kind", F.expr(_KIND))
 
 
 plan("o196_quality_score", f"SELECT id, round(CAST({_SCORE} AS DOUBLE), 4) AS score FROM articles")(lambda d: _typed(d).select("id", F.round(S.quality_score(F.col("title"), F.col("content"), F.col("kind")), 4).alias("score")))
@@ -215,8 +215,8 @@ plan(
         AND coalesce(list_sum(list_transform({_GS}, lambda s: length(s))), 0)::DOUBLE / greatest(len({_GS}), 1) >= 15 AND {_N} >= 10
         AND len(list_distinct(list_filter({_LW}, lambda w: length(w) > 3)))::DOUBLE / greatest({_N}, 1) >= 0.3 AND len(list_filter({_LW}, lambda w: {_any('w', S.NAV_WORDS)})) <= {_N} * 0.1
         AND coalesce(list_max(map_values(list_histogram({_LONG}))), 0) <= {_N} * 0.15 AND NOT {_any(f'lower({_strip("content")})', S.ERROR_TEXT)}, false) AS good FROM articles""".replace("list_histogram(", "list_aggregate(").replace(f"list_aggregate({_LONG})", f"list_aggregate({_LONG}, 'histogram')"),
-)(lambda d: d.articles.select("id", E.good("content").alias("good")))
-plan("o198_content_assessment", None)(lambda d: d.articles.select("id", F.round(S.assess_content(F.col("content")), 4).alias("score")))
+)(lambda d: d.spread_articles.select("id", E.good("content").alias("good")))
+plan("o198_content_assessment", None)(lambda d: d.spread_articles.select("id", F.round(S.assess_content(F.col("content")), 4).alias("score")))
 plan("o203_suggested_category", f"SELECT ai_category, category_id, CASE WHEN ai_category IS NULL OR ai_category = '' THEN 'Other' {' '.join(f'WHEN {_any(chr(108) + "ower(ai_category)", ks)} THEN {_quoted(c)}' for c, ks in S.SUGGESTIONS)} ELSE 'Other' END AS suggested FROM article_categories")(
     lambda d: d.article_categories.select("ai_category", "category_id", S.suggested_category(F.col("ai_category")).alias("suggested"))
 )

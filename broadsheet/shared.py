@@ -31,6 +31,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over as many tasks as there are cores, where few files would leave most of them idle; as they are where the files are many. For columns that take much time a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_skewed(rows: DataFrame, entries: DataFrame, keys: list[str], size: str, total: int, share: float = 1e-3) -> DataFrame:
     """Rows with the entry of their keys; `entries` has one row a key, with the number of `rows` that have it.
 

@@ -13,7 +13,6 @@ from broadsheet.llm import _files as files
 from broadsheet.llm import _text as X
 from broadsheet.llm import queries as Q
 from broadsheet.llm import tokenfile as T
-from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from broadsheet.domain import AS_OF, Domain
 from broadsheet.operators import feed as O
 from broadsheet.operators.ranking import first_per
+from broadsheet.operators.search import SearchIndex
 from broadsheet.shared import shared_path
 
 from .registry import plan
@@ -198,6 +199,31 @@ plan("o134_search_by_title", f"SELECT id, title FROM articles WHERE {_SEARCH} OR
 plan("o135_search_total", f"SELECT count(*) AS total, count(*) > 120 AS has_more FROM articles WHERE {_SEARCH}")(
     lambda d: d.articles.where(O.matches("the and")).agg(F.count(F.lit(1)).alias("total")).withColumn("has_more", F.col("total") > 120)
 )
+def _rare(tokens: tuple[str, ...]) -> str:
+    return " AND ".join(f"(coalesce(title ILIKE '%{t}%', false) OR coalesce(summary ILIKE '%{t}%', false) OR coalesce(content ILIKE '%{t}%', false))" for t in tokens)
+
+
+def _indexed(d: Domain) -> SearchIndex:
+    """All articles, twenty ids a block."""
+    return SearchIndex.build(d.articles, shared_path(d.spark, "search"), 20)
+
+
+plan("o055_indexed_search", f"SELECT id FROM articles WHERE {_rare(('achlich', 'in'))}")(lambda d: _indexed(d).search("ACHLICH a in").select("id"))
+
+
+@plan(
+    "o134_indexed_by_relevance",
+    f"""SELECT id, CASE WHEN title ILIKE '%ach_eit%' THEN 3 WHEN summary ILIKE '%ach_eit%' THEN 2 ELSE 1 END AS relevance, published_at FROM articles WHERE {_rare(('ach_eit',))}
+        ORDER BY relevance DESC, published_at DESC NULLS FIRST, id LIMIT 100""",
+)
+def _(d: Domain):
+    found = _indexed(d).search("ach_eit").select("id", O.relevance("ach_eit").alias("relevance"), "published_at")
+    return O.page(found, [F.col("relevance").desc(), F.col("published_at").desc_nulls_first(), F.col("id")], 100)
+
+
+plan("o135_indexed_total", f"SELECT count(*) AS total, count(*) > 20 AS has_more FROM articles WHERE {_rare(('achkeit',))}")(
+    lambda d: _indexed(d).search("Achkeit").agg(F.count(F.lit(1)).alias("total")).withColumn("has_more", F.col("total") > 20)
+)
 plan(
     "o205_display_score",
     """SELECT id, CASE WHEN contains(lower(coalesce(title, '')), 'the and') THEN 3 ELSE 0 END + CASE WHEN contains(lower(coalesce(summary, '')), 'the and') THEN 2 ELSE 0 END

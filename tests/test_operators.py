@@ -364,6 +364,54 @@ def test_copy_between_databases(spark):
     assert sorted((r[0], r[1]) for r in spark.read.format("jdbc").options(**target, dbtable="t").load().collect()) == [(1, 7), (2, 8)]
 
 
+def _databases(spark, name):
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    source, target = {"url": f"jdbc:derby:memory:{name}1;create=true", **driver}, {"url": f"jdbc:derby:memory:{name}2;create=true", **driver}
+    put = lambda rows, schema, table: spark.createDataFrame(rows, schema).write.format("jdbc").options(**source, dbtable=table).mode("append").save()
+    get = lambda table: sorted(map(tuple, spark.read.format("jdbc").options(**target, dbtable=table).load().collect()), key=repr)
+    return source, target, put, get
+
+
+def test_tables_are_copied_in_the_order_of_their_references(spark):
+    source, target, put, get = _databases(spark, "refs")
+    put([(i, i % 3 - 1 if i % 4 else None, ['{"b": [1, 2.50], "a": null}', "{broken", "", None][i % 4]) for i in range(1, 41)], "id long, flag short, doc string", "parent")
+    put([(i, i % 40 + 1) for i in range(1, 101)], "id long, parent_id long", "child")
+    put([], "id long, flag short", "nothing")
+    storage.execute(
+        spark, target,
+        'CREATE TABLE parent ("id" BIGINT GENERATED BY DEFAULT AS IDENTITY PRIMARY KEY, "flag" BOOLEAN, "doc" CLOB)',
+        'CREATE TABLE child ("id" BIGINT PRIMARY KEY, "parent_id" BIGINT NOT NULL REFERENCES parent)', 'CREATE TABLE nothing ("id" BIGINT GENERATED BY DEFAULT AS IDENTITY PRIMARY KEY, "flag" BOOLEAN)',
+        'INSERT INTO parent VALUES (7, true, \'from a copy that was cut off\')',
+    )
+    tables = {"child": storage.Table("id", ("parent", "elsewhere")), "nothing": storage.Table("id", numbered=True), "parent": storage.Table("id", ("parent",), ("doc",), True)}
+    report = storage.copy_tables(spark, source, target, tables, partitions=3, batch=10)
+    assert sorted(report) == [("child", 100, 100), ("nothing", 0, 0), ("parent", 40, 40)] and [r[0] for r in report].index("parent") < [r[0] for r in report].index("child")
+    want = {i: ((i % 3 != 1) if i % 4 else None, ['{"a":null,"b":[1,2.5]}', "{broken", "", None][i % 4]) for i in range(1, 41)} | {7: (True, "from a copy that was cut off")}
+    assert {r[0]: r[1:] for r in get("parent")} == want and len(get("child")) == 100
+    assert storage.copy_tables(spark, source, target, tables) == report  # nothing twice
+    storage.execute(spark, target, 'INSERT INTO parent ("doc") VALUES (\'next\')')
+    assert max(get("parent"), key=lambda r: r[0]) == (41, None, "next")
+    for database in (source, target):
+        storage.drop_memory_database(spark, database)
+
+
+def test_copies_without_a_key(spark):
+    source, target, put, get = _databases(spark, "keyless")
+    put([(1, 5), (1, 5), (None, 0), (2, None)], "id long, flag int", "t")
+    storage.execute(spark, target, 'CREATE TABLE t ("id" BIGINT, "flag" BOOLEAN)')
+    assert storage.copy_tables(spark, source, target, {"t": storage.Table()}) == [("t", 4, 4)]
+    assert get("t") == sorted([(1, True), (1, True), (None, False), (2, None)], key=repr)
+    with pytest.raises(ValueError):
+        storage.copy_tables(spark, source, target, {"t": storage.Table()})
+
+
+def test_circles_of_references_are_errors():
+    from graphlib import CycleError
+
+    with pytest.raises(CycleError):
+        storage.in_order({"a": storage.Table(references=("b",)), "b": storage.Table(references=("a",))})
+
+
 def test_components(spark):
     from broadsheet.shared import components
 

@@ -11,7 +11,7 @@ from email.utils import format_datetime
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -162,12 +162,34 @@ class FeedSource(DataSource):
 REGISTRY = {"rss": {"kind": "feed"}, "page": {"kind": "page"}, "telegram": {"kind": "channel"}}
 
 
+def reader_of(kind: Column) -> Column:
+    """What reads a source of this registered type (in any case); null for others."""
+    registered = F.create_map(*[F.lit(x) for name, options in REGISTRY.items() for x in (name, options["kind"])])
+    return F.try_element_at(registered, F.lower(kind))
+
+
 def read_sources(spark: SparkSession, kind: str, addresses: list[str]) -> DataFrame:
     """Rows of all sources of a registered type; unknown types are an error."""
     spark.dataSource.register(FeedSource)
     return spark.read.format("broadsheet_feed").options(addresses=",".join(addresses), **REGISTRY[kind]).load()
 
 
+def read_addresses(addresses: DataFrame, kind: str) -> DataFrame:
+    """The same for addresses that are rows (column `address`), of which there may be any number: each task reads those of its partition, none goes through the driver.
+
+    Null addresses and sources that can't be read have no rows; an address that is there twice is read twice.
+    """
+    schema = FeedSource({**REGISTRY[kind]}).schema()
+    reader = _Reader(REGISTRY[kind], schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for address in frame["address"].dropna():
+                yield pd.DataFrame(list(reader.read(_Address(address))), columns=schema.names)
+
+    return addresses.select("address").mapInPandas(run, schema)
+
+
 def stream_sources(spark: SparkSession, kind: str, addresses: list[str]) -> DataFrame:
     """The same as a stream: each trigger has the rows of the sources that have changed since the one before. Entries that were there before come again with their source; `dropDuplicates` on source and link leaves the new ones."""
     spark.dataSource.register(FeedSource)

@@ -198,6 +198,19 @@ def test_feed_entries():
     assert feeds.feed_entries("<broken") == [] and feeds.feed_entries(None) == []
 
 
+def test_sources_whose_addresses_are_rows(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(RSS)
+    (tmp_path / "b.xml").write_text(ATOM)
+    (tmp_path / "c.xml").write_text("<rss")
+    rows = [(f"file://{tmp_path}/a.xml", 1), (str(tmp_path / "b.xml"), 2), (str(tmp_path / "b.xml"), 2), (str(tmp_path / "c.xml"), 3), (str(tmp_path / "missing.xml"), 4), (None, 5)]
+    addresses = spark.createDataFrame(rows, "address string, source int")
+    got = feeds.read_addresses(addresses.repartition(3), "rss")
+    assert sorted(r.link for r in got.collect()) == ["https://a/1", "https://b/1", "https://b/1"] and got.columns == ["source", *feeds.ENTRY.names]
+    assert feeds.read_addresses(addresses.limit(0), "telegram").count() == 0
+    kinds = spark.createDataFrame([("RSS",), ("page",), ("fax",), (None,)], "t string").select(feeds.reader_of(F.col("t")))
+    assert [r[0] for r in kinds.collect()] == ["feed", "page", None, None]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.xml").write_text(RSS)
     (tmp_path / "b.xml").write_text(ATOM)

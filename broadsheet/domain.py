@@ -65,7 +65,7 @@ def _definitions(dialect: str) -> dict[str, str]:
                    CASE p_partkey % 3 WHEN 0 THEN 'ai' WHEN 1 THEN 'manual' ELSE 'heuristic' END AS discovered_by, CASE p_partkey % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'content' WHEN 2 THEN 'date' ELSE 'author' END AS role
             FROM part""",
         "daily_summaries": f"""
-            SELECT doc_id AS id, {_DATE[dialect].format(hours('doc_id * 37 % 720'))} AS date, concat(lang, '-', source) AS category, CASE WHEN doc_id % 19 = 0 THEN ' - ' ELSE substring(text, 1, 400) END AS summary_text,
+            SELECT doc_id AS id, {_DATE[dialect].format(hours('doc_id * 37 % 720'))} AS date, concat(coalesce(lang, ''), '-', coalesce(source, '')) AS category, CASE WHEN doc_id % 19 = 0 THEN ' - ' ELSE substring(text, 1, 400) END AS summary_text,
                    doc_id % 20 AS articles_count, {hours('doc_id * 53 % 720')} AS created_at
             FROM documents""",
         "processing_stats": f"""

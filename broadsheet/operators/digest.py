@@ -25,7 +25,7 @@ def combined(summaries: DataFrame, least: int = 20) -> DataFrame:
 
 def split(summaries: DataFrame, limit: int = LIMIT, least: int = 20) -> DataFrame:
     """date, part, parts, message: blocks in order go into the current message while they and a footer fit; a block over the limit is a message of its own. A date's blocks are one category each."""
-    valid = summaries.where(F.length(F.trim("summary_text")) >= least).select("date", "id", "category", "articles_count", F.trim("summary_text").alias("text"))
+    valid = summaries.where(F.length(F.trim("summary_text")) >= least).select("date", "id", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("articles_count", F.lit(0)).alias("articles_count"), F.trim("summary_text").alias("text"))
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["articles_count", "category", "id"], ascending=[False, True, True])

@@ -136,12 +136,35 @@ plan(
         CAST(length(date) + 7 + sum(length(category) + length(trim(summary_text))) + length(concat(chr(10), sum(articles_count), ' / ', count(*))) AS BIGINT) AS chars, CAST(sum(articles_count) AS BIGINT) AS articles, count(*) AS categories
         FROM daily_summaries WHERE length(trim(summary_text)) >= 20 GROUP BY date""",
 )(lambda d: G.combined(d.daily_summaries))
-plan("o245_split_digest")(lambda d: G.split(d.daily_summaries))
-plan("o246_split_texts")(lambda d: G.split_lines(d.table("documents").select("doc_id", F.col("text").alias("t")), "t", 1000).select("doc_id", "part", F.md5("piece").alias("h")))
+plan(
+    "o245_split_digest",
+    """WITH RECURSIVE s AS (SELECT date, category, trim(summary_text) AS t, row_number() OVER (PARTITION BY date ORDER BY articles_count DESC, category, id) AS k, count(*) OVER (PARTITION BY date) AS n,
+                              sum(articles_count) OVER (PARTITION BY date) AS articles, length(category) + length(trim(summary_text)) + 4 AS room, length(date) + 9 AS head FROM daily_summaries WHERE length(trim(summary_text)) >= 20),
+       f AS (SELECT date, k, 1 AS part, head + room AS size FROM s WHERE k = 1
+             UNION ALL SELECT s.date, s.k, part + CASE WHEN size + room + 80 > 3600 THEN 1 ELSE 0 END, room + CASE WHEN size + room + 80 > 3600 THEN head ELSE size END FROM f JOIN s ON s.date = f.date AND s.k = f.k + 1),
+       g AS (SELECT date, part, string_agg(concat('<b>', category, '</b>', chr(10), t, chr(10)), chr(10) ORDER BY k) AS body, count(*) AS m, any_value(n) AS n, any_value(articles) AS articles FROM f JOIN s USING (date, k) GROUP BY 1, 2),
+       p AS (SELECT *, max(part) OVER (PARTITION BY date) AS parts FROM g)
+       SELECT date, part, parts, concat('<b>', date, '</b>', chr(10), chr(10), body, chr(10), chr(10), CASE WHEN part = parts THEN concat(articles, ' / ', n) ELSE concat(part, ': ', m, ' / ', n) END) AS message FROM p""",
+)(lambda d: G.split(d.daily_summaries))
+plan(
+    "o246_split_texts",
+    """WITH RECURSIVE t AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
+       l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t WHERE length(text) > 1000),
+       f AS (SELECT r, k, 0 AS part, length(line) + 1 AS size FROM l WHERE k = 1
+             UNION ALL SELECT l.r, l.k, part + CASE WHEN size + length(line) + 1 > 1000 THEN 1 ELSE 0 END, length(line) + 1 + CASE WHEN size + length(line) + 1 > 1000 THEN 0 ELSE size END FROM f JOIN l ON l.r = f.r AND l.k = f.k + 1),
+       p AS (SELECT r, part, regexp_replace(string_agg(line, chr(10) ORDER BY k), '[ \\t\\n\\x0B\\f\\r]+$', '') AS piece FROM f JOIN l USING (r, k) GROUP BY 1, 2)
+       SELECT doc_id, 0 AS part, md5(text) AS h FROM t WHERE length(text) <= 1000 UNION ALL SELECT doc_id, part, md5(piece) FROM p JOIN t USING (r)""",
+)(lambda d: G.split_lines(d.table("documents").select("doc_id", F.col("text").alias("t")), "t", 1000).select("doc_id", "part", F.md5("piece").alias("h")))
 plan("o131_within_budget", "SELECT id, source_id, CAST(running AS BIGINT) AS running FROM (SELECT *, sum(length(title) + 20) OVER (PARTITION BY source_id ORDER BY published_at, id ROWS UNBOUNDED PRECEDING) AS running FROM articles) WHERE running <= 5000")(
     lambda d: G.within_budget(d.articles.select("id", "source_id", "published_at", (F.length("title") + 20).cast("long").alias("n")), "source_id", ["published_at", "id"], "n", 5000).select("id", "source_id", "running")
 )
-plan("o248_balanced_halves")(lambda d: G.balanced_halves(d.articles.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "lang", "source", "n"))
+plan(
+    "o248_balanced_halves",
+    """WITH RECURSIVE c AS (SELECT lang, source, count(*) AS n FROM articles GROUP BY 1, 2), s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source NULLS FIRST) AS k FROM c),
+       f AS (SELECT lang, source, k, 1 AS half, n AS a, 0::BIGINT AS b FROM s WHERE k = 1
+             UNION ALL SELECT s.lang, s.source, s.k, CASE WHEN a <= b THEN 1 ELSE 2 END, CASE WHEN a <= b THEN a + n ELSE a END, CASE WHEN a <= b THEN b ELSE b + n END FROM f JOIN s ON s.lang IS NOT DISTINCT FROM f.lang AND s.k = f.k + 1)
+       SELECT lang, source AS name, half FROM f""",
+)(lambda d: G.balanced_halves(d.articles.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "lang", "source", "n"))
 plan("o013_json_feed", "SELECT id, url FROM articles")(
     lambda d: d.articles.select(F.to_json(F.struct("id", "url", "title", "published_at")).alias("j")).select(F.from_json("j", "id bigint, url string").alias("r")).select("r.*")
 )

@@ -180,6 +180,12 @@ def test_digest_split(spark):
     assert [r.part for r in many] == [1, 2, 3, 4] and "c2" in many[1].message and len(many[2].message) > 3600
 
 
+def test_digest_of_rows_without_category_or_count(spark):
+    rows = [(1, "2024-01-01", None, "y" * 30, None), (2, "2024-01-01", "c", "z" * 30, 3), (3, "2024-01-01", "c", None, 3)]
+    (r,) = G.split(spark.createDataFrame(rows, "id long, date string, category string, summary_text string, articles_count long")).collect()
+    assert r.message == f"<b>2024-01-01</b>\n\n<b>c</b>\n{'z' * 30}\n\n<b></b>\n{'y' * 30}\n\n\n3 / 2"
+
+
 def test_line_split(spark):
     df = spark.createDataFrame([(1, "aaa\nbbb\nccccccccccccc\nd"), (2, "short")], "i int, t string")
     got = [(r.i, r.piece) for r in G.split_lines(df, "t", 8).orderBy("i", "part").collect()]

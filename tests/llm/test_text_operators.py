@@ -495,6 +495,42 @@ def test_seats_follow_the_posterior(customers, x):
     assert tables.mean() == pytest.approx((p * np.arange(1, customers + 1)).sum(), rel=0.03)
 
 
+def twelve_calls(customers, x, discount, rng):
+    """Tables as after the sweeps of a run."""
+    tables = None
+    for _ in range(pitmanyor.SWEEPS):
+        tables = seating.tables(np.full(len(x), customers), x, discount, rng, tables)
+    return tables
+
+
+def test_seats_of_a_large_dish_after_the_sweeps_of_a_run():
+    """Mean and spread are the exact ones at the largest discount."""
+    c, d, x, n = 3000, 0.9, 0.9 * 1400, 4000
+    t = np.arange(1, c + 1)
+    log = stirling(d, c)[c] + t * math.log(x)
+    p = np.exp(log - log.max())
+    p /= p.sum()
+    mean = (p * t).sum()
+    spread = math.sqrt((p * (t - mean) ** 2).sum())
+    got = twelve_calls(c, np.full(n, x), d, np.random.default_rng(2))
+    assert pitmanyor.SWEEPS == 12 and abs(got.mean() - mean) < 4 * spread / math.sqrt(n) and got.std() == pytest.approx(spread, rel=0.06)
+
+
+@pytest.mark.parametrize("discount", [0.5, 0.9])
+def test_seats_of_a_hundred_thousand_customers(discount):
+    """Seated one by one, then a gamma variable given the tables: tables drawn anew given that variable follow the same law as those that were there, so that neither is larger by more than chance."""
+    rng, n, customers, strength = np.random.default_rng(1), 2000, 100_000, 0.5
+    one_by_one = np.ones(n)
+    for c in range(1, customers):
+        one_by_one += rng.random(n) * (strength + c) < strength + discount * one_by_one
+    drawn = twelve_calls(customers, discount * rng.gamma(strength / discount + one_by_one), discount, rng)
+    apart = drawn - one_by_one
+    assert abs(apart.mean()) < 4 * apart.std() / math.sqrt(n)
+    assert abs((apart > 0).sum() - (apart < 0).sum()) < 4 * math.sqrt(n)
+    # given the variable, both vary by about the root of the tables' number (less near one table a customer)
+    assert 0.5 < np.median(np.abs(apart) / np.sqrt(one_by_one)) < 1.1
+
+
 def test_gamma_variables():
     key = np.arange(100_000, dtype=np.uint64)
     for shape in (0.1, 0.7, 1.0, 5.5, 4000.0):

@@ -40,13 +40,18 @@ MOST_CLASHES = 1_000_000
 
 def planes(values: np.ndarray, width: int) -> bytes:
     """The lowest `width` bytes of each value, byte by byte: like bytes side by side compress."""
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    data = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    out = np.empty((width, len(data)), np.uint8)
+    for i in range(width):
+        out[i] = data[:, i]
+    return out.tobytes()
 
 
 def unplaned(data: bytes, width: int) -> np.ndarray:
     n = len(data) // width
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    rows, out = np.frombuffer(data, np.uint8).reshape(width, n), np.zeros((n, 8), np.uint8)
+    for i in range(width):
+        out[:, i] = rows[i]
     return out.reshape(-1).view("<u8")
 
 

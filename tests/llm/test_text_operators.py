@@ -480,6 +480,31 @@ def test_stirling_numbers(discount):
         assert np.allclose(np.log(table[c, 1:c]), np.diff(rows[c]))
 
 
+def test_stirling_numbers_of_many_customers():
+    """At a discount of 1/2 the chance that t walks of N steps have c in all is t / (2 c - t) C(2 c - t, c) / 2^(2 c - t), a number that the alternating sum must not lose among its terms."""
+    c = 20_000
+    t = np.array([1, 2, 141, 424, 707, 989, 1272])
+    exact = [math.log(k / (2 * c - k)) + math.log(math.comb(2 * c - k, c)) - (2 * c - k) * math.log(2) for k in t.tolist()]
+    got = seating.log_weights(np.full(len(t), c), t, np.ones(len(t)), 0.5) + [math.lgamma(k + 1) - k * math.log(2) for k in t.tolist()]
+    assert np.abs(got - exact).max() < 1e-8
+
+
+def test_steps_of_large_dishes_keep_what_does_not_depend_on_tables(monkeypatch):
+    """Gamma functions are asked for a few times a step, not for each term of each sum; weights of some dishes, asked again for other tables, are those of the dishes alone."""
+    rng, calls, plain = np.random.default_rng(3), [], seating.log_gamma
+    c = rng.integers(129, 5000, 60)
+    before = np.minimum((c**0.8).astype(np.int64), c)
+    monkeypatch.setattr(seating, "log_gamma", lambda x: calls.append(1) or plain(x))
+    seating.tables(c, np.full(60, 0.8), 0.8, np.random.default_rng(4), before)
+    assert len(calls) <= 2 * (seating.STEPS + 2)
+    weights = seating.Weights(c, np.full(60, 0.8), 0.8)
+    for _ in range(5):
+        some = np.flatnonzero(rng.random(60) < 0.5)
+        t = 1 + (rng.random(len(some)) ** 4 * c[some]).astype(np.int64)
+        alone = [seating.log_weights(c[i : i + 1], t[k : k + 1], np.full(1, 0.8), 0.8)[0] for k, i in enumerate(some.tolist())]
+        assert np.allclose(weights.of(t, some), alone, rtol=1e-12)
+
+
 @pytest.mark.parametrize("customers, x", [(2, 0.3), (6, 0.9), (40, 3.0), (128, 0.5), (200, 5.0), (1000, 40.0)])
 def test_seats_follow_the_posterior(customers, x):
     """Tables have the exact probabilities S(c, t) x^t, both by the exact draw and by the steps of large dishes."""

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from broadsheet.functions.text import escape_html
+
 ENTRY = T.StructType(
     [*[T.StructField(c, T.StringType()) for c in ("title", "link", "content", "description", "published", "updated", "image")], T.StructField("tags", T.ArrayType(T.StringType()))]
 )
@@ -35,8 +37,8 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2].lower()
 
 
-def feed_entries(xml: str | bytes | None, default_title: str = "No title") -> list[dict]:
-    """Entries of an RSS or Atom feed; those without a link are left out, and a feed that isn't XML has none."""
+def feed_entries(xml: str | bytes | None, default_title: str | None = "No title") -> list[dict]:
+    """Entries of an RSS or Atom feed; those without a link are left out, and a feed that isn't XML has none. Without a default, an empty title stays empty and one that is missing is null."""
     try:
         root = ET.fromstring(xml) if xml else None
     except ET.ParseError:
@@ -60,7 +62,7 @@ def feed_entries(xml: str | bytes | None, default_title: str = "No title") -> li
         tags = [e.get("term") or (e.text or "").strip() for e in got.get("category", [])]
         out.append(
             {
-                "title": text("title") or default_title, "link": link, "content": content, "description": description, "published": text("pubdate", "published", "created", "date"), "updated": text("updated"),
+                "title": text("title") or default_title or ("" if "title" in got else None), "link": link, "content": content, "description": description, "published": text("pubdate", "published", "created", "date"), "updated": text("updated"),
                 "image": enclosed or media or inline, "tags": [t for t in tags if t],
             }
         )
@@ -72,6 +74,26 @@ def entries(xml: pd.Series) -> pd.Series:
     return xml.map(feed_entries)
 
 
+@F.pandas_udf(T.ArrayType(ENTRY))
+def entries_as_they_are(xml: pd.Series) -> pd.Series:
+    """The same without a default title."""
+    return xml.map(lambda x: feed_entries(x, None))
+
+
+#: What an element's text would not come back with: characters that XML does not have or turns into others, and what readers take for white space at an end. A % marks texts in percent-encoding.
+_LOST = r"(?U)[\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}%]|^\s|\s\z"
+
+
+def as_element(name: str, text: Column) -> Column:
+    """An element from which `of_element` has the same text again, whatever is in it; null if it is null."""
+    held = F.when(text.rlike(_LOST), F.url_encode(text)).otherwise(escape_html(text))
+    return F.concat(F.lit(f"<{name}>"), held, F.lit(f"</{name}>"))
+
+
+def of_element(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("%")), F.url_decode(text)).otherwise(text)
+
+
 class _Address(InputPartition):
     def __init__(self, address: str):
         self.address = address

@@ -204,6 +204,13 @@ def test_feed_entries():
     assert feeds.feed_entries("<broken") == [] and feeds.feed_entries(None) == []
 
 
+def test_entries_without_a_default_title(spark):
+    xml = "<rss><channel>" + "".join(f"<item>{t}<link>{i}</link></item>" for i, t in enumerate(("", "<title/>", "<title> </title>", "<title>t</title>"))) + "</channel></rss>"
+    assert [e["title"] for e in feeds.feed_entries(xml)] == ["No title", "No title", "No title", "t"]
+    got = spark.createDataFrame([(xml,), (None,), ("<rss",)], "xml string").select(F.inline(feeds.entries_as_they_are("xml")))
+    assert [r.title for r in got.collect()] == [None, "", "", "t"]
+
+
 def test_sources_whose_addresses_are_rows(spark, tmp_path):
     (tmp_path / "a.xml").write_text(RSS)
     (tmp_path / "b.xml").write_text(ATOM)

@@ -61,3 +61,13 @@ def test_feed_entries_of_odd_articles(spark, duck, tmp_path):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
     got = rows(plans.QUERIES["o004_feed_entries"](spark, str(tmp_path)).toPandas())
     assert got == rows(con.sql(plans.ORACLES["o004_feed_entries"]).df()) and len(got) > len(articles)
+
+
+def test_databases_in_memory_need_local_mode():
+    from unittest import mock
+
+    for master in ("local-cluster[3,2,3000]", "spark://host:7077"):
+        spark = mock.Mock()
+        spark.sparkContext.master = master
+        with pytest.raises(RuntimeError, match="in the driver's memory"):
+            plans.QUERIES["o015_copied_tables"](spark, FOLDER)
